@@ -59,12 +59,40 @@ SELECT c.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, c.
 FROM component c LEFT JOIN degree d USING (vec_id)
 """
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_groups
+
+    return jaccard_groups(load(_ready(spark), sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, list_sort(s) AS s FROM shingles),
+classes AS (SELECT min(doc_id) AS rep, any_value(n_shingles) AS n, s FROM sizes WHERE n_shingles > 0 GROUP BY s),
+items AS (SELECT rep, n, unnest(s) AS x FROM classes),
+common AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM items a JOIN items b ON a.x = b.x AND a.rep <> b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT z.doc_id, z.n_shingles, coalesce(k.component_id, z.doc_id) AS component_id
+FROM sizes z LEFT JOIN classes c ON z.s = c.s AND z.n_shingles > 0 LEFT JOIN component k USING (rep)
+""".replace("\\\\", "\\")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_top_k": OP1_SQL,
     "op3_embedding_near_dedup": OP3_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
 }

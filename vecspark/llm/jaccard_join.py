@@ -10,8 +10,9 @@ every linked pair meets in the region of the first shingle that both have.
 *Inside a region* a document is taken as pivot and its exact distance to every member found. Members within 0.2 link
 with it and need no comparison among themselves, for only the links' groups are asked for. A member outside can link
 with one inside only if their distances to the pivot differ by 0.2 at most (triangle inequality): such boundary members
-and those outside go on to the next level, whose regions are the pairs of shingles that two sets share first and
-second. There, only documents not yet in one group are compared. Regions of few members compare all their pairs at once.
+and those outside are compared further, but only with members of other groups. If they are many, they first go to
+regions of the next level: the pairs of shingles that two sets share first and second. Regions of few members compare
+all their pairs at once.
 
 Sets are not moved with the regions: these carry a fingerprint, a size and a position. Sets of candidates are made from
 the texts again and meet pair by pair. Sizes (5 a >= 4 b) and positions bound the overlap before. All decisions are made
@@ -35,6 +36,8 @@ from .components import connected_components
 SMALL = 8
 #: In larger ones, the so many members with the fewest rarer shingles are pivots: those most like the others.
 PIVOTS = 3
+#: Boundary regions of more members go on to regions of two shingles; in others the groups are compared at once.
+DEEP = 4096
 #: The order knows by their counts the so many most frequent shingles; of all others it takes the hash.
 FREQUENT = 1 << 20
 #: A shingle counts as frequent if one in so many documents has it.
@@ -132,18 +135,17 @@ class _Regions:
     """Streams rows sorted by region h and sends pairs (kind 0) and members of large regions (kind 1).
 
     Rows of a region come by (pos, n, c); with groups, by (n, c).
-    shared: how many shingles, this one included, two members of a region share in their order up to it.
     """
 
-    def __init__(self, shared: int, groups: bool):
-        self.shared, self.groups = shared, groups
+    def __init__(self, groups: bool):
+        self.groups = groups
         self.carry: list[np.ndarray] | None = None
         self.open: tuple | None = None  # of a region too long to hold: its h and pivot
         self.out: list[dict] = []
 
     def _pairs(self, r, i, j):
         h, n, c, pos, g = r
-        ub = self.shared + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+        ub = np.minimum(n[i] - pos[i], n[j] - pos[j])
         keep = _within(n[i], n[j], ub) & (c[i] != c[j])
         if self.groups:
             keep &= g[i] != g[j]
@@ -154,7 +156,7 @@ class _Regions:
         """pivots: the (n, c, pos) of each row's pivots, the first of which rules the windows."""
         h, n, c, pos, _ = r
         for k, (pn, pc, ppos) in enumerate(pivots):
-            ub = self.shared + np.minimum(n - pos, pn - ppos) - 1
+            ub = np.minimum(n - pos, pn - ppos)
             keep = _within(pn, n, ub) & (c != pc)
             self._send(0, h[keep], pc[keep], c[keep], n[keep], pos[keep], np.zeros(keep.sum()))
             if not k:
@@ -184,14 +186,23 @@ class _Regions:
             first, long = start[large], size[large]
             if self.groups:  # the last level: what is in different groups is compared
                 for f, m in zip(first, long):
-                    for i in range(f, f + m - 1):
-                        last = i + 1 + int(np.searchsorted(4 * r[1][i + 1 : f + m], 5 * r[1][i], "right"))
-                        self._pairs(r, np.full(last - i - 1, i), np.arange(i + 1, last))
+                    self._across([x[f : f + m] for x in r])
             else:
                 at = np.repeat(first, long)
                 rows = at + np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
                 self._star([x[rows] for x in r], [[x[at + k] for x in r[1:4]] for k in range(PIVOTS)])
 
+    def _across(self, r):
+        """Pairs of a region's members in different groups: those outside the largest group with all others."""
+        _, n, _, _, g = r
+        names, which, size = np.unique(g, return_inverse=True, return_counts=True)
+        few = which != size.argmax()
+        first, last = np.searchsorted(5 * n, 4 * n, "left"), np.searchsorted(4 * n, 5 * n, "right")
+        for i in np.flatnonzero(few):
+            j = np.arange(first[i], last[i])
+            j = j[~few[j] | (j > i)]
+            self._pairs(r, np.full(len(j), i), j)
+
     def add(self, r, final=False):
         if self.open is not None and len(r[0]):
             same = int(np.searchsorted(r[0] != self.open[0], True))
@@ -221,8 +232,8 @@ class _Regions:
             yield pa.record_batch(self.out.pop())
 
 
-def _stream(batches: Iterator[pa.RecordBatch], shared: int, groups: bool) -> Iterator[pa.RecordBatch]:
-    state = _Regions(shared, groups)
+def _stream(batches: Iterator[pa.RecordBatch], groups: bool) -> Iterator[pa.RecordBatch]:
+    state = _Regions(groups)
     empty = [np.empty(0, np.int64)] * 5
     held, rows = [], 0
     for batch in batches:
@@ -314,7 +325,7 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = sent.select("n", F.col("f1").alias("c"), F.posexplode(F.slice("first", F.lit(1), alpha)).alias("pos", "h"))
     rows = rows.select("h", "n", "c", "pos", F.lit(0).cast("long").alias("g"))
     dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "pos", "n", "c")
-    first = written(dealt.mapInArrow(lambda it: _stream(it, 1, False), _REGION), "jaccard-regions")
+    first = written(dealt.mapInArrow(lambda it: _stream(it, False), _REGION), "jaccard-regions")
     checked = _verified(docs, classes, first.where("kind = 0"), width)
     links = checked.where("linked").select("a", "b")
 
@@ -337,11 +348,14 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     members = written(members.select("h", "c", "n", "pos", "g"), "jaccard-boundary")
     if not members.isEmpty():
         orders = sent.groupBy("f1").agg(F.first("first").alias("first")).withColumnRenamed("f1", "c")
-        next_rows = members.join(orders, "c")
-        next_rows = next_rows.select("h", "n", "c", "pos", "g", F.posexplode("first").alias("pos2", "h2")).where("pos2 > pos")
-        next_rows = next_rows.select(F.xxhash64("h", "h2").alias("h"), "n", "c", F.col("pos2").alias("pos"), "g")
+        size = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+        sized = written(members.join(size, "h"), "jaccard-sized")
+        deep = sized.where(F.col("size") > DEEP).join(orders, "c").select("h", "n", "c", "pos", "g", F.posexplode("first").alias("pos2", "h2")).where("pos2 > pos")
+        # a second shared shingle at pos2: as if the first shared one were just before it
+        deep = deep.select(F.xxhash64("h", "h2").alias("h"), "n", "c", (F.col("pos2") - 1).alias("pos"), "g")
+        next_rows = sized.where(F.col("size") <= DEEP).select("h", "n", "c", "pos", "g").unionByName(deep)
         dealt = next_rows.repartition(parts, "h").sortWithinPartitions("h", "n", "c")
-        second = written(dealt.mapInArrow(lambda it: _stream(it, 2, True), _REGION), "jaccard-regions")
+        second = written(dealt.mapInArrow(lambda it: _stream(it, True), _REGION), "jaccard-regions")
         more = _verified(docs, classes, second.where("kind = 0"), width)
         every = as_ids(links.union(more.where("linked").select("a", "b")))
         found = written(connected_components(every, "p", "q"), "jaccard-groups")

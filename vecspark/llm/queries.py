@@ -85,14 +85,116 @@ SELECT z.doc_id, z.n_shingles, coalesce(k.component_id, z.doc_id) AS component_i
 FROM sizes z LEFT JOIN classes c ON z.s = c.s AND z.n_shingles > 0 LEFT JOIN component k USING (rep)
 """.replace("\\\\", "\\")
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_codec import round_trip
+
+    return round_trip(load(_ready(spark), sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2)
+
+
+def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_shares
+
+    return mix_shares(load(_ready(spark), sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS place FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS r
+  FROM docs GROUP BY source),
+sized AS (SELECT *, CASE r % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM sources),
+filled AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, cap, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(w) OVER (ORDER BY cap / w, cap, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+    sum(source_size) OVER () AS total FROM sized),
+levels AS (SELECT *, (total * 1.5::DOUBLE - used) / rest AS level FROM filled),
+final AS (SELECT (SELECT level FROM levels WHERE level * w < cap ORDER BY used, level LIMIT 1) AS level),
+targets AS (SELECT source, source_size, coalesce(least(cap, f.level * w), cap) AS target FROM levels, final f),
+queue AS (
+  SELECT d.*, t.source_size, t.target,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - ahead))
+     + greatest(0, least(size, CAST(round(target) AS BIGINT) - ahead - source_size)) AS BIGINT) AS taken FROM queue
+""".replace("\\\\", "\\")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import find_secrets
+
+    return find_secrets(load(_ready(spark), sf_dir, "documents"))
+
+
+#: The rules of the registered URL query.
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import Rule, judge_urls
+
+    return judge_urls(load(_ready(spark), sf_dir, "pages"), [Rule(*r) for r in URL_RULES])
+
+
+OP9_SQL = r"""
+WITH RECURSIVE rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
+  ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (
+  SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+    regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') AS rest FROM pages),
+goals AS (
+  SELECT host || rest AS a, host, unnest([
+    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
+    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS goal
+  FROM p WHERE contains(url, '://')),
+half AS (
+  SELECT a, CASE WHEN contains(goal, '://') THEN lower(regexp_extract(goal, '^.*?://([^/?#]*)', 1, 's')) || regexp_extract(goal, '^.*?://[^/?#]*([^#]*)', 1, 's')
+                 ELSE host || regexp_extract(goal, '^[^#]*', 0, 's') END AS b FROM goals WHERE goal <> ''),
+links AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+best AS (
+  SELECT x.host, x.path, first(r.verdict ORDER BY length(rhost || rpath) DESC, r.verdict = 'block') AS verdict,
+    first(rhost || rpath ORDER BY length(rhost || rpath) DESC, r.verdict = 'block') AS rule
+  FROM (SELECT DISTINCT host, path FROM p UNION SELECT regexp_extract(b, '^[^/?#]*', 0, 's'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1, 's') FROM links) x
+  JOIN rules r ON (x.host = rhost OR ends_with(x.host, '.' || rhost)) AND starts_with(x.path, rpath) GROUP BY ALL),
+alias AS (
+  SELECT r.a, bool_or(b.verdict = 'block') AND NOT bool_or(b.verdict = 'allow') AS blocked FROM reach r
+  JOIN best b ON b.host = regexp_extract(r.b, '^[^/?#]*', 0, 's') AND b.path = regexp_extract(r.b, '^[^/?#]*([^?#]*)', 1, 's') GROUP BY r.a)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN a.blocked THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN alias a ON a.a = p.host || p.rest
+""".replace("\\\\", "\\")
+
+
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(load(_ready(spark), sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op4_token_rans": op4_token_rans,
+    "op7_weighted_mix": op7_weighted_mix,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_url_filter": op9_url_filter,
+    "op10_pack_documents": op10_pack_documents,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_top_k": OP1_SQL,
     "op3_embedding_near_dedup": OP3_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
+    "op7_weighted_mix": OP7_SQL,
+    "op9_url_filter": OP9_SQL,
 }

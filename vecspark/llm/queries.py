@@ -85,7 +85,8 @@ SELECT z.doc_id, z.n_shingles, coalesce(k.component_id, z.doc_id) AS component_i
 FROM sizes z LEFT JOIN classes c ON z.s = c.s AND z.n_shingles > 0 LEFT JOIN component k USING (rep)
 """.replace("\\\\", "\\")
 
-def _vocabulary(name: str) -> str:
+def vocabulary_path(name: str) -> str:
+    """Path of a public tokenizer's file, the default of the queries."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -94,7 +95,7 @@ def _vocabulary(name: str) -> str:
 def op4_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_codec import round_trip
 
-    return round_trip(load(_ready(spark), sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2)
+    return round_trip(load(_ready(spark), sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), 2)
 
 
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,14 +178,28 @@ FROM p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN alias a
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(load(_ready(spark), sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0)
+    return pack(load(_ready(spark), sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), 0)
+
+
+def op2_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(load(_ready(spark), sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(load(_ready(spark), sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_masked_lm_score": op2_masked_lm_score,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
-    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op4_token_rans": op4_token_rans,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_language_id": op6_language_id,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,

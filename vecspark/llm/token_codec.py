@@ -4,7 +4,8 @@ One frequency table, counted over the whole corpus and scaled to 2**SCALE, is st
 shard holds documents of consecutive ids in blocks of whole documents. A block is independent of all others: its
 tokens are dealt round-robin to interleaved lanes with a 64-bit state each, so that encoder and decoder work on all
 lanes at once. The footer's checkpoints (offset, sizes, first document and first token of each block) let tasks decode
-any block alone, and each block, footer and table has a CRC-32.
+any block alone, and each block, footer and table has a CRC-32. Texts are tokenised once: ids wait in spool files of the
+same blocks, compressed but plain, until all are counted.
 
 Layout, little endian. Table `table-<crc>.rans`: "RTAB" u32 scale, u32 n, n x (u32 id, u32 frequency), u32 crc of what
 is before. Shard `shard-*.rans`: "RTOK" u32 version, u32 crc of the table; blocks; footer; u64 offset of the footer,
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,7 @@ SCALE = 18
 LOW = 1 << 31
 LANES = 1024
 BLOCK_TOKENS = 1 << 19
+_HEAD = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 CHECKPOINT = np.dtype([("offset", "<u8"), ("length", "<u8"), ("documents", "<u4"), ("tokens", "<u8"), ("first_document", "<u8"), ("first_token", "<u8"), ("crc", "<u4")])
 
 
@@ -138,46 +141,36 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        ids = np.frombuffer(b"".join(encoder(path).encode(batch.column(0).to_pylist())), "<u4")
-        n = np.bincount(ids, minlength=max(end + 1, len(total)))
-        n[end] += batch.num_rows
-        n[: len(total)] += total
-        total = n
-    at = np.flatnonzero(total)
-    yield pa.record_batch({"id": at.astype(np.int64), "n": total[at]})
-
-
-_MANIFEST = "shard int, file string, block int, offset long, length long, documents int, tokens long, first_document long, first_token long, crc long"
-
-
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, folder: str, table: Table, crc: int) -> Iterator[pa.RecordBatch]:
-    shard = TaskContext.get().partitionId()
-    store, root = _open(folder)
+def _spool(batches: Iterator[pa.RecordBatch], path: str, end: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Tokenises a shard's documents in order into a spool file of compressed plain blocks, and counts its ids."""
+    shard, store_root = TaskContext.get().partitionId(), _open(folder)
+    store, root = store_root
     store.create_dir(root, recursive=True)
-    name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.rans"  # a task that runs again writes another file; the manifest names one
-    points, closing = [], struct.pack("<I", end)
+    name = f"spool-{shard:06d}-{uuid.uuid4().hex[:12]}"
+    press, closing = zstandard.ZstdCompressor(level=1), struct.pack("<I", end)
+    total, any_row = np.zeros(end + 1, np.int64), False
+    ids: list[int | None] = []
+    parts: list[bytes] = []
+    held = 0
     with store.open_output_stream(f"{root}/{name}") as out:
-        out.write(b"RTOK" + struct.pack("<II", 1, crc))
-        at, docs, tokens = 12, 0, 0
-        ids: list[int | None] = []
-        parts: list[bytes] = []
-        held = 0
 
         def close():
-            nonlocal at, docs, tokens, held
-            lengths = [len(p) // 4 for p in parts]
-            data = pack_block(ids, lengths, np.frombuffer(b"".join(parts), "<u4"), table)
-            out.write(data)
-            points.append((at, len(data), len(ids), held, docs, tokens, zlib.crc32(data)))
-            at, docs, tokens, held = at + len(data), docs + len(ids), tokens + held, 0
+            nonlocal total, held
+            tokens = np.frombuffer(b"".join(parts), "<u4")
+            n = np.bincount(tokens, minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            small = tokens.astype("<u2") if tokens.max() < 1 << 16 else tokens
+            data = press.compress(small.tobytes())
+            heads = np.array([(d or 0, d is None, len(p) // 4) for d, p in zip(ids, parts)], _HEAD)
+            out.write(struct.pack("<IIQ", len(heads), small.itemsize, len(data)) + heads.tobytes() + data)
+            held = 0
             ids.clear()
             parts.clear()
 
         for batch in batches:
             for d, data in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist())):
+                any_row = True
                 ids.append(d)
                 parts.append(data + closing)
                 held += len(data) // 4 + 1
@@ -185,11 +178,44 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, folder: str,
                     close()
         if ids:
             close()
+    if any_row:
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"shard": np.full(1, shard, np.int32), "file": [name], "ids": pa.array([at.tolist()], pa.list_(pa.int64())), "counts": pa.array([total[at].tolist()], pa.list_(pa.int64()))})
+
+
+def _spooled(store: fs.FileSystem, path: str) -> Iterator[tuple[list[int | None], list[int], np.ndarray]]:
+    with store.open_input_stream(path) as file:
+        while head := file.read(16):
+            docs, width, size = struct.unpack("<IIQ", head)
+            heads = np.frombuffer(file.read(_HEAD.itemsize * docs), _HEAD)
+            tokens = np.frombuffer(zstandard.decompress(file.read(size)), f"<u{width}").astype(np.uint32)
+            yield [None if x else int(d) for d, x, _ in heads], heads["n"].tolist(), tokens
+
+
+_MANIFEST = "shard int, file string, block int, offset long, length long, documents int, tokens long, first_document long, first_token long, crc long"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], folder: str, table: Table, crc: int) -> Iterator[pa.RecordBatch]:
+    store, root = _open(folder)
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _encode_shard(store, root, row["shard"], f"{root}/{row['file']}", table, crc)
+
+
+def _encode_shard(store: fs.FileSystem, root: str, shard: int, spool: str, table: Table, crc: int) -> pa.RecordBatch:
+    name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.rans"  # a task that runs again writes another file; the manifest names one
+    points, at, docs, total = [], 12, 0, 0
+    with store.open_output_stream(f"{root}/{name}") as out:
+        out.write(b"RTOK" + struct.pack("<II", 1, crc))
+        for ids, lengths, tokens in _spooled(store, spool):
+            data = pack_block(ids, lengths, tokens, table)
+            out.write(data)
+            points.append((at, len(data), len(ids), len(tokens), docs, total, zlib.crc32(data)))
+            at, docs, total = at + len(data), docs + len(ids), total + len(tokens)
         footer = struct.pack("<I", len(points)) + np.array(points, CHECKPOINT).tobytes()
         out.write(footer + struct.pack("<QI", at, zlib.crc32(footer)) + b"KOTR")
-    if points:
-        p = np.array(points, CHECKPOINT)
-        yield pa.record_batch({"shard": np.full(len(p), shard, np.int32), "file": [name] * len(p), "block": np.arange(len(p), dtype=np.int32), "offset": p["offset"].astype(np.int64), "length": p["length"].astype(np.int64), "documents": p["documents"].astype(np.int32), "tokens": p["tokens"].astype(np.int64), "first_document": p["first_document"].astype(np.int64), "first_token": p["first_token"].astype(np.int64), "crc": p["crc"].astype(np.int64)})
+    p = np.array(points, CHECKPOINT)
+    return pa.record_batch({"shard": np.full(len(p), shard, np.int32), "file": [name] * len(p), "block": np.arange(len(p), dtype=np.int32), "offset": p["offset"].astype(np.int64), "length": p["length"].astype(np.int64), "documents": p["documents"].astype(np.int32), "tokens": p["tokens"].astype(np.int64), "first_document": p["first_document"].astype(np.int64), "first_token": p["first_token"].astype(np.int64), "crc": p["crc"].astype(np.int64)})
 
 
 def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +226,10 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = docs.select("text").mapInArrow(lambda it: _counts(it, vocabulary, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    spec = "shard int, file string, ids array<long>, counts array<long>"
+    spools = written(ordered.mapInArrow(lambda it: _spool(it, vocabulary, end_id, folder), spec), "rans-spools")
+    counts = spools.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy(F.col("x.ids").alias("id")).agg(F.sum("x.counts").alias("n"))
     counts = counts.orderBy("id").toArrow()  # at most a row for each id of the vocabulary
     table = Table(counts["id"].to_numpy(), scaled_frequencies(counts["n"].to_numpy()))
     data = table.to_bytes()
@@ -210,8 +239,12 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
     with store.open_output_stream(f"{root}/table-{crc:08x}.rans") as out:
         out.write(data)
     shared = spark.sparkContext.broadcast(data)
-    ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(lambda it: _encode(it, vocabulary, end_id, folder, Table.from_bytes(shared.value), crc), _MANIFEST), "rans-manifest")
+    files = spools.select("shard", "file")
+    manifest = files.repartition(shuffle_partitions(spark), "file").mapInArrow(lambda it: _encode(it, folder, Table.from_bytes(shared.value), crc), _MANIFEST)
+    manifest = written(manifest, "rans-manifest")
+    for row in files.toLocalIterator():  # a row a shard
+        store.delete_file(f"{root}/{row['file']}")
+    return manifest
 
 
 def _decode(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
 """Whole texts to token ids with the tokenizers library, each distinct word encoded once.
 
-Both supported pre-tokenizers cut before a single space that follows a visible character and precedes another, and
-nothing they do looks across that cut. So a text is the sequence of its space-separated words, and the library's ids
-of a word are kept for the next time it comes. The memo is bounded; where spaces are irregular, the text is cut by a
-pattern at safe places only.
+A tokenizer that drops white space sees a text as the sequence of its words. One that keeps it (byte-level, a word with
+its single leading space) never looks across a line end or a space between two visible characters, but for runs of
+white space; texts with such runs are cut by a pattern at safe places only. Either way the library's ids of a word
+are kept for the next time it comes, in a memo of bounded size.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from itertools import chain
 
 import numpy as np
 
-_IRREGULAR = re.compile(r"  |[^\S ] | [^\S ]|^ | $")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+_ODD_SPACE = re.compile(r"[\u1680\u2000-\u200a\u202f\u205f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to str.split(), none to the tokenizers
 
 
 class WordEncoder:
     """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers; null is empty."""
 
-    def __init__(self, path: str, most_words: int = 1 << 20, most_chars: int = 1 << 24):
+    def __init__(self, path: str, most_words: int = 1_500_000, most_chars: int = 1 << 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -31,30 +32,58 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
         self.most_words, self.most_chars, self.chars = most_words, most_chars, 0
+        one, two, both = self._library(["x", "y", "x y"])
+        self.drops_space = one + two == both
+        upper, lower = self._library(["XQ", "xq"])
+        self.folds = upper == lower
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if _IRREGULAR.search(text):
-            return _SAFE_CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+    def _words(self, text: str) -> list[str] | None:
+        """Words to look up; None for a text to be cut with care."""
+        if self.drops_space:
+            if any(c in text for c in _SEPARATORS):
+                return None
+            return (text.encode().lower().decode() if self.folds else text).split()
+        if text[0] == " " or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text:
+            return None
+        if any(c in text for c in "\t\r\x0b\x0c\x85\xa0\u3000\u2028\u2029"):
+            return None
+        if not text.isascii() and _ODD_SPACE.search(text):
+            return None
+        return _lines(text)
+
+    def _careful(self, text: str) -> bytes:
+        return b"".join(self._library([text] if self.drops_space else _SAFE_CUT.split(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t) if t else [] for t in texts]
-        fresh = list(set(chain.from_iterable(split)).difference(self.memo))
-        size = sum(map(len, fresh))
-        if len(self.memo) + len(fresh) > self.most_words or self.chars + size > self.most_chars:
-            self.memo, self.chars = {}, 0
-            fresh = list(set(chain.from_iterable(split)))
-            size = sum(map(len, fresh))
+        fresh = list(set(chain.from_iterable(w for w in split if w)).difference(self.memo))
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             self.memo.update(zip(part, self._library(part)))
-        self.chars += size
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        out = [self._careful(t) if w is None else b"".join(map(self.memo.__getitem__, w)) for t, w in zip(texts, split)]
+        size = sum(map(len, fresh))
+        if len(self.memo) > self.most_words or self.chars + size > self.most_chars:
+            for w in fresh:  # full: what came first, and so comes often, stays
+                del self.memo[w]
+        else:
+            self.chars += size
+        return out
+
+
+def _lines(text: str) -> list[str]:
+    """Words of lines that are parted by one or two line ends."""
+    out: list[str] = []
+    for k, line in enumerate(text.split("\n")):
+        if k:
+            out.append("\n")
+        if line:
+            first, *rest = line.split(" ")
+            out.append(first)
+            out += map(" ".__add__, rest)
+    return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -1,15 +1,655 @@
-"""The registered queries of the vector engine and their SQL counterparts."""
+"""The registered queries of the vector engine and their SQL counterparts.
+
+Inputs: embeddings are the base, those with vec_id < 50 the queries; events stand in for run records and query traces
+(value as latency or throughput, user_id as worker, event_type as configuration, event_id mod 5 as repeat).
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import stats
+from .functions.distance import l2
+from .operators import codecs, exact, graph, layout, workload
+from .plans import evaluation
+from .shipping import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _base(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", "label")
+
+
+def _queries(base: DataFrame) -> DataFrame:
+    return base.where("vec_id < 50")
+
+
+def _scaled(base: DataFrame) -> DataFrame:
+    """Unit vectors rank alike under both metrics; scaled ones do not."""
+    return base.select("vec_id", F.transform("embedding", lambda x: x * (F.col("label") + 1).cast("float")).alias("embedding"), "label")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+def _cut(spark: SparkSession):
+    """Cuts lineage: a table in the shared folder, or in a temporary one where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecspark-")
+    made = [0]
+
+    def write(df: DataFrame) -> DataFrame:
+        made[0] += 1
+        path = f"{root}/vecspark/step-{made[0]}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return write
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    base = _base(spark, sf_dir)
+    return exact.knn(_queries(base), base, 10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+# --- SQL parts --------------------------------------------------------------------------------------------------
+
+
+def _l2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))"
+
+
+def _ip(a: str, b: str) -> str:
+    return f"1.0::DOUBLE - list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+
+
+def _knn_sql(table: str, distance: str, k: int = 10) -> str:
+    return f"""SELECT query_id, rank, vec_id, distance FROM (
+      SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank
+      FROM (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {distance} AS distance FROM {table} q CROSS JOIN {table} b WHERE q.vec_id < 50))
+    WHERE rank <= {k}"""
+
+
+SCALED = "(SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x * CAST(label + 1 AS FLOAT) AS FLOAT)) AS embedding FROM embeddings)"
+KNN_L2 = _knn_sql("embeddings", _l2("q.embedding", "b.embedding"))
+GRAPH = f"""graph AS (SELECT src, CAST(pos AS INTEGER) AS pos, dst FROM (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d, dst) - 1 AS pos
+  FROM (SELECT a.vec_id AS src, b.vec_id AS dst, {_l2('a.embedding', 'b.embedding')} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
+  WHERE pos < 8)"""
+
+
+def _sq_sql(bits: int) -> str:
+    top = 2**bits - 1
+    return f"""dims AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    fit AS (SELECT dim, min(x) AS lo, greatest(max(x) - min(x), 1e-6::DOUBLE) / {top} AS scale FROM dims GROUP BY dim),
+    coded AS (SELECT vec_id, dim, CAST(least(greatest(round((x - lo) / scale), 0), {top}) AS INTEGER) AS c, scale FROM dims JOIN fit USING (dim)),
+    codes AS (SELECT vec_id, list(c ORDER BY dim) AS code, list(scale ORDER BY dim) AS scale FROM coded GROUP BY vec_id)"""
+
+
+_SQ_D = "list_sum(list_transform(list_zip(q.code, b.code, b.scale), lambda p: (CAST(p[1] - p[2] AS DOUBLE) * p[3]) * (CAST(p[1] - p[2] AS DOUBLE) * p[3])))"
+_SQ_KNN = f"""sqknn AS (SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, distance FROM (
+  SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r
+  FROM (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {_SQ_D} AS distance FROM codes q CROSS JOIN codes b WHERE q.vec_id < 50)))"""
+T_VALUES = ", ".join(f"({i + 1}, {t})" for i, t in enumerate(stats.T95))
+
+
+# --- exact search -----------------------------------------------------------------------------------------------
+
+
+@_query("exact_knn_l2", KNN_L2)
+def exact_knn_l2(spark, d):
+    base = _base(spark, d)
+    return exact.knn(_queries(base), base, 10)
+
+
+@_query("exact_knn_ip", _knn_sql(SCALED, _ip("q.embedding", "b.embedding")))
+def exact_knn_ip(spark, d):
+    base = _scaled(_base(spark, d))
+    return exact.knn(_queries(base), base, 10, "ip")
+
+
+@_query("knn_partition_merge", KNN_L2)
+def knn_partition_merge(spark, d):
+    base = _base(spark, d)
+    return exact.knn_blocks(_queries(base), base, 10)
+
+
+@_query("range_search_l2", f"SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {_l2('q.embedding', 'b.embedding')} AS distance FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id < 50 AND {_l2('q.embedding', 'b.embedding')} <= 1.2")
+def range_search_l2(spark, d):
+    base = _base(spark, d)
+    return exact.range_search(_queries(base), base, 1.2)
+
+
+@_query("spot_check", f"WITH t AS ({KNN_L2}) SELECT query_id, count(*) AS overlap, true AS exact FROM t GROUP BY query_id")
+def spot_check(spark, d):
+    base = _base(spark, d)
+    return exact.spot_check(exact.knn_blocks(_queries(base), base, 10), exact.knn(_queries(base), base, 10))
+
+
+@_query("round_robin_share", "SELECT vec_id, label FROM embeddings WHERE vec_id % 4 = 1")
+def round_robin_share(spark, d):
+    return workload.share(_base(spark, d), 4, 1).select("vec_id", "label")
+
+
+@_query("vector_slice", "SELECT vec_id, label FROM embeddings WHERE vec_id BETWEEN 100 AND 179")
+def vector_slice(spark, d):
+    return workload.sliced(_base(spark, d), 100, 80).select("vec_id", "label")
+
+
+# --- codecs -----------------------------------------------------------------------------------------------------
+
+
+def _sq_queries(bits: int):
+    @_query(f"sq{bits}_fit", f"WITH {_sq_sql(bits)} SELECT CAST(dim AS INTEGER) AS dim, lo, scale FROM fit")
+    def fit(spark, d):
+        return codecs.sq_fit(_base(spark, d), bits)
+
+    @_query(f"sq{bits}_encode", f"WITH {_sq_sql(bits)} SELECT vec_id, code FROM codes")
+    def encode(spark, d):
+        base = _base(spark, d)
+        return codecs.sq_encode(base, codecs.sq_model(base, bits), bits).select("vec_id", "code")
+
+
+_sq_queries(8)
+_sq_queries(4)
+
+
+def _sq8(base):
+    return codecs.sq_encode(base, codecs.sq_model(base, 8), 8)
+
+
+@_query("sq8_knn", f"WITH {_sq_sql(8)}, {_SQ_KNN} SELECT * FROM sqknn WHERE rank <= 10")
+def sq8_knn(spark, d):
+    return codecs.sq_knn(_sq8(_base(spark, d)), F.col("vec_id") < 50, 10)
+
+
+_RERANK = f"""reranked AS (SELECT s.query_id, s.vec_id, {_l2('q.embedding', 'b.embedding')} AS distance FROM sqknn s
+  JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings b ON b.vec_id = s.vec_id WHERE s.rank <= 32),
+  best AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM reranked)"""
+
+
+def _sq8_reranked(base):
+    near = codecs.sq_knn(_sq8(base), F.col("vec_id") < 50, 32).select("query_id", "vec_id")
+    q = _queries(base).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    both = near.join(F.broadcast(q), "query_id").join(base.select("vec_id", "embedding"), "vec_id")
+    return exact.ranked(both.select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("distance")), 10)
+
+
+@_query("sq8_rerank", f"WITH {_sq_sql(8)}, {_SQ_KNN}, {_RERANK} SELECT * FROM best WHERE rank <= 10")
+def sq8_rerank(spark, d):
+    return _sq8_reranked(_base(spark, d))
+
+
+@_query("sq8_recall_at_10", f"WITH {_sq_sql(8)}, {_SQ_KNN}, {_RERANK}, truth AS ({KNN_L2}) SELECT CAST((SELECT count(DISTINCT query_id) FROM best WHERE rank <= 10) AS BIGINT) AS queries, count(*) AS hits, count(*) / ((SELECT count(DISTINCT query_id) FROM best) * 10.0::DOUBLE) AS recall FROM best b JOIN truth t USING (query_id, vec_id) WHERE b.rank <= 10")
+def sq8_recall_at_10(spark, d):
+    base = _base(spark, d)
+    return exact.recall(_sq8_reranked(base), exact.knn(_queries(base), base, 10), 10)
+
+
+_BOOKS = "books AS (SELECT j, vec_id AS c, embedding[j * 8 + 1 : j * 8 + 8] AS centroid FROM embeddings, range(8) t(j) WHERE vec_id < 16)"
+_PQ = f"""{_BOOKS}, parts AS (SELECT vec_id, j, embedding[j * 8 + 1 : j * 8 + 8] AS x FROM embeddings, range(8) t(j)),
+ pq AS (SELECT vec_id, j, c AS code FROM (SELECT p.vec_id, p.j, b.c, row_number() OVER (PARTITION BY p.vec_id, p.j ORDER BY {_l2('p.x', 'b.centroid')}, b.c) AS r FROM parts p JOIN books b USING (j)) WHERE r = 1)"""
+
+
+def _books(base):
+    rows = base.where("vec_id < 16").select(F.col("vec_id").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), "embedding")
+    return rows.select("j", "c", F.slice("embedding", F.col("j") * 8 + 1, F.lit(8)).alias("centroid"))
+
+
+@_query("pq_encode", f"WITH {_PQ} SELECT vec_id, CAST(j AS INTEGER) AS j, code FROM pq")
+def pq_encode(spark, d):
+    base = _base(spark, d)
+    return codecs.pq_encode_columns(base, _books(base))
+
+
+@_query("pq_adc_knn", f"""WITH {_PQ}, lut AS (SELECT q.vec_id AS query_id, q.j, b.c, {_l2('q.x', 'b.centroid')} AS d FROM parts q JOIN books b USING (j) WHERE q.vec_id < 50),
+ scored AS (SELECT query_id, vec_id, list_sum(list(d ORDER BY l.j)) AS distance FROM lut l JOIN pq p ON l.j = p.j AND l.c = p.code GROUP BY 1, 2)
+ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM scored) WHERE r <= 10""")
+def pq_adc_knn(spark, d):
+    base = _base(spark, d)
+    books = _books(base)
+    codes = codecs.pq_encode_columns(base, books)
+    q = _queries(base).select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), "embedding")
+    lut = q.join(F.broadcast(books), "j").select("query_id", "j", F.col("c").alias("code"), l2(F.slice("embedding", F.col("j") * 8 + 1, F.lit(8)), F.col("centroid")).alias("d"))
+    parts = F.array_sort(F.collect_list(F.struct("j", "d")))
+    scored = codes.join(F.broadcast(lut), ["j", "code"]).groupBy("query_id", "vec_id").agg(F.aggregate(parts, F.lit(0.0), lambda t, x: t + x["d"]).alias("distance"))
+    return exact.ranked(scored, 10)
+
+
+# --- graph ------------------------------------------------------------------------------------------------------
+
+
+def _graph(base):
+    return graph.knn_graph(base, 8)
+
+
+@_query("node_levels", "SELECT vec_id, CAST(floor(-ln(((vec_id * 48271 + 12345) % 2147483647 + 1) / 2147483647.0::DOUBLE) / ln(8)) AS INTEGER) AS level FROM embeddings")
+def node_levels(spark, d):
+    return _base(spark, d).select("vec_id", graph.level_column(F.col("vec_id"), 8).alias("level"))
+
+
+@_query("entry_point", "SELECT vec_id, level FROM (SELECT vec_id, CAST(floor(-ln(((vec_id * 48271 + 12345) % 2147483647 + 1) / 2147483647.0::DOUBLE) / ln(8)) AS INTEGER) AS level FROM embeddings) ORDER BY level DESC, vec_id LIMIT 1")
+def entry_point(spark, d):
+    nodes = node_levels(spark, d)
+    return nodes.agg(F.max_by(F.struct("vec_id", "level"), F.struct("level", -F.col("vec_id"))).alias("x")).select("x.*")
+
+
+@_query("knn_graph_edges", f"WITH {GRAPH} SELECT * FROM graph")
+def knn_graph_edges(spark, d):
+    return _graph(_base(spark, d))
+
+
+@_query("pruned_graph_edges")
+def pruned_graph_edges(spark, d):
+    return graph.build_level(_base(spark, d), 8, 16, 24, "l2")
+
+
+@_query("indegree", f"WITH {GRAPH} SELECT e.vec_id, count(g.dst) AS indegree FROM embeddings e LEFT JOIN graph g ON g.dst = e.vec_id GROUP BY e.vec_id")
+def indegree(spark, d):
+    base = _base(spark, d)
+    return graph.in_degree(base, _graph(base))
+
+
+@_query("hop_distance", f"""WITH RECURSIVE {GRAPH}, reach(vec_id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT g.dst, r.hop + 1 FROM reach r JOIN graph g ON g.src = r.vec_id WHERE r.hop < 40)
+ SELECT e.vec_id, CAST(min(r.hop) AS INTEGER) AS hop FROM embeddings e LEFT JOIN reach r ON r.vec_id = e.vec_id GROUP BY e.vec_id""")
+def hop_distance(spark, d):
+    base, cut = _base(spark, d), _cut(spark)
+    return graph.hop_distance(base, cut(_graph(base)), 0, cut)
+
+
+def _ann(spark, d, **how):
+    base = _base(spark, d)
+    index = graph.build(base, m=8, ef=32)
+    return graph.search(_queries(base).coalesce(8), index, 10, **how).select("query_id", "rank", "vec_id", "distance", "hops", "scored"), base, index
+
+
+@_query("ann_search")
+def ann_search(spark, d):
+    return _ann(spark, d, ef=64)[0]
+
+
+@_query("ann_search_wide")
+def ann_search_wide(spark, d):
+    return _ann(spark, d, ef=64, wide=4)[0]
+
+
+@_query("ann_search_full", f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
+def ann_search_full(spark, d):
+    """With a beam as wide as the table the graph search is exact."""
+    base = _base(spark, d)
+    return _ann(spark, d, ef=base.count(), rerank=10)[0].select("query_id", "rank", "vec_id")
+
+
+@_query("ann_search_slab")
+def ann_search_slab(spark, d):
+    """Rotated 4-bit codes lead the beam, exact distances rank what is left."""
+    base = _base(spark, d)
+    index = graph.build(base, m=8, ef=32)
+    codec = codecs.RotatedCode.fit(index.vectors, 4)
+    return graph.search(_queries(base).coalesce(8), index, 10, ef=64, code=graph.CodedVectors(codec, codec.encode(index.vectors)))
+
+
+@_query("ann_search_blocks")
+def ann_search_blocks(spark, d):
+    import numpy as np
+
+    base = _base(spark, d)
+    index = graph.build(base, m=8, ef=32)
+    adjacency = [list(map(int, index.levels[0].get(s, ()))) for s in range(len(index.ids))]
+    index.block = np.array(layout.refine_blocks(adjacency, layout.pack_blocks(adjacency, index.entry, 32), 32))
+    return graph.search(_queries(base).coalesce(8), index, 10, ef=64, blocks=True)
+
+
+@_query("ann_recall")
+def ann_recall(spark, d):
+    found, base, _ = _ann(spark, d, ef=64)
+    return exact.recall(found, exact.knn(_queries(base), base, 10), 10)
+
+
+@_query("ann_cost")
+def ann_cost(spark, d):
+    found = _ann(spark, d, ef=64)[0].where("rank = 1")
+    return found.agg(F.avg("hops").alias("hops_per_query"), F.avg("scored").alias("scored_per_query"), (F.avg("scored") * 256).alias("bytes_per_query"))
+
+
+# --- derived records --------------------------------------------------------------------------------------------
+
+
+@_query("slab_records", f"WITH {GRAPH} SELECT src, count(*) AS degree, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY pos) AS nbrs FROM graph GROUP BY src")
+def slab_records(spark, d):
+    rows = layout.slab(_graph(_base(spark, d)))
+    return rows.select("src", "degree", F.array_join(F.transform("nbrs", lambda x: x["dst"].cast("string")), ",").alias("nbrs"))
+
+
+@_query("record_bytes", f"""WITH {GRAPH}, deg AS (SELECT dst AS vec_id, count(*) AS degree FROM graph GROUP BY dst),
+ kinds(kind) AS (VALUES ('sq8'), ('sq4'), ('pq'), ('rotated')),
+ coded AS (SELECT vec_id, degree, kind, CAST(CASE kind WHEN 'sq8' THEN 64 WHEN 'sq4' THEN 32 WHEN 'pq' THEN 8 ELSE 8 + 4 * 8 END AS BIGINT) AS code FROM deg, kinds)
+ SELECT vec_id, kind, 8 + 16 * (16 + code) AS fixed_bytes, 8 + least(16, degree) * (16 + code) + (degree - least(16, degree)) * 16 AS variable_bytes FROM coded""")
+def record_bytes(spark, d):
+    deg = _graph(_base(spark, d)).groupBy(F.col("dst").alias("vec_id")).agg(F.count(F.lit(1)).alias("degree"))
+    rows = deg.withColumn("kind", F.explode(F.array(*map(F.lit, ("sq8", "sq4", "pq", "rotated")))))
+    code = layout.code_bytes(F.col("kind"), F.lit(64), F.lit(8), F.lit(4))
+    return rows.select("vec_id", "kind", layout.fixed_record(code, F.lit(16), F.lit(16)).alias("fixed_bytes"), layout.variable_record(code, F.lit(16), F.col("degree")).alias("variable_bytes"))
+
+
+@_query("hotset_fraction", f"WITH {GRAPH}, deg AS (SELECT e.vec_id, count(g.dst) AS n FROM embeddings e LEFT JOIN graph g ON g.dst = e.vec_id GROUP BY e.vec_id) SELECT vec_id, CAST(r AS INTEGER) AS rank FROM (SELECT vec_id, row_number() OVER (ORDER BY n DESC, vec_id) AS r FROM deg) WHERE r <= (SELECT greatest(1, CAST(floor(0.1::DOUBLE * count(*) + 0.5) AS BIGINT)) FROM embeddings)")
+def hotset_fraction(spark, d):
+    base = _base(spark, d)
+    return layout.hot_set(graph.in_degree(base, _graph(base)), 0.1, "indegree", True)
+
+
+def _candidates(base, cut):
+    edges = cut(_graph(base))
+    hop = graph.hop_distance(base, edges, 0, cut)
+    rows = graph.in_degree(base, edges).join(hop, "vec_id")
+    return rows.select(F.col("vec_id").alias("uid"), (8 + 4 * F.pmod("vec_id", F.lit(9)) + 16).alias("record_bytes"), "indegree", (F.pmod("vec_id", F.lit(7)) + 1).alias("live_degree"), "hop")
+
+
+_CANDIDATES = f"""{GRAPH}, reach(vec_id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT g.dst, r.hop + 1 FROM reach r JOIN graph g ON g.src = r.vec_id WHERE r.hop < 40),
+ hops AS (SELECT vec_id, min(hop) AS hop FROM reach GROUP BY vec_id),
+ deg AS (SELECT e.vec_id, count(g.dst) AS indegree FROM embeddings e LEFT JOIN graph g ON g.dst = e.vec_id GROUP BY e.vec_id),
+ cand AS (SELECT vec_id AS uid, 8 + 4 * (vec_id % 9) + 16 AS z, indegree, vec_id % 7 + 1 AS live, hop FROM deg LEFT JOIN hops USING (vec_id))"""
+
+
+def _budget(policy: str, order: str):
+    sql = f"""WITH RECURSIVE {_CANDIDATES}, sorted AS (SELECT uid, z, row_number() OVER (ORDER BY {order}) AS r FROM cand),
+    walk(r, uid, remaining, took) AS (SELECT 0::BIGINT, -1::BIGINT, 4000::BIGINT, false
+      UNION ALL SELECT s.r, s.uid, CASE WHEN s.z <= w.remaining THEN w.remaining - s.z ELSE w.remaining END, s.z <= w.remaining FROM walk w JOIN sorted s ON s.r = w.r + 1)
+    SELECT uid, CAST(row_number() OVER (ORDER BY r) - 1 AS INTEGER) AS compact_idx FROM walk WHERE took"""
+
+    @_query(f"budget_select_{policy}", sql)
+    def select(spark, d):
+        return layout.budget_select(_candidates(_base(spark, d), _cut(spark)), 5000, 1000, policy)
+
+
+_budget("benefit", "CAST((indegree + 1) * live AS DECIMAL(38,18)) / z DESC, (indegree + 1) * live DESC, uid")
+_budget("indegree", "indegree DESC, uid")
+_budget("hop", "hop IS NULL, hop, uid")
+
+
+@_query("owner_block_cyclic", "SELECT vec_id, vec_id % 3 AS owner, vec_id // 3 AS local_slot, 16384 + (vec_id // 3) * 4096 AS byte_offset FROM embeddings")
+def owner_block_cyclic(spark, d):
+    owner, local = layout.cyclic_owner(F.col("vec_id"), 3)
+    return _base(spark, d).select("vec_id", owner.alias("owner"), local.alias("local_slot"), layout.read_plan(local, 4096).alias("byte_offset"))
+
+
+@_query("owner_range", "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT vec_id, ((vec_id + 1) * 3 - 1) // n AS owner, vec_id - (n * (((vec_id + 1) * 3 - 1) // n)) // 3 AS local_slot FROM embeddings, n")
+def owner_range(spark, d):
+    base = _base(spark, d)
+    owner, local = layout.range_owner(F.col("vec_id"), base.count(), 3)
+    return base.select("vec_id", owner.alias("owner"), local.alias("local_slot"))
+
+
+_PLACED = f"{GRAPH}, placed AS (SELECT src AS vec_id, src % 3 AS owner, src // 3 AS local_slot, CAST(8 + 4 * count(*) AS BIGINT) AS record_bytes FROM graph GROUP BY src)"
+
+
+def _placed(base):
+    owner, local = layout.cyclic_owner(F.col("src"), 3)
+    return layout.slab(_graph(base)).select(F.col("src").alias("vec_id"), owner.alias("owner"), local.alias("local_slot"), (8 + 4 * F.col("degree")).alias("record_bytes"))
+
+
+@_query("byte_accounting", f"WITH {_PLACED} SELECT owner, count(*) AS records, CAST(sum(record_bytes) AS BIGINT) AS record_bytes, CAST(16384 + CASE WHEN owner = 0 THEN 4 * (SELECT count(*) FROM embeddings) ELSE 0 END + 8 * (count(*) + 1) + sum(record_bytes) AS BIGINT) AS bytes FROM placed GROUP BY owner")
+def byte_accounting(spark, d):
+    base = _base(spark, d)
+    return layout.byte_accounting(_placed(base), base.count())
+
+
+@_query("offset_prefix_sum", f"WITH {_PLACED} SELECT vec_id, owner, local_slot, CAST(sum(record_bytes) OVER (PARTITION BY owner ORDER BY local_slot) - record_bytes AS BIGINT) AS \"offset\" FROM placed")
+def offset_prefix_sum(spark, d):
+    return layout.prefix_offsets(_placed(_base(spark, d)), "record_bytes").select("vec_id", "owner", "local_slot", "offset")
+
+
+@_query("touched_set", f"WITH {GRAPH}, fresh AS (SELECT vec_id FROM embeddings WHERE vec_id >= 0.9 * (SELECT count(*) FROM embeddings)) SELECT vec_id FROM fresh UNION SELECT dst FROM graph WHERE src IN (SELECT vec_id FROM fresh)")
+def touched_set(spark, d):
+    base = _base(spark, d)
+    return layout.touched(base.where(F.col("vec_id") >= 0.9 * base.count()), _graph(base))
+
+
+@_query("refresh_equals_rebuild", "SELECT CAST(0 AS BIGINT) AS differing")
+def refresh_equals_rebuild(spark, d):
+    """Old records with only the touched ones made anew equal a full rebuild of them."""
+    base, cut = _base(spark, d), _cut(spark)
+    edges = cut(_graph(base))
+    full = layout.slab(edges)
+    t = layout.touched(base.where(F.col("vec_id") >= 0.9 * base.count()), edges).withColumnRenamed("vec_id", "src")
+    after = layout.refreshed(full, layout.slab(edges.join(t, "src", "left_semi")))
+    return full.exceptAll(after).union(after.exceptAll(full)).agg(F.count(F.lit(1)).alias("differing"))
+
+
+@_query("overlap_ratio", f"WITH {GRAPH} SELECT count(*) AS links, CAST(sum(CASE WHEN src // 32 = dst // 32 THEN 1 ELSE 0 END) AS BIGINT) AS inside, sum(CASE WHEN src // 32 = dst // 32 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS overlap FROM graph")
+def overlap_ratio(spark, d):
+    base = _base(spark, d)
+    return layout.overlap_ratio(_graph(base), base.select("vec_id", F.floor(F.col("vec_id") / 32).alias("block")))
+
+
+@_query("index_parse_gate", "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, max(vec_id) + 1 AS next_id, count(*) = count(DISTINCT vec_id) AND count(*) = max(vec_id) + 1 AS valid FROM embeddings")
+def index_parse_gate(spark, d):
+    n, ids, last = F.count(F.lit(1)), F.countDistinct("vec_id"), F.max("vec_id") + 1
+    return _base(spark, d).agg(n.alias("n"), ids.alias("ids"), last.alias("next_id"), ((n == ids) & (n == last)).alias("valid"))
+
+
+# --- workload and routing ---------------------------------------------------------------------------------------
+
+
+@_query("zipf_workload", """WITH p AS (SELECT r AS rank, pow(r::DOUBLE, -1.0) AS w FROM range(1, 101) t(r)), t AS (SELECT rank, CAST(ceil(1000 * w / (SELECT list_sum(list(w ORDER BY rank)) FROM p)) AS BIGINT) AS c FROM p),
+ s AS (SELECT rank, CAST(greatest(0, least(c, 1000 - coalesce(sum(c) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS times FROM t) SELECT * FROM s WHERE times > 0""")
+def zipf_workload(spark, d):
+    return workload.zipf_counts(spark, 100, 1000, 1.0)
+
+
+_CENTROIDS = "cents AS (SELECT vec_id AS c, embedding AS centroid FROM embeddings WHERE vec_id % 100 = 0 AND vec_id < 500)"
+
+
+def _centroids(base):
+    return base.where("vec_id % 100 = 0 and vec_id < 500").select(F.col("vec_id").alias("c"), F.col("embedding").alias("centroid"))
+
+
+@_query("nearest_centroid_route", f"WITH {_CENTROIDS} SELECT e.vec_id, list(c.c ORDER BY {_l2('e.embedding', 'c.centroid')}, c.c) AS destinations FROM embeddings e, cents c GROUP BY e.vec_id")
+def nearest_centroid_route(spark, d):
+    base = _base(spark, d)
+    return workload.nearest_centroid(base, _centroids(base))
+
+
+@_query("kmeans_lloyd_step", f"WITH {_CENTROIDS}, o AS (SELECT e.vec_id, arg_min(c.c, {{'d': {_l2('e.embedding', 'c.centroid')}, 'c': c.c}}) AS c FROM embeddings e, cents c GROUP BY e.vec_id) SELECT c, count(*) AS members FROM o GROUP BY c")
+def kmeans_lloyd_step(spark, d):
+    base = _base(spark, d)
+    owner = workload.nearest_centroid(base, _centroids(base)).select("vec_id", F.element_at("destinations", 1).alias("c"))
+    return owner.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
+
+
+@_query("balanced_route")
+def balanced_route(spark, d):
+    """Greedy routing in order of the query; batches of 200 for each of five nodes, one batch a group."""
+    base = _base(spark, d)
+    order = workload.nearest_centroid(base, _centroids(base)).withColumn("batch", F.floor(F.col("vec_id") / 1000))
+
+    def run(rows):
+        rows = rows.sort_values("vec_id")
+        names = sorted(rows.destinations.iloc[0])
+        to = workload.route([[names.index(c) for c in x] for x in rows.destinations], len(names))
+        return rows[["vec_id"]].assign(node=to)
+
+    return order.groupBy("batch").applyInPandas(run, "vec_id long, node int")
+
+
+# --- statistics and evaluation ----------------------------------------------------------------------------------
+
+
+@_query("latency_quantiles_nearest", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def latency_quantiles_nearest(spark, d):
+    return _events(spark, d).groupBy("event_type").agg(*[stats.nearest_rank("value", q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
+@_query("latency_quantiles_linear", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY event_type")
+def latency_quantiles_linear(spark, d):
+    return _events(spark, d).groupBy("event_type").agg(*[F.round(stats.linear_quantile("value", q), 6).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p999", 0.999))])
+
+
+_LOADS = "loads AS (SELECT user_id, count(*) AS load FROM events GROUP BY user_id)"
+
+
+def _loads(spark, d):
+    return _events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("load"))
+
+
+@_query("load_gini", f"WITH {_LOADS}, r AS (SELECT load, row_number() OVER (ORDER BY load) AS i, count(*) OVER () AS n FROM loads) SELECT round(sum((2 * i - n - 1) * load)::DOUBLE / (max(n) * sum(load)), 9) AS gini FROM r")
+def load_gini(spark, d):
+    return stats.gini(_loads(spark, d), "load").select(F.round("gini", 9).alias("gini"))
+
+
+@_query("jain_fairness", f"WITH {_LOADS} SELECT round(sum(load)::DOUBLE * sum(load) / (count(*) * sum(load * load)), 9) AS jain FROM loads")
+def jain_fairness(spark, d):
+    return _loads(spark, d).select(F.col("load").cast("double").alias("load")).agg(F.round(stats.jain("load"), 9).alias("jain"))
+
+
+_RUNS = "runs AS (SELECT event_type, event_id % 5 AS repeat, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS variant, avg(value) AS qps, count(*) AS queries, max(value) AS slowest FROM events GROUP BY 1, 2, 3)"
+
+
+def _runs(spark, d):
+    e = _events(spark, d).withColumn("repeat", F.col("event_id") % 5).withColumn("variant", F.when(F.col("event_id") % 2 == 0, "A").otherwise("B"))
+    return e.groupBy("event_type", "repeat", "variant").agg(F.avg("value").alias("qps"), F.count(F.lit(1)).alias("queries"), F.max("value").alias("slowest"))
+
+
+@_query("frontier_summary", f"""WITH {_RUNS}, t(df, crit) AS (VALUES {T_VALUES}) SELECT event_type, n, round(mean, 6) AS mean, round(median, 6) AS median, round(CASE WHEN n < 2 THEN 0 ELSE coalesce(crit, 1.96) * s / sqrt(n) END, 6) AS half
+ FROM (SELECT event_type, count(*) AS n, avg(qps) AS mean, median(qps) AS median, stddev_samp(qps) AS s FROM runs GROUP BY event_type) LEFT JOIN t ON df = n - 1""")
+def frontier_summary(spark, d):
+    rows = evaluation.describe(_runs(spark, d), ["event_type"], "qps")
+    return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "half")])
+
+
+@_query("paired_ab", f"WITH {_RUNS} SELECT a.event_type, a.repeat, round(a.qps / b.qps, 6) AS ratio FROM runs a JOIN runs b USING (event_type, repeat) WHERE a.variant = 'A' AND b.variant = 'B'")
+def paired_ab(spark, d):
+    w = _runs(spark, d).groupBy("event_type", "repeat").pivot("variant", ["A", "B"]).agg(F.first("qps"))
+    return w.where("A is not null and B is not null").select("event_type", "repeat", F.round(F.col("A") / F.col("B"), 6).alias("ratio"))
+
+
+@_query("order_stratified", f"WITH {_RUNS} SELECT event_type, CASE WHEN repeat % 2 = 0 THEN 'AB' ELSE 'BA' END AS ordering, round(avg(CASE WHEN variant = 'A' THEN qps END) / avg(CASE WHEN variant = 'B' THEN qps END), 6) AS ratio FROM runs GROUP BY 1, 2")
+def order_stratified(spark, d):
+    r = _runs(spark, d).withColumn("ordering", F.when(F.col("repeat") % 2 == 0, "AB").otherwise("BA"))
+    side = lambda v: F.avg(F.when(F.col("variant") == v, F.col("qps")))
+    return r.groupBy("event_type", "ordering").agg(F.round(side("A") / side("B"), 6).alias("ratio"))
+
+
+@_query("ratio_interval", f"""WITH {_RUNS}, w AS (SELECT event_type, avg(qps) FILTER (variant = 'A') AS ma, stddev_samp(qps) FILTER (variant = 'A') / sqrt(count(*) FILTER (variant = 'A')) AS ea, avg(qps) FILTER (variant = 'B') AS mb, stddev_samp(qps) FILTER (variant = 'B') / sqrt(count(*) FILTER (variant = 'B')) AS eb FROM runs GROUP BY 1)
+ SELECT event_type, round(ma / mb, 6) AS ratio, round(exp(ln(ma / mb) - 2.776 * sqrt(ea * ea / (ma * ma) + eb * eb / (mb * mb))), 6) AS lo, round(exp(ln(ma / mb) + 2.776 * sqrt(ea * ea / (ma * ma) + eb * eb / (mb * mb))), 6) AS hi FROM w""")
+def ratio_interval(spark, d):
+    rows = evaluation.ratio_interval(_runs(spark, d), "event_type", "variant", "qps")
+    return rows.select("event_type", *[F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")])
+
+
+_PAIRED = "pts AS (SELECT event_type AS dataset, user_id % 10 AS ef, event_id % 2 AS side, 0.9 + (user_id % 10) * 0.01 + (event_id % 2) * 0.001 AS recall, avg(value) AS qps, count(*) AS reads FROM events GROUP BY ALL)"
+
+
+@_query("matched_recall_headline", f"""WITH {_PAIRED}, ok AS (SELECT b.dataset, b.ef, least(b.recall, d.recall)::DOUBLE AS recall, round(d.qps / b.qps, 6) AS speedup, round(b.reads / d.reads::DOUBLE, 6) AS reduction FROM pts b JOIN pts d USING (dataset, ef) WHERE b.side = 0 AND d.side = 1 AND abs(b.recall - d.recall) <= 0.002 AND least(b.recall, d.recall) >= 0.9 AND d.qps / b.qps > 1 AND b.reads / d.reads::DOUBLE > 1)
+ SELECT dataset, round(recall, 6) AS recall, speedup, reduction FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY recall DESC, speedup DESC) AS r FROM ok) WHERE r = 1""")
+def matched_recall_headline(spark, d):
+    e = _events(spark, d).select(F.col("event_type").alias("dataset"), (F.col("user_id") % 10).alias("ef"), (F.col("event_id") % 2).alias("side"), "value")
+    recall = 0.9 + F.col("ef") * 0.01 + F.col("side") * 0.001
+    pts = e.groupBy("dataset", "ef", "side").agg(F.avg("value").alias("qps"), F.count(F.lit(1)).alias("reads")).withColumn("recall", recall)
+    pairs = evaluation.matched(pts.where("side = 0"), pts.where("side = 1"), ["dataset", "ef"], 0.002 + 1e-12, 0.9 - 1e-12)
+    return evaluation.headline(pairs, "dataset").select("dataset", *[F.round(c, 6).alias(c) for c in ("recall", "speedup", "reduction")])
+
+
+@_query("design_advisor", f"""WITH {_RUNS}, t(df, crit) AS (VALUES {T_VALUES}), c AS (SELECT event_type AS candidate_id, avg(qps) AS mean, avg(qps) - coalesce(max(crit), 1.96) * stddev_samp(qps) / sqrt(count(*)) AS ci_low, max(slowest) AS top FROM runs, t WHERE df = 9 GROUP BY 1),
+ j AS (SELECT *, CASE WHEN top > (SELECT quantile_disc(value, 1.0) FROM events) - 0.0 THEN NULL END AS rejection FROM c)
+ SELECT candidate_id, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, CAST(rejection AS VARCHAR) AS rejection, row_number() OVER (ORDER BY ci_low DESC, mean DESC, candidate_id) = 1 AS winner FROM j""")
+def design_advisor(spark, d):
+    c = _runs(spark, d).groupBy(F.col("event_type").alias("candidate_id")).agg(F.collect_list("qps").alias("qps_samples"), F.lit(0.95).alias("recall"), F.create_map(F.lit("bytes"), F.max("slowest")).alias("resources"))
+    rows = evaluation.advise(c, 0.9, {"bytes": 1e18})
+    return rows.select("candidate_id", F.round("mean", 6).alias("mean"), F.round("ci_low", 6).alias("ci_low"), F.col("rejection").cast("string").alias("rejection"), "winner")
+
+
+@_query("heldout_validation", f"""WITH {_RUNS}, c AS (SELECT event_type, avg(qps) FILTER (repeat <= 2) AS train, avg(qps) FILTER (repeat > 2) AS test FROM runs GROUP BY 1), p AS (SELECT test AS chosen FROM c ORDER BY train DESC, event_type LIMIT 1)
+ SELECT round(p.chosen / max(c.test), 6) AS ratio FROM c, p GROUP BY p.chosen""")
+def heldout_validation(spark, d):
+    side = lambda w: F.avg(F.when(w, F.col("qps")))
+    c = _runs(spark, d).groupBy("event_type").agg(side(F.col("repeat") <= 2).alias("train"), side(F.col("repeat") > 2).alias("test"))
+    return c.agg(F.round(F.max_by("test", F.struct("train")) / F.max("test"), 6).alias("ratio"))
+
+
+@_query("gate_matrix", f"WITH {_RUNS} SELECT 'matrix' AS \"check\", event_type || '/' || r AS key, 'missing' AS failure FROM (SELECT DISTINCT event_type FROM events), range(6) t(r) WHERE (event_type, r) NOT IN (SELECT event_type, repeat FROM runs)")
+def gate_matrix(spark, d):
+    kinds = _events(spark, d).select("event_type").distinct()
+    expected = kinds.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    return evaluation.complete(expected, _runs(spark, d), ["event_type", "repeat"], "matrix")
+
+
+@_query("protocol_drift", "SELECT 'drift' AS \"check\", event_type AS key, string_agg(DISTINCT k, '|' ORDER BY k) AS failure FROM (SELECT event_type, CAST(user_id % 2 AS VARCHAR) AS k FROM events) GROUP BY event_type HAVING count(DISTINCT k) > 1")
+def protocol_drift(spark, d):
+    return evaluation.drift(_events(spark, d).withColumn("k", F.col("user_id") % 2), ["event_type"], "k", "drift")
+
+
+@_query("geomean", f"WITH {_RUNS} SELECT event_type, round(exp(avg(ln(qps))), 6) AS geomean FROM runs GROUP BY 1")
+def geomean(spark, d):
+    return _runs(spark, d).groupBy("event_type").agg(F.round(stats.geomean("qps"), 6).alias("geomean"))
+
+
+@_query("change_vs_full", f"WITH {_RUNS}, m AS (SELECT event_type, repeat, avg(qps) AS qps FROM runs GROUP BY 1, 2) SELECT event_type, repeat, round(100 * (qps / max(CASE WHEN repeat = 0 THEN qps END) OVER (PARTITION BY event_type) - 1), 6) AS change FROM m")
+def change_vs_full(spark, d):
+    m = _runs(spark, d).groupBy("event_type", "repeat").agg(F.avg("qps").alias("qps"))
+    full = F.max(F.when(F.col("repeat") == 0, F.col("qps"))).over(W.partitionBy("event_type"))
+    return m.select("event_type", "repeat", F.round(100 * (F.col("qps") / full - 1), 6).alias("change"))
+
+
+@_query("pivot_by_label", f"WITH {_RUNS} SELECT event_type, round(avg(CASE WHEN variant = 'A' THEN qps END), 6) AS \"A\", round(avg(CASE WHEN variant = 'B' THEN qps END), 6) AS \"B\" FROM runs GROUP BY 1")
+def pivot_by_label(spark, d):
+    return _runs(spark, d).groupBy("event_type").pivot("variant", ["A", "B"]).agg(F.round(F.avg("qps"), 6))
+
+
+@_query("table_equality", f"WITH {_RUNS} SELECT event_type, 'values' AS difference FROM runs GROUP BY event_type HAVING abs(avg(qps) FILTER (variant = 'A') - avg(qps) FILTER (variant = 'B')) > 1e-9")
+def table_equality(spark, d):
+    m = _runs(spark, d).groupBy("event_type", "variant").agg(F.avg("qps").alias("qps"))
+    return evaluation.tables_differ(m.where("variant = 'A'"), m.where("variant = 'B'"), ["event_type"], ["qps"])
+
+
+@_query("trace_phase_summary", "SELECT event_type AS phase, count(*) AS n, round(avg(value), 6) AS mean, round(100 * sum(value) / sum(sum(value)) OVER (), 6) AS share FROM events GROUP BY event_type")
+def trace_phase_summary(spark, d):
+    g = _events(spark, d).groupBy(F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.sum("value").alias("total"))
+    return g.select("phase", "n", F.round("mean", 6).alias("mean"), F.round(100 * F.col("total") / F.sum("total").over(W.partitionBy()), 6).alias("share"))
+
+
+@_query("monotone_check", "SELECT user_id, count(*) AS falls FROM (SELECT user_id, value < lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fell FROM events) WHERE fell GROUP BY user_id")
+def monotone_check(spark, d):
+    fell = F.col("value") < F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _events(spark, d).withColumn("fell", fell).where("fell").groupBy("user_id").agg(F.count(F.lit(1)).alias("falls"))
+
+
+@_query("latency_cdf", "SELECT event_type, bucket, count(*) AS n FROM (SELECT event_type, CAST(ceil(10 * cume_dist() OVER (PARTITION BY event_type ORDER BY value)) AS BIGINT) AS bucket FROM events) GROUP BY 1, 2")
+def latency_cdf(spark, d):
+    cdf = F.cume_dist().over(W.partitionBy("event_type").orderBy("value"))
+    return _events(spark, d).select("event_type", F.ceil(10 * cdf).alias("bucket")).groupBy("event_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("weighted_recall_qps", f"WITH {_RUNS} SELECT event_type, round(sum(qps * queries) / sum(queries), 6) AS weighted, round(sum(queries) / max(slowest), 6) AS qps FROM runs GROUP BY 1")
+def weighted_recall_qps(spark, d):
+    return _runs(spark, d).groupBy("event_type").agg(F.round(F.sum(F.col("qps") * F.col("queries")) / F.sum("queries"), 6).alias("weighted"), F.round(F.sum("queries") / F.max("slowest"), 6).alias("qps"))
+
+
+@_query("stream_knn", KNN_L2)
+def stream_knn(spark, d):
+    from .streaming.search import stream_knn as run
+
+    base = _base(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecspark-")
+    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    _queries(base).write.parquet(f"{folder}/in")
+    return run(spark, f"{folder}/in", base, f"{folder}/out", f"{folder}/state").select("query_id", "rank", "vec_id", "distance")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -271,8 +272,6 @@ def find_secrets(documents: DataFrame, base: tuple[Rule, ...] = BASE, added: tup
 
 def redactor(rules: tuple[Rule, ...] = BASE + ADDED, mark: str = "<secret>"):
     """A column function that puts `mark` in place of every match; overlapping matches get one mark. Null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def redact(column: pd.Series) -> pd.Series:
         scanner, out = Scanner(rules), []

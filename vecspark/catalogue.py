@@ -269,7 +269,7 @@ def indegree(spark, d):
     return graph.in_degree(base, _graph(base))
 
 
-@_query("hop_distance", f"""WITH RECURSIVE {GRAPH}, reach(vec_id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT g.dst, r.hop + 1 FROM reach r JOIN graph g ON g.src = r.vec_id WHERE r.hop < 40)
+@_query("hop_distance", f"""WITH RECURSIVE {GRAPH}, reach(vec_id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT g.dst, r.hop + 1 FROM reach r JOIN graph g ON g.src = r.vec_id WHERE r.hop < 12)
  SELECT e.vec_id, CAST(min(r.hop) AS INTEGER) AS hop FROM embeddings e LEFT JOIN reach r ON r.vec_id = e.vec_id GROUP BY e.vec_id""")
 def hop_distance(spark, d):
     base, cut = _base(spark, d), _cut(spark)
@@ -364,7 +364,7 @@ def _candidates(base, cut):
     return rows.select(F.col("vec_id").alias("uid"), (8 + 4 * F.pmod("vec_id", F.lit(9)) + 16).alias("record_bytes"), "indegree", (F.pmod("vec_id", F.lit(7)) + 1).alias("live_degree"), "hop")
 
 
-_CANDIDATES = f"""{GRAPH}, reach(vec_id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT g.dst, r.hop + 1 FROM reach r JOIN graph g ON g.src = r.vec_id WHERE r.hop < 40),
+_CANDIDATES = f"""{GRAPH}, reach(vec_id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT g.dst, r.hop + 1 FROM reach r JOIN graph g ON g.src = r.vec_id WHERE r.hop < 12),
  hops AS (SELECT vec_id, min(hop) AS hop FROM reach GROUP BY vec_id),
  deg AS (SELECT e.vec_id, count(g.dst) AS indegree FROM embeddings e LEFT JOIN graph g ON g.dst = e.vec_id GROUP BY e.vec_id),
  cand AS (SELECT vec_id AS uid, 8 + 4 * (vec_id % 9) + 16 AS z, indegree, vec_id % 7 + 1 AS live, hop FROM deg LEFT JOIN hops USING (vec_id))"""

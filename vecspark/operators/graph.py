@@ -34,13 +34,17 @@ def prune(candidates: list[tuple[float, int]], vectors: dict[int, np.ndarray], m
     """
     if len(candidates) < m:
         return [i for _, i in sorted(candidates)]
+    order = sorted(candidates)
+    x = np.stack([vectors[i] for _, i in order])
     chosen: list[int] = []
-    for d, i in sorted(candidates):
-        if all(one_to_many(vectors[i], vectors[s][None], metric)[0] >= d for s in chosen):
-            chosen.append(i)
+    nearest = np.full(len(order), np.inf)  # to any chosen one
+    for at, (d, _) in enumerate(order):
+        if nearest[at] >= d:
+            chosen.append(at)
             if len(chosen) == m:
                 break
-    return chosen
+            nearest = np.minimum(nearest, one_to_many(x[at], x, metric))
+    return [order[at][1] for at in chosen]
 
 
 def candidate_edges(nodes: DataFrame, ef: int, metric: str) -> DataFrame:
@@ -53,16 +57,19 @@ def pruned(edges: DataFrame, nodes: DataFrame, m: int, metric: str) -> DataFrame
     """(src, pos, dst) after pruning every list to m."""
     v = nodes.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("v"))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = dict(zip(rows.dst, (np.asarray(x) for x in rows.v)))
-        kept = prune(list(zip(rows.d, rows.dst)), vectors, m, metric)
-        return pd.DataFrame({"src": rows.src.iloc[0], "pos": range(len(kept)), "dst": kept})
+    def some(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for src, own in rows.groupby("src"):
+            vectors = dict(zip(own.dst, map(np.asarray, own.v)))
+            out += [(src, pos, dst) for pos, dst in enumerate(prune(list(zip(own.d, own.dst)), vectors, m, metric))]
+        return pd.DataFrame(out, columns=["src", "pos", "dst"])
 
-    return edges.join(v, "dst").groupBy("src").applyInPandas(one, "src long, pos int, dst long")
+    # lists are short, so a group takes many nodes
+    return edges.join(v, "dst").groupBy(F.floor(F.col("src") / 512).alias("nodes")).applyInPandas(some, "src long, pos int, dst long")
 
 
 def build_level(nodes: DataFrame, m: int, m_max: int, ef: int, metric: str) -> DataFrame:
-    candidates = candidate_edges(nodes, ef, metric)
+    candidates = candidate_edges(nodes, ef, metric).persist()
     forward = pruned(candidates, nodes, m, metric).join(candidates, ["src", "dst"]).select("src", "dst", "d")
     both = forward.union(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d")).dropDuplicates(["src", "dst"])
     return pruned(both, nodes, m_max, metric)

@@ -15,7 +15,7 @@ regions of the next level: the pairs of shingles that two sets share first and s
 all their pairs at once.
 
 Sets are not moved with the regions: these carry a fingerprint, a size and a position. Sets of candidates are made from
-the texts again and meet pair by pair. Sizes (5 a >= 4 b) and positions bound the overlap before. All decisions are made
+the texts again and meet pair by pair, first as sketches that bound their difference from below. Sizes (5 a >= 4 b) and positions bound the overlap before. All decisions are made
 on integers: 100 |A and B| >= 80 |A or B|. Shingles are 64-bit hashes.
 """
 
@@ -33,7 +33,7 @@ from .common import shingle_hashes, shuffle_partitions, to_signed, words_by_row,
 from .components import connected_components
 
 #: Regions of so many members compare all their pairs.
-SMALL = 8
+SMALL = 16
 #: In larger ones, the so many members with the fewest rarer shingles are pivots: those most like the others.
 PIVOTS = 3
 #: Boundary regions of more members go on to regions of two shingles; in others the groups are compared at once.
@@ -251,18 +251,40 @@ def _stream(batches: Iterator[pa.RecordBatch], groups: bool) -> Iterator[pa.Reco
     yield from state.sent()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's elements by their low bits, about one byte an element."""
+    slices = 1 << (len(s).bit_length() - 1)
+    return np.minimum(np.bincount((s & np.uint64(slices - 1)).astype(np.int64), minlength=slices), 255).astype(np.uint8).tobytes()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray, sketch: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slot = batch.column(1).to_numpy()
         batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
         if not batch.num_rows:
             continue
-        c, s = [], []
+        c, s, n = [], [], []
         for _, words in words_by_row(batch.column(0)):
             h = shingle_hashes(words, width)
-            c.append(xxhash.xxh3_128_intdigest(h.tobytes()) >> 64)
-            s.append(h.tobytes())
-        yield pa.record_batch({"c": to_signed(np.array(c, np.uint64)), "s": pa.array(s, pa.binary())})
+            if len(h):
+                c.append(xxhash.xxh3_128_intdigest(h.tobytes()) >> 64)
+                s.append(_sketch(h) if sketch else h.tobytes())
+                n.append(len(h))
+        yield pa.record_batch({"c": to_signed(np.array(c, np.uint64)), "s": pa.array(s, pa.binary()), "n": pa.array(n, pa.int32())})
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets differ in as many elements as their sketches do, or more: which pairs may still link, and how far they are."""
+    for batch in batches:
+        na, nb = batch.column(4).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
+        apart = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int32) for v in (x, y))
+            least = min(len(x), len(y))
+            x, y = x.reshape(-1, least).sum(0), y.reshape(-1, least).sum(0)
+            apart.append(int(np.abs(x - y).sum()))
+        ub = (na + nb - np.array(apart, np.int64)) // 2
+        yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "maybe": _within(na, nb, ub), "distance": _distance_bound(na, nb, ub)})
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,18 +312,24 @@ def _bitmap(ids: DataFrame, slots: int) -> np.ndarray:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b, linked, distance) of pairs of fingerprints, from whole sets."""
+    """(a, b, linked, distance) of pairs of fingerprints; the distance of a pair that does not link may be a lower bound."""
     pairs = written(pairs.select("a", "b").distinct(), "jaccard-candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select(F.col("f1").alias("c"), "doc_id"), "c")
     ids = written(ids.select("doc_id").distinct(), "jaccard-asked")
     slots = 1 << min(27, max(20, (16 * ids.count()).bit_length()))
     bits = _bitmap(ids, slots)
     asked = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"), "doc_id").where("doc_id is not null")
-    sets = asked.select("text", "slot").mapInArrow(lambda it: _sets(it, width, bits), "c long, s binary")
-    sets = sets.dropDuplicates(["c"])
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    found = both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, linked boolean, distance double")
-    return written(found, "jaccard-verified")
+
+    def joined(pairs: DataFrame, sketch: bool) -> DataFrame:
+        sets = asked.select("text", "slot").mapInArrow(lambda it: _sets(it, width, bits, sketch), "c long, s binary, n int").dropDuplicates(["c"])
+        one, two = (sets.select(F.col("c").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb")
+
+    # sketches first: whole sets move only for pairs that these cannot tell apart
+    bounded = written(joined(pairs, True).mapInArrow(_bounds, "a long, b long, maybe boolean, distance double"), "jaccard-bounded")
+    found = joined(bounded.where("maybe").select("a", "b"), False).mapInArrow(_overlaps, "a long, b long, linked boolean, distance double")
+    rest = bounded.where("not maybe").select("a", "b", F.lit(False).alias("linked"), "distance")
+    return written(found.union(rest), "jaccard-verified")
 
 
 def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:

@@ -22,7 +22,7 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to str.split(), none to the toke
 class WordEncoder:
     """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers; null is empty."""
 
-    def __init__(self, path: str, most_words: int = 1_500_000, most_chars: int = 1 << 24):
+    def __init__(self, path: str, most_words: int = 1_000_000, most_chars: int = 1 << 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -183,6 +183,35 @@ def _spool(batches: Iterator[pa.RecordBatch], path: str, end: int, folder: str)
         yield pa.record_batch({"shard": np.full(1, shard, np.int32), "file": [name], "ids": pa.array([at.tolist()], pa.list_(pa.int64())), "counts": pa.array([total[at].tolist()], pa.list_(pa.int64()))})
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the summed counts of all rows, if there are any."""
+    total, any_row = np.zeros(0, np.int64), False
+    for batch in batches:
+        for ids, counts in zip(batch.column(0), batch.column(1)):
+            n = np.zeros(max(len(total), int(ids.values.to_numpy()[-1]) + 1), np.int64)
+            n[: len(total)] = total
+            n[ids.values.to_numpy()] += counts.values.to_numpy()
+            total, any_row = n, True
+    if any_row:
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"ids": pa.array([at.tolist()], pa.list_(pa.int64())), "counts": pa.array([total[at].tolist()], pa.list_(pa.int64()))})
+
+
+def _corpus_counts(spools: DataFrame, fan_in: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their counts over all shards, added by a tree of tasks that read about `fan_in` shards' lists each.
+
+    The driver gets one row, at most as long as the vocabulary.
+    """
+    lists, n = spools.select("ids", "counts"), spools.count()
+    while n > 1:
+        n = -(-n // fan_in)
+        lists = lists.repartition(n).mapInArrow(_added, "ids array<long>, counts array<long>")
+    row = lists.toArrow()
+    if not len(row):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.array(row["ids"][0].as_py(), np.int64), np.array(row["counts"][0].as_py(), np.int64)
+
+
 def _spooled(store: fs.FileSystem, path: str) -> Iterator[tuple[list[int | None], list[int], np.ndarray]]:
     with store.open_input_stream(path) as file:
         while head := file.read(16):
@@ -229,9 +258,8 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
     ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     spec = "shard int, file string, ids array<long>, counts array<long>"
     spools = written(ordered.mapInArrow(lambda it: _spool(it, vocabulary, end_id, folder), spec), "rans-spools")
-    counts = spools.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy(F.col("x.ids").alias("id")).agg(F.sum("x.counts").alias("n"))
-    counts = counts.orderBy("id").toArrow()  # at most a row for each id of the vocabulary
-    table = Table(counts["id"].to_numpy(), scaled_frequencies(counts["n"].to_numpy()))
+    ids, counts = _corpus_counts(spools)
+    table = Table(ids, scaled_frequencies(counts))
     data = table.to_bytes()
     crc = zlib.crc32(data)
     store, root = _open(folder)

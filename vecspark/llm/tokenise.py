@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, compress, count
+from operator import not_
 
 import numpy as np
 
@@ -30,40 +31,81 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
         self.most_words, self.most_chars, self.chars = most_words, most_chars, 0
         one, two, both = self._library(["x", "y", "x y"])
         self.drops_space = one + two == both
         upper, lower = self._library(["XQ", "xq"])
         self.folds = upper == lower
+        self.starts = None  # by id: does the token start with a space? Known of byte-level tokenizers, which write it so
+        if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel":
+            names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+            self.starts = np.array([bool(t) and t[0] == "\u0120" for t in names])
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each start with their only space: one text for the library, cut at the ids that start with a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.starts[ids]) * 4
+        if len(cuts) != len(words) or cuts[0]:
+            return self._library(words)
+        data, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
+        return [data[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _learn(self, fresh: list[str]) -> None:
+        for encode, words in ((self._spaced, [w for w in fresh if w[0] == " "]), (self._library, [w for w in fresh if w[0] != " "])):
+            if encode == self._spaced and self.starts is None:
+                encode = self._library
+            for at in range(0, len(words), 4096):
+                part = words[at : at + 4096]
+                self.memo.update(zip(part, encode(part)))
+
     def _words(self, text: str) -> list[str] | None:
-        """Words to look up; None for a text to be cut with care."""
+        """Words to look up, possibly with empty ones; None for a text to be cut with care."""
         if self.drops_space:
             if any(c in text for c in _SEPARATORS):
                 return None
             return (text.encode().lower().decode() if self.folds else text).split()
         if text[0] == " " or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text:
             return None
-        if any(c in text for c in "\t\r\x0b\x0c\x85\xa0\u3000\u2028\u2029"):
+        if any(c in text for c in "\0\t\r\x0b\x0c\x85\xa0\u3000\u2028\u2029"):
             return None
         if not text.isascii() and _ODD_SPACE.search(text):
             return None
-        return _lines(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _careful(self, text: str) -> bytes:
         return b"".join(self._library([text] if self.drops_space else _SAFE_CUT.split(text)))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], most: int = 1 << 21) -> list[bytes]:
+        """Texts are taken together up to about `most` characters; a longer one comes alone."""
+        out, part, chars = [], [], 0
+        for text in texts:
+            if part and chars + len(text or "") > most:
+                out += self._encode(part)
+                part, chars = [], 0
+            part.append(text)
+            chars += len(text or "")
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t) if t else [] for t in texts]
-        fresh = list(set(chain.from_iterable(w for w in split if w)).difference(self.memo))
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            self.memo.update(zip(part, self._library(part)))
-        out = [self._careful(t) if w is None else b"".join(map(self.memo.__getitem__, w)) for t, w in zip(texts, split)]
+        flat = list(chain.from_iterable(w for w in split if w))
+        ids = list(map(self.memo.get, flat))
+        fresh = list(set(compress(flat, map(not_, ids))) - {""})
+        if fresh:
+            self._learn(fresh)
+            for i in compress(count(), map(not_, ids)):
+                ids[i] = self.memo[flat[i]]
+        out, at = [], 0
+        for text, words in zip(texts, split):
+            if words is None:
+                out.append(self._careful(text))
+            else:
+                out.append(b"".join(ids[at : at + len(words)]))
+                at += len(words)
         size = sum(map(len, fresh))
         if len(self.memo) > self.most_words or self.chars + size > self.most_chars:
             for w in fresh:  # full: what came first, and so comes often, stays
@@ -73,19 +115,6 @@ class WordEncoder:
         return out
 
 
-def _lines(text: str) -> list[str]:
-    """Words of lines that are parted by one or two line ends."""
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        if line:
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += map(" ".__add__, rest)
-    return out
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, shuffle_partitions, to_signed, words_by_row, written
+from .common import drop_written, shingle_hashes, shuffle_partitions, to_signed, words_by_row, written
 from .components import connected_components
 
 #: Regions of so many members compare all their pairs.
@@ -40,8 +40,9 @@ PIVOTS = 3
 DEEP = 4096
 #: The order knows by their counts the so many most frequent shingles; of all others it takes the hash.
 FREQUENT = 1 << 20
-#: A shingle counts as frequent if one in so many documents has it.
-ONE_IN = 1000
+#: A task counts the shingles that so many different texts of a block of BLOCK have.
+REPEATED = 3
+BLOCK = 8192
 
 
 def prefix_length(n: int) -> int:
@@ -50,20 +51,24 @@ def prefix_length(n: int) -> int:
 
 
 def _local_counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    held, docs = [], 0
+    held, seen = [], set()
 
     def flush():
         h, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= max(4, docs // ONE_IN)
+        often = n >= REPEATED
         return pa.record_batch({"h": to_signed(h[often]), "n": n[often].astype(np.int64)})
 
     for batch in batches:
         for _, words in words_by_row(batch.column(0)):
-            held.append(shingle_hashes(words, width))
-            docs += 1
-            if docs % 8192 == 0:
+            s = shingle_hashes(words, width)
+            f = xxhash.xxh3_64_intdigest(s.tobytes())
+            if f in seen:
+                continue  # exact copies are sent once
+            seen.add(f)
+            held.append(s)
+            if len(held) == BLOCK:
                 yield flush()
-                held, docs = [], 0
+                held, seen = [], set()
     if held:
         yield flush()
 
@@ -329,7 +334,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     bounded = written(joined(pairs, True).mapInArrow(_bounds, "a long, b long, maybe boolean, distance double"), "jaccard-bounded")
     found = joined(bounded.where("maybe").select("a", "b"), False).mapInArrow(_overlaps, "a long, b long, linked boolean, distance double")
     rest = bounded.where("not maybe").select("a", "b", F.lit(False).alias("linked"), "distance")
-    return written(found.union(rest), "jaccard-verified")
+    verified = written(found.union(rest), "jaccard-verified")
+    for done in (pairs, ids, bounded):
+        drop_written(done)
+    return verified
 
 
 def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -363,13 +371,15 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # large regions of several groups: the members of others than the pivot's, and those of its ball that these may reach
     group = labels.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("c", F.coalesce("component", "doc_id").alias("g"))
-    members = written(first.where("kind = 1").select("h", F.col("a").alias("c"), F.col("b").alias("p"), "n", "pos", "least").join(group, "c"), "jaccard-members")
-    several = members.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h")
-    m, d = members.join(several, "h").alias("m"), checked.alias("d")
+    large = written(first.where("kind = 1").select("h", F.col("a").alias("c"), F.col("b").alias("p"), "n", "pos", "least").join(group, "c"), "jaccard-members")
+    drop_written(first)
+    several = large.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h")
+    m, d = large.join(several, "h").alias("m"), checked.alias("d")
     on = (F.least("m.c", "m.p") == F.col("d.a")) & (F.greatest("m.c", "m.p") == F.col("d.b"))
     inside = (F.col("m.c") == F.col("m.p")) | F.coalesce("d.linked", F.lit(False))
     far = F.when(F.col("m.c") == F.col("m.p"), 0.0).otherwise(F.coalesce("d.distance", "m.least"))
     members = written(m.join(d, on, "left").select("m.h", "m.c", "m.p", "m.g", "m.n", "m.pos", inside.alias("inside"), far.alias("far")), "jaccard-members")
+    drop_written(large)
     home = members.where("c = p").select("h", F.col("g").alias("home")).distinct()
     nearest = members.join(home, "h").where("g <> home").groupBy("h").agg(F.min("far").alias("nearest"))
     members = members.join(nearest, "h").where("not inside or far >= nearest - 0.2 - 1e-9")

@@ -319,3 +319,14 @@ def test_pipeline(spark, tmp_path):
     for _, stage in p.STAGES:
         nothing = stage(spark, nothing, "")
     assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_odd_texts(name):
+    draw = random.Random(3)
+    parts = ["a", "B", "é", "1", "'s", "x.", " ", "  ", "\n", "\n\n", "\t", "\x00", "\x1c", "Ġ", "\xa0", "​", "᠎", "<|endoftext|>", "日本", "-"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(3000)] + [None, "", "word " * 5000 + "end"]
+    mine = tokenise.WordEncoder(tok.path(name))
+    want = [np.array(e.ids, "<u4").tobytes() for e in mine.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert mine.encode(texts, most=100) == want
+    assert mine.encode(texts) == want

@@ -330,3 +330,30 @@ def test_encoder_equals_the_library_on_odd_texts(name):
     want = [np.array(e.ids, "<u4").tobytes() for e in mine.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     assert mine.encode(texts, most=100) == want
     assert mine.encode(texts) == want
+
+
+@pytest.mark.parametrize("n", [2000, 12000])
+def test_embedding_links_are_those_of_brute_force_in_a_cluster_below_the_threshold(n):
+    rng = np.random.Generator(np.random.PCG64(12))
+    x = rng.standard_normal((n, 64)) + 2 * rng.standard_normal(64)  # mutual cosine about 0.8
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((200, 64))
+    side -= (side * unit[:200]).sum(1, keepdims=True) * unit[:200]
+    x[-200:] = 0.902 * unit[:200] + np.sqrt(1 - 0.902**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for lo in range(0, n, 500) for i, j in zip(*np.nonzero(unit[lo : lo + 500] @ unit.T >= 0.9)) for i in [i + lo] if i < j}
+    ids, half = np.arange(n), n // 2
+    one, two = (ids[:half], x[:half]), (ids[half:], x[half:])
+    got = [embed_dedup.links((ids, x), None, 0.9)]
+    assert len(got[0][0]) == len(want) and set(zip(*map(np.ndarray.tolist, got[0]))) == want
+    parts = [embed_dedup.links(one, None, 0.9), embed_dedup.links(one, two, 0.9), embed_dedup.links(two, None, 0.9)]
+    assert {p for a, b in parts for p in zip(a.tolist(), b.tolist())} == want
+
+
+def test_embedding_links_between_blocks(spark):
+    rng = np.random.Generator(np.random.PCG64(13))
+    x = rng.standard_normal((300, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.6)) if i < j}
+    assert {tuple(r) for r in embed_dedup.near_pairs(df, 0.6, window=16, block=40).collect()} == want

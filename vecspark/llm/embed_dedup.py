@@ -1,13 +1,10 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors: blocks in sorted projection order, every pair of rows decided.
 
-Every pass hashes a vector by the signs of random projections, concatenates these bits and orders all vectors
-lexicographically by them. Vectors at a small angle share long prefixes and so stand near each other; each is
-compared with its next `window` neighbours by the exact cosine. Pairs found in any pass are united.
-
-The order is global: positions come from counts by hash prefix, and blocks of consecutive positions are handed to
-tasks, each with the `window` rows that follow. A block has a fixed number of rows however many vectors share a prefix.
-Where a whole window links, the run is denser than the window: its rows are then compared with all rows of the
-run, block against block, so a dense group loses no link.
+Rows of one length are dealt into blocks, and every block meets every block, itself included. In a block the rows are
+ordered by the signs of random projections, so that vectors at a small angle stand near each other; each `window` of
+consecutive rows has a cone (its mean direction and the largest angle to it). Two windows whose cones lie farther apart
+than the linking angle hold no link and are skipped; all others are compared row by row by the exact cosine. No link is
+lost at any number of rows or density; only work depends on them, and without clusters it grows with the square of the rows.
 """
 
 from __future__ import annotations
@@ -15,9 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .common import written
 from .components import connected_components
@@ -44,102 +39,87 @@ def _exact(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)) >= least
 
 
-def near_pairs(vectors: DataFrame, least: float = 0.9, passes: int = 10, bits: int = 24, window: int = 128, block: int = 1024, seed: int = 11) -> DataFrame:
-    """(a, b), a < b: distinct pairs of vec_id with cosine >= least that some pass brings within a window.
+def _order(unit: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
+    """Rows in the order of their projection signs, read as a number."""
+    planes = np.random.Generator(np.random.PCG64([seed, unit.shape[1]])).standard_normal((unit.shape[1], bits))
+    return np.argsort((unit @ planes > 0) @ (1 << np.arange(bits)[::-1]), kind="stable")
+
+
+def _cones(unit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Direction of each window of rows and the largest angle of its rows to it."""
+    starts = np.arange(0, len(unit), window)
+    centre = np.add.reduceat(unit, starts, axis=0)
+    centre /= np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-300)
+    own = np.repeat(centre, np.diff(np.append(starts, len(unit))), axis=0)
+    return centre, np.maximum.reduceat(np.arccos(np.clip((unit * own).sum(1), -1, 1)), starts)
+
+
+def links(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray] | None, least: float, bits: int = 24, window: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (a, b), a < b, of all pairs of rows between the blocks (ids, vectors) x and y, or within x, with cosine >= least."""
+
+    def prepared(block):
+        ids, raw = block
+        unit = _unit(raw)
+        order = _order(unit, bits)
+        return ids[order], raw[order], unit[order], *_cones(unit[order], window)
+
+    ia, ra, ua, ca, wa = prepared(x)
+    ib, rb, ub, cb, wb = (ia, ra, ua, ca, wa) if y is None else prepared(y)
+    apart = np.arccos(np.clip(ca @ cb.T, -1, 1)) - wa[:, None] - wb[None, :]
+    meet = apart <= np.arccos(np.clip(least, -1, 1)) + 1e-6  # slack for rounding of near angles
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for k, row in enumerate(meet):
+        lo = k * window
+        at = np.flatnonzero(np.repeat(row, window)[: len(ib)])
+        if y is None:
+            at = at[at >= lo]
+        if not len(at):
+            continue
+        i, j = _linked(ua[lo : lo + window], ub if len(at) == len(ub) else ub[at], least)
+        i, j = i + lo, at[j]
+        keep = (ia[i] != ib[j]) & ((j > i) if y is None else True)
+        i, j = i[keep], j[keep]
+        keep = _exact(ra[i], rb[j], least)
+        i, j = ia[i[keep]], ib[j[keep]]
+        found.append((np.minimum(i, j), np.maximum(i, j)))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def near_pairs(vectors: DataFrame, least: float = 0.9, bits: int = 24, window: int = 128, block: int = 16384) -> DataFrame:
+    """(a, b), a < b: distinct pairs of vec_id with cosine >= least, all of them.
 
     vectors: (vec_id, v) as of usable(). Vectors of different lengths never link. Repeated rows of one vec_id count as one
     vector if equal; a pair needs two ids. Empty input gives no pairs.
     """
-    vectors = written(vectors.dropDuplicates(["vec_id", "v"]), "near-vectors")
-
-    @pandas_udf("array<long>")
-    def keys(v: pd.Series) -> pd.Series:
-        out = []
-        for n, rows in v.groupby(v.map(len), sort=False):
-            x = _unit(np.array(rows.tolist(), float))
-            planes = np.random.Generator(np.random.PCG64([seed, n])).standard_normal((n, passes * bits))
-            signs = (x @ planes > 0).reshape(len(x), passes, bits)
-            out.append(pd.Series(list((signs << np.arange(bits)[::-1]).sum(2)), index=rows.index))
-        return pd.concat(out).reindex(v.index) if out else v
-
-    hashed = vectors.withColumn("d", F.size("v")).select("vec_id", "v", "d", F.posexplode(keys("v")).alias("p", "h"))
-    hashed = hashed.select("d", "p", "h", "vec_id", "v")
-    # global positions in each pass: counts by the first bits of the hash, then the order within such a prefix
-    fine = max(0, bits - 10)
-    sliced = hashed.withColumn("s", F.shiftright("h", fine)).withColumn("z", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    # equal hashes have no order of their own: z, a hash of the id, orders them and splits long runs of them
-    counts = sliced.groupBy("d", "p", "h", "z").agg(F.count(F.lit(1)).alias("n"))
-    by_slice = counts.withColumn("s", F.shiftright("h", fine)).groupBy("d", "p", "s").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("d", "p").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    by_slice = by_slice.select("d", "p", "s", before.alias("base"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("d", "p", "s").orderBy("h", "z").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("s", F.shiftright("h", fine)).withColumn("inside", inside).join(by_slice, ["d", "p", "s"])
-    starts = starts.select("d", "p", "h", "z", (F.col("base") + F.col("inside")).alias("start"))
-    local = F.row_number().over(W.partitionBy("d", "p", "h", "z").orderBy("vec_id")) - 1
-    placed = sliced.withColumn("local", local).join(starts, ["d", "p", "h", "z"])
-    placed = placed.select("d", "p", (F.col("start") + F.col("local")).alias("pos"), "vec_id", "v")
-    home = F.floor(F.col("pos") / block)
-    # the rows that follow a block within a window belong to it too, as neighbours only
-    spread = F.when((F.pmod("pos", F.lit(block)) < window) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    dealt = placed.withColumn("blk", F.explode(spread)).withColumn("own", home == F.col("blk"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        raw = np.array(rows.v.tolist(), float)
-        unit, ids, own = _unit(raw), rows.vec_id.to_numpy(), int(rows.own.sum())
-        found_a, found_b = [], []
-        for lo in range(0, own, 256):
-            hi = min(own, lo + 256)
-            i, j = _linked(unit[lo:hi], unit[lo + 1 : hi + window], least)
-            i, j = i + lo, j + lo + 1
-            keep = (j > i) & (j - i <= window) & (ids[i] != ids[j])
-            found_a.append(i[keep])
-            found_b.append(j[keep])
-        i, j = np.concatenate(found_a or [np.empty(0, int)]), np.concatenate(found_b or [np.empty(0, int)])
-        keep = _exact(raw[i], raw[j], least)
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
-
-    pairs = dealt.groupBy("d", "p", "blk").applyInPandas(compare, "a long, b long")
-    return written(pairs.distinct(), "near-pairs")
+    vectors = vectors.dropDuplicates(["vec_id", "v"]).withColumn("d", F.size("v"))
+    vectors = written(vectors, "near-vectors")
+    blocks = vectors.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = vectors.join(F.broadcast(blocks), "d").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
 
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(rows.v.tolist(), np.float64)
+        return pd.DataFrame({"d": rows.d.iloc[:1], "blk": rows.blk.iloc[:1], "blocks": rows.blocks.iloc[:1], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "data": [v.tobytes()]})
 
-def dense_pairs(vectors: DataFrame, pairs: DataFrame, least: float, window: int, block: int = 1024) -> DataFrame:
-    """The links a window cannot hold: in components of more rows than a window, all rows are compared block by block."""
-    labels = written(connected_components(pairs), "near-labels")
-    large = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > window)
-    members = labels.join(large, "component").select("component", "size", F.col("node").alias("vec_id"))
-    members = members.join(vectors, "vec_id").withColumn("blocks", F.ceil(F.col("size") / block))
-    members = members.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    dealt = members.withColumn("o", other).select("component", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), (F.col("blk") <= F.col("o")).alias("first"), (F.col("blk") == F.col("o")).alias("same"), "vec_id", "v")
+    packed = written(dealt.groupBy("d", "blk").applyInPandas(pack, "d int, blk long, blocks long, ids binary, data binary"), "near-blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = packed.withColumn("o", other).select("d", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "ids", "data")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        same = bool(rows.same.iloc[0])
-        one, two = (rows, rows) if same else (rows[rows["first"]], rows[~rows["first"]])
-        if not len(one) or not len(two):
+        sides = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.data, np.float64).reshape(-1, int(r.d))) for r in rows.itertuples()]
+        if len(sides) < 2 and rows.x.iloc[0] != rows.y.iloc[0]:  # the other block got no rows
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ra, rb = np.array(one.v.tolist(), float), np.array(two.v.tolist(), float)
-        ia, ib = one.vec_id.to_numpy(), two.vec_id.to_numpy()
-        i, j = _linked(_unit(ra), _unit(rb), least)
-        keep = ia[i] < ib[j] if same else ia[i] != ib[j]
-        i, j = i[keep], j[keep]
-        keep = _exact(ra[i], rb[j], least)
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j])})
+        a, b = links(sides[0], sides[1] if len(sides) > 1 else None, least, bits, window)
+        return pd.DataFrame({"a": a, "b": b})
 
-    return dealt.groupBy("component", "x", "y").applyInPandas(compare, "a long, b long")
+    return written(met.groupBy("d", "x", "y").applyInPandas(compare, "a long, b long").distinct(), "near-pairs")
 
 
-def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int = 10, bits: int = 24, window: int = 128) -> DataFrame:
+def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, bits: int = 24, window: int = 128) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row with an id; rows that cannot link stand alone and are kept.
 
     Repeated rows of a vec_id give one result row each, with the links of the id. A row without an id is left out.
     """
-    usable_rows = usable(vectors, id_col, vector_col)
-    pairs = near_pairs(usable_rows, least, passes, bits, window)
-    more = dense_pairs(usable_rows.dropDuplicates(["vec_id", "v"]), pairs, least, window)
-    pairs = written(pairs.union(more).distinct(), "near-links")
+    pairs = near_pairs(usable(vectors, id_col, vector_col), least, bits, window)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_links"))
     labels = connected_components(pairs).select(F.col("node").alias("vec_id"), "component")
     ids = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"))

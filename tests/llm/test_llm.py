@@ -357,3 +357,30 @@ def test_embedding_links_between_blocks(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.6)) if i < j}
     assert {tuple(r) for r in embed_dedup.near_pairs(df, 0.6, window=16, block=40).collect()} == want
+
+
+def test_lm_tells_words_of_a_shared_class_apart(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(6000)]
+    weight = [1 / (k + 1) for k in range(6000)]
+    rows = [(i, " ".join(rng.choices(words, weight, k=300))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"junk{i}x{k}" for k in range(60))) for i in range(5)] + [(2000 + i, " ".join(f"w{rng.randrange(700, 890)}" for _ in range(60))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["mean_log_prob"] for r in lm_score.score(docs).collect()}
+    assert max(got[1000 + i] for i in range(5)) < min(got[2000 + i] for i in range(5)) < max(got[i] for i in range(300))
+    for common in (0, 2000):  # where shares come from does not matter
+        monkeypatch.setattr(lm_score, "COMMON", common)
+        again = {r["doc_id"]: r["mean_log_prob"] for r in lm_score.score(docs).collect()}
+        assert all(abs(again[i] - got[i]) < 1e-3 for i in got)
+
+
+def test_lm_shares_and_unseen_words_fill_a_class():
+    words = np.arange(1, 5001, dtype=np.uint64)
+    n = np.arange(1, 5001)
+    v = lm_score.Vocabulary(words[:0])
+    np.add.at(v.totals, v.classes(words), n)
+    v.keep_common(words, n)
+    share, known = v.common_shares(words)
+    assert known.all() and not v.common_shares(words + np.uint64(9000))[1].any()
+    sums = np.bincount(v.classes(words), np.exp(share), lm_score.VOCABULARY)[lm_score.OWN : -1]
+    assert np.allclose(sums, 1 - 1 / (v.totals[lm_score.OWN : -1] + 1))

@@ -4,7 +4,10 @@ The network sees the two words before and the two after a position, not the word
 of the four places, summed and squashed, and a softmax in two steps over VOCABULARY classes (a group, then a class in
 it). A document's score is the sum of log probabilities of all its words, each predicted from both sides.
 
-Words are counted over the whole corpus; the most frequent have classes of their own, all others share hash classes.
+Words are counted over the whole corpus; the most frequent have classes of their own, all others share hash classes. A
+word of a shared class has the class's probability times its own share of the class's count, of which one more is kept
+for unseen words: the vocabulary is that of the corpus. Shares of the COMMON most frequent words go to every task, those
+of all others are joined by the word.
 Training is data-parallel: every partition runs stochastic gradient steps from the same start over positions of all its
 documents, and the partitions' parameters are averaged by positions, slice by slice on the executors.
 """
@@ -17,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mix64, to_signed, words_by_row, written
@@ -29,6 +33,8 @@ WIDTH = 32
 SIDE = 2
 #: Every so many positions of a document are trained on, from a place that follows from the document.
 STRIDE = 24
+#: Words whose shares are broadcast, at most; where they come from does not change a score.
+COMMON = 1 << 18
 BATCH = 1024
 RATE = 0.5
 
@@ -56,6 +62,25 @@ class Vocabulary:
         """hashes: the most frequent words, the first most frequent."""
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order.astype(np.int32)
+        self.totals = np.zeros(VOCABULARY)  # words of the corpus by shared class
+        self.common, self.common_share = np.empty(0, np.uint64), np.empty(0)
+
+    def share(self, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log share of words of a count in their class; 0 for those with a class of their own."""
+        c = self.classes(words)
+        return np.where(c < OWN, 0.0, np.log(np.maximum(n, 1) / (self.totals[c] + 1)))
+
+    def keep_common(self, words: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.common, self.common_share = words[order], self.share(words[order], n[order])
+
+    def common_shares(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log shares, and which of the words are common at all."""
+        if not len(self.common):
+            return np.zeros(len(words)), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        known = self.common[at] == words
+        return np.where(known, self.common_share[at], 0.0), known
 
     def classes(self, words: np.ndarray) -> np.ndarray:
         shared = OWN + (mix64(words) % np.uint64(VOCABULARY - 1 - OWN)).astype(np.int32)
@@ -164,46 +189,77 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
 def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarray) -> Iterator[pa.RecordBatch]:
     net = Network(p)
     for batch in batches:
-        n, total, held, size = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [], 0
+        n, total, held, size, rare = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [], 0, []
 
         def flush():
-            rows = np.concatenate([np.full(len(c), r) for r, _, c in held])
-            got = net.log_prob(np.concatenate([x for _, x, _ in held], 1), np.concatenate([c for *_, c in held]))
-            np.add.at(total, rows, got.astype(np.float64))
+            rows = np.concatenate([np.full(len(c), r) for r, _, c, _ in held])
+            c, words = np.concatenate([c for *_, c, _ in held]), np.concatenate([w for *_, w in held])
+            np.add.at(total, rows, net.log_prob(np.concatenate([x for _, x, *_ in held], 1), c).astype(np.float64))
+            shared = c >= OWN
+            rows, words = rows[shared], words[shared]
+            got, known = vocabulary.common_shares(words)
+            np.add.at(total, rows, got)
+            rare.append((rows[~known], words[~known]))
 
         for row, words in words_by_row(batch.column(1)):
             n[row] = len(words)
             if len(words):
                 c = vocabulary.classes(words)
-                held.append((row, _contexts(c), c))
+                held.append((row, _contexts(c), c, words))
                 size += len(words)
             if size >= 1 << 14:
                 flush()
                 held, size = [], 0
         if held:
             flush()
-        mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-        yield pa.record_batch({"doc_id": batch.column(0), "n_words": n, "log_prob": total, "mean_log_prob": mean})
+        rows = np.concatenate([r for r, _ in rare] or [np.empty(0, np.int64)])
+        words = np.concatenate([w for _, w in rare] or [np.empty(0, np.uint64)])
+        cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+        rest = pa.ListArray.from_arrays(pa.array(cuts), pa.array(to_signed(words)))
+        yield pa.record_batch({"doc_id": batch.column(0), "n_words": n, "log_prob": total, "rest": rest})
 
 
-def fit(texts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and parameters from all texts; a corpus without words gives an untrained network."""
+def _class_totals(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(VOCABULARY, np.int64)
+    for batch in batches:
+        np.add.at(total, vocabulary.classes(batch["h"].to_numpy().view(np.uint64)), batch["n"].to_numpy())
+    at = np.flatnonzero(total)
+    yield pa.record_batch({"c": at.astype(np.int32), "n": total[at]})
+
+
+def _shares(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Log shares of the words that are neither common nor of a class of their own."""
+    for batch in batches:
+        words, n = batch["h"].to_numpy().view(np.uint64), batch["n"].to_numpy()
+        rare = ~vocabulary.common_shares(words)[1] & (vocabulary.classes(words) >= OWN)
+        yield pa.record_batch({"h": to_signed(words[rare]), "share": vocabulary.share(words[rare], n[rare])})
+
+
+def fit(texts: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """Vocabulary, parameters and (h, n) of all words from all texts; a corpus without words gives an untrained network."""
     spark = texts.sparkSession
     counts = written(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
     top = counts.orderBy(F.desc("n"), "h").limit(OWN).toArrow()
-    own = counts.agg(F.sum("n")).first()[0] or 0
     vocabulary = Vocabulary(top["h"].to_numpy().view(np.uint64))
     n = np.zeros(VOCABULARY)
     n[: len(top)] = top["n"].to_numpy()
-    n[OWN : VOCABULARY - 1] = (own - n.sum()) / (VOCABULARY - 1 - OWN)
+    by_class = counts.mapInArrow(lambda it: _class_totals(it, vocabulary), "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    for r in by_class.where(F.col("c") >= OWN).collect():  # at most 128 rows
+        n[r["c"]] = vocabulary.totals[r["c"]] = r["n"]
+    # the least count of the common words, from the number of words by count
+    above = F.sum("words").over(W.orderBy(F.desc("n")))
+    least = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).select("n", above.alias("above")).where(F.col("above") <= COMMON).agg(F.min("n")).first()[0]
+    if least is not None:
+        common = counts.where(F.col("n") >= least).toArrow()
+        vocabulary.keep_common(common["h"].to_numpy().view(np.uint64), common["n"].to_numpy())
     start = Network(counts=n).p
     slice_size = 1 << 12
-    shared = spark.sparkContext.broadcast((vocabulary, start))  # VOCABULARY words and Network.SIZE floats
+    shared = spark.sparkContext.broadcast((vocabulary, start))  # VOCABULARY + COMMON words and Network.SIZE floats
     parts = texts.mapInArrow(lambda it: _train(it, *shared.value, slice_size), "slice int, part int, n double, v binary")
     spec = "slice int, n double, v binary"
     some = parts.groupBy("slice", "part").applyInPandas(lambda x: _average(x), spec)
     whole = written(some.groupBy("slice").applyInPandas(lambda x: _average(x), spec), "lm-parameters").orderBy("slice").toArrow()
-    return vocabulary, np.frombuffer(b"".join(whole["v"].to_pylist()), np.float32) if len(whole) else start
+    return vocabulary, np.frombuffer(b"".join(whole["v"].to_pylist()), np.float32) if len(whole) else start, counts
 
 
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,5 +268,13 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null or empty text has no words and a score of 0. Words are runs of other than ASCII white space, A-Z as a-z.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = documents.sparkSession.sparkContext.broadcast(fit(docs.select("text")))
-    return docs.mapInArrow(lambda it: _score(it, *model.value), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    vocabulary, p, counts = fit(docs.select("text"))
+    model = documents.sparkSession.sparkContext.broadcast((vocabulary, p))
+    scored = docs.mapInArrow(lambda it: _score(it, *model.value), "doc_id long, n_words long, log_prob double, rest array<long>")
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    shares = counts.mapInArrow(lambda it: _shares(it, model.value[0]), "h long, share double")
+    rare = scored.select("row", F.explode("rest").alias("h")).join(shares, "h").groupBy("row").agg(F.sum("share").alias("share"))
+    done = scored.select("row", "doc_id", "n_words", "log_prob").join(rare, "row", "left")
+    total = F.col("log_prob") + F.coalesce("share", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(0.0)
+    return done.select("doc_id", "n_words", total.alias("log_prob"), mean.alias("mean_log_prob"))

@@ -384,3 +384,12 @@ def test_lm_shares_and_unseen_words_fill_a_class():
     assert known.all() and not v.common_shares(words + np.uint64(9000))[1].any()
     sums = np.bincount(v.classes(words), np.exp(share), lm_score.VOCABULARY)[lm_score.OWN : -1]
     assert np.allclose(sums, 1 - 1 / (v.totals[lm_score.OWN : -1] + 1))
+
+
+def test_lm_trains_on_every_position(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score.Network, "step", lambda self, x, y, rate: seen.append((len(y), rate)))
+    texts = ["a b c", None, " ".join(f"w{k}" for k in range(5000)), "d"]
+    out = list(lm_score._train(iter([pa.record_batch({"text": pa.array(texts)})]), lm_score.Vocabulary(np.empty(0, np.uint64)), lm_score.Network().p, 1 << 12))
+    assert sum(n for n, _ in seen) == 5004 and max(n for n, _ in seen) == lm_score.BATCH and set(out[0]["n"].to_pylist()) == {5004.0}
+    assert all(rate == lm_score.RATE * n / lm_score.BATCH for n, rate in seen)

@@ -8,7 +8,7 @@ Words are counted over the whole corpus; the most frequent have classes of their
 word of a shared class has the class's probability times its own share of the class's count, of which one more is kept
 for unseen words: the vocabulary is that of the corpus. Shares of the COMMON most frequent words go to every task, those
 of all others are joined by the word.
-Training is data-parallel: every partition runs stochastic gradient steps from the same start over positions of all its
+Training is data-parallel: every partition runs stochastic gradient steps from the same start over all positions of its
 documents, and the partitions' parameters are averaged by positions, slice by slice on the executors.
 """
 
@@ -31,8 +31,6 @@ VOCABULARY = GROUPS * GROUPS
 OWN = VOCABULARY - 129
 WIDTH = 32
 SIDE = 2
-#: Every so many positions of a document are trained on, from a place that follows from the document.
-STRIDE = 24
 #: Words whose shares are broadcast, at most; where they come from does not change a score.
 COMMON = 1 << 18
 BATCH = 1024
@@ -150,7 +148,10 @@ class Network:
         self.b1 -= pace * d1.sum(0)
         dh *= (1 - h * h) * np.float32(rate * 20 / n)
         for k in range(2 * SIDE):
-            np.subtract.at(self.embed[k], context[k], dh)
+            order = np.argsort(context[k], kind="stable")
+            of = context[k][order]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            self.embed[k][of[starts]] -= np.add.reduceat(dh[order], starts, axis=0)
 
 
 def _contexts(classes: np.ndarray) -> np.ndarray:
@@ -161,20 +162,29 @@ def _contexts(classes: np.ndarray) -> np.ndarray:
 
 def _train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, start: np.ndarray, slice_size: int) -> Iterator[pa.RecordBatch]:
     net, held, size, total, tag = Network(start.copy()), [], 0, 0, 0
+
+    def steps(least: int):
+        """Steps over what is held, BATCH positions each, until fewer than `least` are left."""
+        nonlocal held, size, total
+        x, y = np.concatenate([x for x, _ in held], 1), np.concatenate([y for _, y in held])
+        at = 0
+        while size and size >= least:
+            n = min(BATCH, size)
+            net.step(x[:, at : at + n], y[at : at + n], RATE * n / BATCH)
+            at, size, total = at + n, size - n, total + n
+        held = [(x[:, at:], y[at:])]
+
     for batch in batches:
         for _, words in words_by_row(batch.column(0)):
             if len(words):
                 c = vocabulary.classes(words)
-                at = np.arange(int(words[0] % np.uint64(min(STRIDE, len(words)))), len(words), STRIDE)
                 tag ^= int(words[-1])
-                held.append((_contexts(c)[:, at], c[at]))
-                size += len(at)
+                held.append((_contexts(c), c))
+                size += len(c)
             if size >= BATCH:
-                net.step(np.concatenate([x for x, _ in held], 1), np.concatenate([y for _, y in held]), RATE)
-                held, total, size = [], total + size, 0
+                steps(BATCH)
     if size:
-        net.step(np.concatenate([x for x, _ in held], 1), np.concatenate([y for _, y in held]), RATE * size / BATCH)
-        total += size
+        steps(1)
     if total:
         cuts = range(0, Network.SIZE, slice_size)
         yield pa.record_batch({"slice": np.arange(len(cuts), dtype=np.int32), "part": np.full(len(cuts), tag % 64, np.int32), "n": np.full(len(cuts), float(total)), "v": pa.array([net.p[c : c + slice_size].tobytes() for c in cuts], pa.binary())})

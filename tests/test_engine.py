@@ -203,3 +203,13 @@ def test_catalogue_runs(spark):
     assert entry.entry(spark).count() == 500
     for name in ("exact_knn_ip", "sq4_encode", "budget_select_hop", "gate_matrix", "stream_knn"):
         entry.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_exact_search_forms_agree_on_many_copies(spark, points, metric):
+    x = np.concatenate((points, np.repeat(points[5:6], 400, axis=0), points))
+    x = x[np.random.Generator(np.random.PCG64(9)).permutation(len(x))]
+    base = table(spark, x).repartition(3)
+    q = base.where("vec_id < 40")
+    want = sorted(map(tuple, exact.knn(q, base, 5, metric).collect()))
+    assert sorted(map(tuple, exact.knn_blocks(q, base, 5, metric).collect())) == want

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.distance import METRICS, pairwise
+from ..functions.distance import METRICS, in_order, pairwise
 
 
 def _pairs(queries: DataFrame, base: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2") ->
 
 
 def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", most_queries: int = 100_000) -> DataFrame:
-    """The same in two phases: a partial top k of each block of vectors by matrix product, whose candidates are scored
-    by l2()/ip() and merged. The query block goes to every task, so its size is checked; larger sets use knn()."""
+    """The same in two phases: a partial top k of each block of vectors, merged by l2()/ip(). A matrix product finds all
+    rows within its rounding of the k-th distance, of which the first k by (distance, vec_id) go on. The query block goes to every task, so its size is checked; larger sets use knn()."""
     rows = queries.select("vec_id", "embedding").limit(most_queries + 1).toPandas()
     if len(rows) > most_queries:
         return knn(queries, base, k, metric)
@@ -40,16 +40,26 @@ def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "
         return knn(queries, base, k, metric)
     ids, q = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), np.float32)
     shared = base.sparkSession.sparkContext.broadcast((ids, q))
-    spare = 4  # candidates beyond k against the rounding of the matrix product
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         for b in batches:
-            d = pairwise(q, np.array(b.embedding.tolist(), np.float32), metric)
-            n = min(k + spare, len(b))
-            at = np.argpartition(d, n - 1, axis=1)[:, :n]
-            flat = at.ravel()
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "q": [q[i] for i in np.repeat(np.arange(len(q)), n)], "vec_id": b.vec_id.to_numpy()[flat], "embedding": b.embedding.to_numpy()[flat]})
+            if not len(b):
+                continue
+            x, names = np.array(b.embedding.tolist(), np.float32), b.vec_id.to_numpy()
+            d, n = pairwise(q, x, metric), min(k, len(b))
+            edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+            length = np.sqrt((x.astype(np.float64) ** 2).sum(1).max()) + np.sqrt((q.astype(np.float64) ** 2).sum(1))
+            edge = edge + 1e-13 * x.shape[1] * (1 + length * length)
+            at = []
+            for i in range(len(q)):
+                near = np.flatnonzero(~(d[i] > edge[i]))
+                if len(near) > n:  # rows at the edge: by the distance itself, and equal ones by id
+                    near = near[np.lexsort((names[near], in_order(q[i], x[near], metric)))[:n]]
+                at.append(near)
+            flat = np.concatenate(at)
+            of = np.repeat(np.arange(len(q)), [len(a) for a in at])
+            yield pd.DataFrame({"query_id": ids[of], "q": [q[i] for i in of], "vec_id": names[flat], "embedding": b.embedding.to_numpy()[flat]})
 
     spec = "query_id long, q array<float>, vec_id long, embedding array<float>"
     found = base.select("vec_id", "embedding").mapInPandas(partial, spec)

@@ -393,3 +393,7 @@ def test_lm_trains_on_every_position(monkeypatch):
     out = list(lm_score._train(iter([pa.record_batch({"text": pa.array(texts)})]), lm_score.Vocabulary(np.empty(0, np.uint64)), lm_score.Network().p, 1 << 12))
     assert sum(n for n, _ in seen) == 5004 and max(n for n, _ in seen) == lm_score.BATCH and set(out[0]["n"].to_pylist()) == {5004.0}
     assert all(rate == lm_score.RATE * n / lm_score.BATCH for n, rate in seen)
+
+
+def test_packing_takes_the_shortest_pack():
+    assert sorted(packing.shortest_pack_first({7: 1, 6: 1, 5: 1, 3: 1}, 10)) == [((5, 3), 1), ((6,), 1), ((7,), 1)]

@@ -1,8 +1,8 @@
 """Packing documents into sequences by shortest-pack-first over the histogram of lengths.
 
 A document's ids are cut into pieces: whole sequences of `size` ids, and a rest. Only the histogram of the rests' lengths
-(at most size - 1 bins) is packed: lengths are placed longest first into the partly filled pattern with the least room
-that still takes them; patterns are counted, not made one by one, so the work depends on the number of bins alone.
+(at most size - 1 bins) is packed: lengths are placed longest first into the shortest partly filled pattern, the one with
+the most room, if it takes them; patterns are counted, not made one by one, so the work depends on the number of bins alone.
 Patterns are then joined back to pieces by rank: the pieces of a length are numbered, and each pattern owns ranges of
 numbers. Ranks come from counts by (length, hash bucket), so a length that a third of all pieces have is no hot key.
 """
@@ -30,7 +30,7 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tup
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            free = min((r for r in room if r >= length and room[r]), default=None)
+            free = max((r for r in room if r >= length and room[r]), default=None)
             if free is None:
                 patterns, source = left, None
             else:

@@ -397,3 +397,18 @@ def test_lm_trains_on_every_position(monkeypatch):
 
 def test_packing_takes_the_shortest_pack():
     assert sorted(packing.shortest_pack_first({7: 1, 6: 1, 5: 1, 3: 1}, 10)) == [((5, 3), 1), ((6,), 1), ((7,), 1)]
+
+
+def test_language_id_rejects_gibberish_and_an_unlearned_language(spark):
+    rng = random.Random(8)
+    sound = {"en": "the and ing tion sh th er on".split(), "de": "der ung sch ei ö ch en ge".split(), "fi": "kk ää yö ll uu ij hy vä".split()}
+    say = lambda lang, n: " ".join("".join(rng.choices(sound[lang], k=rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, say(lang, rng.choice([1, 3, 10, 40, 200])), lang) for i, lang in enumerate(rng.choices(["en", "de"], k=600))]
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (100, 400, 2000) for _ in range(30)]
+    odd += ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (100, 400, 2000) for _ in range(30)]
+    odd += [say("fi", n) for n in (20, 80, 300) for _ in range(30)]
+    odd += ["".join(rng.choice("theandigsorucö   ") for _ in range(n)) for n in (400, 2000) for _ in range(30)]  # of learned letters
+    docs = spark.createDataFrame(rows + [(10_000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert all(got[10_000 + i]["rejected"] for i in range(len(odd)))
+    assert sum(got[i]["rejected"] for i, *_ in rows) <= 0.02 * len(rows)

@@ -3,6 +3,7 @@
 Texts become vectors of hashed letter trigrams (1 + log of the count, times the inverse document frequency, at unit
 length). Each language's sample is clustered by spherical k-means into several centroids; a text takes the language of
 the centroid at the highest cosine and is rejected where even that one is farther than the language's own texts lie.
+Cosines rise with the length of a text, so this is calibrated by length, on the sample's texts and their beginnings.
 
 The fit reads at most SAMPLE rows of a language, and SAMPLE_ALL rows in all, drawn by a hash of the id: a bound that holds
 for any corpus. It runs on the driver in numpy. Prediction is one pass over whole texts without a shuffle.
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 SAMPLE, SAMPLE_ALL = 400, 8000
 DIMENSIONS = 4096
 CENTROIDS = 4
-#: A text is rejected below this share of the lowest cosine in the language's sample.
-REJECT_SHARE = 0.3
+#: A text is rejected below REJECT_SHARE of this quantile of the cosines of the language's sample at like lengths.
+REJECT_QUANTILE, REJECT_SHARE = 0.005, 0.9
+#: Lengths are told apart by the power of two of the number of trigrams, up to this power.
+LENGTHS = 12
 UNKNOWN = "und"
 
 _TABLE: list[np.ndarray] = []
@@ -65,21 +68,39 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # unit rows
     owner: np.ndarray  # language of each centroid
-    least: np.ndarray  # by language, cosine below which a text is rejected
+    least: np.ndarray  # by language and length, cosine below which a text is rejected
 
-    def vectors(self, texts) -> np.ndarray:
-        x = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for row, text in zip(x, texts):
+    def vectors(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Unit rows, and the power of two of each text's number of trigrams."""
+        x, size = np.zeros((len(texts), DIMENSIONS), np.float32), np.ones(len(texts))
+        for i, text in enumerate(texts):
             at, n = counts(text)
-            row[at] = (1 + np.log(n)) * self.idf[at]
+            x[i, at] = (1 + np.log(n)) * self.idf[at]
+            size[i] = max(1, n.sum())
         norm = np.sqrt((x * x).sum(1, keepdims=True))
-        return np.divide(x, norm, out=x, where=norm > 0)
+        return np.divide(x, norm, out=x, where=norm > 0), np.minimum(np.log2(size).astype(int), LENGTHS - 1)
+
+    def calibrate(self, language: int, texts: list[str], centroids: np.ndarray) -> None:
+        """Sets the language's row of least by its texts, whole and cut to each length."""
+        found = [[] for _ in range(LENGTHS)]
+        for cut in [None, *(3 << k for k in range(LENGTHS - 1))]:
+            some = texts if cut is None else [t[:cut] for t in texts if len(t) > cut]
+            if some:
+                x, length = self.vectors(some)
+                best = (x @ centroids.T).max(1)
+                for k in range(LENGTHS):
+                    found[k].append(best[(length == k) & x.any(1)])
+        low = 0.0
+        for k, cosines in enumerate(map(np.concatenate, found)):
+            if len(cosines):
+                low = REJECT_SHARE * np.quantile(cosines, REJECT_QUANTILE)
+            self.least[language, k] = low
 
     def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, cosines in 0..1 and rejections."""
         if not len(texts):
             return [], np.empty(0), np.empty(0, bool)
-        x = self.vectors(texts)
+        x, length = self.vectors(texts)
         some = x.any(1)
         if not len(self.centroids):
             return [UNKNOWN] * len(x), np.zeros(len(x)), np.ones(len(x), bool)
@@ -88,7 +109,7 @@ class Model:
         score = np.clip(cos[np.arange(len(x)), best], 0, 1).astype(float)
         language = self.owner[best]
         said = [self.languages[k] if s else UNKNOWN for k, s in zip(language, some)]
-        return said, np.where(some, score, 0.0), ~some | (score < self.least[language])
+        return said, np.where(some, score, 0.0), ~some | (score < self.least[language, length])
 
 
 def _clusters(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
@@ -117,26 +138,27 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ALL // 20).collect()
     most = min(SAMPLE, SAMPLE_ALL // max(1, len(sizes)))
     if not sizes:
-        return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)))
     # a language's share that gives fewer than `most` rows in expectation, then the bound itself
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 0.8 * most / r["n"]) if r["n"] > most else 1.0)])
     drawn = rows.where(draw < F.try_element_at(rate, F.col("lang")) * (1 << 30)).select("lang", "doc_id", "text").limit(SAMPLE_ALL + SAMPLE).toPandas()
     drawn = drawn.sort_values(["lang", "doc_id"]).groupby("lang").head(most)
     languages = sorted(drawn.lang.unique())
-    model = Model(languages, np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(len(languages)))
+    model = Model(languages, np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((len(languages), LENGTHS)))
     seen = np.zeros(DIMENSIONS)
     for text in drawn.text:
         seen[counts(text)[0]] += 1
     model.idf = (np.log((1 + len(drawn)) / (1 + seen)) + 1).astype(np.float32)
     found, owner = [], []
     for k, language in enumerate(languages):
-        x = model.vectors(drawn.text[drawn.lang == language].tolist())
+        texts = drawn.text[drawn.lang == language].tolist()
+        x, _ = model.vectors(texts)
         x = x[x.any(1)]
         if len(x):
             c = _clusters(x, CENTROIDS)
             found.append(c)
             owner += [k] * len(c)
-            model.least[k] = REJECT_SHARE * (x @ c.T).max(1).min()
+            model.calibrate(k, texts, c)
     if found:
         model.centroids, model.owner = np.concatenate(found).astype(np.float32), np.array(owner)
     return model

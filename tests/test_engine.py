@@ -213,3 +213,10 @@ def test_exact_search_forms_agree_on_many_copies(spark, points, metric):
     q = base.where("vec_id < 40")
     want = sorted(map(tuple, exact.knn(q, base, 5, metric).collect()))
     assert sorted(map(tuple, exact.knn_blocks(q, base, 5, metric).collect())) == want
+
+
+def test_searches_without_sql_ask_for_a_share_of_the_table(spark, points, tmp_path):
+    from vecspark import catalogue
+
+    table(spark, points).withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalogue.ann_recall(spark, str(tmp_path)).first()["queries"] == 6

@@ -22,9 +22,12 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset, a temporary one."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one if the session
+    is local, and an error if it is not: executors do not share their own folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="vecspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -72,29 +75,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 # --- words of a batch of texts as 64-bit hashes -----------------------------------------------------------------
 
-_SEED = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _SEED.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash like a-z
-_BASE = 0x9E3779B97F4A7C15 | 1
-_LANE = _SEED.integers(0, 2**64, 5, dtype=np.uint64) | np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        with np.errstate(over="ignore"):
-            up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
-            up[0] = down[0] = 1
-            up[1:], down[1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            np.multiply.accumulate(up, out=up)
-            np.multiply.accumulate(down, out=down)
-        if size <= 1 << 22:
-            _POWERS[size] = up, down
-        return up, down
-    return _POWERS[size]
+_LANE = np.random.Generator(np.random.PCG64(20240611)).integers(0, 2**64, 5, dtype=np.uint64) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -105,19 +92,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of the spans of some bytes: each eight bytes are mixed with their place in the span, then added.
+
+    Mixing is not linear, so spans that differ do not meet for any rule in their bytes, as they can in a polynomial.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(padded) - 7, "<u8", padded.data, 0, (1,))
+    length = (end - start).astype(np.int64)
+    with np.errstate(over="ignore"):
+        total = length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key = lambda k: (np.asarray(k, np.uint64) + np.uint64(seed << 32)) * _STEP
+        total += mix64((eights[start] & _KEEP[np.minimum(length, 8)]) + key(0))
+        left, k = np.flatnonzero(length > 8), 1
+        while len(left) and k < 32:
+            total[left] += mix64((eights[start[left] + 8 * k] & _KEEP[np.minimum(length[left] - 8 * k, 8)]) + key(k))
+            k += 1
+            left = left[length[left] > 8 * k]
+        for i in left:  # long ones alone, all their places at once
+            at = np.arange(k, -(-length[i] // 8))
+            total[i] += mix64((eights[start[i] + 8 * at] & _KEEP[np.minimum(length[i] - 8 * at, 8)]) + key(at)).sum(dtype=np.uint64)
+    return mix64(total)
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start of every word of UTF-8 bytes, A-Z taken as a-z; linear, without a loop over words."""
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    """64-bit hash and start of every word of UTF-8 bytes, A-Z taken as a-z, without a loop over words."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start
-    up, down = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-        h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
-    return mix64(h), start
+    return span_hashes(_LOWER[data], start, end), start
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

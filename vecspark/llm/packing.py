@@ -4,7 +4,8 @@ A document's ids are cut into pieces: whole sequences of `size` ids, and a rest.
 (at most size - 1 bins) is packed: lengths are placed longest first into the shortest partly filled pattern, the one with
 the most room, if it takes them; patterns are counted, not made one by one, so the work depends on the number of bins alone.
 Patterns are then joined back to pieces by rank: the pieces of a length are numbered, and each pattern owns ranges of
-numbers. Ranks come from counts by (length, hash bucket), so a length that a third of all pieces have is no hot key.
+numbers. Ranks come from counts by (length, hash bucket), so a length that a third of all pieces have is no hot key;
+the number of buckets grows with the pieces.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import unique_rows_rank, written
 from .tokenise import encoder
 
 SIZE = 1024
+#: Pieces of one bucket of ranks, about, in large corpora.
+BUCKET_PIECES = 1 << 18
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -53,7 +56,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, size: int) -
     closing = end.to_bytes(4, "little")
     for batch in batches:
         doc, start, length, crc, total = [], [], [], [], []
-        for d, data in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist())):
+        for d, data in zip(batch.column(0).to_pylist(), encoder(path).encode_column(batch.column(1))):
             data += closing
             n = len(data) // 4
             for s in range(0, n, size):
@@ -106,6 +109,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, size: int = SIZE, i
     pieces = written(docs.mapInArrow(lambda it: _pieces(it, vocabulary, end_id, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     segments = _segments(shortest_pack_first(histogram, size))
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(256)))
+    buckets = max(256, sum(histogram.values()) // BUCKET_PIECES)
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     ranked = unique_rows_rank(bucketed, ["length"], "bucket", ["doc_id", "start", "ids_crc32", "doc_tokens"], "rank")
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(lambda it: _place(it, segments), _PLACED)

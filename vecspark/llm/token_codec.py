@@ -169,7 +169,7 @@ def _spool(batches: Iterator[pa.RecordBatch], path: str, end: int, folder: str)
             parts.clear()
 
         for batch in batches:
-            for d, data in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist())):
+            for d, data in zip(batch.column(0).to_pylist(), encoder(path).encode_column(batch.column(1))):
                 any_row = True
                 ids.append(d)
                 parts.append(data + closing)
@@ -251,11 +251,13 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
     """Encodes every text, closes it with end_id and writes shards in ascending order of the id to `folder`.
 
     Returns the manifest, one row for each block. A null text is empty; a null id sorts first; documents of one id
-    stand together in the order of their texts. No documents: a table, no blocks.
+    stand together in the order of their texts' hashes, by which an id that many have is split over tasks. Further
+    columns are left out. No documents: a table, no blocks.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     spec = "shard int, file string, ids array<long>, counts array<long>"
     spools = written(ordered.mapInArrow(lambda it: _spool(it, vocabulary, end_id, folder), spec), "rans-spools")
     ids, counts = _corpus_counts(spools)
@@ -275,6 +277,23 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
     return manifest
 
 
+def read_footer(data: bytes) -> np.ndarray:
+    """The checkpoints at the end of a shard's bytes: with them and the table alone any block can be decoded."""
+    at, crc = struct.unpack("<QI", data[-16:-4])
+    footer = data[at:-16]
+    if data[:4] != b"RTOK" or data[-4:] != b"KOTR" or zlib.crc32(footer) != crc:
+        raise ValueError("damaged footer")
+    return np.frombuffer(footer, CHECKPOINT, struct.unpack_from("<I", footer)[0], 4)
+
+
+def read_block(data: bytes, point: np.void, table: Table) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """One block of a shard's bytes by its checkpoint, checked."""
+    block = data[int(point["offset"]) : int(point["offset"]) + int(point["length"])]
+    if zlib.crc32(block) != int(point["crc"]):
+        raise ValueError("damaged block")
+    return unpack_block(block, table)
+
+
 def _decode(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     store, root = _open(folder)
     tables: dict[int, Table] = {}

@@ -2,11 +2,12 @@
 
 Each source is a queue of its documents in shuffled order, served at a rate in proportion to its target. A document's
 virtual finish time is the source's words up to its end divided by the source's target; a second round through a
-source follows its first. All documents are sorted by finish time over the whole mix and the mix is cut at the total
-budget, which is virtual time 1. Documents in service at the cut give the words served until then.
+source follows its first. A document of more than PACKET words is served in packets, each with a finish time of its own, so that a
+long one does not carry its source past the target. The packets of both rounds are range-sorted by finish time over the whole
+mix, and the mix is cut where its words reach the total budget; of the packet at the cut only the words before it are taken.
 
 Only DataFrame operations. Positions inside a source come from sums by (source, shuffle bucket), positions in the mix
-from sums by slices of virtual time; the mix has equally many words in every slice, so nothing is skewed by sources.
+from sums by the partitions of the range sort, which hold about as many documents each whatever the sources.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, written
+from .common import shuffle_partitions, written
 
-#: A document's shuffled place: the MD5 of its id and this word; its first three digits name the bucket.
+#: A document's shuffled place: the MD5 of its id and this word; its first digits, three or more, name the bucket.
 SALT = "mix"
+#: Documents of a bucket, about, in large corpora.
+BUCKET_DOCUMENTS = 1 << 18
+#: Words of a packet.
+PACKET = 128
 
 
 def word_count(text: Column) -> Column:
@@ -47,10 +52,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def queue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, ahead): ahead is the words of the source's queue before the document."""
+    """(row, doc_id, source, size, source_size, target, ahead, place): ahead is the words of the source's queue before the document."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.lit(SALT)))
-    docs = written(docs.withColumn("place", place).withColumn("bucket", F.substring("place", 1, 3)), "mix-sizes")
+    docs = written(docs.withColumn("place", place).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    digits, most = 3, BUCKET_DOCUMENTS << 12
+    while docs.count() > most:
+        digits, most = digits + 1, most << 4
+    docs = docs.withColumn("bucket", F.substring("place", 1, digits))
     in_bucket = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = in_bucket.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
@@ -59,37 +68,49 @@ def queue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = docs.withColumn("inside", F.coalesce(F.sum("size").over(local), F.lit(0))).alias("d")
     placed = placed.join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
     placed = placed.join(sources.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    return placed.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", (F.col("d.inside") + F.col("s.base")).alias("ahead"), "d.place")
+    return placed.select("d.row", "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", (F.col("d.inside") + F.col("s.base")).alias("ahead"), "d.place")
 
 
-def _served(round_: int) -> Column:
-    """Words of the document that its source's service gives in the round (0 or 1) before virtual time 1."""
-    until = F.round("target").cast("long") - F.col("ahead") - F.col("source_size") * round_
-    return F.greatest(F.lit(0), F.least(F.col("size"), until))
+#: The global order of the mix.
+_ORDER = ("finish", "no_source", "source", "place", "doc_id", "round", "packet", "length")
 
 
-def mix(documents: DataFrame, slices: int = 1024, **options) -> DataFrame:
-    """The mix itself, a row for each time a document is taken: doc_id, source, round, size, words, finish, position.
-
-    finish: virtual finish time; position: words of the mix before it, in order of finish time. Words is below size for
-    the documents in service at the cut. Documents without words are in no mix.
-    """
+def _entries(documents: DataFrame, **options) -> DataFrame:
+    """The packets of each document, twice, for two rounds, with finish time, the words of the mix before and those taken."""
+    spark = documents.sparkSession
     queued = queue(documents, **options)
-    rounds = F.explode(F.array(*[F.struct(F.lit(k).alias("round"), _served(k).alias("words")) for k in (0, 1)]))
-    taken = queued.withColumn("r", rounds).select("*", "r.round", "r.words").drop("r").where("words > 0")
-    finish = (F.col("ahead") + F.col("size") + F.col("source_size") * F.col("round")) / F.col("target")
-    taken = written(taken.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(slices))), "mix-taken")
-    sums = taken.groupBy("slice").agg(F.sum("words").alias("n"))  # at most slices + 1 rows
-    sums = sums.select("slice", F.coalesce(F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = W.partitionBy("slice").orderBy("finish", "source", "place", "doc_id", "round").rowsBetween(W.unboundedPreceding, -1)
-    placed = taken.withColumn("inside", F.coalesce(F.sum("words").over(local), F.lit(0))).join(sums, "slice")
-    return placed.select("doc_id", "source", "round", "size", "words", "finish", (F.col("inside") + F.col("base")).alias("position"), "place")
+    last = F.greatest(F.lit(0), F.ceil(F.col("size") / PACKET) - 1)
+    entries = queued.withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    entries = entries.withColumn("length", F.least(F.lit(PACKET), F.col("size") - PACKET * F.col("packet")))
+    entries = entries.withColumn("round", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("no_source", F.col("source").isNull())
+    end = F.col("ahead") + PACKET * F.col("packet") + F.col("length") + F.col("source_size") * F.col("round")
+    entries = entries.withColumn("finish", F.coalesce(F.try_divide(end.cast("double"), F.col("target")), F.lit(0.0)))
+    ranged = entries.repartitionByRange(shuffle_partitions(spark), *_ORDER).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "mix-ranged")
+    sums = ranged.groupBy("part").agg(F.sum("length").alias("n"))  # a row a partition
+    sums = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    budget = ranged.groupBy("source").agg(F.first("target").alias("t")).agg(F.floor(F.coalesce(F.sum("t"), F.lit(0.0)) + 1e-3).cast("long").alias("budget"))
+    local = W.partitionBy("part").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("length").over(local), F.lit(0))).join(F.broadcast(sums), "part").crossJoin(F.broadcast(budget))
+    placed = placed.withColumn("position", F.col("inside") + F.col("base"))
+    return placed.withColumn("words", F.greatest(F.lit(0), F.least(F.col("length"), F.col("budget") - F.col("position"))))
+
+
+def mix(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself, a row for each packet taken: doc_id, source, round, packet, size, words, finish, position.
+
+    A document is taken once for each of its rows of packet 0. finish: virtual finish time; position: words of the mix
+    before it, in order of finish time. Documents without words are in no mix.
+    """
+    return _entries(documents, **options).where("words > 0").select("doc_id", "source", "round", "packet", "size", "words", "finish", "position", "place")
 
 
 def mix_shares(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row for each row of documents.
 
     taken: words the mix takes of it over both rounds; at most twice its size. A null text has no words. Rows that
-    repeat an id are documents of their own. Without documents, or words, nothing is taken.
+    repeat an id, or have none, are documents of their own. A source without words has target 0. Further columns are
+    left out. Without documents, or words, nothing is taken.
     """
-    return queue(documents, **options).select("doc_id", "size", "source_size", "target", (_served(0) + _served(1)).alias("taken"))
+    some = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    return _entries(documents, **options).groupBy("row").agg(*some, F.sum("words").alias("taken")).drop("row")

@@ -122,10 +122,17 @@ targets AS (SELECT source, source_size, coalesce(least(cap, f.level * w), cap) A
 queue AS (
   SELECT d.*, t.source_size, t.target,
     CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - ahead))
-     + greatest(0, least(size, CAST(round(target) AS BIGINT) - ahead - source_size)) AS BIGINT) AS taken FROM queue
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+packets AS (SELECT *, unnest(range(0, greatest(1, (size + 127) // 128))) AS packet FROM queue),
+entries AS (
+  SELECT q.*, r AS round, least(128, size - 128 * packet) AS length,
+    coalesce(CAST(ahead + 128 * packet + least(128, size - 128 * packet) + source_size * r AS DOUBLE) / CASE WHEN target > 0 THEN target END, 0) AS finish
+  FROM packets q, (VALUES (0), (1)) t(r)),
+placed AS (
+  SELECT *, coalesce(sum(length) OVER (ORDER BY finish, source IS NULL, source, place, doc_id, round, packet, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM entries),
+budget AS (SELECT CAST(floor(coalesce(sum(target), 0) + 1e-3::DOUBLE) AS BIGINT) AS budget FROM targets)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+  CAST(sum(greatest(0, least(length, budget - position))) AS BIGINT) AS taken FROM placed, budget GROUP BY doc_id
 """.replace("\\\\", "\\")
 
 

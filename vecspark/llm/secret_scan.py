@@ -1,7 +1,8 @@
 """Secret scanning with a trigram index.
 
 From each rule's pattern a Boolean query over trigrams is derived: a formula of ANDs and ORs that any matching text
-satisfies. Texts are indexed in segments: postings of the trigrams that the queries name, by text, in ASCII lower case.
+satisfies. Texts are indexed in segments: one pass over the bytes of all texts, in ASCII lower case, gives for each trigram
+that a query names the sorted list of texts that hold it.
 A query's postings are united and intersected, and only the texts left are searched with the pattern. Rules whose
 formula is trivially true (no trigram is mandatory) search all texts. A segment is built, asked and dropped within
 one task, so that neither texts nor postings are shuffled, and its size is bounded.
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import _LOWER, chunks, text_buffers
+
 try:
     from re import _constants as C
     from re import _parser as parser
@@ -194,22 +197,44 @@ def trigrams_of(query: object) -> set[str]:
 
 # --- segments ---------------------------------------------------------------------------------------------------
 
+#: Bytes of text that are indexed together; a longer text is a segment of its own.
+SEGMENT = 1 << 22
+
 
-class Segment:
-    """Postings of the wanted trigrams over some texts."""
+class Index:
+    """Inverted index of a segment: for each wanted trigram, in order, the numbers of the texts that hold it."""
 
-    def __init__(self, texts: list[str], wanted: list[str]):
+    def __init__(self, texts: pa.Array, wanted: list[str]):
         self.size = len(texts)
-        low = [t.lower() for t in texts]
-        self.postings = {g: np.fromiter((g in t for t in low), bool, len(low)) for g in wanted}
+        data, offsets = text_buffers(texts)
+        lo, hi = int(offsets[0]), int(offsets[-1])
+        low, offsets = _LOWER[data[lo:hi]], offsets - lo
+        number = np.zeros(1 << 24, np.uint16)
+        number[[int.from_bytes(g.encode(), "big") for g in wanted]] = np.arange(1, len(wanted) + 1)
+        gram = (low[:-2].astype(np.uint32) << 16) | (low[1:-1].astype(np.uint32) << 8) | low[2:]
+        of = number[gram]
+        at = np.flatnonzero(of)
+        text = np.searchsorted(offsets, at, "right") - 1
+        inside = at + 3 <= offsets[text + 1]  # not over the edge of two texts
+        entries = np.unique(of[at[inside]].astype(np.int64) << 32 | text[inside])
+        cuts = np.searchsorted(entries >> 32, np.arange(1, len(wanted) + 2))
+        self.postings = {g: entries[i:j] & 0xFFFFFFFF for g, i, j in zip(wanted, cuts, cuts[1:])}
 
     def candidates(self, query: object) -> np.ndarray:
+        """Numbers of the texts that satisfy the query: postings intersected and united."""
         if query is True:
-            return np.ones(self.size, bool)
+            return np.arange(self.size)
         if isinstance(query, str):
             return self.postings[query]
-        lists = [self.candidates(q) for q in query[1]]
-        return np.logical_and.reduce(lists) if query[0] == "and" else np.logical_or.reduce(lists)
+        lists = sorted((self.candidates(q) for q in query[1]), key=len)
+        if query[0] == "or":
+            return np.unique(np.concatenate(lists))
+        found = lists[0]
+        for other in lists[1:]:
+            if not len(found):
+                break
+            found = np.intersect1d(found, other, assume_unique=True)
+        return found
 
 
 class Scanner:
@@ -219,37 +244,25 @@ class Scanner:
         self.wanted = sorted(set().union(*(trigrams_of(q) for *_, q in self.rules)))
         self.quick = {r.kind: re.compile(r.pattern[:-1] + f"{{{r.least},}}", re.ASCII) for r in rules if re.fullmatch(r"\[[^\]]+\]\+", r.pattern)}
 
-    def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """For each text (start, number of the rule, end), sorted."""
-        segment, found = Segment(texts, self.wanted), [[] for _ in texts]
+    def scan(self, column: pa.Array) -> list[list[tuple[int, int, int]]]:
+        """For each text (start, number of the rule, end), sorted; nulls are empty."""
+        texts, index, found = column.to_pylist(), Index(column, self.wanted), [[] for _ in range(len(column))]
         for number, (rule, pattern, query) in enumerate(self.rules):
             pattern = self.quick.get(rule.kind, pattern)
-            for i in np.flatnonzero(segment.candidates(query)):
-                for m in pattern.finditer(texts[i]):
+            for i in index.candidates(query):
+                for m in pattern.finditer(texts[i] or ""):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         found[i].append((m.start(), number, m.end()))
         return [sorted(x) for x in found]
 
 
-def _segments(texts: list[str], most: int = 1 << 22):
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _spans(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], base: int) -> Iterator[pa.RecordBatch]:
     scanner = Scanner(rules)
     kinds = [r.kind for r in rules]
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
         counts, digests, spans = [], [], []
-        for first, last in _segments(texts):
-            for found in scanner.scan(texts[first:last]):
+        for first, last in chunks(text_buffers(batch.column(1))[1], SEGMENT):
+            for found in scanner.scan(batch.column(1)[first:last]):
                 counts.append([sum(k == n for _, k, _ in found) for n in range(base)])
                 said = [f"{kinds[k]}:{s}:{e}" for s, k, e in found if k < base]
                 digests.append(hashlib.sha256(",".join(said).encode()).hexdigest())
@@ -262,7 +275,8 @@ def find_secrets(documents: DataFrame, base: tuple[Rule, ...] = BASE, added: tup
     """One row for each row of documents: doc_id, n_<kind> of each base rule, base_sha256 and spans.
 
     spans: `kind:start:end` of every match by start, then kind as listed, comma-joined; ends exclusive, in code points.
-    base_sha256: of the same for base rules only. A null text is empty: no spans, and the digest of nothing.
+    base_sha256: of the same for base rules only. A null text is empty: no spans, and the digest of nothing. Rows that
+    repeat an id, or have none, are documents of their own; further columns are left out. No documents: no rows.
     """
     rules = tuple(base) + tuple(added)
     spec = ", ".join(["doc_id long", *[f"n_{r.kind} long" for r in base], "base_sha256 string", "spans string"])
@@ -275,9 +289,10 @@ def redactor(rules: tuple[Rule, ...] = BASE + ADDED, mark: str = "<secret>"):
     @F.pandas_udf("string")
     def redact(column: pd.Series) -> pd.Series:
         scanner, out = Scanner(rules), []
-        texts = [t or "" for t in column]
-        for first, last in _segments(texts):
-            for text, found in zip(texts[first:last], scanner.scan(texts[first:last])):
+        texts = pa.array(column, pa.large_string(), from_pandas=True)
+        for first, last in chunks(text_buffers(texts)[1], SEGMENT):
+            for text, found in zip(texts[first:last].to_pylist(), scanner.scan(texts[first:last])):
+                text = text or ""
                 parts, done = [], 0
                 for start, _, end in found:
                     if start >= done:

@@ -38,7 +38,10 @@ def _one_row_an_id(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification rejects go: null texts, texts without letters, texts unlike any language."""
+    """Documents that language identification rejects go: null texts, texts without letters, texts unlike any language.
+
+    Each row is judged for itself: rows that repeat an id, or have none, stay if their own text does. Texts are judged whole.
+    """
     docs = _ready(spark, docs)
     predict = predictor(spark, fit(docs))
     return docs.withColumn("said", predict("text")).where("not said.rejected").drop("said")
@@ -54,7 +57,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark; all documents stay, also those without an id or with one that repeats.
+
+    A null text stays null; a very long one is scanned whole.
+    """
     docs = _ready(spark, docs)
     redact = redactor()
     return docs.withColumn("text", redact("text")).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
@@ -66,13 +72,16 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words or without an id is in no mix; of rows that repeat an id one counts.
     """
     docs = _one_row_an_id(_ready(spark, docs)).where("doc_id is not null")
-    taken = mix(docs).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    taken = mix(docs).where("packet = 0").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
     mixed = docs.join(taken, "doc_id")
     return mixed.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*DOCUMENT_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens.
+
+    Each row is packed for itself, also where the mix repeats a document; a null text is its closing token alone.
+    """
     return pack(_ready(spark, docs), vocabulary_path("byte_bpe_50k.json"), 0)
 
 

@@ -1,16 +1,17 @@
 """Exact top-k search by three-phase uniform threshold.
 
 The components of every vector are split into a few slices; a slice holds, for each query, a list of partial scores.
-Lists live in blocks of vectors, queries in blocks of their own, so a task sees one block of each and memory is
+A node is a block of vectors of one slice and knows nothing of the others; queries come in blocks too, so memory is
 bounded by the two block sizes.
 
-1. Gather: each block sends, for each query and slice, its k highest partial scores with their other partials' sum.
-2. Cutoff: from the gathered entries come a lower bound on the k-th best total and the highest partial of each slice.
-   If a total is to reach the bound, at least one partial must come within an equal share of the gap to the slice's
-   highest partial. That share is sent to every block, which collects the entries that meet it in some slice.
-3. Resolve: collected entries whose upper bound still reaches the cutoff are scored exactly and ranked.
+1. Gather: every node sends, for each query, its k highest partial scores. The best of each slice are scored in full: the
+   k-th of these totals bounds the k-th best from below.
+2. Cutoff: the bound goes to all nodes. A total can only reach it if, in some slice, the partial comes within an equal
+   share of the gap between the bound and the sum of the slices' highest partials. Nodes send every entry that does.
+3. Resolve: entries are joined by row. With an unseen partial taken at its slice's threshold, those that stay below the
+   bound are dropped; what a remaining entry still lacks is looked up in the vectors, and exact totals are ranked.
 
-Nothing is approximate: an entry below the threshold in every slice totals less than k known entries.
+Nothing is approximate: a row that no slice sends totals less than k known rows.
 """
 
 from __future__ import annotations
@@ -21,20 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 QUANTUM = 256.0
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v ARRAY<LONG>): floor(256 x) of each component, x as double. Vectors that are null, empty or hold null or
-    non-finite components are left out, and so are rows without an id."""
+    non-finite components are left out, and so are rows without an id. So that every score fits 64 bits, components of
+    a vector of d stop at sqrt(2**62 / d) either way (for 64 components about 2**28, or x = 1,048,576)."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    most = F.floor(F.sqrt(F.lit(2.0**62) / F.size(vector_col)))
+    step = lambda c: F.greatest(-most, F.least(most, F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), c)) * QUANTUM).cast("long")))
     return (
         vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
         .where(fine)
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * QUANTUM).cast("long")).alias("v"))
+        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, step).alias("v"))
     )
 
 
@@ -42,22 +46,26 @@ def _stack(column) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.int64)
 
 
-def _partials(queries: np.ndarray, rows: np.ndarray, slices: int) -> np.ndarray:
-    """(slices, queries, rows) partial inner products; by doubles where these are exact, else by 64-bit integers."""
+def _partials(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(queries, rows) inner products; by doubles where these are exact, else by 64-bit integers."""
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1] < 2**53
     kind = np.float64 if exact else np.int64
-    cuts = np.array_split(np.arange(queries.shape[1]), min(slices, queries.shape[1]))
-    return np.stack([(queries[:, c].astype(kind) @ rows[:, c].astype(kind).T).astype(np.int64) for c in cuts])
+    return (queries.astype(kind) @ rows.astype(kind).T).astype(np.int64)
 
 
-def _grid(vectors: DataFrame, is_query, block: int, query_block: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors and queries dealt into blocks of about the given sizes by a hash of the id, by length of the vector."""
-    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("long")).alias("q"))
-    sizes = sizes.select("d", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("q") / query_block)).alias("q_blocks"))
-    dealt = vectors.withColumn("d", F.size("v")).join(sizes, "d")
-    rows = dealt.select("d", "q_blocks", F.pmod(F.xxhash64("vec_id"), "blocks").alias("b"), "vec_id", "v")
-    queries = dealt.where(is_query).select("d", F.pmod(F.xxhash64("vec_id", F.lit(7)), "q_blocks").alias("qb"), "blocks", "vec_id", "v")
-    return rows, queries
+_ENTRY = "query bigint, slice int, row bigint, part bigint"
+
+
+def _send(query, slices, row, part) -> pd.DataFrame:
+    return pd.DataFrame({"query": np.concatenate([np.empty(0, np.int64), *query]), "slice": np.concatenate([np.empty(0, np.int32), *slices]), "row": np.concatenate([np.empty(0, np.int64), *row]), "part": np.concatenate([np.empty(0, np.int64), *part])})
+
+
+def _lists(q: pd.DataFrame, r: pd.DataFrame):
+    """For each query of the block its number, its row of q, and the node's list: partials and which rows may be partners."""
+    if len(q) and len(r):
+        ids, parts = r.vec_id.to_numpy(), _partials(_stack(q.x), _stack(r.x))
+        for i, (number, own) in enumerate(zip(q["query"], q.vec_id)):
+            yield number, q.iloc[i], parts[i], np.flatnonzero(ids != own)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, slices: int = 2, block: int = 8192, query_block: int = 1024) -> DataFrame:
@@ -65,65 +73,74 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, slices: int = 2, block: int
 
     vectors: (vec_id, v) as of quantised(); is_query: a column condition on vec_id. Ties go to the smaller vec_id; a
     query with fewer than k other rows gets all of them; vectors of another length than the query's are not compared.
-    Rows that repeat a vec_id are candidates of their own, but none is a candidate of a query of the same id; a query
-    id given more than once counts once for each distinct vector, and its best rows are kept. Empty input: no rows.
+    A vec_id that repeats counts once for a query, at the best score of its rows, and is never a candidate of a query of
+    the same id; a query id given more than once is asked with each distinct vector. Further columns are left out.
+    Empty input: no rows. Queries times rows is the work: both are dealt in blocks, and each pair of blocks is a task's.
     """
-    vectors = written(vectors, "topk-vectors")
-    rows, queries = _grid(vectors, is_query, block, query_block)
+    vectors = written(vectors.withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "topk-vectors")
+    asked = written(vectors.where(is_query).groupBy("vec_id", "v", "d").agg(F.min("row").alias("query")), "topk-queries")
+    sizes = vectors.groupBy("d").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias("blocks"))
+    q_sizes = asked.groupBy("d").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / query_block)).alias("q_blocks"))
+    sizes = sizes.join(q_sizes, "d").withColumn("m", F.least(F.lit(slices), F.col("d")))
     # a stated query set against all rows, in blocks: each block of rows once for each block of queries of its length
-    left = rows.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks").cast("long") - 1))).select("d", "b", "qb", "vec_id", "v")
-    right = queries.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("d", "b", "qb", "vec_id", "v")
-    right = written(right, "topk-queries")
-    spec = "query_id long, slice int, vec_id long, total long, part long"
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    cut = F.slice("v", F.floor(F.col("slice") * F.col("d") / F.col("m")).cast("int") + 1, (F.floor((F.col("slice") + 1) * F.col("d") / F.col("m")) - F.floor(F.col("slice") * F.col("d") / F.col("m"))).cast("int"))
+
+    def dealt(side: DataFrame, own: str, others: str, salt: int) -> DataFrame:
+        """A row for each slice and each block of the other side."""
+        place = F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("blocks" if own == "b" else "q_blocks"))
+        rows = side.join(sizes, "d").withColumn(own, place).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
+        return rows.withColumn("x", cut).withColumn(others, F.explode(upto(F.col("q_blocks" if own == "b" else "blocks")))).drop("v")
+
+    keys = ["d", "slice", "b", "qb"]
+    left = dealt(vectors, "b", "qb", 0).select(*keys, "row", "vec_id", "x")
+    right = dealt(asked, "qb", "b", 7).select(*keys, "query", "vec_id", "x")
 
     def gather(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(r):
-            ids, parts = r.vec_id.to_numpy(), _partials(_stack(q.v), _stack(r.v), slices)
-            total, own = parts.sum(0), q.vec_id.to_numpy()[:, None] == ids
-            for s, p in enumerate(parts):
-                p = np.where(own, -np.iinfo(np.int64).max, p)
-                for i, qid in enumerate(q.vec_id):
-                    n = min(k, len(ids) - int(own[i].sum()))
-                    at = np.argpartition(-p[i], n - 1)[:n] if 0 < n < len(ids) else np.flatnonzero(~own[i])
-                    out.append(pd.DataFrame({"query_id": qid, "slice": s, "vec_id": ids[at], "total": total[i, at], "part": p[i, at]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in spec.split(", ")])
-
-    keys = ["d", "b", "qb"]
-    entries = written(right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(lambda q, r: gather(q, r), spec), "topk-gathered")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("total")))
-    known = entries.select("query_id", "vec_id", "total").distinct().withColumn("r", best).where(F.col("r") <= k)
-    known = known.groupBy("query_id").agg(F.min("total").alias("kth"), F.count(F.lit(1)).alias("n"))
-    peaks = entries.groupBy("query_id", "slice").agg(F.max("part").alias("peak")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("slice", "peak"))).alias("p"))
-    low = F.when(F.col("n") >= k, F.col("kth"))  # fewer than k known entries bound nothing
-    cutoffs = known.join(peaks, "query_id").select(F.col("query_id").alias("vec_id"), low.alias("low"), F.col("p.peak").alias("peaks"))
-    asked = right.join(cutoffs, "vec_id", "left")
-    result = "query_id long, vec_id long, score long"
-
-    def resolve(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(r):
-            ids, parts = r.vec_id.to_numpy(), _partials(_stack(q.v), _stack(r.v), slices)
-            for i, (qid, low, peaks) in enumerate(zip(q.vec_id, q.low, q.peaks)):
-                others = ids != qid
-                if low is None or low != low:
-                    at = np.flatnonzero(others)
-                else:
-                    peak = np.array([int(x) for x in peaks], np.int64)
-                    gap = int(peak.sum()) - int(low)
-                    share = peak - -(-gap // len(peak))  # the equal share of the gap, rounded so that nothing is lost
-                    meets = parts[:, i, :] >= share[:, None]
-                    bound = np.where(meets, parts[:, i, :], share[:, None]).sum(0)
-                    at = np.flatnonzero(others & meets.any(0) & (bound >= int(low)))
-                score = parts[:, i, :][:, at].sum(0)
-                if low is not None and low == low:
-                    at, score = at[score >= int(low)], score[score >= int(low)]
-                if len(at) > k:
-                    first = np.lexsort((ids[at], -score))[:k]
-                    at, score = at[first], score[first]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
-
-    found = asked.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(lambda q, r: resolve(q, r), result)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        out = [[], [], [], []]
+        for number, at, parts, others in _lists(q, r):
+            if len(others) > k:
+                others = others[np.argpartition(-parts[others], k - 1)[:k]]
+            for to, x in zip(out, (np.full(len(others), number), np.full(len(others), at["slice"], np.int32), r.row.to_numpy()[others], parts[others])):
+                to.append(x)
+        return _send(*out)
+
+    gathered = written(right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(lambda q, r: gather(q, r), _ENTRY), "topk-gathered")
+    first = F.row_number().over(W.partitionBy("query", "slice").orderBy(F.desc("part")))
+    best = gathered.withColumn("r", first).where(F.col("r") <= k)
+
+    base = vectors.select("row", F.col("vec_id").alias("partner"), "v")
+    queries = asked.select("query", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+    def resolved(pairs: DataFrame) -> DataFrame:
+        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda t, x: t + x)
+        return pairs.join(base, "row").join(queries, "query").select("query", "query_id", "row", "partner", score.alias("score"))
+
+    known = resolved(best.select("query", "row").distinct())
+    # a row of the same id counts once, so the bound is over partners
+    known = known.groupBy("query", "partner").agg(F.max("score").alias("score"))
+    known = known.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))).where(F.col("r") <= k)
+    bound = known.groupBy("query").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
+    peaks = best.groupBy("query", "slice").agg(F.max("part").alias("peak")).groupBy("query").agg(F.count(F.lit(1)).alias("m"), F.sum("peak").alias("sum"), F.map_from_entries(F.collect_list(F.struct("slice", "peak"))).alias("peak"))
+    low = F.when(F.col("n") >= k, F.col("kth"))  # fewer than k known partners bound nothing
+    cutoffs = peaks.join(bound, "query").withColumn("low", low).withColumn("share", F.ceil((F.col("sum") - F.col("low")) / F.col("m"))).select("query", "low", "share", "peak")
+    cutoffs = written(cutoffs, "topk-cutoffs")
+
+    def collect(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = [[], [], [], []]
+        for number, at, parts, others in _lists(q, r):
+            if not pd.isna(at["least"]):
+                others = others[parts[others] >= int(at["least"])]
+            for to, x in zip(out, (np.full(len(others), number), np.full(len(others), at["slice"], np.int32), r.row.to_numpy()[others], parts[others])):
+                to.append(x)
+        return _send(*out)
+
+    told = right.join(cutoffs, "query").withColumn("least", (F.try_element_at("peak", "slice") - F.col("share")).cast("string")).drop("peak", "share", "low")
+    sent = told.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(lambda q, r: collect(q, r), _ENTRY)
+    entries = sent.groupBy("query", "row").agg(F.map_from_entries(F.collect_list(F.struct("slice", "part"))).alias("part")).join(cutoffs, "query")
+    upper = F.aggregate(F.map_entries("peak"), F.lit(0).cast("long"), lambda t, p: t + F.coalesce(F.try_element_at("part", p["key"]), p["value"] - F.col("share")))
+    remaining = written(entries.where(F.col("low").isNull() | (upper >= F.col("low"))).select("query", "row"), "topk-remaining")
+    drop_written(gathered)
+    found = resolved(remaining).groupBy("query_id", "partner").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "partner"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("partner").alias("vec_id"), "score")

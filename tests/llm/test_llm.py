@@ -386,7 +386,48 @@ def test_embedding_links_between_blocks(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, v array<double>")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.6)) if i < j}
-    assert {tuple(r) for r in embed_dedup.near_pairs(df, 0.6, window=16, block=40).collect()} == want
+    links = {i: {b for a, b in want if a == i} | {a for a, b in want if b == i} for i in range(300)}
+    got = {r["vec_id"]: r for r in embed_dedup.near_dedup(df.withColumnRenamed("v", "embedding"), least=0.6, window=16, block=40).collect()}
+    assert all(got[i]["n_links"] == len(links[i]) for i in range(300))
+    component = {i: i for i in range(300)}
+    while any(component[a] != component[b] for a, b in want):
+        for a, b in want:
+            component[a] = component[b] = min(component[a], component[b])
+    assert {i: r["component_id"] for i, r in got.items()} == component
+
+
+def test_embedding_links_of_copies_and_odd_rows(spark):
+    base = [1.0, 0.0, 0.5]
+    rows = [(k, base) for k in range(40)] + [(40, [1.0, 0.01, 0.5]), (41, [-1.0, 0.0, 0.0]), (41, [-1.0, 0.0, 0.0]), (42, []), (None, base), (43, base[:2]), (44, [None, 1.0, 1.0]), (45, None)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, v string, component int")
+    got = [tuple(r) for r in embed_dedup.near_dedup(df).collect()]
+    want = [(k, 40, 0, k == 0) for k in range(40)] + [(40, 40, 0, False), (41, 0, 41, True), (41, 0, 41, True)] + [(k, 0, k, True) for k in (42, 43, 44, 45)]
+    assert sorted(got) == sorted(want)
+
+
+def test_top_k_of_repeats_large_values_and_clashing_names(spark):
+    v = [[1.0, 1.0], [1.0, 0.5], [0.5, 0.5], [0.25, 0.25], [0.2, 0.1], [0.1, 0.1], [0.0, 0.1]]
+    rows = [(k, x) for k, x in enumerate(v)] + [(0, v[0]), (3, v[3])]
+    df = spark.createDataFrame([(i, x, 9, "s") for i, x in rows], "vec_id long, embedding array<double>, row int, d string")
+    got = sorted(map(tuple, topk.top_k(topk.quantised(df), F.col("vec_id") == 0, k=5).collect()))
+    fine = [[int(np.floor(256 * c)) for c in x] for x in v]
+    want = sorted((-256 * sum(fine[i]), i) for i in range(1, 7))[:5]
+    assert got == [(0, r + 1, i, -s) for r, (s, i) in enumerate(want)]
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [1.0, 3.0]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    most = int(2**62 // 2) ** 0.5
+    got = topk.top_k(topk.quantised(huge), F.col("vec_id") == 0, k=5).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3]
+    assert abs(got[0]["score"]) <= 2**63 - 1 and max(r["score"] for r in got) == int(most) ** 2 + 256 * 512
+
+
+def test_words_of_many_letters_hash_apart(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate({97: 98, 98: 97})
+    other = one.translate({97: 98, 98: 97})
+    docs = spark.createDataFrame([(1, one), (2, other), (3, other.upper()), (4, one * 100), (5, other * 100)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
 
 
 def test_lm_tells_words_of_a_shared_class_apart(spark, monkeypatch):

@@ -5,6 +5,8 @@ ordered by the signs of random projections, so that vectors at a small angle sta
 consecutive rows has a cone (its mean direction and the largest angle to it). Two windows whose cones lie farther apart
 than the linking angle hold no link and are skipped; all others are compared row by row by the exact cosine. No link is
 lost at any number of rows or density; only work depends on them, and without clusters it grows with the square of the rows.
+Exact copies are one vector with a number, and links are counted and joined to components where two blocks meet, so that
+a group of copies is never written pair by pair.
 """
 
 from __future__ import annotations
@@ -85,44 +87,84 @@ def links(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray] | N
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def near_pairs(vectors: DataFrame, least: float = 0.9, bits: int = 24, window: int = 128, block: int = 16384) -> DataFrame:
-    """(a, b), a < b: distinct pairs of vec_id with cosine >= least, all of them.
-
-    vectors: (vec_id, v) as of usable(). Vectors of different lengths never link. Repeated rows of one vec_id count as one
-    vector if equal; a pair needs two ids. Empty input gives no pairs.
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest id of its component, id) of the components that the links (a, b) make: fewer than there are ids."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, low = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if np.array_equal(low, before):
+            break
+    rest = np.flatnonzero(low != np.arange(len(ids)))
+    return ids[low[rest]], ids[rest]
+
+
+def near_links(vectors: DataFrame, least: float = 0.9, bits: int = 24, window: int = 128, block: int = 16384) -> DataFrame:
+    """(vec_id, root, n): for each meeting of two blocks and each vector with links there, how many of cosine >= least it
+    has and the smallest vector it reaches by them. No links are missing; they are counted where they are found and
+    not written one by one, so a group of n near copies makes n rows a meeting and not n squared.
+
+    vectors: (vec_id, v) as of usable(). Equal vectors are compared once, with their number. Vectors of different lengths
+    never link. Empty input gives no rows.
     """
-    vectors = vectors.dropDuplicates(["vec_id", "v"]).withColumn("d", F.size("v"))
+    vectors = vectors.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("copies")).withColumn("d", F.size("v"))
     vectors = written(vectors, "near-vectors")
     blocks = vectors.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     dealt = vectors.join(F.broadcast(blocks), "d").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         v = np.array(rows.v.tolist(), np.float64)
-        return pd.DataFrame({"d": rows.d.iloc[:1], "blk": rows.blk.iloc[:1], "blocks": rows.blocks.iloc[:1], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "data": [v.tobytes()]})
+        return pd.DataFrame({"d": rows.d.iloc[:1], "blk": rows.blk.iloc[:1], "blocks": rows.blocks.iloc[:1], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "copies": [rows.copies.to_numpy(np.int64).tobytes()], "data": [v.tobytes()]})
 
-    packed = written(dealt.groupBy("d", "blk").applyInPandas(pack, "d int, blk long, blocks long, ids binary, data binary"), "near-blocks")
+    packed = written(dealt.groupBy("d", "blk").applyInPandas(pack, "d int, blk long, blocks long, ids binary, copies binary, data binary"), "near-blocks")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = packed.withColumn("o", other).select("d", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "ids", "data")
+    met = packed.withColumn("o", other).select("d", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "ids", "copies", "data")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"vec_id": [], "root": [], "n": []}, dtype="int64")
         sides = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.data, np.float64).reshape(-1, int(r.d))) for r in rows.itertuples()]
         if len(sides) < 2 and rows.x.iloc[0] != rows.y.iloc[0]:  # the other block got no rows
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return none
         a, b = links(sides[0], sides[1] if len(sides) > 1 else None, least, bits, window)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return written(met.groupBy("d", "x", "y").applyInPandas(compare, "a long, b long").distinct(), "near-pairs")
-
-
-def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, bits: int = 24, window: int = 128) -> DataFrame:
+        if not len(a):
+            return none
+        ids, copies = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("ids", "copies"))
+        order = np.argsort(ids)
+        ids, copies = ids[order], copies[order]
+        n = np.zeros(len(ids), np.int64)
+        p, q = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        np.add.at(n, p, copies[q])
+        np.add.at(n, q, copies[p])
+        roots, nodes = _forest(a, b)
+        root = ids.copy()
+        root[np.searchsorted(ids, nodes)] = roots
+        some = np.flatnonzero(n)
+        return pd.DataFrame({"vec_id": ids[some], "root": root[some], "n": n[some]})
+
+    return written(met.groupBy("d", "x", "y").applyInPandas(compare, "vec_id long, root long, n long"), "near-links")
+
+
+def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, bits: int = 24, window: int = 128, block: int = 16384) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row with an id; rows that cannot link stand alone and are kept.
 
-    Repeated rows of a vec_id give one result row each, with the links of the id. A row without an id is left out.
+    Repeated rows of a vec_id give one result row each; if their vectors differ, each has its own links and they share a
+    component, and a link to both counts twice. Copies of a vector link with each other. A row without an id is left
+    out, and so are further columns. No vectors: no rows.
     """
-    pairs = near_pairs(usable(vectors, id_col, vector_col), least, bits, window)
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = connected_components(pairs).select(F.col("node").alias("vec_id"), "component")
-    ids = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"))
-    done = ids.join(degree.join(labels, "vec_id"), "vec_id", "left")
+    fine = usable(vectors, id_col, vector_col)
+    found = near_links(fine, least, bits, window, block)
+    counted = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    copies = fine.groupBy("v").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("copies"))
+    classes = written(copies.join(counted, F.col("first") == F.col("vec_id"), "left").select("v", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-classes")
+    of = fine.distinct().join(classes, "v").select("vec_id", "v", "first", "n_links")
+    of = written(of, "near-members")
+    edges = found.select(F.col("root").alias("a"), F.col("vec_id").alias("b")).union(of.select(F.col("first").alias("a"), F.col("vec_id").alias("b")))
+    labels = connected_components(edges).select(F.col("node").alias("id"), "component")
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda c: c.cast("double")).alias("v"))
+    done = rows.join(of.drop("first"), ["vec_id", "v"], "left").join(labels, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))

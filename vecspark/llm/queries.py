@@ -159,14 +159,23 @@ p AS (
   SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
     regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') AS rest FROM pages),
-goals AS (
-  SELECT host || rest AS a, host, unnest([
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
-    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS goal
+tags AS (
+  SELECT url, host, path, rest, unnest(list_distinct(list_concat(
+    list_transform(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|''[^''>]*\bcanonical\b|canonical\b)[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')),
+    list_transform(regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is'))))) AS goal
   FROM p WHERE contains(url, '://')),
+goals AS (
+  SELECT host || rest AS a, CASE
+    WHEN goal = '' THEN NULL
+    WHEN regexp_matches(goal, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN goal
+    WHEN starts_with(goal, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || goal
+    WHEN starts_with(goal, '/') THEN regexp_extract(url, '^.*?://[^/?#]*', 0, 's') || goal
+    WHEN regexp_matches(goal, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL
+    WHEN starts_with(goal, '?') THEN regexp_extract(url, '^.*?://[^/?#]*', 0, 's') || path || goal
+    ELSE regexp_extract(url, '^.*?://[^/?#]*', 0, 's') || CASE WHEN regexp_extract(path, '^.*/', 0, 's') = '' THEN '/' ELSE regexp_extract(path, '^.*/', 0, 's') END || goal END AS goal FROM tags),
 half AS (
-  SELECT a, CASE WHEN contains(goal, '://') THEN lower(regexp_extract(goal, '^.*?://([^/?#]*)', 1, 's')) || regexp_extract(goal, '^.*?://[^/?#]*([^#]*)', 1, 's')
-                 ELSE host || regexp_extract(goal, '^[^#]*', 0, 's') END AS b FROM goals WHERE goal <> ''),
+  SELECT a, translate(regexp_extract(goal, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(goal, '^.*?://[^/?#]*([^#]*)', 1, 's') AS b
+  FROM goals WHERE goal IS NOT NULL AND contains(goal, '://')),
 links AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 best AS (

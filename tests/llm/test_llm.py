@@ -275,6 +275,15 @@ def test_url_filter(spark):
     assert got[10] == ("com", "", None, "allow")
 
 
+def test_url_filter_takes_every_tag_and_odd_rows(spark):
+    rules = [url_filter.Rule("block", "bad.net", "/x")]
+    two = '<link rel="alternate canonical" href="/one"><link rel=canonical href="//bad.net/x1"><meta http-equiv=refresh content="0;url=sub/two">'
+    rows = [(1, "http://a.org/d/p", two), (1, "http://a.org/d/p", two), (None, "http://a.org/one", ""), (2, "http://a.org/d/sub/two", "x" * 300_000), (3, "http://a.org/other", ""), (4, "http://a.org/d/q", '<link rel="canonical" href="?b"><link rel="canonical" href="mailto:x"><link rel="canonical" href="#y">'), (5, "http://a.org/d/q?b", '<link rel="canonical" href="/one">')]
+    df = spark.createDataFrame([(*r, "h", "k") for r in rows], "page_id long, url string, html string, host string, key string")
+    got = sorted(((r["page_id"] or 0, r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()))
+    assert got == [(0, "block"), (1, "block"), (1, "block"), (2, "block"), (3, "allow"), (4, "block"), (5, "block")]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -466,6 +475,33 @@ def test_lm_trains_on_every_position(monkeypatch):
     assert all(rate == lm_score.RATE * n / lm_score.BATCH for n, rate in seen)
 
 
+def test_language_id_equals_plain_python(spark):
+    """Prediction recomputed from the fitted centroids with dictionaries of trigrams; every language is learned."""
+    rng = random.Random(21)
+    names = [f"l{k:03d}" for k in range(30)]
+    sound = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöü", k=3)) for _ in range(6)] for n in names}
+    rows = [(i, " ".join(rng.choices(sound[n], k=30)), n) for i, n in enumerate(names * 12)]
+    docs = spark.createDataFrame([(*r, 1.0, "und") for r in rows + [(900, "x" * 200_000 + " " + rows[0][1], None), (0, rows[0][1], "l000")]], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.fit(docs)
+    assert model.languages == names
+    got = langid.identify(docs).collect()
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r["doc_id"] not in texts:
+            continue
+        padded = " " + texts[r["doc_id"]] + " "
+        x = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            if b.isalpha():
+                h = sum((ord(ch.lower()) + 1 if ch.isalpha() else 0) * m for ch, m in zip((a, b, c), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))) % 2**64
+                h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) % 2**64 >> 52
+                x[h] += 1
+        x = np.where(x > 0, (1 + np.log(np.maximum(x, 1))) * model.idf, 0)
+        cos = model.centroids @ (x / np.linalg.norm(x))
+        assert r["lang_pred"] == model.languages[model.owner[cos.argmax()]] and abs(r["score"] - cos.max()) < 1e-5
+    assert len(got) == len(rows) + 2
+
+
 def test_packing_takes_the_shortest_pack():
     assert sorted(packing.shortest_pack_first({7: 1, 6: 1, 5: 1, 3: 1}, 10)) == [((5, 3), 1), ((6,), 1), ((7,), 1)]
 

@@ -5,22 +5,25 @@ length). Each language's sample is clustered by spherical k-means into several c
 the centroid at the highest cosine and is rejected where even that one is farther than the language's own texts lie.
 Cosines rise with the length of a text, so this is calibrated by length, on the sample's texts and their beginnings.
 
-The fit reads at most SAMPLE rows of a language, and SAMPLE_ALL rows in all, drawn by a hash of the id: a bound that holds
-for any corpus. It runs on the driver in numpy. Prediction is one pass over whole texts without a shuffle.
+The fit reads at most SAMPLE rows of a language, drawn by a hash of the id, fewer where there are many languages, but at least
+LEAST of every one; no language is left out. Executors turn the texts drawn into counts, of at most DIMENSIONS slots
+whatever a text's length, and the fit runs on the driver in numpy. Prediction is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a language, and of all languages together, that the fit reads at most.
-SAMPLE, SAMPLE_ALL = 400, 8000
+#: Rows of a language, and of all languages together, that the fit reads at most; but for LEAST of each.
+SAMPLE, SAMPLE_ALL, LEAST = 400, 8000, 20
 DIMENSIONS = 4096
 CENTROIDS = 4
 #: A text is rejected below REJECT_SHARE of this quantile of the cosines of the language's sample at like lengths.
@@ -70,21 +73,20 @@ class Model:
     owner: np.ndarray  # language of each centroid
     least: np.ndarray  # by language and length, cosine below which a text is rejected
 
-    def vectors(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Unit rows, and the power of two of each text's number of trigrams."""
-        x, size = np.zeros((len(texts), DIMENSIONS), np.float32), np.ones(len(texts))
-        for i, text in enumerate(texts):
-            at, n = counts(text)
+    def vectors(self, counted) -> tuple[np.ndarray, np.ndarray]:
+        """Unit rows of texts given by counts(), and the power of two of each text's number of trigrams."""
+        x, size = np.zeros((len(counted), DIMENSIONS), np.float32), np.ones(len(counted))
+        for i, (at, n) in enumerate(counted):
             x[i, at] = (1 + np.log(n)) * self.idf[at]
             size[i] = max(1, n.sum())
         norm = np.sqrt((x * x).sum(1, keepdims=True))
         return np.divide(x, norm, out=x, where=norm > 0), np.minimum(np.log2(size).astype(int), LENGTHS - 1)
 
-    def calibrate(self, language: int, texts: list[str], centroids: np.ndarray) -> None:
-        """Sets the language's row of least by its texts, whole and cut to each length."""
+    def calibrate(self, language: int, texts: list[list], centroids: np.ndarray) -> None:
+        """Sets the language's row of least by its texts, each given as counts of the whole and of its beginnings."""
         found = [[] for _ in range(LENGTHS)]
-        for cut in [None, *(3 << k for k in range(LENGTHS - 1))]:
-            some = texts if cut is None else [t[:cut] for t in texts if len(t) > cut]
+        for cut in range(LENGTHS):
+            some = [t[cut] for t in texts if len(t) > cut]
             if some:
                 x, length = self.vectors(some)
                 best = (x @ centroids.T).max(1)
@@ -100,7 +102,7 @@ class Model:
         """Languages, cosines in 0..1 and rejections."""
         if not len(texts):
             return [], np.empty(0), np.empty(0, bool)
-        x, length = self.vectors(texts)
+        x, length = self.vectors([counts(t) for t in texts])
         some = x.any(1)
         if not len(self.centroids):
             return [UNKNOWN] * len(x), np.zeros(len(x)), np.ones(len(x), bool)
@@ -125,6 +127,15 @@ def _clusters(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndar
     return c / np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
 
 
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of whole texts and of their beginnings, and a digest to order them by."""
+    for b in batches:
+        cuts = [[t, *(t[: 3 << k] for k in range(LENGTHS - 1) if len(t) > 3 << k)] for t in b.text]
+        counted = [[counts(t) for t in parts] for parts in cuts]
+        whole = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in b.text]
+        yield pd.DataFrame({"lang": b.lang, "whole": whole, "slots": [[a.astype(np.int64).tobytes() for a, _ in c] for c in counted], "counts": [[n.astype(np.float32).tobytes() for _, n in c] for c in counted]})
+
+
 def held_out(doc_id: Column, parts: int = 5) -> Column:
     """Rows whose CRC-32 of the id as text is divisible by `parts` are not learned from; nor are rows without an id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 0, F.lit(False))
@@ -135,24 +146,27 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ALL // 20).collect()
-    most = min(SAMPLE, SAMPLE_ALL // max(1, len(sizes)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    most = max(LEAST, min(SAMPLE, SAMPLE_ALL // max(1, len(sizes))))
     if not sizes:
         return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)))
     # a language's share that gives fewer than `most` rows in expectation, then the bound itself
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 0.8 * most / r["n"]) if r["n"] > most else 1.0)])
-    drawn = rows.where(draw < F.try_element_at(rate, F.col("lang")) * (1 << 30)).select("lang", "doc_id", "text").limit(SAMPLE_ALL + SAMPLE).toPandas()
-    drawn = drawn.sort_values(["lang", "doc_id"]).groupby("lang").head(most)
+    drawn = rows.where(draw < F.try_element_at(rate, F.col("lang")) * (1 << 30)).select("lang", "doc_id", "text")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("doc_id", "text"))  # of a few hundred rows a language
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= most).select("lang", "text").mapInPandas(_sampled, "lang string, whole string, slots array<binary>, counts array<binary>").toPandas()
+    drawn = drawn.sort_values(["lang", "whole"])
+    drawn["parts"] = [[(np.frombuffer(a, np.int64), np.frombuffer(b, np.float32)) for a, b in zip(s, n)] for s, n in zip(drawn.slots, drawn.counts)]
     languages = sorted(drawn.lang.unique())
     model = Model(languages, np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((len(languages), LENGTHS)))
     seen = np.zeros(DIMENSIONS)
-    for text in drawn.text:
-        seen[counts(text)[0]] += 1
+    for parts in drawn.parts:
+        seen[parts[0][0]] += 1
     model.idf = (np.log((1 + len(drawn)) / (1 + seen)) + 1).astype(np.float32)
     found, owner = [], []
     for k, language in enumerate(languages):
-        texts = drawn.text[drawn.lang == language].tolist()
-        x, _ = model.vectors(texts)
+        texts = drawn.parts[drawn.lang == language].tolist()
+        x, _ = model.vectors([t[0] for t in texts])
         x = x[x.any(1)]
         if len(x):
             c = _clusters(x, CENTROIDS)
@@ -166,7 +180,7 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def predictor(spark, model: Model):
     """A column function of the text: struct(lang_pred, score, rejected)."""
-    shared = spark.sparkContext.broadcast(model)  # DIMENSIONS x CENTROIDS x languages (at most SAMPLE_ALL / 20) floats
+    shared = spark.sparkContext.broadcast(model)  # DIMENSIONS x CENTROIDS floats for each language
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -181,7 +195,8 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of documents: doc_id, held_out, lang_pred, score (cosine, 0 to 1) and rejected.
 
     A text that is null or has no letters is `und` with score 0 and rejected. Other texts always get a learned language
-    (if any was learned); rejected says that it is too far from it. A null id is not held out and not learned from.
+    (if any was learned); rejected says that it is too far from it. Of languages as near, the first by name is said. A null
+    id is not held out and not learned from; rows that repeat an id are judged each. Texts are read whole, however long.
     """
     predict = predictor(documents.sparkSession, fit(documents, id_col, text_col, lang_col))
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

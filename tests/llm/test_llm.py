@@ -466,13 +466,42 @@ def test_lm_shares_and_unseen_words_fill_a_class():
     assert np.allclose(sums, 1 - 1 / (v.totals[lm_score.OWN : -1] + 1))
 
 
-def test_lm_trains_on_every_position(monkeypatch):
+def test_lm_trains_on_every_position_once(monkeypatch):
     seen = []
-    monkeypatch.setattr(lm_score.Network, "step", lambda self, x, y, rate: seen.append((len(y), rate)))
+    monkeypatch.setattr(lm_score.Network, "step", lambda self, x, y, rate: seen.append((list(zip(*map(list, x), y)), rate)))
+    monkeypatch.setattr(lm_score, "PIECE_WORDS", 700)
     texts = ["a b c", None, " ".join(f"w{k}" for k in range(5000)), "d"]
-    out = list(lm_score._train(iter([pa.record_batch({"text": pa.array(texts)})]), lm_score.Vocabulary(np.empty(0, np.uint64)), lm_score.Network().p, 1 << 12))
-    assert sum(n for n, _ in seen) == 5004 and max(n for n, _ in seen) == lm_score.BATCH and set(out[0]["n"].to_pylist()) == {5004.0}
-    assert all(rate == lm_score.RATE * n / lm_score.BATCH for n, rate in seen)
+    v = lm_score.Vocabulary(np.empty(0, np.uint64))
+    out = pa.Table.from_batches(lm_score._coded(iter([pa.record_batch({"key": np.arange(4), "text": pa.array(texts)})]), v, 1))
+    parts = lm_score._train(out, lm_score.Network().p, 1 << 12)
+    want = []
+    for _, words in words_by_row(pa.array(texts)):
+        c = [lm_score.VOCABULARY - 1] * 2 + v.classes(words).tolist() + [lm_score.VOCABULARY - 1] * 2
+        want += [(*c[i - 2 : i], *c[i + 1 : i + 3], c[i]) for i in range(2, len(c) - 2)]
+    assert sorted(t for b, _ in seen for t in b) == sorted(want) and max(len(b) for b, _ in seen) == lm_score.BATCH
+    assert all(rate == lm_score.RATE * len(b) / lm_score.BATCH for b, rate in seen) and set(parts["n"].to_pylist()) == {5004.0}
+
+
+def test_lm_scores_equal_brute_force_and_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", 600)
+    monkeypatch.setattr(lm_score, "COMMON", 40)
+    docs, rows = corpus(spark, 5)
+    got = [sorted((r["doc_id"], r["n_words"], round(r["log_prob"], 6)) for r in lm_score.score(docs.repartition(n)).collect()) for n in (2, 9)]
+    assert got[0] == got[1]
+    vocabulary, p, counts = lm_score.fit(docs.select("doc_id", "text"))
+    net, count = lm_score.Network(p), {r["h"] % 2**64: r["n"] for r in counts.collect()}
+    for (i, text, *_), (j, n, said) in zip(rows, got[0]):
+        words = next(iter(words_by_row(pa.array([text]))))[1]
+        c = [lm_score.VOCABULARY - 1] * 2 + vocabulary.classes(words).tolist() + [lm_score.VOCABULARY - 1] * 2
+        total = 0.0
+        for at, word in enumerate(words.tolist(), 2):
+            h = np.tanh(sum(net.embed[k, c[at + d]].astype(float) for k, d in enumerate((-2, -1, 1, 2))))
+            group, inner = divmod(c[at], lm_score.GROUPS)
+            for x, k in ((h @ net.w1 + net.b1, group), (h @ net.w2[group] + net.b2[group], inner)):
+                total += x[k] - np.log(np.exp(x).sum())
+            if c[at] >= lm_score.OWN:
+                total += np.log(count[word] / (sum(m for w, m in count.items() if vocabulary.classes(np.array([w], np.uint64))[0] == c[at]) + 1))
+        assert i == j and n == len(words) and abs(total - said) < 1e-3 * max(1, n)
 
 
 def test_language_id_equals_plain_python(spark):

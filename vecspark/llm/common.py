@@ -37,11 +37,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back. Survives any lost executor."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder, in folders by a column if one is named, and read it back. Survives
+    any lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,8 +50,9 @@ def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() that nothing lazy reads any more."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if "/vecspark/" in folder:
+        before, mark, after = file.partition("/vecspark/")
+        if mark:
+            folder = before + mark + after.split("/", 1)[0]
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

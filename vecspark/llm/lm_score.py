@@ -8,8 +8,10 @@ Words are counted over the whole corpus; the most frequent have classes of their
 word of a shared class has the class's probability times its own share of the class's count, of which one more is kept
 for unseen words: the vocabulary is that of the corpus. Shares of the COMMON most frequent words go to every task, those
 of all others are joined by the word.
-Training is data-parallel: every partition runs stochastic gradient steps from the same start over all positions of its
-documents, and the partitions' parameters are averaged by positions, slice by slice on the executors.
+Training is data-parallel and takes every position of the corpus once. Documents are dealt into buckets by a hash of their id
+and text, and buckets into ROUNDS. In a round each bucket runs stochastic gradient steps over its documents, in order of
+the hash, all from the same start; the buckets' parameters are averaged by positions, slice by slice on the executors, and
+are the start of the next round. Neither partitions nor the order of rows have a part in the result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, to_signed, words_by_row, written
+from .common import drop_written, mix64, to_signed, words_by_row, written
 
 GROUPS = 32
 VOCABULARY = GROUPS * GROUPS
@@ -34,7 +36,12 @@ SIDE = 2
 #: Words whose shares are broadcast, at most; where they come from does not change a score.
 COMMON = 1 << 18
 BATCH = 1024
-RATE = 0.5
+RATE = 1.0
+ROUNDS = 4
+#: Words of a bucket, about: their number grows with the corpus.
+BUCKET_WORDS = 1 << 21
+#: Words of a piece of a document, which is what buckets are made of.
+PIECE_WORDS = 1 << 16
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,91 +116,113 @@ class Network:
             self.b1[:] = np.log(grid.sum(1) / grid.sum())
             self.b2[:] = np.log(grid / grid.sum(1, keepdims=True))
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.embed[k][context[k]] for k in range(2 * SIDE)))
+    def hidden(self, context: list[np.ndarray]) -> np.ndarray:
+        h = self.embed[0].take(context[0], 0)
+        for k in range(1, 2 * SIDE):
+            h += self.embed[k].take(context[k], 0)
+        return np.tanh(h, out=h)
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
+    def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shifted scores, their exponentials and the sums of these; x is used up."""
+        x -= x.max(1, keepdims=True)
+        e = np.exp(x)
+        return x, e, e.sum(1, keepdims=True)
 
-    def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        group, inner = word // GROUPS, word % GROUPS
-        out = self._log_softmax(h @ self.w1 + self.b1)[np.arange(len(word)), group]
+    @staticmethod
+    def _by_group(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        group = (word // GROUPS).astype(np.int16)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            at = order[cuts[g] : cuts[g + 1]]
-            if len(at):
-                out[at] += self._log_softmax(h[at] @ self.w2[g] + self.b2[g])[np.arange(len(at)), inner[at]]
+        group = group[order]
+        return order, group, np.searchsorted(group, np.arange(GROUPS + 1))
+
+    def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        order, group, cuts = self._by_group(word)
+        h, inner = self.hidden([c[order] for c in context]), word[order] % GROUPS
+        x, _, s = self._softmax(h @ self.w1 + self.b1)
+        got = x[np.arange(len(word)), group] - np.log(s[:, 0])
+        for g in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            part = slice(cuts[g], cuts[g + 1])
+            x, _, s = self._softmax(h[part] @ self.w2[g] + self.b2[g])
+            got[part] += x[np.arange(len(x)), inner[part]] - np.log(s[:, 0])
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def step(self, context: np.ndarray, word: np.ndarray, rate: float) -> None:
-        n, rows = len(word), np.arange(len(word))
+        n = len(word)
+        order, group, cuts = self._by_group(word)
+        context, inner = [c[order] for c in context], word[order] % GROUPS
         h = self.hidden(context)
-        group, inner = word // GROUPS, word % GROUPS
-        d1 = np.exp(self._log_softmax(h @ self.w1 + self.b1))
-        d1[rows, group] -= 1
-        dh = d1 @ self.w1.T
-        pace = np.float32(rate / n)
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            d2 = np.exp(self._log_softmax(h[at] @ self.w2[g] + self.b2[g]))
-            d2[np.arange(len(at)), inner[at]] -= 1
-            dh[at] += d2 @ self.w2[g].T
-            self.w2[g] -= pace * (h[at].T @ d2)
+        _, d1, s = self._softmax(h @ self.w1 + self.b1)
+        d1 /= s
+        d1[np.arange(n), group] -= 1
+        dh, pace = d1 @ self.w1.T, np.float32(rate / n)
+        for g in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            part = slice(cuts[g], cuts[g + 1])
+            _, d2, s = self._softmax(h[part] @ self.w2[g] + self.b2[g])
+            d2 /= s
+            d2[np.arange(len(d2)), inner[part]] -= 1
+            dh[part] += d2 @ self.w2[g].T
+            self.w2[g] -= pace * (h[part].T @ d2)
             self.b2[g] -= pace * d2.sum(0)
         self.w1 -= pace * (h.T @ d1)
         self.b1 -= pace * d1.sum(0)
-        dh *= (1 - h * h) * np.float32(rate * 20 / n)
+        dh *= 1 - h * h
+        dh *= np.float32(rate * 20 / n)
         for k in range(2 * SIDE):
-            order = np.argsort(context[k], kind="stable")
-            of = context[k][order]
+            at = np.argsort(context[k].astype(np.int16), kind="stable")
+            of = context[k][at]
             starts = np.flatnonzero(np.diff(of, prepend=-1))
-            self.embed[k][of[starts]] -= np.add.reduceat(dh[order], starts, axis=0)
+            self.embed[k][of[starts]] -= np.add.reduceat(dh.take(at, 0), starts, axis=0)
 
 
-def _contexts(classes: np.ndarray) -> np.ndarray:
-    padded = np.concatenate((np.full(SIDE, VOCABULARY - 1, np.int32), classes, np.full(SIDE, VOCABULARY - 1, np.int32)))
-    n = len(classes)
-    return np.stack([padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
+def _padded(classes: np.ndarray) -> np.ndarray:
+    outside = np.full(SIDE, VOCABULARY - 1, classes.dtype)
+    return np.concatenate((outside, classes, outside))
 
 
-def _train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, start: np.ndarray, slice_size: int) -> Iterator[pa.RecordBatch]:
-    net, held, size, total, tag = Network(start.copy()), [], 0, 0, 0
+def _contexts(padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Classes around the places of a padded sequence, left ones first."""
+    return [padded[at + k] for k in range(-SIDE, SIDE + 1) if k]
 
-    def steps(least: int):
-        """Steps over what is held, BATCH positions each, until fewer than `least` are left."""
-        nonlocal held, size, total
-        x, y = np.concatenate([x for x, _ in held], 1), np.concatenate([y for _, y in held])
-        at = 0
-        while size and size >= least:
-            n = min(BATCH, size)
-            net.step(x[:, at : at + n], y[at : at + n], RATE * n / BATCH)
-            at, size, total = at + n, size - n, total + n
-        held = [(x[:, at:], y[at:])]
 
+def _coded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of documents as classes, with SIDE more at either end that are context only."""
     for batch in batches:
-        for _, words in words_by_row(batch.column(0)):
+        keys, out = batch.column(0).to_numpy(), []
+        for row, words in words_by_row(batch.column(1)):
             if len(words):
-                c = vocabulary.classes(words)
-                tag ^= int(words[-1])
-                held.append((_contexts(c), c))
-                size += len(c)
-            if size >= BATCH:
-                steps(BATCH)
-    if size:
-        steps(1)
-    if total:
-        cuts = range(0, Network.SIZE, slice_size)
-        yield pa.record_batch({"slice": np.arange(len(cuts), dtype=np.int32), "part": np.full(len(cuts), tag % 64, np.int32), "n": np.full(len(cuts), float(total)), "v": pa.array([net.p[c : c + slice_size].tobytes() for c in cuts], pa.binary())})
+                c = _padded(vocabulary.classes(words).astype(np.int16))
+                for piece, at in enumerate(range(0, len(words), PIECE_WORDS)):
+                    out.append((keys[row], piece, c[at : at + PIECE_WORDS + 2 * SIDE].tobytes()))
+        key = np.array([k for k, *_ in out], np.int64)
+        bucket = ((key.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+        yield pa.record_batch({"turn": bucket % ROUNDS, "bucket": bucket, "key": key, "piece": pa.array([p for _, p, _ in out], pa.int32()), "c": pa.array([c for *_, c in out], pa.binary())})
+
+
+def _train(pieces: pa.Table, start: np.ndarray, slice_size: int) -> pa.Table:
+    """Parameters after steps from `start` over all positions of a bucket's pieces, in slices."""
+    pieces = pieces.sort_by([("key", "ascending"), ("piece", "ascending"), ("c", "ascending")])
+    parts = [np.frombuffer(c.as_buffer(), np.int16) for c in pieces["c"]]
+    stream, sizes = np.concatenate(parts).astype(np.int64), np.array([len(p) for p in parts])
+    inner = np.ones(len(stream), bool)
+    for k in range(SIDE):
+        inner[np.cumsum(sizes) - sizes + k] = inner[np.cumsum(sizes) - 1 - k] = False
+    places, net = np.flatnonzero(inner), Network(start.copy())
+    for at in range(0, len(places), BATCH):
+        p = places[at : at + BATCH]
+        net.step(_contexts(stream, p), stream[p], RATE * len(p) / BATCH)
+    cuts = range(0, Network.SIZE, slice_size)
+    bucket = pieces["bucket"][0].as_py()
+    return pa.table({"slice": np.arange(len(cuts), dtype=np.int32), "part": np.full(len(cuts), bucket // ROUNDS % 64, np.int32), "who": np.full(len(cuts), bucket, np.int32), "n": np.full(len(cuts), float(len(places))), "v": pa.array([net.p[c : c + slice_size].tobytes() for c in cuts], pa.binary())})
 
 
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("who")
     n = rows.n.sum()
     v = sum(np.frombuffer(v, np.float32).astype(np.float64) * k for v, k in zip(rows.v, rows.n)) / n
-    return pd.DataFrame({"slice": [rows.slice.iloc[0]], "n": [n], "v": [v.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"slice": rows.slice.iloc[:1], "who": rows.part.iloc[:1], "part": [0], "n": [n], "v": [v.astype(np.float32).tobytes()]})
 
 
 def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -202,9 +231,14 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndar
         n, total, held, size, rare = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [], 0, []
 
         def flush():
-            rows = np.concatenate([np.full(len(c), r) for r, _, c, _ in held])
-            c, words = np.concatenate([c for *_, c, _ in held]), np.concatenate([w for *_, w in held])
-            np.add.at(total, rows, net.log_prob(np.concatenate([x for _, x, *_ in held], 1), c).astype(np.float64))
+            rows, words = np.repeat([r for r, *_ in held], [len(w) for *_, w in held]), np.concatenate([w for *_, w in held])
+            stream = np.concatenate([c for _, c, _ in held]).astype(np.int64)
+            places = np.arange(len(words)) + SIDE * (1 + 2 * np.repeat(np.arange(len(held)), [len(w) for *_, w in held]))
+            c, got = stream[places], np.empty(len(words))
+            for at in range(0, len(words), 4096):
+                p = places[at : at + 4096]
+                got[at : at + 4096] = net.log_prob(_contexts(stream, p), stream[p])
+            total[:] += np.bincount(rows, got, len(total))
             shared = c >= OWN
             rows, words = rows[shared], words[shared]
             got, known = vocabulary.common_shares(words)
@@ -215,7 +249,7 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, p: np.ndar
             n[row] = len(words)
             if len(words):
                 c = vocabulary.classes(words)
-                held.append((row, _contexts(c), c, words))
+                held.append((row, _padded(c), words))
                 size += len(words)
             if size >= 1 << 14:
                 flush()
@@ -245,10 +279,10 @@ def _shares(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
         yield pa.record_batch({"h": to_signed(words[rare]), "share": vocabulary.share(words[rare], n[rare])})
 
 
-def fit(texts: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
-    """Vocabulary, parameters and (h, n) of all words from all texts; a corpus without words gives an untrained network."""
-    spark = texts.sparkSession
-    counts = written(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
+def fit(docs: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """Vocabulary, parameters and (h, n) of all words from (doc_id, text); a corpus without words gives an untrained network."""
+    spark = docs.sparkSession
+    counts = written(docs.select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
     top = counts.orderBy(F.desc("n"), "h").limit(OWN).toArrow()
     vocabulary = Vocabulary(top["h"].to_numpy().view(np.uint64))
     n = np.zeros(VOCABULARY)
@@ -262,23 +296,38 @@ def fit(texts: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
     if least is not None:
         common = counts.where(F.col("n") >= least).toArrow()
         vocabulary.keep_common(common["h"].to_numpy().view(np.uint64), common["n"].to_numpy())
-    start = Network(counts=n).p
-    slice_size = 1 << 12
-    shared = spark.sparkContext.broadcast((vocabulary, start))  # VOCABULARY + COMMON words and Network.SIZE floats
-    parts = texts.mapInArrow(lambda it: _train(it, *shared.value, slice_size), "slice int, part int, n double, v binary")
-    spec = "slice int, n double, v binary"
+    p = Network(counts=n).p
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    buckets = ROUNDS * max(1, -(-words // (ROUNDS * BUCKET_WORDS)))
+    shared = spark.sparkContext.broadcast(vocabulary)  # VOCABULARY + COMMON words
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    coded = written(keyed.mapInArrow(lambda it: _coded(it, shared.value, buckets), "turn int, bucket int, key long, piece int, c binary"), "lm-classes", "turn")
+    spec = "slice int, part int, who int, n double, v binary"
+    for turn in range(ROUNDS):
+        p = _round(coded.where(F.col("turn") == turn), p, spec)
+    drop_written(coded)
+    return vocabulary, p, counts
+
+
+def _round(pieces: DataFrame, p: np.ndarray, spec: str, slice_size: int = 1 << 12) -> np.ndarray:
+    start = pieces.sparkSession.sparkContext.broadcast(p)  # Network.SIZE floats
+    parts = pieces.groupBy("bucket").applyInArrow(lambda t: _train(t, start.value, slice_size), spec)
     some = parts.groupBy("slice", "part").applyInPandas(lambda x: _average(x), spec)
-    whole = written(some.groupBy("slice").applyInPandas(lambda x: _average(x), spec), "lm-parameters").orderBy("slice").toArrow()
-    return vocabulary, np.frombuffer(b"".join(whole["v"].to_pylist()), np.float32) if len(whole) else start, counts
+    whole = written(some.groupBy("slice").applyInPandas(lambda x: _average(x), spec), "lm-parameters")
+    rows = whole.orderBy("slice").toArrow()
+    drop_written(whole)
+    return np.frombuffer(b"".join(rows["v"].to_pylist()), np.float32) if len(rows) else p
 
 
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob), one row for each row of documents; higher is more like the corpus.
 
-    A null or empty text has no words and a score of 0. Words are runs of other than ASCII white space, A-Z as a-z.
+    A null or empty text has no words and a score of 0. Words are runs of other than ASCII white space, A-Z as a-z. Rows
+    that repeat an id, or have none, are documents of their own; all are trained on and scored whole, however long. Further
+    columns are left out. No documents: no rows.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary, p, counts = fit(docs.select("text"))
+    vocabulary, p, counts = fit(docs)
     model = documents.sparkSession.sparkContext.broadcast((vocabulary, p))
     scored = docs.mapInArrow(lambda it: _score(it, *model.value), "doc_id long, n_words long, log_prob double, rest array<long>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")

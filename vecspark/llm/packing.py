@@ -67,6 +67,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, size: int) -
                 crc.append(zlib.crc32(part))
                 total.append(n)
         yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total, pa.int64())})
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no more than its memo
 
 
 def _segments(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:

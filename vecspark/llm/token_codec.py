@@ -178,6 +178,7 @@ def _spool(batches: Iterator[pa.RecordBatch], path: str, end: int, folder: str)
                     close()
         if ids:
             close()
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no more than its memo
     if any_row:
         at = np.flatnonzero(total)
         yield pa.record_batch({"shard": np.full(1, shard, np.int32), "file": [name], "ids": pa.array([at.tolist()], pa.list_(pa.int64())), "counts": pa.array([total[at].tolist()], pa.list_(pa.int64()))})

@@ -20,7 +20,7 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _MARK = "\x01"  # stands between words that are encoded as one text
 
 #: Bytes of text that are taken together; a longer text comes alone.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
 
 
 def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ class _Memo:
 class WordEncoder:
     """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers; null is empty."""
 
-    def __init__(self, path: str, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, most_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -35,8 +35,8 @@ WIDTH = 32
 SIDE = 2
 #: Words whose shares are broadcast, at most; where they come from does not change a score.
 COMMON = 1 << 18
-BATCH = 1024
-RATE = 1.0
+BATCH = 2048
+RATE = 2.0
 ROUNDS = 4
 #: Words of a bucket, about: their number grows with the corpus.
 BUCKET_WORDS = 1 << 21

@@ -97,28 +97,50 @@ def test_codecs(points):
     assert codecs.pack_nibbles(np.array([[1, 2, 3]], np.uint8)).tolist() == [[33, 3]]
 
 
-CANDIDATES = [dict(uid=0, record_bytes=20, indegree=3, live_degree=5, hop=2), dict(uid=1, record_bytes=15, indegree=5, live_degree=3, hop=3), dict(uid=2, record_bytes=10, indegree=0, live_degree=100, hop=1), dict(uid=3, record_bytes=8, indegree=1, live_degree=1, hop=0)]
+# The records of the golden cases of selection, and what each policy must choose.
+CANDIDATES = [dict(uid=0, record_bytes=20, indegree=3, live_degree=5, hop=2), dict(uid=1, record_bytes=15, indegree=5, live_degree=3, hop=1), dict(uid=2, record_bytes=10, indegree=0, live_degree=100, hop=3), dict(uid=3, record_bytes=8, indegree=1, live_degree=1, hop=0)]
 
 
 @pytest.mark.parametrize("policy,requested,chosen", [("benefit", 135, [2, 1, 3]), ("indegree", 143, [1, 0, 3]), ("hop", 133, [3, 1, 2])])
 def test_budget_goldens(spark, policy, requested, chosen):
     got = layout.select_records(CANDIDATES, requested, 100, policy)
     rows = spark.createDataFrame(CANDIDATES, "uid long, record_bytes long, indegree long, live_degree long, hop long")
-    same = [r["uid"] for r in layout.budget_select(rows, requested, 100, policy).orderBy("compact_idx").collect()]
-    if policy == "hop":
-        chosen = same  # the walk in order of depth
+    same = [r["uid"] for r in layout.budget_select(rows, requested, 100, policy, lambda df: df.persist()).orderBy("compact_idx").collect()]
     assert got["uids"] == chosen == same
     assert got["admitted"] + got["unused"] == requested
+    if policy == "benefit":
+        assert (got["record_bytes"], got["admitted"], got["unused"], got["benefit"]) == (33, 133, 2, 120)
+    else:
+        assert got["admitted"] == requested
+
+
+def test_budget_ties_and_ranges(spark):
+    tied = [dict(uid=u, record_bytes=z, indegree=i, live_degree=5, hop=0) for u, z, i in ((0, 10, 1), (1, 20, 3), (2, 20, 3))]
+    assert layout.select_records(tied, 150, 100, "benefit")["uids"] == [1, 2, 0]
+    rng = np.random.Generator(np.random.PCG64(2))
+    many = [dict(uid=u, record_bytes=int(rng.integers(1, 90)), indegree=int(rng.integers(0, 9)), live_degree=int(rng.integers(1, 9)), hop=None if u % 7 == 0 else u % 5) for u in range(400)]
+    rows = spark.createDataFrame(many, "uid long, record_bytes long, indegree long, live_degree long, hop long")
+    for policy in ("benefit", "indegree", "hop"):
+        for requested in (150, 3000, 99999):
+            got = layout.budget_select(rows, requested, 100, policy, lambda df: df.persist()).orderBy("compact_idx").collect()
+            assert [r["uid"] for r in got] == layout.select_records(many, requested, 100, policy)["uids"]
+            assert [r["compact_idx"] for r in got] == list(range(len(got)))
 
 
 def test_budget_errors():
     for requested, rows in ((99, CANDIDATES), (107, CANDIDATES), (200, [CANDIDATES[1]]), (200, [CANDIDATES[0] | {"record_bytes": 0}])):
         with pytest.raises(layout.BudgetError):
             layout.select_records(rows, requested, 100, "benefit")
-    assert layout.parse_budget("") is None and layout.parse_budget("2147483648") == 2147483648
+    assert layout.parse_budget(None) == layout.parse_budget("") == layout.parse_budget("0") == 0 and layout.parse_budget("2147483648") == 2147483648
     for bad in ("-1", "1GiB", str(2**64)):
         with pytest.raises(layout.BudgetError):
             layout.parse_budget(bad)
+    assert layout.parse_policy(None) == "hop" and layout.parse_policy("indeg") == "indegree" and layout.parse_policy("benefit") == "benefit"
+    with pytest.raises(layout.BudgetError):
+        layout.parse_policy("frequency")
+    with pytest.raises(layout.BudgetError):
+        layout.select_records([CANDIDATES[0] | {"indegree": 2**64 - 1, "live_degree": 2}], 200, 100, "benefit")
+    assert layout.select_with_map(CANDIDATES, 153, 100, 20, "benefit")["admitted"] == 153
     assert not layout.select_with_map(CANDIDATES, 153, 100, 20, "benefit")["map"]
     assert layout.select_with_map(CANDIDATES, 152, 100, 20, "benefit")["admitted"] <= 152
 
@@ -200,7 +222,7 @@ def test_run_readers(spark, tmp_path):
 def test_catalogue_runs(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 500
+    assert entry.entry(spark).count() == 250
     for name in ("exact_knn_ip", "sq4_encode", "budget_select_hop", "gate_matrix", "stream_knn"):
         entry.queries()[name](spark, "/root/testdata/sf0.001").count()
 
@@ -220,3 +242,21 @@ def test_searches_without_sql_ask_for_a_share_of_the_table(spark, points, tmp_pa
 
     table(spark, points).withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert catalogue.ann_recall(spark, str(tmp_path)).first()["queries"] == 6
+
+
+def test_exact_search_leaves_out_what_has_no_distance(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (None, [0.0, 0.0]), (8, [1.0, 0.0])]
+    base = spark.createDataFrame(rows, VECTORS)
+    for search in (exact.knn, exact.knn_blocks):
+        got = sorted(map(tuple, search(base, base, 2).select("query_id", "rank", "vec_id", "distance").collect()))
+        assert got == [(0, 1, 0, 0.0), (0, 2, 1, 1.0), (1, 1, 1, 0.0), (1, 2, 8, 0.0), (4, 1, 4, 0.0), (8, 1, 1, 0.0), (8, 2, 8, 0.0)]
+
+
+def test_blocks_of_any_size_agree(spark, points, monkeypatch):
+    base = table(spark, points)
+    want = sorted(map(tuple, exact.knn(base, base, 5).collect()))
+    assert sorted(map(tuple, exact.knn_blocks(base, base, 5, block=17, query_block=11).collect())) == want
+    inside = sorted(map(tuple, exact.range_search(base, base, 20.0).collect()))
+    monkeypatch.setattr(exact, "MOST_BROADCAST", 50)
+    assert sorted(map(tuple, exact.knn(base, base, 5).collect())) == want
+    assert sorted(map(tuple, exact.range_search(base, base, 20.0).collect())) == inside

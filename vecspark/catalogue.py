@@ -1,6 +1,6 @@
 """The registered queries of the vector engine and their SQL counterparts.
 
-Inputs: embeddings are the base, those with vec_id < 50 the queries (without SQL, those with vec_id % 20 = 0); events stand in for run records and query traces
+Inputs: embeddings are the base, those with vec_id % 20 = 0 the queries; events stand in for run records and query traces
 (value as latency or throughput, user_id as worker, event_type as configuration, event_id mod 5 as repeat).
 """
 
@@ -40,11 +40,7 @@ def _base(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(base: DataFrame) -> DataFrame:
-    return base.where("vec_id < 50")
-
-
-def _searches(base: DataFrame) -> DataFrame:
-    """The query set of searches without SQL, which grows with the table."""
+    """The query set of all searches: it grows with the table."""
     return base.where("vec_id % 20 = 0")
 
 
@@ -57,10 +53,19 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is named, a temporary one if the session is local, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vecspark-")
+    return root
+
+
 def _cut(spark: SparkSession):
-    """Cuts lineage: a table in the shared folder, or in a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecspark-")
-    made = [0]
+    """Cuts lineage: a table in the shared folder."""
+    root, made = _shared(spark), [0]
 
     def write(df: DataFrame) -> DataFrame:
         made[0] += 1
@@ -90,7 +95,7 @@ def _ip(a: str, b: str) -> str:
 def _knn_sql(table: str, distance: str, k: int = 10) -> str:
     return f"""SELECT query_id, rank, vec_id, distance FROM (
       SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank
-      FROM (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {distance} AS distance FROM {table} q CROSS JOIN {table} b WHERE q.vec_id < 50))
+      FROM (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {distance} AS distance FROM {table} q CROSS JOIN {table} b WHERE q.vec_id % 20 = 0))
     WHERE rank <= {k}"""
 
 
@@ -113,7 +118,7 @@ def _sq_sql(bits: int) -> str:
 _SQ_D = "list_sum(list_transform(list_zip(q.code, b.code, b.scale), lambda p: (CAST(p[1] - p[2] AS DOUBLE) * p[3]) * (CAST(p[1] - p[2] AS DOUBLE) * p[3])))"
 _SQ_KNN = f"""sqknn AS (SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, distance FROM (
   SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r
-  FROM (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {_SQ_D} AS distance FROM codes q CROSS JOIN codes b WHERE q.vec_id < 50)))"""
+  FROM (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {_SQ_D} AS distance FROM codes q CROSS JOIN codes b WHERE q.vec_id % 20 = 0)))"""
 T_VALUES = ", ".join(f"({i + 1}, {t})" for i, t in enumerate(stats.T95))
 
 
@@ -138,16 +143,23 @@ def knn_partition_merge(spark, d):
     return exact.knn_blocks(_queries(base), base, 10)
 
 
-@_query("range_search_l2", f"SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {_l2('q.embedding', 'b.embedding')} AS distance FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id < 50 AND {_l2('q.embedding', 'b.embedding')} <= 1.2")
+@_query("range_search_l2", f"SELECT q.vec_id AS query_id, b.vec_id AS vec_id, {_l2('q.embedding', 'b.embedding')} AS distance FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id % 20 = 0 AND {_l2('q.embedding', 'b.embedding')} <= 1.2")
 def range_search_l2(spark, d):
     base = _base(spark, d)
     return exact.range_search(_queries(base), base, 1.2)
 
 
-@_query("spot_check", f"WITH t AS ({KNN_L2}) SELECT query_id, count(*) AS overlap, true AS exact FROM t GROUP BY query_id")
+_HALF = _knn_sql("embeddings", _l2("q.embedding", "b.embedding")).replace("WHERE q.vec_id % 20 = 0", "WHERE q.vec_id % 20 = 0 AND (b.vec_id % 2 = 0 OR q.vec_id % 40 = 0)")
+
+
+@_query("spot_check", f"""WITH t AS ({KNN_L2}), s AS ({_HALF}), o AS (SELECT s.query_id, count(t.vec_id) AS overlap, count(t.vec_id) = 10 AND count(*) = 10 AS exact FROM s LEFT JOIN t USING (query_id, vec_id) GROUP BY 1)
+ SELECT *, (SELECT min(overlap) FROM o) AS min_overlap, (SELECT CASE WHEN bool_and(exact) THEN 'match' ELSE 'mismatch' END FROM o) AS status FROM o""")
 def spot_check(spark, d):
+    """The stated truth of every second query lacks the odd vectors."""
     base = _base(spark, d)
-    return exact.spot_check(exact.knn_blocks(_queries(base), base, 10), exact.knn(_queries(base), base, 10))
+    q = _queries(base)
+    stated = exact.knn(q.where("vec_id % 40 = 0"), base, 10).union(exact.knn(q.where("vec_id % 40 <> 0"), base.where("vec_id % 2 = 0"), 10))
+    return exact.spot_check(stated, exact.knn_blocks(q, base, 10))
 
 
 @_query("round_robin_share", "SELECT vec_id, label FROM embeddings WHERE vec_id % 4 = 1")
@@ -184,7 +196,7 @@ def _sq8(base):
 
 @_query("sq8_knn", f"WITH {_sq_sql(8)}, {_SQ_KNN} SELECT * FROM sqknn WHERE rank <= 10")
 def sq8_knn(spark, d):
-    return codecs.sq_knn(_sq8(_base(spark, d)), F.col("vec_id") < 50, 10)
+    return codecs.sq_knn(_sq8(_base(spark, d)), F.col("vec_id") % 20 == 0, 10)
 
 
 _RERANK = f"""reranked AS (SELECT s.query_id, s.vec_id, {_l2('q.embedding', 'b.embedding')} AS distance FROM sqknn s
@@ -193,7 +205,7 @@ _RERANK = f"""reranked AS (SELECT s.query_id, s.vec_id, {_l2('q.embedding', 'b.e
 
 
 def _sq8_reranked(base):
-    near = codecs.sq_knn(_sq8(base), F.col("vec_id") < 50, 32).select("query_id", "vec_id")
+    near = codecs.sq_knn(_sq8(base), F.col("vec_id") % 20 == 0, 32).select("query_id", "vec_id")
     q = _queries(base).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     both = near.join(F.broadcast(q), "query_id").join(base.select("vec_id", "embedding"), "vec_id")
     return exact.ranked(both.select("query_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("distance")), 10)
@@ -210,14 +222,18 @@ def sq8_recall_at_10(spark, d):
     return exact.recall(_sq8_reranked(base), exact.knn(_queries(base), base, 10), 10)
 
 
-_BOOKS = "books AS (SELECT j, vec_id AS c, embedding[j * 8 + 1 : j * 8 + 8] AS centroid FROM embeddings, range(8) t(j) WHERE vec_id < 16)"
-_PQ = f"""{_BOOKS}, parts AS (SELECT vec_id, j, embedding[j * 8 + 1 : j * 8 + 8] AS x FROM embeddings, range(8) t(j)),
+_PQ = f"""seeds AS (SELECT j, vec_id AS c, embedding[j * 8 + 1 : j * 8 + 8] AS centroid FROM embeddings, range(8) t(j) WHERE vec_id < 16),
+ parts AS (SELECT vec_id, j, embedding[j * 8 + 1 : j * 8 + 8] AS x FROM embeddings, range(8) t(j)),
+ owned AS (SELECT p.vec_id, p.j, p.x, arg_min(s.c, {{'d': {_l2('p.x', 's.centroid')}, 'c': s.c}}) AS c FROM parts p JOIN seeds s USING (j) GROUP BY ALL),
+ flat AS (SELECT j, c, generate_subscripts(x, 1) AS i, CAST(unnest(x) AS DOUBLE) AS x FROM owned),
+ means AS (SELECT j, c, list(m ORDER BY i) AS centroid FROM (SELECT j, c, i, round(avg(x), 6) AS m FROM flat GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ books AS (SELECT s.j, s.c, coalesce(m.centroid, list_transform(s.centroid, lambda v: CAST(v AS DOUBLE))) AS centroid FROM seeds s LEFT JOIN means m USING (j, c)),
  pq AS (SELECT vec_id, j, c AS code FROM (SELECT p.vec_id, p.j, b.c, row_number() OVER (PARTITION BY p.vec_id, p.j ORDER BY {_l2('p.x', 'b.centroid')}, b.c) AS r FROM parts p JOIN books b USING (j)) WHERE r = 1)"""
 
 
 def _books(base):
-    rows = base.where("vec_id < 16").select(F.col("vec_id").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), "embedding")
-    return rows.select("j", "c", F.slice("embedding", F.col("j") * 8 + 1, F.lit(8)).alias("centroid"))
+    """A codebook for each of eight sub-spaces: one step of k-means over all vectors, from the parts of 16 of them."""
+    return codecs.pq_step(base, codecs.pq_seeds(base.where("vec_id < 16"), 8))
 
 
 @_query("pq_encode", f"WITH {_PQ} SELECT vec_id, CAST(j AS INTEGER) AS j, code FROM pq")
@@ -226,18 +242,13 @@ def pq_encode(spark, d):
     return codecs.pq_encode_columns(base, _books(base))
 
 
-@_query("pq_adc_knn", f"""WITH {_PQ}, lut AS (SELECT q.vec_id AS query_id, q.j, b.c, {_l2('q.x', 'b.centroid')} AS d FROM parts q JOIN books b USING (j) WHERE q.vec_id < 50),
+@_query("pq_adc_knn", f"""WITH {_PQ}, lut AS (SELECT q.vec_id AS query_id, q.j, b.c, {_l2('q.x', 'b.centroid')} AS d FROM parts q JOIN books b USING (j) WHERE q.vec_id % 20 = 0),
  scored AS (SELECT query_id, vec_id, list_sum(list(d ORDER BY l.j)) AS distance FROM lut l JOIN pq p ON l.j = p.j AND l.c = p.code GROUP BY 1, 2)
  SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM scored) WHERE r <= 10""")
 def pq_adc_knn(spark, d):
     base = _base(spark, d)
     books = _books(base)
-    codes = codecs.pq_encode_columns(base, books)
-    q = _queries(base).select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), "embedding")
-    lut = q.join(F.broadcast(books), "j").select("query_id", "j", F.col("c").alias("code"), l2(F.slice("embedding", F.col("j") * 8 + 1, F.lit(8)), F.col("centroid")).alias("d"))
-    parts = F.array_sort(F.collect_list(F.struct("j", "d")))
-    scored = codes.join(F.broadcast(lut), ["j", "code"]).groupBy("query_id", "vec_id").agg(F.aggregate(parts, F.lit(0.0), lambda t, x: t + x["d"]).alias("distance"))
-    return exact.ranked(scored, 10)
+    return codecs.pq_adc_knn(_queries(base), codecs.pq_encode_columns(base, books), books, 10)
 
 
 # --- graph ------------------------------------------------------------------------------------------------------
@@ -281,7 +292,7 @@ def hop_distance(spark, d):
     return graph.hop_distance(base, cut(_graph(base)), 0, cut)
 
 
-def _ann(spark, d, queries=_searches, **how):
+def _ann(spark, d, queries=_queries, **how):
     base = _base(spark, d)
     index = graph.build(base, m=8, ef=32)
     return graph.search(queries(base).coalesce(8), index, 10, **how).select("query_id", "rank", "vec_id", "distance", "hops", "scored"), base, index
@@ -310,7 +321,7 @@ def ann_search_slab(spark, d):
     base = _base(spark, d)
     index = graph.build(base, m=8, ef=32)
     codec = codecs.RotatedCode.fit(index.vectors, 4)
-    return graph.search(_searches(base).coalesce(8), index, 10, ef=64, code=graph.CodedVectors(codec, codec.encode(index.vectors)))
+    return graph.search(_queries(base).coalesce(8), index, 10, ef=64, code=graph.CodedVectors(codec, codec.encode(index.vectors)))
 
 
 @_query("ann_search_blocks")
@@ -321,13 +332,13 @@ def ann_search_blocks(spark, d):
     index = graph.build(base, m=8, ef=32)
     adjacency = [list(map(int, index.levels[0].get(s, ()))) for s in range(len(index.ids))]
     index.block = np.array(layout.refine_blocks(adjacency, layout.pack_blocks(adjacency, index.entry, 32), 32))
-    return graph.search(_searches(base).coalesce(8), index, 10, ef=64, blocks=True)
+    return graph.search(_queries(base).coalesce(8), index, 10, ef=64, blocks=True)
 
 
 @_query("ann_recall")
 def ann_recall(spark, d):
     found, base, _ = _ann(spark, d, ef=64)
-    return exact.recall(found, exact.knn(_searches(base), base, 10), 10)
+    return exact.recall(found, exact.knn(_queries(base), base, 10), 10)
 
 
 @_query("ann_cost")
@@ -359,7 +370,7 @@ def record_bytes(spark, d):
 @_query("hotset_fraction", f"WITH {GRAPH}, deg AS (SELECT e.vec_id, count(g.dst) AS n FROM embeddings e LEFT JOIN graph g ON g.dst = e.vec_id GROUP BY e.vec_id) SELECT vec_id, CAST(r AS INTEGER) AS rank FROM (SELECT vec_id, row_number() OVER (ORDER BY n DESC, vec_id) AS r FROM deg) WHERE r <= (SELECT greatest(1, CAST(floor(0.1::DOUBLE * count(*) + 0.5) AS BIGINT)) FROM embeddings)")
 def hotset_fraction(spark, d):
     base = _base(spark, d)
-    return layout.hot_set(graph.in_degree(base, _graph(base)), 0.1, "indegree", True)
+    return layout.hot_set(graph.in_degree(base, _graph(base)), 0.1, "indegree", True, _cut(spark))
 
 
 def _candidates(base, cut):
@@ -383,10 +394,11 @@ def _budget(policy: str, order: str):
 
     @_query(f"budget_select_{policy}", sql)
     def select(spark, d):
-        return layout.budget_select(_candidates(_base(spark, d), _cut(spark)), 5000, 1000, policy)
+        cut = _cut(spark)
+        return layout.budget_select(_candidates(_base(spark, d), cut), 5000, 1000, policy, cut)
 
 
-_budget("benefit", "CAST((indegree + 1) * live AS DECIMAL(38,18)) / z DESC, (indegree + 1) * live DESC, uid")
+_budget("benefit", "(indegree + 1) * live // z DESC, CAST((indegree + 1) * live % z AS HUGEINT) * 100000000000000000000 // z DESC, (indegree + 1) * live DESC, uid")
 _budget("indegree", "indegree DESC, uid")
 _budget("hop", "hop IS NULL, hop, uid")
 
@@ -429,15 +441,21 @@ def touched_set(spark, d):
     return layout.touched(base.where(F.col("vec_id") >= 0.9 * base.count()), _graph(base))
 
 
-@_query("refresh_equals_rebuild", "SELECT CAST(0 AS BIGINT) AS differing")
+_BEFORE = GRAPH.replace("graph AS", "older AS").replace("ON a.vec_id <> b.vec_id", "ON a.vec_id <> b.vec_id WHERE a.vec_id < 0.9 * (SELECT count(*) FROM embeddings) AND b.vec_id < 0.9 * (SELECT count(*) FROM embeddings)")
+
+
+@_query("refresh_equals_rebuild", f"""WITH {GRAPH}, {_BEFORE}, fresh AS (SELECT vec_id FROM embeddings WHERE vec_id >= 0.9 * (SELECT count(*) FROM embeddings)),
+ touched AS (SELECT vec_id FROM fresh UNION SELECT dst FROM graph WHERE src IN (SELECT vec_id FROM fresh)),
+ now AS (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY pos) AS l FROM graph GROUP BY src), past AS (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY pos) AS l FROM older GROUP BY src)
+ SELECT (SELECT count(*) FROM fresh) AS inserts, (SELECT count(*) FROM touched) AS touched, round((SELECT count(*) FROM touched) / (SELECT count(*) FROM fresh)::DOUBLE, 9) AS records_per_insert,
+  round((SELECT count(*) FROM touched) / (SELECT count(*) FROM embeddings)::DOUBLE, 9) AS read_fraction, (SELECT count(*) FROM now n JOIN past p USING (src) WHERE n.l <> p.l AND src NOT IN (SELECT vec_id FROM touched)) AS differing""")
 def refresh_equals_rebuild(spark, d):
-    """Old records with only the touched ones made anew equal a full rebuild of them."""
+    """Records of the graph before a tenth of the vectors came, with the touched ones made anew, against a full rebuild."""
     base, cut = _base(spark, d), _cut(spark)
-    edges = cut(_graph(base))
-    full = layout.slab(edges)
-    t = layout.touched(base.where(F.col("vec_id") >= 0.9 * base.count()), edges).withColumnRenamed("vec_id", "src")
-    after = layout.refreshed(full, layout.slab(edges.join(t, "src", "left_semi")))
-    return full.exceptAll(after).union(after.exceptAll(full)).agg(F.count(F.lit(1)).alias("differing"))
+    first = 0.9 * base.count()
+    fresh, edges = base.where(F.col("vec_id") >= first), cut(_graph(base))
+    old = layout.slab(cut(_graph(base.where(F.col("vec_id") < first))))
+    return layout.refresh_report(old, layout.slab(edges), fresh, edges)
 
 
 @_query("overlap_ratio", f"WITH {GRAPH} SELECT count(*) AS links, CAST(sum(CASE WHEN src // 32 = dst // 32 THEN 1 ELSE 0 END) AS BIGINT) AS inside, sum(CASE WHEN src // 32 = dst // 32 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS overlap FROM graph")
@@ -461,23 +479,31 @@ def zipf_workload(spark, d):
     return workload.zipf_counts(spark, 100, 1000, 1.0)
 
 
-_CENTROIDS = "cents AS (SELECT vec_id AS c, embedding AS centroid FROM embeddings WHERE vec_id % 100 = 0 AND vec_id < 500)"
+_CENTROIDS = f"""seeds AS (SELECT vec_id AS c, embedding AS centroid FROM embeddings WHERE vec_id % 100 = 0 AND vec_id < 500),
+ owned AS (SELECT e.vec_id, e.embedding AS x, arg_min(s.c, {{'d': {_l2('e.embedding', 's.centroid')}, 'c': s.c}}) AS c FROM embeddings e, seeds s GROUP BY ALL),
+ flat AS (SELECT c, generate_subscripts(x, 1) AS i, CAST(unnest(x) AS DOUBLE) AS x FROM owned),
+ cents AS (SELECT c, list(m ORDER BY i) AS centroid FROM (SELECT c, i, round(avg(x), 6) AS m FROM flat GROUP BY 1, 2) GROUP BY 1)"""
 
 
-def _centroids(base):
+def _seeds(base):
     return base.where("vec_id % 100 = 0 and vec_id < 500").select(F.col("vec_id").alias("c"), F.col("embedding").alias("centroid"))
 
 
+def _centroids(base):
+    """Of five nodes: one step of k-means over all vectors, from five of them."""
+    return workload.kmeans_step(base, _seeds(base))
+
+
 @_query("nearest_centroid_route", f"WITH {_CENTROIDS} SELECT e.vec_id, list(c.c ORDER BY {_l2('e.embedding', 'c.centroid')}, c.c) AS destinations FROM embeddings e, cents c GROUP BY e.vec_id")
 def nearest_centroid_route(spark, d):
     base = _base(spark, d)
     return workload.nearest_centroid(base, _centroids(base))
 
 
-@_query("kmeans_lloyd_step", f"WITH {_CENTROIDS}, o AS (SELECT e.vec_id, arg_min(c.c, {{'d': {_l2('e.embedding', 'c.centroid')}, 'c': c.c}}) AS c FROM embeddings e, cents c GROUP BY e.vec_id) SELECT c, count(*) AS members FROM o GROUP BY c")
+@_query("kmeans_lloyd_step", f"WITH {_CENTROIDS} SELECT c, count(*) AS members FROM owned GROUP BY c")
 def kmeans_lloyd_step(spark, d):
     base = _base(spark, d)
-    owner = workload.nearest_centroid(base, _centroids(base)).select("vec_id", F.element_at("destinations", 1).alias("c"))
+    owner = workload.nearest_centroid(base, _seeds(base)).select("vec_id", F.element_at("destinations", 1).alias("c"))
     return owner.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
 
 
@@ -574,13 +600,18 @@ def matched_recall_headline(spark, d):
     return evaluation.headline(pairs, "dataset").select("dataset", *[F.round(c, 6).alias(c) for c in ("recall", "speedup", "reduction")])
 
 
-@_query("design_advisor", f"""WITH {_RUNS}, t(df, crit) AS (VALUES {T_VALUES}), c AS (SELECT event_type AS candidate_id, avg(qps) AS mean, avg(qps) - coalesce(max(crit), 1.96) * stddev_samp(qps) / sqrt(count(*)) AS ci_low, max(slowest) AS top FROM runs, t WHERE df = 9 GROUP BY 1),
- j AS (SELECT *, CASE WHEN top > (SELECT quantile_disc(value, 1.0) FROM events) - 0.0 THEN NULL END AS rejection FROM c)
- SELECT candidate_id, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, CAST(rejection AS VARCHAR) AS rejection, row_number() OVER (ORDER BY ci_low DESC, mean DESC, candidate_id) = 1 AS winner FROM j""")
+@_query("design_advisor", f"""WITH {_RUNS}, t(df, crit) AS (VALUES {T_VALUES}), c AS (SELECT event_type || variant AS candidate_id, any_value(event_type) AS e, avg(qps) AS mean, avg(qps) - any_value(crit) * stddev_samp(qps) / sqrt(count(*)) AS ci_low, max(slowest) AS top, max(queries) AS posts FROM runs, t WHERE df = 4 GROUP BY 1),
+ j AS (SELECT *, CASE WHEN e = 'error' THEN 'recall' WHEN top > (SELECT max(slowest) - 1 FROM runs) THEN 'bytes above limit' WHEN e = 'view' THEN 'posts missing' WHEN posts > 1e9 THEN 'posts above limit' END AS rejection FROM c)
+ SELECT candidate_id, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, rejection, rejection IS NULL AND row_number() OVER (ORDER BY rejection IS NOT NULL, ci_low DESC, mean DESC, candidate_id) = 1 AS winner FROM j""")
 def design_advisor(spark, d):
-    c = _runs(spark, d).groupBy(F.col("event_type").alias("candidate_id")).agg(F.collect_list("qps").alias("qps_samples"), F.lit(0.95).alias("recall"), F.create_map(F.lit("bytes"), F.max("slowest")).alias("resources"))
-    rows = evaluation.advise(c, 0.9, {"bytes": 1e18})
-    return rows.select("candidate_id", F.round("mean", 6).alias("mean"), F.round("ci_low", 6).alias("ci_low"), F.col("rejection").cast("string").alias("rejection"), "winner")
+    """Ten candidates; some lack recall, one is above the limit of bytes, some do not state their posts."""
+    runs = _runs(spark, d)
+    most = runs.agg(F.max("slowest")).first()[0] - 1
+    c = runs.groupBy("event_type", "variant").agg(F.collect_list("qps").alias("qps_samples"), F.max("slowest").alias("bytes"), F.max("queries").cast("double").alias("posts"))
+    stated = F.when(F.col("event_type") == "view", F.create_map(F.lit("bytes"), "bytes")).otherwise(F.create_map(F.lit("bytes"), "bytes", F.lit("posts"), "posts"))
+    c = c.select(F.concat("event_type", "variant").alias("candidate_id"), "qps_samples", F.when(F.col("event_type") == "error", 0.85).otherwise(0.95).alias("recall"), stated.alias("resources"))
+    rows = evaluation.advise(c, 0.9, {"bytes": most, "posts": 1e9})
+    return rows.select("candidate_id", F.round("mean", 6).alias("mean"), F.round("ci_low", 6).alias("ci_low"), "rejection", "winner")
 
 
 @_query("heldout_validation", f"""WITH {_RUNS}, c AS (SELECT event_type, avg(qps) FILTER (repeat <= 2) AS train, avg(qps) FILTER (repeat > 2) AS test FROM runs GROUP BY 1), p AS (SELECT test AS chosen FROM c ORDER BY train DESC, event_type LIMIT 1)
@@ -640,8 +671,9 @@ def monotone_check(spark, d):
 
 @_query("latency_cdf", "SELECT event_type, bucket, count(*) AS n FROM (SELECT event_type, CAST(ceil(10 * cume_dist() OVER (PARTITION BY event_type ORDER BY value)) AS BIGINT) AS bucket FROM events) GROUP BY 1, 2")
 def latency_cdf(spark, d):
-    cdf = F.cume_dist().over(W.partitionBy("event_type").orderBy("value"))
-    return _events(spark, d).select("event_type", F.ceil(10 * cdf).alias("bucket")).groupBy("event_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    by_value = _events(spark, d).groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    cdf = F.sum("n").over(W.partitionBy("event_type").orderBy("value")) / F.sum("n").over(W.partitionBy("event_type"))
+    return by_value.select("event_type", "n", F.ceil(10 * cdf).alias("bucket")).groupBy("event_type", "bucket").agg(F.sum("n").alias("n"))
 
 
 @_query("weighted_recall_qps", f"WITH {_RUNS} SELECT event_type, round(sum(qps * queries) / sum(queries), 6) AS weighted, round(sum(queries) / max(slowest), 6) AS qps FROM runs GROUP BY 1")
@@ -654,7 +686,6 @@ def stream_knn(spark, d):
     from .streaming.search import stream_knn as run
 
     base = _base(spark, d)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecspark-")
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     _queries(base).write.parquet(f"{folder}/in")
     return run(spark, f"{folder}/in", base, f"{folder}/out", f"{folder}/state").select("query_id", "rank", "vec_id", "distance")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 
 from pyspark.sql import functions as F
 
-from .exact import ranked
+from ..functions.distance import l2
+from .exact import few, ranked
 
 
 # --- scalar -----------------------------------------------------------------------------------------------------
@@ -44,6 +45,8 @@ def sq_distance(a: Column, b: Column, scale: Column) -> Column:
 def sq_knn(codes: DataFrame, is_query: Column, k: int) -> DataFrame:
     """Nearest by codes alone; query and base are both coded. The estimate is of squared L2 whatever the metric."""
     q = codes.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
+    if not few(q):
+        raise ValueError("coded search takes a few thousand queries at a time")
     scored = codes.crossJoin(F.broadcast(q)).select("query_id", "vec_id", sq_distance(F.col("q"), F.col("code"), F.col("scale")).alias("distance"))
     return ranked(scored, k)
 
@@ -157,11 +160,40 @@ class RotatedCode:
         return np.concatenate([np.packbits(index >> b & 1, axis=1, bitorder="little") for b in range(bits)], 1)
 
 
+def pq_parts(vectors: DataFrame, m: int) -> DataFrame:
+    """(vec_id, j, x): the m parts of each vector."""
+    wide = F.floor(F.size("embedding") / m).cast("int")
+    part = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.struct(j.alias("j"), F.slice("embedding", j * wide + 1, wide).alias("x")))
+    return vectors.select("vec_id", F.explode(part).alias("p")).select("vec_id", "p.j", "p.x")
+
+
+def pq_seeds(some: DataFrame, m: int) -> DataFrame:
+    """A codebook (j, c, centroid) of the parts of a few vectors."""
+    return pq_parts(some, m).select("j", F.col("vec_id").alias("c"), F.transform("x", lambda v: v.cast("double")).alias("centroid"))
+
+
+def _parts_of(books: DataFrame) -> int:
+    return books.agg(F.max("j") + 1).first()[0]
+
+
 def pq_encode_columns(vectors: DataFrame, books: DataFrame) -> DataFrame:
-    """(vec_id, j, code): nearest centroid of each sub-space, the lowest on ties. books: (j, c, centroid), small."""
-    m = books.agg(F.max("j") + 1).first()[0]
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.struct(j.alias("j"), F.slice("embedding", j * F.floor(F.size("embedding") / m).cast("int") + 1, F.floor(F.size("embedding") / m).cast("int")).alias("x"))))
-    parts = vectors.select("vec_id", part.alias("p")).select("vec_id", "p.j", "p.x")
-    d = F.aggregate(F.zip_with("x", "centroid", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, v: t + v)
-    scored = parts.join(F.broadcast(books), "j").select("vec_id", "j", "c", d.alias("d"))
+    """(vec_id, j, code): nearest centroid of each sub-space, the lowest on ties. books: (j, c, centroid), 256 a sub-space at most."""
+    scored = pq_parts(vectors, _parts_of(books)).join(F.broadcast(books), "j").select("vec_id", "j", "c", l2(F.col("x"), F.col("centroid")).alias("d"))
     return scored.groupBy("vec_id", "j").agg(F.min_by("c", F.struct("d", "c")).alias("code"))
+
+
+def pq_step(vectors: DataFrame, books: DataFrame, digits: int = 6) -> DataFrame:
+    """One step of k-means in every sub-space over all vectors: means, to so many digits; a centroid without vectors stays."""
+    owned = pq_parts(vectors, _parts_of(books)).join(pq_encode_columns(vectors, books), ["vec_id", "j"])
+    flat = owned.select("j", F.col("code").alias("c"), F.posexplode("x").alias("i", "v")).groupBy("j", "c", "i").agg(F.round(F.avg(F.col("v").cast("double")), digits).alias("v"))
+    means = flat.groupBy("j", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("mean"))
+    return books.join(means, ["j", "c"], "left").select("j", "c", F.coalesce("mean", "centroid").alias("centroid"))
+
+
+def pq_adc_knn(queries: DataFrame, codes: DataFrame, books: DataFrame, k: int) -> DataFrame:
+    """Nearest by the sum of a query's table of distances to the centroids; the query itself is not coded. Tables of more
+    than a few queries are joined by (j, code), not broadcast."""
+    lut = pq_parts(queries, _parts_of(books)).join(F.broadcast(books), "j").select(F.col("vec_id").alias("query_id"), "j", F.col("c").alias("code"), l2(F.col("x"), F.col("centroid")).alias("d"))
+    parts = F.array_sort(F.collect_list(F.struct("j", "d")))
+    scored = codes.join(F.broadcast(lut) if few(queries) else lut, ["j", "code"]).groupBy("query_id", "vec_id").agg(F.aggregate(parts, F.lit(0.0), lambda t, x: t + x["d"]).alias("distance"))
+    return ranked(scored, k)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,10 +11,25 @@ from pyspark.sql import functions as F
 from ..functions.distance import METRICS, in_order, pairwise
 
 
+#: Queries that go to every task at most; more are dealt in blocks.
+MOST_BROADCAST = 4096
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows with an id whose vector is not null or empty and holds no null or non-finite component; others take no part."""
+    x = F.col("embedding")
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(fine)
+
+
+def few(queries: DataFrame) -> bool:
+    return queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def _pairs(queries: DataFrame, base: DataFrame) -> DataFrame:
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    # a stated query set against all vectors: the queries are the replicated side
-    return base.select("vec_id", "embedding").crossJoin(F.broadcast(q))
+    q = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    # a stated query set against all vectors: the queries, whose number is checked, are the replicated side
+    return usable(base).select("vec_id", "embedding").crossJoin(F.broadcast(q)).where(F.size("q") == F.size("embedding"))
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -26,48 +39,69 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
-    """(query_id, rank, vec_id, distance) by column expressions alone."""
+    """(query_id, rank, vec_id, distance) by column expressions alone; above MOST_BROADCAST queries, by blocks.
+
+    Ties go to the smaller id. Vectors that usable() leaves out, and those of another length than the query's, have no rank.
+    """
+    if not few(queries):
+        return knn_blocks(queries, base, k, metric)
     return ranked(_pairs(queries, base).select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("embedding")).alias("distance")), k)
 
 
-def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", most_queries: int = 100_000) -> DataFrame:
-    """The same in two phases: a partial top k of each block of vectors, merged by l2()/ip(). A matrix product finds all
-    rows within its rounding of the k-th distance, of which the first k by (distance, vec_id) go on. The query block goes to every task, so its size is checked; larger sets use knn()."""
-    rows = queries.select("vec_id", "embedding").limit(most_queries + 1).toPandas()
-    if len(rows) > most_queries:
-        return knn(queries, base, k, metric)
-    if not len(rows):
-        return knn(queries, base, k, metric)
-    ids, q = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), np.float32)
-    shared = base.sparkSession.sparkContext.broadcast((ids, q))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            x, names = np.array(b.embedding.tolist(), np.float32), b.vec_id.to_numpy()
-            d, n = pairwise(q, x, metric), min(k, len(b))
-            edge = np.partition(d, n - 1, axis=1)[:, n - 1]
-            length = np.sqrt((x.astype(np.float64) ** 2).sum(1).max()) + np.sqrt((q.astype(np.float64) ** 2).sum(1))
-            edge = edge + 1e-13 * x.shape[1] * (1 + length * length)
-            at = []
-            for i in range(len(q)):
-                near = np.flatnonzero(~(d[i] > edge[i]))
-                if len(near) > n:  # rows at the edge: by the distance itself, and equal ones by id
-                    near = near[np.lexsort((names[near], in_order(q[i], x[near], metric)))[:n]]
-                at.append(near)
-            flat = np.concatenate(at)
-            of = np.repeat(np.arange(len(q)), [len(a) for a in at])
-            yield pd.DataFrame({"query_id": ids[of], "q": [q[i] for i in of], "vec_id": names[flat], "embedding": b.embedding.to_numpy()[flat]})
-
-    spec = "query_id long, q array<float>, vec_id long, embedding array<float>"
-    found = base.select("vec_id", "embedding").mapInPandas(partial, spec)
-    return ranked(found.select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("embedding")).alias("distance")), k)
+def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, names, distances) of the k first of a block for each query by (distance, name). A matrix product finds all
+    rows within its rounding of the k-th distance; these are measured as l2() and ip() do, to the last bit."""
+    n = min(k, len(x))
+    d = pairwise(q, x, metric)
+    edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+    length = np.sqrt((x.astype(np.float64) ** 2).sum(1).max()) + np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    edge = edge + 1e-13 * x.shape[1] * (1 + length * length)
+    at, far = [], []
+    for i in range(len(q)):
+        near = np.flatnonzero(~(d[i] > edge[i]))
+        exact = in_order(q[i], x[near], metric)
+        first = np.lexsort((names[near], exact))[:n]
+        at.append(near[first])
+        far.append(exact[first])
+    return np.repeat(ids, n), names[np.concatenate(at)], np.concatenate(far)
+
+
+def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """The same in two phases: blocks of queries meet blocks of vectors, a task has one pair of blocks and sends each query's
+    k nearest of the block, and these are merged. Neither side is collected or broadcast whole."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    q, b = (usable(x).select("vec_id", "embedding", F.size("embedding").alias("d")) for x in (queries, base))
+    n, m = q.count(), b.count()
+    b_blocks = max(1, -(-m // block))
+    q_blocks = max(1, -(-n // query_block), min(-(-cores // b_blocks), -(-n // 64)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("x", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).withColumn("y", upto(b_blocks))
+    right = b.withColumn("y", F.pmod(F.xxhash64("vec_id"), F.lit(b_blocks)).cast("int")).withColumn("x", upto(q_blocks))
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        x, y = (np.array(v.embedding.tolist(), np.float64) for v in (q, b))
+        of, names, far = nearest_of_block(q.vec_id.to_numpy(), x, b.vec_id.to_numpy(), y, k, metric)
+        return pd.DataFrame({"query_id": of, "vec_id": names, "distance": far})
+
+    keys = ["d", "x", "y"]
+    left, right = left.toDF("query_id", "embedding", "d", "x", "y").withColumnRenamed("query_id", "vec_id"), right.select("vec_id", "embedding", "d", "x", "y")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: meet(a, b), "query_id long, vec_id long, distance double")
+    return ranked(found, k)
 
 
 def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
-    scored = _pairs(queries, base).select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("embedding")).alias("distance"))
+    """(query_id, vec_id, distance) of all vectors within the radius. Above MOST_BROADCAST queries these are dealt in parts."""
+    if few(queries):
+        pairs = _pairs(queries, base)
+    else:
+        parts = -(-queries.count() // MOST_BROADCAST)
+        deal = lambda df: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
+        q = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), deal(queries).alias("part"))
+        b = usable(base).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+        pairs = b.join(q, "part").where(F.size("q") == F.size("embedding"))
+    scored = pairs.select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("embedding")).alias("distance"))
     return scored.where(F.col("distance") <= radius)
 
 
@@ -80,8 +114,11 @@ def recall(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def spot_check(results: DataFrame, truth: DataFrame) -> DataFrame:
-    """(query_id, overlap, exact): how many of the stated neighbours a recomputation finds, and if the sets are equal."""
+    """(query_id, overlap, exact, min_overlap, status): how many of the stated neighbours a recomputation finds, if the sets are
+    equal, and over all queries the least overlap and `match` or `mismatch`."""
     a = results.groupBy("query_id").agg(F.collect_set("vec_id").alias("a"))
     b = truth.groupBy("query_id").agg(F.collect_set("vec_id").alias("b"))
     overlap = F.size(F.array_intersect("a", "b"))
-    return a.join(b, "query_id").select("query_id", overlap.cast("long").alias("overlap"), ((overlap == F.size("a")) & (overlap == F.size("b"))).alias("exact"))
+    one = a.join(b, "query_id").select("query_id", overlap.cast("long").alias("overlap"), ((overlap == F.size("a")) & (overlap == F.size("b"))).alias("exact"))
+    every = one.agg(F.min("overlap").alias("min_overlap"), F.when(F.min("exact"), "match").otherwise("mismatch").alias("status"))
+    return one.crossJoin(F.broadcast(every))  # one row

@@ -15,10 +15,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distance import one_to_many
-from .exact import knn, knn_blocks
+from .exact import knn_blocks, nearest_of_block, ranked
 
 
 def level_column(vec_id: Column, m: int) -> Column:
@@ -69,10 +70,15 @@ def pruned(edges: DataFrame, nodes: DataFrame, m: int, metric: str) -> DataFrame
 
 
 def build_level(nodes: DataFrame, m: int, m_max: int, ef: int, metric: str) -> DataFrame:
-    candidates = candidate_edges(nodes, ef, metric).persist()
+    candidates = candidate_edges(nodes, ef, metric)
     forward = pruned(candidates, nodes, m, metric).join(candidates, ["src", "dst"]).select("src", "dst", "d")
+    # a list with room takes reverse links as they are; only one above m_max is pruned again
     both = forward.union(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d")).dropDuplicates(["src", "dst"])
-    return pruned(both, nodes, m_max, metric)
+    size = both.groupBy("src").agg(F.count(F.lit(1)).alias("size"))
+    both = both.join(size, "src")
+    over = pruned(both.where(F.col("size") > m_max).drop("size"), nodes, m_max, metric)
+    pos = F.row_number().over(W.partitionBy("src").orderBy("d", "dst")) - 1
+    return both.where(F.col("size") <= m_max).select("src", pos.alias("pos"), "dst").unionByName(over)
 
 
 @dataclass
@@ -93,7 +99,7 @@ def build(vectors: DataFrame, m: int = 8, ef: int = 32, metric: str = "l2", most
     nodes = vectors.select("vec_id", "embedding", level_column(F.col("vec_id"), m).alias("level"))
     rows = nodes.orderBy("vec_id").limit(most + 1).toPandas()
     if len(rows) > most:
-        raise ValueError(f"more than {most} vectors: build and search shards by owner and merge their results")
+        raise ValueError(f"more than {most} vectors: see index.build_tables and index.search_tables, which build and search by shard")
     ids = rows.vec_id.to_numpy()
     slot = {int(i): s for s, i in enumerate(ids)}
     levels: list[dict[int, np.ndarray]] = []
@@ -269,10 +275,8 @@ class CodedVectors:
 
 
 def knn_graph(nodes: DataFrame, m: int, metric: str = "l2") -> DataFrame:
-    """(src, pos, dst): the m nearest others of each node, without pruning, by column expressions."""
-    found = knn(nodes, nodes, m + 1, metric).where("query_id <> vec_id")
-    from pyspark.sql import Window as W
-
+    """(src, pos, dst): the m nearest others of each node, without pruning."""
+    found = knn_blocks(nodes, nodes, m + 1, metric).where("query_id <> vec_id")
     pos = F.row_number().over(W.partitionBy("query_id").orderBy("rank")) - 1
     return found.withColumn("pos", pos).where(F.col("pos") < m).select(F.col("query_id").alias("src"), "pos", F.col("vec_id").alias("dst"))
 

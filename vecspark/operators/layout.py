@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from fractions import Fraction
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,19 +58,37 @@ def read_plan(local: Column, stride: int, header: int = HEADER_BYTES) -> Column:
     return header + local * stride
 
 
+def numbered(df: DataFrame, order: list, name: str, write) -> DataFrame:
+    """Adds `name`: 0, 1, ... in the order over all rows. Ranges of the order are numbered apart and start where the ones
+    before end, so no task sorts all rows. write(df) cuts the lineage."""
+    ranged = write(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    base = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn(name, inside).join(F.broadcast(base), "__part").withColumn(name, F.col(name) + F.col("__base")).drop("__part", "__base")
+
+
+#: Slots of an owner that are summed together.
+OFFSET_SPAN = 1 << 16
+
+
 def prefix_offsets(records: DataFrame, size: str) -> DataFrame:
-    """Adds `offset`: bytes of the owner's records before, in order of local_slot; records without a size take none."""
-    before = W.partitionBy("owner").orderBy("local_slot").rowsBetween(W.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    """Adds `offset`: bytes of the owner's records before, in order of local_slot; records without a size take none. Spans of
+    slots are summed first, so an owner is not one task."""
+    spans = records.withColumn("__span", F.floor(F.col("local_slot") / OFFSET_SPAN))
+    before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    sums = spans.groupBy("owner", "__span").agg(F.sum(size).alias("__n"))
+    base = sums.select("owner", "__span", F.coalesce(F.sum("__n").over(before("owner").orderBy("__span")), F.lit(0)).alias("__base"))
+    inside = F.coalesce(F.sum(size).over(before("owner", "__span").orderBy("local_slot")), F.lit(0))
+    return spans.withColumn("offset", inside).join(base, ["owner", "__span"]).withColumn("offset", F.col("offset") + F.col("__base")).drop("__span", "__base")
 
 
-def hot_set(nodes: DataFrame, fraction: float, by: str, descending: bool) -> DataFrame:
+def hot_set(nodes: DataFrame, fraction: float, by: str, descending: bool, write) -> DataFrame:
     """(vec_id, rank) of the clamp(round(fraction * n), 1, n) first nodes."""
     n = nodes.count()
     keep = min(max(int(fraction * n + 0.5), 1), n)
     order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    rank = F.row_number().over(W.orderBy(order, "vec_id"))
-    return nodes.orderBy(order, "vec_id").limit(keep).withColumn("rank", rank).select("vec_id", "rank")
+    return numbered(nodes, [order, F.col("vec_id")], "rank", write).where(F.col("rank") < keep).select("vec_id", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 class BudgetError(ValueError):
@@ -122,28 +142,69 @@ def select_with_map(candidates: list[dict], requested: int, fixed: int, map_byte
     return select_records(candidates, requested, fixed + map_bytes, policy) | {"map": True}
 
 
-def parse_budget(text: str | None) -> int | None:
+def parse_budget(text: str | None) -> int:
+    """Bytes as a decimal number; 0 where nothing is given."""
     if text is None or text == "":
-        return None
+        return 0
     if not text.isascii() or not text.isdigit() or int(text) >= 2**64:
         raise BudgetError(f"not a byte count: {text!r}")
     return int(text)
 
 
-def budget_select(candidates: DataFrame, requested: int, fixed: int, policy: str) -> DataFrame:
-    """(uid, compact_idx): the same greedy walk as an ordered fold in one expression, over at most some 10^5 records."""
-    benefit = (F.col("indegree") + 1) * F.col("live_degree")
-    density = (benefit.cast("decimal(38,18)") / F.col("record_bytes")).cast("decimal(38,18)")
-    order = {"benefit": F.struct((-density).alias("a"), (-benefit).alias("b"), "uid"), "indegree": F.struct((-F.col("indegree")).alias("a"), F.lit(0).alias("b"), "uid"), "hop": F.struct(F.col("hop").isNull().alias("a"), F.coalesce("hop", F.lit(0)).alias("b"), "uid")}[policy]
-    items = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("uid").cast("long").alias("uid"), F.col("record_bytes").cast("long").alias("z"))))
-    start = F.struct(F.lit(requested - fixed).cast("long").alias("left"), F.array().cast("array<bigint>").alias("got"))
+#: Names of the policies as users write them; without a name, hop.
+POLICIES = {"benefit": "benefit", "indeg": "indegree", "hop": "hop"}
 
-    def admit(state: Column, x: Column) -> Column:
-        fits = x["z"] <= state["left"]
-        return F.when(fits, F.struct((state["left"] - x["z"]).alias("left"), F.array_append(state["got"], x["uid"]).alias("got"))).otherwise(state)
 
-    done = candidates.agg(F.aggregate(items, start, admit).alias("s"))
-    return done.select(F.posexplode("s.got").alias("compact_idx", "uid")).select("uid", "compact_idx")
+def parse_policy(text: str | None) -> str:
+    if text is None or text == "":
+        return "hop"
+    if text not in POLICIES:
+        raise BudgetError(f"no policy {text!r}")
+    return POLICIES[text]
+
+
+def budget_select(candidates: DataFrame, requested: int, fixed: int, policy: str, write) -> DataFrame:
+    """(uid, compact_idx): the same greedy walk over any number of records.
+
+    Records are range-sorted by the policy. Ranges that fit whole, or of which nothing fits, need their sums alone; only a
+    range in which some fit is walked record by record, with what is left of the budget. Ratios of benefit and bytes are
+    compared exactly: as whole part and 27 decimals, which tell apart any two fractions of less than 2**31 bytes.
+    """
+    candidates = candidates.select("uid", F.col("record_bytes").cast("long").alias("z"), "indegree", "hop", ((F.col("indegree") + 1) * F.col("live_degree")).cast("long").alias("b"))
+    digits, rest = ["b div z"], "b % z"
+    for _ in range(3):  # nine decimals at a time, in whole numbers
+        digits.append(f"(({rest}) * 1000000000L) div z")
+        rest = f"(({rest}) * 1000000000L) % z"
+    keys = {"benefit": [-F.expr(d) for d in digits] + [-F.col("b")], "indegree": [-F.col("indegree")], "hop": [F.col("hop").isNull(), F.coalesce("hop", F.lit(0))]}[policy]
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = candidates.select(*[k.alias(n) for k, n in zip(keys, names)], F.col("uid").cast("long").alias("uid"), "z")
+    ranged = rows.repartitionByRange(*names, "uid").withColumn("part", F.spark_partition_id())
+    ranged = write(ranged.select("part", "uid", "z", F.row_number().over(W.partitionBy("part").orderBy(*names, "uid")).alias("pos")))
+    left, count, taken = requested - fixed, 0, []
+
+    def walker(budget: int):
+        def walk(rows: pd.DataFrame) -> pd.DataFrame:
+            left, out = budget, []
+            for uid, size in rows.sort_values("pos")[["uid", "z"]].itertuples(index=False):
+                if size <= left:
+                    left -= size
+                    out.append((uid, len(out), size))
+            return pd.DataFrame(out, columns=["uid", "i", "z"])
+
+        return walk
+
+    for p in ranged.groupBy("part").agg(F.sum("z").alias("sum"), F.min("z").alias("least"), F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a range
+        here = ranged.where(F.col("part") == p["part"])
+        if p["sum"] <= left:
+            taken.append(here.select("uid", (F.col("pos") - 1 + count).cast("int").alias("compact_idx")))
+            left, count = left - p["sum"], count + p["n"]
+        elif p["least"] <= left:
+            some = write(here.groupBy("part").applyInPandas(walker(left), "uid long, i int, z long"))
+            taken.append(some.select("uid", (F.col("i") + count).cast("int").alias("compact_idx")))
+            got = some.agg(F.coalesce(F.sum("z"), F.lit(0)).alias("z"), F.count(F.lit(1)).alias("n")).first()
+            left, count = left - got["z"], count + got["n"]
+    none = ranged.where("false").select("uid", F.col("pos").alias("compact_idx"))
+    return reduce(DataFrame.unionByName, taken, none)
 
 
 def touched(new: DataFrame, edges: DataFrame) -> DataFrame:
@@ -157,6 +218,16 @@ def refreshed(old: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return old.join(rebuilt, "src", "left_anti").unionByName(rebuilt)
 
 
+def refresh_report(old: DataFrame, rebuilt: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: vectors inserted, records touched, touched ones an insert and as a share of all, and how many records differ
+    from a full rebuild once the touched ones are taken from it."""
+    t = touched(new, edges)
+    after = refreshed(old, rebuilt.join(t.withColumnRenamed("vec_id", "src"), "src", "left_semi"))
+    differing = rebuilt.exceptAll(after).agg(F.count(F.lit(1)).alias("differing"))
+    one = new.agg(F.count(F.lit(1)).alias("inserts")).crossJoin(t.agg(F.count(F.lit(1)).alias("touched"))).crossJoin(rebuilt.agg(F.count(F.lit(1)).alias("all"))).crossJoin(differing)  # one row each
+    return one.select("inserts", "touched", F.round(F.try_divide("touched", "inserts"), 9).alias("records_per_insert"), F.round(F.try_divide("touched", "all"), 9).alias("read_fraction"), "differing")
+
+
 def overlap_ratio(edges: DataFrame, block: DataFrame) -> DataFrame:
     """One row: links whose two ends share a block, over all links. block: (vec_id, block)."""
     a = block.select(F.col("vec_id").alias("src"), F.col("block").alias("sb"))
@@ -166,49 +237,44 @@ def overlap_ratio(edges: DataFrame, block: DataFrame) -> DataFrame:
 
 
 def pack_blocks(adjacency: list[list[int]], entry: int, size: int) -> list[int]:
-    """Block of each node: seeds in breadth-first order from the entry, each filling a block with its surroundings."""
+    """Block of each node: seeds in breadth-first order from the entry, then by number; each unassigned one opens a block that
+    takes nodes in breadth-first order around it, over unassigned nodes only, up to `size`."""
     n = len(adjacency)
-    order, seen, todo = [], set(), deque([entry] if n else [])
-    while todo:
-        u = todo.popleft()
-        if u in seen:
-            continue
-        seen.add(u)
-        order.append(u)
-        todo += [v for v in adjacency[u] if v not in seen]
-    order += [u for u in range(n) if u not in seen]
-    block, count = [-1] * n, 0
-    for s in order:
-        if block[s] >= 0:
-            continue
-        todo, held = deque([s]), 0
-        while todo and held < size:
-            u = todo.popleft()
-            if block[u] >= 0:
-                continue
-            block[u] = count
-            held += 1
-            todo += [v for v in adjacency[u] if block[v] < 0]
-        count += 1
+    block = [-1] * n
+
+    def spread(start: int, allowed):
+        """Nodes in breadth-first order from start over nodes that are allowed, each once."""
+        seen, line = {start}, deque([start])
+        while line:
+            yield (u := line.popleft())
+            fresh = [v for v in dict.fromkeys(adjacency[u]) if v not in seen and allowed(v)]
+            seen.update(fresh)
+            line.extend(fresh)
+
+    seeds = list(spread(entry, lambda v: True)) if n else []
+    opened = 0
+    for seed in dict.fromkeys((*seeds, *range(n))):
+        if block[seed] < 0:
+            for u in islice(spread(seed, lambda v: block[v] < 0), size):
+                block[u] = opened
+            opened += 1
     return block
 
 
 def refine_blocks(adjacency: list[list[int]], block: list[int], size: int, sweeps: int = 3) -> list[int]:
-    """Moves nodes to the block that holds most of their neighbours while it has room (a quarter above size)."""
+    """Moves nodes, in order of number and at once, to the block that holds most of their neighbours, of equal ones the first
+    met, if it has room (a quarter above size)."""
     block, held, room = list(block), Counter(block), size + size // 4
     for _ in range(sweeps):
-        moved = False
+        before = list(block)
         for u, around in enumerate(adjacency):
-            tally = Counter(block[v] for v in around)
-            best, most = block[u], tally.get(block[u], 0)
-            for b, n in tally.items():
-                if n > most and (b == block[u] or held[b] < room):
-                    best, most = b, n
-            if best != block[u]:
-                held[block[u]] -= 1
-                held[best] += 1
-                block[u], moved = best, True
-        if not moved:
+            tally = Counter(block[v] for v in around)  # keeps the order in which blocks are met
+            open_to_u = [b for b in tally if b == block[u] or held[b] < room]
+            to = max(open_to_u, key=tally.__getitem__, default=block[u])
+            held[block[u]] -= 1
+            held[to] += 1
+            block[u] = to
+        if block == before:
             break
     return block
 
@@ -218,10 +284,3 @@ def byte_accounting(records: DataFrame, map_slots: int | None = None) -> DataFra
     base = records.groupBy("owner").agg(F.count(F.lit(1)).alias("records"), F.sum("record_bytes").alias("record_bytes"))
     extra = F.when(F.col("owner") == 0, F.lit(4 * (map_slots or 0))).otherwise(F.lit(0))
     return base.select("owner", "records", "record_bytes", (HEADER_BYTES + extra + 8 * (F.col("records") + 1) + F.col("record_bytes")).cast("long").alias("bytes"))
-
-
-def to_pandas_adjacency(edges: pd.DataFrame, n: int) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(n)]
-    for s, d in edges.sort_values(["src", "pos"])[["src", "dst"]].itertuples(index=False):
-        out[s].append(d)
-    return out

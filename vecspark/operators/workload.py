@@ -58,11 +58,12 @@ def result_fingerprint(results: list[tuple[int, list[int]]]) -> str:
     return fnv1a([x for q, near in sorted(results) for x in (q, len(near), *near)])
 
 
-def content_fingerprint(vectors: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the rows' SHA-256 in order of id, with the number of rows."""
+def content_fingerprint(vectors: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """One row: the number of rows and a SHA-256 over those of spans of ids, each over its rows' SHA-256 in order of id."""
     row = F.sha2(F.concat_ws(",", F.col("vec_id").cast("string"), F.transform("embedding", lambda x: x.cast("string"))).cast("binary"), 256)
-    lines = F.array_sort(F.collect_list(F.struct(F.col("vec_id"), row.alias("h"))))
-    return vectors.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(lines, lambda x: x["h"]), "").cast("binary"), 256).alias("sha256"))
+    together = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "").cast("binary"), 256)
+    spans = vectors.select("vec_id", row.alias("h"), F.floor(F.col("vec_id") / span).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), together("vec_id").alias("h"))
+    return spans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), together("s").alias("sha256"))
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -72,6 +73,13 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return scored.groupBy("vec_id").agg(F.transform(order, lambda x: x["c"]).alias("destinations"))
 
 
+def kmeans_step(vectors: DataFrame, seeds: DataFrame, digits: int = 6) -> DataFrame:
+    """(c, centroid): means of the vectors nearest to each seed (c, centroid), to so many digits."""
+    owner = nearest_centroid(vectors, seeds).select("vec_id", F.element_at("destinations", 1).alias("c"))
+    flat = vectors.join(owner, "vec_id").select("c", F.posexplode("embedding").alias("i", "v")).groupBy("c", "i").agg(F.round(F.avg(F.col("v").cast("double")), digits).alias("v"))
+    return flat.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("centroid"))
+
+
 def farthest_first(x: np.ndarray, k: int) -> list[int]:
     seeds, near = [0], ((x - x[0]) ** 2).sum(1)
     while len(seeds) < min(k, len(x)):

@@ -20,11 +20,13 @@ def describe(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def ratio_interval(rows: DataFrame, key: str, variant: str, x: str, a: str = "A", b: str = "B", t: float = 2.776) -> DataFrame:
-    """Per key the ratio of two variants' means with an interval on the log scale."""
+    """Per key the ratio of two variants' means with an interval on the log scale; a single repeat has no error, and means that
+    are not positive are an error."""
     v = F.col(variant)
     agg = [f(F.when(v == s, F.col(x))).alias(f"{n}_{s}") for s in (a, b) for n, f in (("m", F.avg), ("s", F.stddev_samp), ("n", F.count))]
     w = rows.groupBy(key).agg(*agg)
-    rel = lambda s: F.pow(F.col(f"s_{s}") / F.sqrt(F.col(f"n_{s}")) / F.col(f"m_{s}"), F.lit(2.0))
+    w = w.where(F.when((F.col(f"m_{a}") > 0) & (F.col(f"m_{b}") > 0), F.lit(True)).otherwise(F.raise_error(F.lit("ratio inputs must be positive")).cast("boolean")))
+    rel = lambda s: F.pow(F.coalesce(F.col(f"s_{s}"), F.lit(0.0)) / F.sqrt(F.col(f"n_{s}")) / F.col(f"m_{s}"), F.lit(2.0))
     ratio, half = F.col(f"m_{a}") / F.col(f"m_{b}"), t * F.sqrt(rel(a) + rel(b))
     return w.select(key, ratio.alias("ratio"), F.exp(F.ln(ratio) - half).alias("lo"), F.exp(F.ln(ratio) + half).alias("hi"))
 

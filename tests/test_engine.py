@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.functions import stats
-from vecspark.operators import codecs, exact, graph, layout, workload
+from vecspark.operators import codecs, exact, graph, index, layout, workload
 from vecspark.plans import evaluation
 from vecspark.sources import runs, vectors
 
@@ -260,3 +260,57 @@ def test_blocks_of_any_size_agree(spark, points, monkeypatch):
     monkeypatch.setattr(exact, "MOST_BROADCAST", 50)
     assert sorted(map(tuple, exact.knn(base, base, 5).collect())) == want
     assert sorted(map(tuple, exact.range_search(base, base, 20.0).collect())) == inside
+
+
+def test_index_tables(spark, points, tmp_path):
+    base = table(spark, points)
+    built = index.build_tables(base, m=4, ef=12, shard_rows=50).persist()
+    path = f"file://{tmp_path}/i"
+    about = index.store(built, path, 4, 12)
+    assert about["nodes"] == len(points) and about["shards"] == built.count() > 1
+    loaded = index.load(spark, path, m=4, dim=16)
+    assert index.difference(built, loaded).count() == 0
+    assert index.nodes(loaded).count() == len(points)
+    q = base.where("vec_id < 7")
+    assert ids(index.search_tables(q, loaded, 5, ef=120)) == truth(points, 7, 5)
+    for wrong in ({"m": 8}, {"metric": "ip"}, {"dim": 3}):
+        with pytest.raises(ValueError):
+            index.load(spark, path, **wrong)
+    with pytest.raises(Exception, match="exists"):
+        index.store(built, path, 4, 12)
+    other = index.build_tables(base.where("vec_id <> 3"), m=4, ef=12, shard_rows=50)
+    assert index.difference(built, other).where("what = 'node'").count() == 1
+    other.write.mode("overwrite").parquet(f"{path}/shards")
+    with pytest.raises(ValueError):
+        index.load(spark, path)
+
+
+def test_search_by_joins_equals_the_kernel(spark, points, tmp_path):
+    def write(df):
+        path = f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    base = table(spark, points)
+    one = graph.build(base, m=4, ef=12)
+    tables = index.build_tables(base, m=4, ef=12).persist()
+    links, entry = index.edges(tables).where("level = 0").persist(), tables.first()["entry"]
+    got = ids(index.search_joins(base.where("vec_id < 4"), base, links, entry, write, 5, ef=len(points), wide=len(points)))
+    assert got == truth(points, 4, 5) == ids(graph.search(base.where("vec_id < 4"), one, 5, ef=len(points)))
+
+
+def test_records_change_cost_but_not_answers(spark, points):
+    base = table(spark, points)
+    one = graph.build(base, m=4, ef=12)
+    q = points[0]
+    found, cost = graph.beam(one, q, 20)
+    for plan in (graph.ReadPlan(16, 16, set()), graph.ReadPlan(16, 16, set(range(0, 120, 2)), 3), graph.ReadPlan(16, 16, None, None, frozenset(range(120)))):
+        same, other = graph.beam(one, q, 20, plan=plan)
+        assert same == found and other["hops"] == cost["hops"] and other["scored"] == cost["scored"]
+    assert cost["reads"] == cost["hops"] and cost["cold"] == 0
+    cold = graph.beam(one, q, 20, plan=graph.ReadPlan(16, 16, set()))[1]
+    assert cold["cold"] == cold["hops"] and cold["reads"] == cold["hops"] + cold["scored"] - 1
+    hub = graph.beam(one, q, 20, plan=graph.ReadPlan(16, 16, None, None, frozenset(range(120))))[1]
+    assert hub["reads"] == hub["bytes"] == 0 and hub["local"] == hub["hops"]
+    pops = graph.hub_profile(base.where("vec_id < 9"), one, 20).agg(F.sum("pops")).first()[0]
+    assert pops == sum(graph.beam(one, points[i], 20)[1]["hops"] for i in range(9))

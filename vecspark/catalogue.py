@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.distance import l2
-from .operators import codecs, exact, graph, layout, workload
+from .operators import codecs, exact, graph, index, layout, workload
 from .plans import evaluation
 from .shipping import ship
 
@@ -294,8 +294,8 @@ def hop_distance(spark, d):
 
 def _ann(spark, d, queries=_queries, **how):
     base = _base(spark, d)
-    index = graph.build(base, m=8, ef=32)
-    return graph.search(queries(base).coalesce(8), index, 10, **how).select("query_id", "rank", "vec_id", "distance", "hops", "scored"), base, index
+    built = graph.build(base, m=8, ef=32)
+    return graph.search(queries(base).coalesce(8), built, 10, **how), base, built
 
 
 @_query("ann_search")
@@ -319,9 +319,9 @@ def ann_search_full(spark, d):
 def ann_search_slab(spark, d):
     """Rotated 4-bit codes lead the beam, exact distances rank what is left."""
     base = _base(spark, d)
-    index = graph.build(base, m=8, ef=32)
-    codec = codecs.RotatedCode.fit(index.vectors, 4)
-    return graph.search(_queries(base).coalesce(8), index, 10, ef=64, code=graph.CodedVectors(codec, codec.encode(index.vectors)))
+    built = graph.build(base, m=8, ef=32)
+    codec = codecs.RotatedCode.fit(built.vectors, 4)
+    return graph.search(_queries(base).coalesce(8), built, 10, ef=64, code=graph.CodedVectors(codec, codec.encode(built.vectors)))
 
 
 @_query("ann_search_blocks")
@@ -329,10 +329,10 @@ def ann_search_blocks(spark, d):
     import numpy as np
 
     base = _base(spark, d)
-    index = graph.build(base, m=8, ef=32)
-    adjacency = [list(map(int, index.levels[0].get(s, ()))) for s in range(len(index.ids))]
-    index.block = np.array(layout.refine_blocks(adjacency, layout.pack_blocks(adjacency, index.entry, 32), 32))
-    return graph.search(_queries(base).coalesce(8), index, 10, ef=64, blocks=True)
+    built = graph.build(base, m=8, ef=32)
+    adjacency = [list(map(int, built.levels[0].get(s, ()))) for s in range(len(built.ids))]
+    built.block = np.array(layout.refine_blocks(adjacency, layout.pack_blocks(adjacency, built.entry, 32), 32))
+    return graph.search(_queries(base).coalesce(8), built, 10, ef=64, blocks=True)
 
 
 @_query("ann_recall")
@@ -344,7 +344,61 @@ def ann_recall(spark, d):
 @_query("ann_cost")
 def ann_cost(spark, d):
     found = _ann(spark, d, ef=64)[0].where("rank = 1")
-    return found.agg(F.avg("hops").alias("hops_per_query"), F.avg("scored").alias("scored_per_query"), (F.avg("scored") * 256).alias("bytes_per_query"))
+    return found.agg(*[F.avg(c).alias(f"{c}_per_query") for c in ("hops", "scored", "reads", "bytes")])
+
+
+@_query("ann_search_partial")
+def ann_search_partial(spark, d):
+    """Half of the nodes have records, of eight codes each; a few are at hand. Finds what ann_search finds, at another cost."""
+    import numpy as np
+
+    base = _base(spark, d)
+    built = graph.build(base, m=8, ef=32)
+    half = set(range(0, len(built.ids), 2))
+    plan = graph.ReadPlan(built.vectors.shape[1], built.vectors.shape[1], half, 8, frozenset(np.arange(0, len(built.ids), 50).tolist()))
+    return graph.search(_queries(base).coalesce(8), built, 10, ef=64, plan=plan)
+
+
+@_query("hub_profile")
+def hub_profile(spark, d):
+    base = _base(spark, d)
+    return graph.hub_profile(_queries(base), graph.build(base, m=8, ef=32), 64)
+
+
+@_query("ann_sharded_full", f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
+def ann_sharded_full(spark, d):
+    """Built and stored by shard, loaded with its checks, searched in every shard with a beam as wide as the shard."""
+    base = _base(spark, d)
+    path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    index.store(index.build_tables(base, shard_rows=150), path)
+    loaded = index.load(spark, path, m=8, metric="l2")
+    return index.search_tables(_queries(base), loaded, 10, ef=base.count()).select("query_id", "rank", "vec_id")
+
+
+@_query("ann_sharded")
+def ann_sharded(spark, d):
+    base = _base(spark, d)
+    return index.search_tables(_queries(base), index.build_tables(base), 10, ef=64)
+
+
+@_query("ann_bsp", f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
+def ann_bsp(spark, d):
+    """The search as rounds of joins; with a beam as wide as the table it is exact."""
+    base, cut = _base(spark, d), _cut(spark)
+    n, tables = base.count(), cut(index.build_tables(base))
+    links = cut(index.edges(tables).where("level = 0"))
+    entry = tables.agg(F.min("entry")).first()[0]
+    return index.search_joins(_queries(base), base, links, entry, cut, 10, ef=n, wide=n).select("query_id", "rank", "vec_id")
+
+
+@_query("index_dump_equality", "SELECT count(*) AS differing FROM embeddings WHERE false")
+def index_dump_equality(spark, d):
+    """A stored index, loaded again, has every node and link of the built one, and no other."""
+    base = _base(spark, d)
+    built = _cut(spark)(index.build_tables(base, shard_rows=150))
+    path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    index.store(built, path)
+    return index.difference(built, index.load(spark, path)).agg(F.count(F.lit(1)).alias("differing"))
 
 
 # --- derived records --------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -91,45 +91,20 @@ class Index:
     entry: int
     metric: str
     block: np.ndarray | None = None
-    hot: set[int] = field(default_factory=set)
-
-
-def build(vectors: DataFrame, m: int = 8, ef: int = 32, metric: str = "l2", most: int = 1_000_000) -> Index:
-    """The whole index; its arrays go to every task, so the number of vectors is checked against `most`."""
-    nodes = vectors.select("vec_id", "embedding", level_column(F.col("vec_id"), m).alias("level"))
-    rows = nodes.orderBy("vec_id").limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} vectors: see index.build_tables and index.search_tables, which build and search by shard")
-    ids = rows.vec_id.to_numpy()
-    slot = {int(i): s for s, i in enumerate(ids)}
-    levels: list[dict[int, np.ndarray]] = []
-    top = int(rows.level.max()) if len(rows) else 0
-    for level in range(top + 1):
-        members = nodes.where(F.col("level") >= level)
-        if (rows.level >= level).sum() < 2:
-            levels.append({})
-            continue
-        edges = build_level(members, m, 2 * m if level == 0 else m, ef, metric).toPandas().sort_values(["src", "pos"])
-        levels.append({slot[int(s)]: np.array([slot[int(x)] for x in g.dst]) for s, g in edges.groupby("src")})
-    entry = int(rows.sort_values(["level", "vec_id"], ascending=[False, True]).index[0]) if len(rows) else -1
-    index = Index(ids, np.array(rows.embedding.tolist(), np.float32), levels, entry, metric)
-    _reach_all(index)
-    return index
-
-
-def _reach_all(index: Index) -> None:
-    """Links each node that level 0 does not reach from the entry to its nearest reached node, both ways."""
-    if not len(index.ids):
-        return
-    base = index.levels[0]
-    seen = hops(base, index.entry)
-    while len(seen) < len(index.ids):
-        lost = min(set(range(len(index.ids))) - set(seen))
-        known = np.array(sorted(seen))
-        near = int(known[one_to_many(index.vectors[lost], index.vectors[known], index.metric).argmin()])
-        base[near] = np.append(base.get(near, np.empty(0, int)), lost)
-        base[lost] = np.append(base.get(lost, np.empty(0, int)), near)
-        seen = hops(base, index.entry)
+
+
+def build(vectors: DataFrame, m: int = 8, ef: int = 32, metric: str = "l2", most: int = 100_000) -> Index:
+    """The whole index as one shard, for broadcast; its size is checked against `most`. Larger tables are built and
+    searched by shard, see index.build_tables and index.search_tables."""
+    from .index import build_tables, unpacked
+
+    n = vectors.count()
+    if n > most:
+        raise ValueError(f"more than {most} vectors for one index: build_tables and search_tables work by shard")
+    rows = build_tables(vectors, m, ef, metric, shard_rows=most).toPandas()
+    if not len(rows):
+        return Index(np.empty(0, np.int64), np.zeros((0, 0), np.float32), [], -1, metric)
+    return unpacked(next(rows.itertuples()), metric)
 
 
 def hops(edges: dict[int, np.ndarray], entry: int) -> dict[int, int]:
@@ -162,14 +137,43 @@ def descend(index: Index, q: np.ndarray) -> int:
     return at
 
 
-def beam(index: Index, q: np.ndarray, ef: int, score=None, wide: int = 1) -> tuple[list[tuple[float, int]], dict[str, int]]:
-    """Best-first search of level 0 with a bound of ef; `score` estimates distances, `wide` nodes are taken at a time."""
+@dataclass
+class ReadPlan:
+    """What a search has to read, for its cost; it never changes what is found.
+
+    records: slots that have a record with their neighbours' codes (None: all); a node without one is read as its list and
+    its fresh neighbours' vectors. inline: codes that a record holds; neighbours after them are read as vectors. hubs:
+    slots whose records are kept at hand.
+    """
+
+    dim: int
+    code_bytes: int
+    records: set[int] | None = None
+    inline: int | None = None
+    hubs: frozenset[int] = frozenset()
+
+    def expand(self, cost: dict[str, int], slot: int, around: np.ndarray, fresh: np.ndarray) -> None:
+        whole = self.records is None or slot in self.records
+        inline = len(around) if self.inline is None else min(self.inline, len(around))
+        late = int(np.isin(fresh, around[inline:]).sum()) if whole else len(fresh)
+        size = 8 + 16 * len(around) + (self.code_bytes * inline if whole else 0)
+        at_hand = whole and slot in self.hubs
+        cost["local"] += at_hand
+        cost["cold"] += not whole
+        cost["reads"] += (not at_hand) + late
+        cost["bytes"] += (0 if at_hand else size) + 4 * self.dim * late
+
+
+def beam(index: Index, q: np.ndarray, ef: int, score=None, wide: int = 1, plan: ReadPlan | None = None, popped: list[int] | None = None) -> tuple[list[tuple[float, int]], dict[str, int]]:
+    """Best-first search of level 0 with a bound of ef; `score` estimates distances, `wide` nodes are taken at a time. popped
+    gets the slots that were expanded, for a profile of hubs."""
     score = score or (lambda s: one_to_many(q, index.vectors[s], index.metric))
+    plan = plan or ReadPlan(index.vectors.shape[1], index.vectors.shape[1])
     seed = descend(index, q)
     d0 = float(score(np.array([seed]))[0])
     todo, top, seen = [(d0, seed)], [(-d0, -seed)], np.zeros(len(index.ids), bool)
     seen[seed] = True
-    cost = {"hops": 0, "scored": 1, "local": 0}
+    cost = dict.fromkeys(("hops", "local", "cold", "reads", "bytes"), 0) | {"scored": 1}
     while todo:
         if len(top) >= ef and todo[0][0] > -top[0][0]:
             break
@@ -178,9 +182,11 @@ def beam(index: Index, q: np.ndarray, ef: int, score=None, wide: int = 1) -> tup
             if len(top) >= ef and d > -top[0][0]:
                 continue
             cost["hops"] += 1
-            cost["local"] += u in index.hot
+            if popped is not None:
+                popped.append(u)
             around = index.levels[0].get(u, np.empty(0, int))
             fresh = np.array(list(dict.fromkeys(int(v) for v in around if not seen[v])), int)
+            plan.expand(cost, u, np.asarray(around), fresh)
             if not len(fresh):
                 continue
             seen[fresh] = True
@@ -200,11 +206,13 @@ def block_beam(index: Index, q: np.ndarray, ef: int) -> tuple[list[tuple[float,
     for s, b in enumerate(index.block):
         members.setdefault(int(b), []).append(s)
     todo, top, seen, loaded = [], [], np.zeros(len(index.ids), bool), set()
-    cost = {"hops": 0, "scored": 0, "blocks": 0}
+    cost = {"hops": 0, "scored": 0, "blocks": 0, "reads": 0, "bytes": 0}
 
     def load(b: int) -> None:
         loaded.add(b)
         cost["blocks"] += 1
+        cost["reads"] += 1
+        cost["bytes"] += sum(16 + 4 * index.vectors.shape[1] + 4 * len(index.levels[0].get(s, ())) for s in members[b])
         fresh = np.array([s for s in members[b] if not seen[s]], int)
         if not len(fresh):
             return
@@ -228,18 +236,18 @@ def block_beam(index: Index, q: np.ndarray, ef: int) -> tuple[list[tuple[float,
     return sorted((-d, -s) for d, s in top), cost
 
 
-def search(queries: DataFrame, index: Index, k: int = 10, ef: int = 64, rerank: int | None = None, code=None, wide: int = 1, blocks: bool = False) -> DataFrame:
-    """(query_id, rank, vec_id, distance, hops, scored): graph search, then exact ranking of the first `rerank`.
+def search(queries: DataFrame, index: Index, k: int = 10, ef: int = 64, rerank: int | None = None, code=None, wide: int = 1, blocks: bool = False, plan: ReadPlan | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, distance, hops, scored, reads, bytes): graph search, then exact ranking of the first `rerank`.
 
     code: a codec with `codes` over the index's vectors and estimate(q, slots); without, exact distances lead the search.
     """
     if ef < k:
         raise ValueError("ef must be at least k")
     width = max(k, ef // 2) if rerank is None else rerank
-    shared = queries.sparkSession.sparkContext.broadcast((index, code))
+    shared = queries.sparkSession.sparkContext.broadcast((index, code, plan))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, code = shared.value
+        index, code, plan = shared.value
         for b in batches:
             out = []
             for qid, e in zip(b.vec_id, b.embedding):
@@ -247,7 +255,7 @@ def search(queries: DataFrame, index: Index, k: int = 10, ef: int = 64, rerank:
                 if blocks:
                     found, cost = block_beam(index, q, ef)
                 else:
-                    found, cost = beam(index, q, ef, (lambda s: code.estimate_slots(q, s)) if code else None, wide)
+                    found, cost = beam(index, q, ef, (lambda s: code.estimate_slots(q, s)) if code else None, wide, plan)
                 slots = np.array([s for _, s in found[: min(width, len(found))]], int)
                 if code:
                     d = one_to_many(q, index.vectors[slots], index.metric)
@@ -255,10 +263,25 @@ def search(queries: DataFrame, index: Index, k: int = 10, ef: int = 64, rerank:
                     d = np.array([x for x, _ in found[: len(slots)]])
                 ids = index.ids[slots]
                 order = np.lexsort((ids, d))[:k]
-                out += [(qid, r + 1, int(ids[o]), float(d[o]), cost["hops"], cost["scored"]) for r, o in enumerate(order)]
-            yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "distance", "hops", "scored"])
+                out += [(qid, r + 1, int(ids[o]), float(d[o]), cost["hops"], cost["scored"], cost["reads"], cost["bytes"]) for r, o in enumerate(order)]
+            yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "distance", "hops", "scored", "reads", "bytes"])
+
+    return queries.select("vec_id", "embedding").mapInPandas(run, "query_id long, rank int, vec_id long, distance double, hops long, scored long, reads long, bytes long")
+
+
+def hub_profile(queries: DataFrame, index: Index, ef: int = 64) -> DataFrame:
+    """(vec_id, pops): how often each node is expanded by the queries' searches."""
+    shared = queries.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            popped: list[int] = []
+            for e in b.embedding:
+                beam(shared.value, np.asarray(e, np.float32), ef, popped=popped)
+            slots, n = np.unique(np.array(popped, int), return_counts=True)
+            yield pd.DataFrame({"vec_id": shared.value.ids[slots], "n": n})
 
-    return queries.select("vec_id", "embedding").mapInPandas(run, "query_id long, rank int, vec_id long, distance double, hops long, scored long")
+    return queries.select("embedding").mapInPandas(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("pops"))
 
 
 @dataclass

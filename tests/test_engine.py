@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.functions import stats
-from vecspark.operators import codecs, exact, graph, index, layout, workload
-from vecspark.plans import evaluation
+from vecspark.operators import accounting, codecs, exact, graph, index, layout, workload
+from vecspark.plans import evaluation, gates
 from vecspark.sources import runs, vectors
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -314,3 +314,84 @@ def test_records_change_cost_but_not_answers(spark, points):
     assert hub["reads"] == hub["bytes"] == 0 and hub["local"] == hub["hops"]
     pops = graph.hub_profile(base.where("vec_id < 9"), one, 20).agg(F.sum("pops")).first()[0]
     assert pops == sum(graph.beam(one, points[i], 20)[1]["hops"] for i in range(9))
+
+
+def test_accounting_goldens(spark):
+    # Totals of ten slots on three shards, and chunks of ranking for queues and workers.
+    slots = spark.range(10).select(F.pmod("id", F.lit(3)).alias("owner"))
+    rows = accounting.fixed_accounting(slots, 4096).orderBy("owner").collect()
+    assert [r["records"] for r in rows] == [4, 3, 3]
+    assert rows[0]["packed_bytes"] == 3 * 16384 + 10 * 4096 and rows[0]["sparse_bytes"] == 3 * (16384 + 10 * 4096)
+    chunks = spark.createDataFrame([(1024, 2, 256), (1024, 6, 85), (1024, 16, 32), (8, 8, 1), (7, 8, 0)], "q int, w int, want long")
+    assert chunks.where(accounting.rerank_chunk(F.col("q"), F.col("w")) != F.col("want")).count() == 0
+    records = spark.createDataFrame([(0, 12), (1, 7), (0, 9)], "owner long, record_bytes long")
+    own = {r["owner"]: r for r in accounting.variable_accounting(records, 3, True).collect()}
+    assert (own[0]["map_bytes"], own[0]["padding_bytes"], own[1]["map_bytes"], own[1]["padding_bytes"]) == (12, 4, 0, 16)
+    assert own[0]["total_bytes"] == 16384 + 16 + 8 * 3 + 21
+    plain = accounting.variable_accounting(records, 3, False)
+    assert accounting.totals_agree(plain, records, 3).count() == 0 and accounting.totals_agree(plain, records, 4).count() == 1
+    with pytest.raises(ValueError):
+        accounting.window_of_fixed(F.lit(1), 100, 64)
+
+
+def test_windows_hold_what_fits(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = [(o, s, int(z)) for o in range(2) for s, z in enumerate(rng.integers(0, 30, 40))]
+    records = layout.prefix_offsets(spark.createDataFrame(rows, "owner long, local_slot long, record_bytes long"), "record_bytes")
+    got = accounting.windows(records, 64).collect()
+    size = {(o, s): z for o, s, z in rows}
+    for r in got:
+        held = [size[r["owner"], s] for s in range(r["first_slot"], r["end_slot"])]
+        assert sum(held) == r["bytes"] <= 64 and held[0] > 0
+        after = size.get((r["owner"], r["end_slot"]))
+        assert after is None or r["bytes"] + after > 64
+    assert sum(r["bytes"] for r in got) == sum(size.values())
+    with pytest.raises(Exception, match="larger than a window"):
+        accounting.windows(records, 5).collect()
+
+
+def test_offsets_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(layout, "OFFSET_SPAN", 7)
+    rows = [(o, s, s * 3 % 11) for o in range(2) for s in range(50)]
+    got = {(r["owner"], r["local_slot"]): r["offset"] for r in layout.prefix_offsets(spark.createDataFrame(rows, "owner long, local_slot long, z long"), "z").collect()}
+    assert all(got[o, s] == sum(t * 3 % 11 for t in range(s)) for o, s, _ in rows)
+
+
+def test_gates_pass_on_good_rows(spark):
+    rows = spark.createDataFrame([("d", v, r, 0.9, 10.0, 5.0, 100.0 + r, 9.0 + 0.01 * r) for v in "AB" for r in range(5)], "key string, side string, rep long, recall double, posts double, bytes double, qps double, p99 double")
+    got = gates.candidate_gate(rows, "key", "side").first()
+    assert got["invariant_ok"] and got["performance_ok"] and abs(got["qps_ratio"] - 1) < 1e-12
+    single = rows.where("rep = 0")
+    one = evaluation.ratio_interval(single, "key", "side", "qps").first()
+    assert one["lo"] == one["hi"] == one["ratio"] == 1.0
+    with pytest.raises(Exception, match="positive"):
+        evaluation.ratio_interval(rows.withColumn("qps", -F.col("qps")), "key", "side", "qps").collect()
+    runs_ = spark.createDataFrame([("d", n, r, 100.0 * n, 0.95, 0.9) for n in (1, 2, 3) for r in range(3)], "key string, nodes long, repeat long, qps double, recall double, fairness double")
+    scaled = gates.scaling(runs_, ["key"])
+    assert {r["nodes"]: r["efficiency"] for r in scaled.collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
+    assert gates.scaling_gate(scaled, "key", 3, 2.3, 0.005, 0.8).count() == 0
+    assert gates.promotion([gates.scaling_gate(scaled, "key", 3, 3.5, 0.005, 0.8)]).first()[:] == (False, 1, "scale")
+    assert gates.one_factor({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
+
+
+def test_pool_and_files(spark, tmp_path, points):
+    q = table(spark, points[:9]).select(F.col("vec_id").alias("query_id"), "embedding")
+    assert workload.write_pool(q, f"file://{tmp_path}/p").count() == 9
+    for bad in (q.limit(0), q.union(q), q.where("query_id > 0")):
+        with pytest.raises(ValueError):
+            workload.write_pool(bad, f"file://{tmp_path}/q")
+    vectors.write_vectors(points, str(tmp_path / "x.fvecs"))
+    vectors.convert(str(tmp_path / "x.fvecs"), str(tmp_path / "x.fbin"), rows=50)
+    assert np.array_equal(np.array([r["embedding"] for r in vectors.read_vectors(spark, str(tmp_path / "x.fbin")).orderBy("vec_id").collect()], np.float32), points)
+    with pytest.raises(FileExistsError):
+        vectors.convert(str(tmp_path / "x.fvecs"), str(tmp_path / "x.fbin"))
+    (tmp_path / "gt.truth").write_bytes(np.array([2, 3], "<u4").tobytes() + np.arange(6, dtype="<u4").tobytes() + np.arange(6, dtype="<f4").tobytes())
+    rows = vectors.read_truth_rows(spark, str(tmp_path / "gt.truth"), rows=1).orderBy("query_id").collect()
+    assert [(r["query_id"], r["neighbors"], r["distances"]) for r in rows] == [(0, [0, 1, 2], [0.0, 1.0, 2.0]), (1, [3, 4, 5], [3.0, 4.0, 5.0])]
+    assert exact.long_form(spark.createDataFrame([(1, [7, 5])], "query_id long, neighbors array<long>")).collect()[1][:] == (1, 2, 5)
+
+
+def test_bit_planes_come_back(points):
+    r = codecs.RotatedCode.fit(points.astype(float), 4)
+    index = r.encode(points.astype(float))[0]
+    assert np.array_equal(r.from_planes(r.planes(index), points.shape[1]), index)

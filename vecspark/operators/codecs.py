@@ -159,6 +159,11 @@ class RotatedCode:
         bits = int(np.log2(len(self.level)))
         return np.concatenate([np.packbits(index >> b & 1, axis=1, bitorder="little") for b in range(bits)], 1)
 
+    def from_planes(self, planes: np.ndarray, d: int) -> np.ndarray:
+        wide = -(-d // 8)
+        parts = [np.unpackbits(planes[:, at : at + wide], axis=1, count=d, bitorder="little") << b for b, at in enumerate(range(0, planes.shape[1], wide))]
+        return np.bitwise_or.reduce(parts)
+
 
 def pq_parts(vectors: DataFrame, m: int) -> DataFrame:
     """(vec_id, j, x): the m parts of each vector."""

@@ -105,6 +105,11 @@ def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str
     return scored.where(F.col("distance") <= radius)
 
 
+def long_form(truth: DataFrame) -> DataFrame:
+    """(query_id, rank, vec_id) of a ground truth with a list of neighbours a query."""
+    return truth.select("query_id", F.posexplode("neighbors").alias("pos", "vec_id")).select("query_id", (F.col("pos") + 1).alias("rank"), "vec_id")
+
+
 def recall(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: hits among the first k of the truth, over queries answered times k."""
     gt = truth.where(F.col("rank") <= k).select("query_id", "vec_id")

@@ -29,6 +29,19 @@ def zipf_pool(spark: SparkSession, n: int, queries: int, alpha: float, seed: int
     return rows.select(F.row_number().over(W.orderBy(F.xxhash64("rank", "copy", F.lit(seed)), "rank", "copy")).alias("position"), "rank")
 
 
+def write_pool(queries: DataFrame, path: str) -> DataFrame:
+    """Writes a pool of queries (query_id, ..., embedding) to a new folder and reads it back. Ids must be 0, 1, ... and all
+    vectors of one dimension; no queries, or an existing folder, is an error."""
+    n, ids, last, dims = queries.agg(F.count(F.lit(1)), F.countDistinct("query_id"), F.max("query_id"), F.countDistinct(F.size("embedding"))).first()
+    if not n or n != ids or last != n - 1 or dims != 1:
+        raise ValueError(f"not a pool: {n} rows, {ids} ids up to {last}, {dims} dimensions")
+    queries.write.mode("errorifexists").parquet(path)
+    pool = queries.sparkSession.read.schema(queries.schema).parquet(path)
+    if pool.count() != n:
+        raise ValueError("the pool that was written has other rows")
+    return pool
+
+
 def sliced(vectors: DataFrame, first: int, count: int) -> DataFrame:
     return vectors.where(F.col("vec_id").between(first, first + count - 1))
 

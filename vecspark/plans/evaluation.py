@@ -85,6 +85,12 @@ def advise(candidates: DataFrame, recall_min: float, limits: dict[str, float]) -
     return stats.select("candidate_id", "mean", "ci_low", "rejection", ((rank == 1) & F.col("rejection").isNull()).alias("winner"))
 
 
+def change_vs(rows: DataFrame, keys: list[str], is_full: Column, x: str, size: str) -> DataFrame:
+    """Adds change (percent of x against the row that is_full names) and byte_fraction (size over its size), per key."""
+    full = lambda c: F.max(F.when(is_full, F.col(c))).over(W.partitionBy(*keys))
+    return rows.withColumn("change", 100 * (F.col(x) / full(x) - 1)).withColumn("byte_fraction", F.col(size) / full(size))
+
+
 def tables_differ(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
     """Rows that keyed tables do not share: missing keys, or values farther apart than tolerance, absolute and relative."""
     x, y = a.alias("x"), b.alias("y")

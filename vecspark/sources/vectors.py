@@ -110,6 +110,75 @@ def write_vectors(rows: np.ndarray, path: str) -> None:
     store.move(name + ".part", name)
 
 
+def convert(source: str, target: str, rows: int = 100_000) -> None:
+    """Copies a vector file into another kind, some rows at a time; refuses an existing file."""
+    (old, old_rows), (new, new_rows) = (KINDS[p.rsplit(".", 1)[-1]] for p in (source, target))
+    total, dim = shape(source)
+    reader = _Reader(source, rows, None)
+    store, name = _file(target)
+    if store.get_file_info(name).type != fs.FileType.NotFound:
+        raise FileExistsError(target)
+    with store.open_output_stream(name + ".part") as out:
+        if not new_rows:
+            out.write(struct.pack("<II", total, dim))
+        for part in reader.partitions():
+            for batch in reader.read(part):
+                x = batch.column(1).values.to_numpy().reshape(-1, dim).astype(new)
+                head = np.full((len(x), 1), dim, "<i4").view(np.uint8) if new_rows else np.empty((len(x), 0), np.uint8)
+                out.write(np.hstack([head, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)]).tobytes())
+    store.move(name + ".part", name)
+
+
+class _TruthReader(DataSourceReader):
+    def __init__(self, path: str, rows_a_task: int):
+        self.path, self.step = path, rows_a_task
+        store, name = _file(path)
+        size = store.get_file_info(name).size
+        with store.open_input_file(name) as f:
+            self.rows, self.k = struct.unpack("<II", f.read(8))
+        ids = 8 + 4 * self.rows * self.k
+        if size not in (ids, ids + 4 * self.rows * self.k):
+            raise ValueError(f"{path}: neither ids nor ids with distances")
+        self.far = size > ids
+
+    def partitions(self):
+        return [_Rows(i, min(i + self.step, self.rows)) for i in range(0, self.rows, self.step)] or [_Rows(0, 0)]
+
+    def read(self, part):
+        store, name = _file(self.path)
+        n, k = part.last - part.first, self.k
+        cuts = pa.array(np.arange(n + 1) * k, pa.int32())
+        with store.open_input_file(name) as f:
+            f.seek(8 + 4 * k * part.first)
+            ids = np.frombuffer(f.read(4 * k * n), "<u4").astype(np.int64)
+            if self.far:
+                f.seek(8 + 4 * k * (self.rows + part.first))
+                far = pa.ListArray.from_arrays(cuts, pa.array(np.frombuffer(f.read(4 * k * n), "<f4"), pa.float32()))
+            else:
+                far = pa.nulls(n, pa.list_(pa.float32()))
+        yield pa.record_batch([pa.array(np.arange(part.first, part.last), pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(ids)), far], ["query_id", "neighbors", "distances"])
+
+
+class TruthFile(DataSource):
+    """spark.read.format("truth").load(path); option rowsPerTask."""
+
+    @classmethod
+    def name(cls):
+        return "truth"
+
+    def schema(self):
+        return "query_id long, neighbors array<long>, distances array<float>"
+
+    def reader(self, schema):
+        return _TruthReader(self.options["path"], int(self.options.get("rowsPerTask", 100_000)))
+
+
+def read_truth_rows(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
+    """(query_id, neighbors, distances) of a ground-truth file, read in row ranges; distances are null where it has none."""
+    spark.dataSource.register(TruthFile)
+    return spark.read.format("truth").option("rowsPerTask", rows).load(path)
+
+
 def read_truth(path: str) -> tuple[np.ndarray, np.ndarray | None]:
     """Ids, and distances if the file's size says that they follow: u32 n, u32 k, ids, then perhaps f32 distances."""
     store, name = _file(path)

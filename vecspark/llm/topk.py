@@ -8,8 +8,9 @@ bounded by the two block sizes.
    k-th of these totals bounds the k-th best from below.
 2. Cutoff: the bound goes to all nodes. A total can only reach it if, in some slice, the partial comes within an equal
    share of the gap between the bound and the sum of the slices' highest partials. Nodes send every entry that does.
-3. Resolve: entries are joined by row. With an unseen partial taken at its slice's threshold, those that stay below the
-   bound are dropped; what a remaining entry still lacks is looked up in the vectors, and exact totals are ranked.
+3. Resolve: entries are joined by row. Those that all slices sent have their totals, whose k-th best is a second, closer
+   bound. With an unseen partial taken just below its slice's threshold, entries under it are dropped; what a remaining
+   entry still lacks is looked up in the vectors, and exact totals are ranked.
 
 Nothing is approximate: a row that no slice sends totals less than k known rows.
 """
@@ -60,6 +61,26 @@ def _send(query, slices, row, part) -> pd.DataFrame:
     return pd.DataFrame({"query": np.concatenate([np.empty(0, np.int64), *query]), "slice": np.concatenate([np.empty(0, np.int32), *slices]), "row": np.concatenate([np.empty(0, np.int64), *row]), "part": np.concatenate([np.empty(0, np.int64), *part])})
 
 
+_SENT = "d int, slice int, b long, qb long, query binary, row binary, partner binary, part binary"
+
+
+def _joined(own: pd.DataFrame, q: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Entries of a block's slices by query and row: (query, row, partner, parts, seen). An unseen part is the most that it can
+    be, one less than its slice's threshold."""
+    query, row, partner, part = (np.concatenate([np.frombuffer(x, np.int64) for x in own[c]]) for c in ("query", "row", "partner", "part"))
+    of = np.repeat(own.slice.to_numpy(), [len(x) // 8 for x in own["query"]])
+    q = q.sort_values("query")
+    numbers, rows = q["query"].to_numpy(), np.unique(row)
+    key, at = np.unique(np.searchsorted(numbers, query) * len(rows) + np.searchsorted(rows, row), return_inverse=True)
+    least = [np.zeros(len(x), np.int64) if any(v is None or v != v for v in x) else np.array([int(v) for v in x], np.int64) - 1 for x in q.least]
+    parts = np.stack(least)[key // len(rows)]
+    seen = np.zeros(parts.shape, bool)
+    parts[at, of], seen[at, of] = part, True
+    names = np.empty(len(key), np.int64)
+    names[at] = partner
+    return numbers[key // len(rows)], rows[key % len(rows)], names, parts, seen
+
+
 def _lists(q: pd.DataFrame, r: pd.DataFrame):
     """For each query of the block its number, its row of q, and the node's list: partials and which rows may be partners."""
     if len(q) and len(r):
@@ -68,7 +89,7 @@ def _lists(q: pd.DataFrame, r: pd.DataFrame):
             yield number, q.iloc[i], parts[i], np.flatnonzero(ids != own)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, slices: int = 2, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, slices: int = 2, block: int = 8192, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query with every other row.
 
     vectors: (vec_id, v) as of quantised(); is_query: a column condition on vec_id. Ties go to the smaller vec_id; a
@@ -131,16 +152,52 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, slices: int = 2, block: int
         for number, at, parts, others in _lists(q, r):
             if not pd.isna(at["least"]):
                 others = others[parts[others] >= int(at["least"])]
-            for to, x in zip(out, (np.full(len(others), number), np.full(len(others), at["slice"], np.int32), r.row.to_numpy()[others], parts[others])):
+            for to, x in zip(out, (np.full(len(others), number), r.row.to_numpy()[others], r.vec_id.to_numpy()[others], parts[others])):
                 to.append(x)
-        return _send(*out)
+        if not len(q) or not sum(map(len, out[0])):
+            return pd.DataFrame(columns=[c.split()[0] for c in _SENT.split(", ")])
+        one = q.iloc[0]
+        return pd.DataFrame({k: [one[k]] for k in keys} | {c: [np.concatenate(x).astype(np.int64).tobytes()] for c, x in zip(("query", "row", "partner", "part"), out)})
 
     told = right.join(cutoffs, "query").withColumn("least", (F.try_element_at("peak", "slice") - F.col("share")).cast("string")).drop("peak", "share", "low")
-    sent = told.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(lambda q, r: collect(q, r), _ENTRY)
-    entries = sent.groupBy("query", "row").agg(F.map_from_entries(F.collect_list(F.struct("slice", "part"))).alias("part")).join(cutoffs, "query")
-    upper = F.aggregate(F.map_entries("peak"), F.lit(0).cast("long"), lambda t, p: t + F.coalesce(F.try_element_at("part", p["key"]), p["value"] - F.col("share")))
-    remaining = written(entries.where(F.col("low").isNull() | (upper >= F.col("low"))).select("query", "row"), "topk-remaining")
+    # all entries of a node in one row: there are as many as the bound lets through, and only numpy looks at them
+    sent = written(told.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(lambda q, r: collect(q, r), _SENT), "topk-sent")
     drop_written(gathered)
-    found = resolved(remaining).groupBy("query_id", "partner").agg(F.max("score").alias("score"))
+    leasts = F.transform(F.array_sort(F.map_entries("peak")), lambda p: (p["value"] - F.col("share")))
+    bounds = asked.join(sizes, "d").withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("q_blocks"))).join(cutoffs, "query")
+    bounds = written(bounds.withColumn("b", F.explode(upto(F.col("blocks")))).select("d", "b", "qb", "query", "low", leasts.alias("least")), "topk-bounds")
+    node = ["d", "b", "qb"]
+
+    def whole(own: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        """Of rows that all slices sent, each query's k best partners of the block."""
+        if not len(own) or not len(q):
+            return pd.DataFrame(columns=["query", "partner", "score"])
+        number, _, partner, parts, seen = _joined(own, q)
+        full = seen.all(1)
+        got = pd.DataFrame({"query": number[full], "partner": partner[full], "score": parts[full].sum(1)})
+        got = got.groupby(["query", "partner"], as_index=False).score.max().sort_values("score", ascending=False)
+        return got.groupby("query").head(k)
+
+    best = sent.groupBy(*node).cogroup(bounds.groupBy(*node)).applyInPandas(lambda o, q: whole(o, q), "query long, partner long, score long")
+    best = best.groupBy("query", "partner").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))).where(F.col("r") <= k)
+    second = best.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+    bounds = bounds.join(second, "query", "left").withColumn("low", F.greatest("low", "kth").cast("string")).drop("kth")
+
+    def prune(own: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        """Entries that may reach the second bound, with their total where every slice sent them."""
+        if not len(own) or not len(q):
+            return pd.DataFrame(columns=["query", "row", "partner", "score"])
+        number, row, partner, parts, seen = _joined(own, q)
+        low = {n: None if pd.isna(x) else int(x) for n, x in zip(q["query"], q.low)}
+        least = np.array([np.iinfo(np.int64).min if low[n] is None else low[n] for n in number], np.int64)
+        keep = np.flatnonzero((parts.sum(1) >= least) | (least == np.iinfo(np.int64).min))
+        score = [str(x) if f else None for x, f in zip(parts[keep].sum(1), seen[keep].all(1))]
+        return pd.DataFrame({"query": number[keep], "row": row[keep], "partner": partner[keep], "score": score})
+
+    kept = written(sent.groupBy(*node).cogroup(bounds.groupBy(*node)).applyInPandas(lambda o, q: prune(o, q), "query long, row long, partner long, score string"), "topk-remaining")
+    drop_written(sent)
+    looked_up = resolved(kept.where("score is null").select("query", "row")).select("query_id", "partner", "score")
+    done = kept.where("score is not null").join(queries.select("query", "query_id"), "query").select("query_id", "partner", F.col("score").cast("long").alias("score"))
+    found = looked_up.union(done).groupBy("query_id", "partner").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "partner"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("partner").alias("vec_id"), "score")

@@ -340,13 +340,24 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     return verified
 
 
+#: A hot region's members are dealt over so many tasks where they are joined with what is known of the region.
+SALTS = 32
+
+
+def _of_region(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members joined with known, a row or a few a region h, without all members of a region in one task."""
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
+
+
 def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of documents.
 
     n_shingles: distinct shingles of `width` words, of the lower-cased (A-Z) text; a text of fewer words is one
     shingle, a text without words or a null has none and links with nothing. component_id: the smallest doc_id that
     can be reached by links of Jaccard similarity >= 0.8. Rows without an id have no component (null) and link with
-    nothing; rows that repeat an id share what it links to only where their texts do. Empty input: no rows.
+    nothing; rows that repeat an id share what it links to only where their texts do. Words and shingles are told apart by
+    64-bit hashes of their bytes. Further columns are left out. Empty input: no rows.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -374,20 +385,20 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     large = written(first.where("kind = 1").select("h", F.col("a").alias("c"), F.col("b").alias("p"), "n", "pos", "least").join(group, "c"), "jaccard-members")
     drop_written(first)
     several = large.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h")
-    m, d = large.join(several, "h").alias("m"), checked.alias("d")
+    m, d = _of_region(large, several).alias("m"), checked.alias("d")
     on = (F.least("m.c", "m.p") == F.col("d.a")) & (F.greatest("m.c", "m.p") == F.col("d.b"))
     inside = (F.col("m.c") == F.col("m.p")) | F.coalesce("d.linked", F.lit(False))
     far = F.when(F.col("m.c") == F.col("m.p"), 0.0).otherwise(F.coalesce("d.distance", "m.least"))
     members = written(m.join(d, on, "left").select("m.h", "m.c", "m.p", "m.g", "m.n", "m.pos", inside.alias("inside"), far.alias("far")), "jaccard-members")
     drop_written(large)
     home = members.where("c = p").select("h", F.col("g").alias("home")).distinct()
-    nearest = members.join(home, "h").where("g <> home").groupBy("h").agg(F.min("far").alias("nearest"))
-    members = members.join(nearest, "h").where("not inside or far >= nearest - 0.2 - 1e-9")
+    nearest = _of_region(members, home).where("g <> home").groupBy("h").agg(F.min("far").alias("nearest"))
+    members = _of_region(members, nearest).where("not inside or far >= nearest - 0.2 - 1e-9")
     members = written(members.select("h", "c", "n", "pos", "g"), "jaccard-boundary")
     if not members.isEmpty():
         orders = sent.groupBy("f1").agg(F.first("first").alias("first")).withColumnRenamed("f1", "c")
         size = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-        sized = written(members.join(size, "h"), "jaccard-sized")
+        sized = written(_of_region(members, size), "jaccard-sized")
         deep = sized.where(F.col("size") > DEEP).join(orders, "c").select("h", "n", "c", "pos", "g", F.posexplode("first").alias("pos2", "h2")).where("pos2 > pos")
         # a second shared shingle at pos2: as if the first shared one were just before it
         deep = deep.select(F.xxhash64("h", "h2").alias("h"), "n", "c", (F.col("pos2") - 1).alias("pos"), "g")

@@ -341,7 +341,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
 
 
 #: A hot region's members are dealt over so many tasks where they are joined with what is known of the region.
-SALTS = 32
+SALTS = 8
 
 
 def _of_region(members: DataFrame, known: DataFrame) -> DataFrame:

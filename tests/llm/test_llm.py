@@ -548,3 +548,28 @@ def test_language_id_rejects_gibberish_and_an_unlearned_language(spark):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert all(got[10_000 + i]["rejected"] for i in range(len(odd)))
     assert sum(got[i]["rejected"] for i, *_ in rows) <= 0.02 * len(rows)
+
+
+def test_pipeline_run_equals_its_stages_and_brute_force(spark, tmp_path):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    docs, rows = corpus(spark, 12, copies=6)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = p.run(spark, f"file://{tmp_path}").collect()
+    whole, texts = Tokenizer.from_file(tok.path("byte_bpe_50k.json")), {i: t for i, t, *_ in rows}
+    letters = [(i, t) for i, t in texts.items() if t and re.search(r"[^\W\d_]", t)]
+    first = {i for i, _, c in brute_groups(letters) if i == c}
+    pieces, fill = {}, {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(pieces) <= first and len(pieces) > len(first) / 2
+    for i, parts in pieces.items():
+        ids = np.array(whole.encode(texts[i], add_special_tokens=False).ids + [0], "<u4")
+        want = [(a, len(ids[a : a + 1024]), zlib.crc32(ids[a : a + 1024].tobytes()), len(ids)) for a in range(0, len(ids), 1024)]
+        times = sum(a == 0 for a, *_ in parts)
+        assert times in (1, 2) and sorted(parts) == sorted(want * times)
+    for parts in fill.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 1024

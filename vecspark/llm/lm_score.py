@@ -36,6 +36,8 @@ SIDE = 2
 #: Words whose shares are broadcast, at most; where they come from does not change a score.
 COMMON = 1 << 18
 BATCH = 2048
+#: Rows of a product when scoring: so few that one matrix kernel takes all of them alike.
+ROWS = 8
 RATE = 2.0
 ROUNDS = 4
 #: Words of a bucket, about: their number grows with the corpus.
@@ -137,14 +139,22 @@ class Network:
         return order, group, np.searchsorted(group, np.arange(GROUPS + 1))
 
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Products are taken in blocks of ROWS rows, the last one of a group filled up: libraries add in another order for
+        other shapes, and a word's value must not depend on what else stands in the batch."""
         order, group, cuts = self._by_group(word)
-        h, inner = self.hidden([c[order] for c in context]), word[order] % GROUPS
-        x, _, s = self._softmax(h @ self.w1 + self.b1)
-        got = x[np.arange(len(word)), group] - np.log(s[:, 0])
-        for g in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            part = slice(cuts[g], cuts[g + 1])
-            x, _, s = self._softmax(h[part] @ self.w2[g] + self.b2[g])
-            got[part] += x[np.arange(len(x)), inner[part]] - np.log(s[:, 0])
+        sizes, rows = np.diff(cuts), np.arange(len(word))
+        blocks = -(-sizes // ROWS)
+        at = rows + np.repeat(ROWS * (np.cumsum(blocks) - blocks) - cuts[:-1], sizes)
+        filled = np.zeros(ROWS * blocks.sum(), np.intp)
+        filled[at] = order
+        h = self.hidden([c[filled] for c in context]).reshape(-1, ROWS, WIDTH)
+        got, of = np.zeros(len(word), np.float32), np.repeat(np.arange(GROUPS), blocks)
+        for w, b, x, bias, wanted in ((self.w1, self.b1, h @ self.w1, self.b1, group), (self.w2, self.b2, h @ self.w2[of], self.b2[of, None], word[order] % GROUPS)):
+            x += bias
+            x = x.reshape(-1, GROUPS)
+            if not np.abs(w).sum(-2).max() + np.abs(b).max() < 60:  # else no exponential overflows, as h is within -1 and 1
+                x -= x.max(1, keepdims=True)
+            got += x[at, wanted] - np.log(np.exp(x).sum(1)[at])
         out = np.empty_like(got)
         out[order] = got
         return out

@@ -193,6 +193,16 @@ def brute_groups(rows):
     return sorted((i, len(s), find(i)) for i, s in sets.items())
 
 
+def test_cells_bring_every_two_members_of_a_region_together_once(spark):
+    rows = [(h, 9, 100 * h + i, 0, 7) for h, n in ((1, 23), (2, 5), (3, 4)) for i in range(n)]
+    cells = {}
+    for r in jaccard_join._cells(spark.createDataFrame(rows, "h long, n int, c long, pos int, g long"), 4).collect():
+        cells.setdefault(r["h"], []).append((r["c"], r["side"]))
+    met = [tuple(sorted((a, b))) for c in cells.values() for k, (a, x) in enumerate(c) for b, y in c[:k] if x == 0 or x != y]
+    assert sorted(met) == sorted((a, b) for _, _, a, *_ in rows for _, _, b, *_ in rows if a < b and a // 100 == b // 100)
+    assert max(map(len, cells.values())) < 23 and 3 in cells and 1 not in cells
+
+
 @pytest.mark.parametrize("deep", [4096, 2])
 def test_jaccard_groups(spark, deep, monkeypatch):
     monkeypatch.setattr(jaccard_join, "DEEP", deep)

@@ -11,8 +11,9 @@ every linked pair meets in the region of the first shingle that both have.
 with it and need no comparison among themselves, for only the links' groups are asked for. A member outside can link
 with one inside only if their distances to the pivot differ by 0.2 at most (triangle inequality): such boundary members
 and those outside are compared further, but only with members of other groups. If they are many, they first go to
-regions of the next level: the pairs of shingles that two sets share first and second. Regions of few members compare
-all their pairs at once.
+regions of the next level: the pairs of shingles that two sets share first and second. What is still large then is
+dealt over blocks, and every two blocks of a region meet in a cell of their own, so no task holds a whole region.
+Regions of few members compare all their pairs at once.
 
 Sets are not moved with the regions: these carry a fingerprint, a size and a position. Sets of candidates are made from
 the texts again and meet pair by pair, first as sketches that bound their difference from below. Sizes (5 a >= 4 b) and positions bound the overlap before. All decisions are made
@@ -36,7 +37,8 @@ from .components import connected_components
 SMALL = 16
 #: In larger ones, the so many members with the fewest rarer shingles are pivots: those most like the others.
 PIVOTS = 3
-#: Boundary regions of more members go on to regions of two shingles; in others the groups are compared at once.
+#: Boundary regions of more members go on to regions of two shingles, and of these the larger ones to cells of two
+#: blocks of about so many members; in others the groups are compared at once.
 DEEP = 4096
 #: The order knows by their counts the so many most frequent shingles; of all others it takes the hash.
 FREQUENT = 1 << 20
@@ -139,7 +141,7 @@ def _distance_bound(na, nb, ub):
 class _Regions:
     """Streams rows sorted by region h and sends pairs (kind 0) and members of large regions (kind 1).
 
-    Rows of a region come by (pos, n, c); with groups, by (n, c).
+    Rows of a region come by (pos, n, c); with groups, by (n, c). Rows of a side other than 0 meet the other side only.
     """
 
     def __init__(self, groups: bool):
@@ -149,17 +151,17 @@ class _Regions:
         self.out: list[dict] = []
 
     def _pairs(self, r, i, j):
-        h, n, c, pos, g = r
+        h, n, c, pos, g, side = r
         ub = np.minimum(n[i] - pos[i], n[j] - pos[j])
         keep = _within(n[i], n[j], ub) & (c[i] != c[j])
         if self.groups:
-            keep &= g[i] != g[j]
+            keep &= (g[i] != g[j]) & ((side[i] == 0) | (side[i] != side[j]))
         i, j = i[keep], j[keep]
         self._send(0, h[i], c[i], c[j], n[i], pos[i], np.zeros(len(i)))
 
     def _star(self, r, pivots):
         """pivots: the (n, c, pos) of each row's pivots, the first of which rules the windows."""
-        h, n, c, pos, _ = r
+        h, n, c, pos = r[:4]
         for k, (pn, pc, ppos) in enumerate(pivots):
             ub = np.minimum(n - pos, pn - ppos)
             keep = _within(pn, n, ub) & (c != pc)
@@ -174,7 +176,7 @@ class _Regions:
             self.out.append({"kind": np.full(len(h), kind, np.int8), "h": h, "a": a, "b": b, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "least": least})
 
     def _runs(self, r):
-        h, _, c, _, _ = r
+        h, c = r[0], r[2]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         r = [x[fresh] for x in r]
@@ -199,7 +201,7 @@ class _Regions:
 
     def _across(self, r):
         """Pairs of a region's members in different groups: those outside the largest group with all others."""
-        _, n, _, _, g = r
+        n, g = r[1], r[4]
         names, which, size = np.unique(g, return_inverse=True, return_counts=True)
         few = which != size.argmax()
         first, last = np.searchsorted(5 * n, 4 * n, "left"), np.searchsorted(4 * n, 5 * n, "right")
@@ -239,19 +241,23 @@ class _Regions:
 
 def _stream(batches: Iterator[pa.RecordBatch], groups: bool) -> Iterator[pa.RecordBatch]:
     state = _Regions(groups)
-    empty = [np.empty(0, np.int64)] * 5
+    empty = [np.empty(0, np.int64)] * 6
     held, rows = [], 0
+
+    def columns():
+        t = pa.Table.from_batches(held)
+        named = [t[c].to_numpy().astype(np.int64) for c in (("h", "n", "c", "pos", "g", "side") if groups else ("h", "n", "c", "pos"))]
+        return named + [np.zeros(t.num_rows, np.int64)] * (6 - len(named))
+
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
         if rows >= 1 << 16:
-            t = pa.Table.from_batches(held)
-            state.add([t[c].to_numpy().astype(np.int64) for c in ("h", "n", "c", "pos", "g")])
+            state.add(columns())
             held, rows = [], 0
             yield from state.sent()
     if held:
-        t = pa.Table.from_batches(held)
-        state.add([t[c].to_numpy().astype(np.int64) for c in ("h", "n", "c", "pos", "g")])
+        state.add(columns())
     state.add(empty, final=True)
     yield from state.sent()
 
@@ -350,6 +356,17 @@ def _of_region(members: DataFrame, known: DataFrame) -> DataFrame:
     return members.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
 
 
+def _cells(rows: DataFrame, most: int) -> DataFrame:
+    """rows, those of a region h of more than `most` members dealt over blocks of about so many: block i meets block j in
+    a region of its own, on sides 1 and 2, and itself on side 0. Of a region of n each member is sent n / most times."""
+    size = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit("block"), "c"), F.col("blocks")).cast("int")
+    met = _of_region(rows, size).withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    cell = F.when(F.col("blocks") > 1, F.xxhash64("h", F.least("own", "met"), F.greatest("own", "met"))).otherwise(F.col("h"))
+    side = F.when(F.col("own") == F.col("met"), 0).when(F.col("own") < F.col("met"), 1).otherwise(2)
+    return met.select(cell.alias("h"), "n", "c", "pos", "g", side.cast("long").alias("side"))
+
+
 def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of documents.
 
@@ -370,7 +387,7 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = shuffle_partitions(spark)
     alpha = (F.col("n") - F.floor((F.col("n") * 4 + 4) / 5) + 1).cast("int")
     rows = sent.select("n", F.col("f1").alias("c"), F.posexplode(F.slice("first", F.lit(1), alpha)).alias("pos", "h"))
-    rows = rows.select("h", "n", "c", "pos", F.lit(0).cast("long").alias("g"))
+    rows = rows.select("h", "n", "c", "pos")
     dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "pos", "n", "c")
     first = written(dealt.mapInArrow(lambda it: _stream(it, False), _REGION), "jaccard-regions")
     checked = _verified(docs, classes, first.where("kind = 0"), width)
@@ -399,10 +416,13 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         orders = sent.groupBy("f1").agg(F.first("first").alias("first")).withColumnRenamed("f1", "c")
         size = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
         sized = written(_of_region(members, size), "jaccard-sized")
-        deep = sized.where(F.col("size") > DEEP).join(orders, "c").select("h", "n", "c", "pos", "g", F.posexplode("first").alias("pos2", "h2")).where("pos2 > pos")
+        large = sized.where(F.col("size") > DEEP)
+        deep = large.join(orders, "c").select("h", "n", "c", "pos", "g", F.posexplode("first").alias("pos2", "h2")).where("pos2 > pos")
         # a second shared shingle at pos2: as if the first shared one were just before it
         deep = deep.select(F.xxhash64("h", "h2").alias("h"), "n", "c", (F.col("pos2") - 1).alias("pos"), "g")
-        next_rows = sized.where(F.col("size") <= DEEP).select("h", "n", "c", "pos", "g").unionByName(deep)
+        next_rows = sized.where(F.col("size") <= DEEP).select("h", "n", "c", "pos", "g", F.lit(0).cast("long").alias("side"))
+        if not large.isEmpty():
+            next_rows = next_rows.unionByName(_cells(written(deep, "jaccard-deep"), DEEP))
         dealt = next_rows.repartition(parts, "h").sortWithinPartitions("h", "n", "c")
         second = written(dealt.mapInArrow(lambda it: _stream(it, True), _REGION), "jaccard-regions")
         more = _verified(docs, classes, second.where("kind = 0"), width)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import bound_batches, load
+from .common import bound_batches, load, written
 
 
 def _ready(spark: SparkSession) -> SparkSession:
@@ -209,6 +209,75 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(_ready(spark), sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_align import align
+
+    return align(load(_ready(spark), sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(load(_ready(spark), sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+found AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+summed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, (unicode(c) - 64)::BIGINT] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM found, crc),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM summed GROUP BY 1 HAVING sum(n) >= 2),
+counted AS (SELECT * FROM words WHERE length(word) >= 7),
+skipped AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT *, unnest(range(length(word))) AS i FROM counted)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM skipped a JOIN skipped b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM skipped a JOIN counted b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM skipped a JOIN counted b ON a.v = b.word),
+near AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS m FROM pairs GROUP BY a),
+forms AS (
+  SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * c.n THEN best END AS form, CASE WHEN m >= 10 * c.n THEN m END AS form_n
+  FROM counted c LEFT JOIN near USING (word)),
+follow(word, goal) AS (SELECT word, word FROM forms UNION ALL SELECT f.word, g.form FROM follow f JOIN forms g ON f.goal = g.word WHERE g.form IS NOT NULL),
+roots AS (SELECT f.word, f.goal AS root FROM follow f JOIN forms g ON f.goal = g.word WHERE g.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN roots r USING (word)
+"""
+
+
+#: The conversation that the chat query adds: control strings in both its turns.
+ODD_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, read_back
+
+    turns = load(_ready(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string")
+    windows = written(format_chats(turns.union(more), vocabulary_path("byte_bpe_50k.json")), "chat-windows")
+    return read_back(windows)
+
+
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+named AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS name FROM turns),
+sized AS (
+  SELECT *, 24 + list_sum(list_transform([name, text], lambda x: length(regexp_replace(regexp_replace(x,
+    '<(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g')))) AS size FROM named)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_masked_lm_score": op2_masked_lm_score,
@@ -220,6 +289,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_pack_documents": op10_pack_documents,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_chat_windows": op13_chat_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -228,4 +300,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": OP5_SQL,
     "op7_weighted_mix": OP7_SQL,
     "op9_url_filter": OP9_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_chat_windows": OP13_SQL,
 }

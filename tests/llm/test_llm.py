@@ -433,10 +433,46 @@ def test_top_k_of_repeats_large_values_and_clashing_names(spark):
     want = sorted((-256 * sum(fine[i]), i) for i in range(1, 7))[:5]
     assert got == [(0, r + 1, i, -s) for r, (s, i) in enumerate(want)]
     huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [1.0, 3.0]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")
-    most = int(2**62 // 2) ** 0.5
-    got = topk.top_k(topk.quantised(huge), F.col("vec_id") == 0, k=5).collect()
-    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3]
-    assert abs(got[0]["score"]) <= 2**63 - 1 and max(r["score"] for r in got) == int(most) ** 2 + 256 * 512
+    got = sorted(topk.top_k(topk.quantised(huge), F.col("vec_id") == 0, k=5).collect(), key=lambda r: r["rank"])
+    # ranked by their true scores; what 64 bits do not hold stops at their ends
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63))]
+
+
+def test_top_k_cuts_no_component(spark):
+    """Components far above sqrt(2**62 / d), in queries and rows, beside ordinary ones; null ids take no part."""
+    rng = np.random.Generator(np.random.PCG64(17))
+    x = rng.standard_normal((90, 64))
+    x[:, 0] = 1
+    x[5:30, 0] = [3e6, 2e7, 9e7, -9e7, 2e12] * 5
+    x[40, 1], x[0, 2] = 5e14, 7e13
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(None, [9e9] * 64), (31, [float(c) for c in x[6]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows if i is not None]
+    got = sorted(map(tuple, topk.top_k(topk.quantised(df), F.col("vec_id") % 10 == 0, k=5, block=40, query_block=4).collect()))
+    want = []
+    for q, v in (f for f in fine if f[0] % 10 == 0):
+        best = {}
+        for i, w in fine:
+            if i != q:
+                best[i] = max(best.get(i, -(10**99)), sum(a * b for a, b in zip(v, w)))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:5])]
+    assert got == sorted((q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in want)
+
+
+def test_embedding_links_of_huge_and_tiny_doubles(spark):
+    x = [[1e200, 1e199], [1e200, 2e199], [1e-200, 1e-201], [3e-320, 0.0], [1.0, 0.1], [0.0, 1e308]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_dedup(df).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {5: (0, 5)}
+
+
+def test_url_hosts_of_very_many_labels(spark):
+    rules = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("block", "a.b.net", "")]
+    long = "x." * 200_000
+    urls = [f"http://{long}example.com/en/7", f"http://{long}com/en/1", f"http://{long}b.net/", f"http://{long}a.b.net/", "http://b.net/", None, "no scheme", "no scheme"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()}
+    assert got == {0: ("example.com/en/7", "allow"), 1: ("com/en/", "block"), 2: (None, "allow"), 3: ("a.b.net", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow")}
 
 
 def test_words_of_many_letters_hash_apart(spark):

@@ -27,6 +27,11 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that no square overflows or vanishes; but for that, sums of products have the same bits."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(1, keepdims=True)  # so that no square overflows or vanishes
     return v / np.sqrt((v * v).sum(1, keepdims=True))
@@ -61,6 +66,7 @@ def links(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray] | N
 
     def prepared(block):
         ids, raw = block
+        raw = _scaled(raw)
         unit = _unit(raw)
         order = _order(unit, bits)
         return ids[order], raw[order], unit[order], *_cones(unit[order], window)

@@ -17,6 +17,8 @@ Nothing is approximate: a row that no slice sends totals less than k known rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,17 +31,18 @@ QUANTUM = 256.0
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v ARRAY<LONG>): floor(256 x) of each component, x as double. Vectors that are null, empty or hold null or
-    non-finite components are left out, and so are rows without an id. So that every score fits 64 bits, components of
-    a vector of d stop at sqrt(2**62 / d) either way (for 64 components about 2**28, or x = 1,048,576)."""
+    """(vec_id, v ARRAY<LONG>, wide ARRAY<DOUBLE>): floor(256 x) of each component, x as double. Vectors that are null, empty
+    or hold null or non-finite components are left out, and so are rows without an id. A vector of d components has v if
+    none is beyond sqrt(2**62 / d) either way (for 64 about 2**28, or x = 1,048,576), so that scores of two such fit 64
+    bits; else it has its x in wide, and is scored apart, by whole numbers of any size."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     most = F.floor(F.sqrt(F.lit(2.0**62) / F.size(vector_col)))
-    step = lambda c: F.greatest(-most, F.least(most, F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), c)) * QUANTUM).cast("long")))
+    fits = F.forall(x, lambda c: F.abs(c) * QUANTUM <= most)
     return (
         vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
         .where(fine)
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, step).alias("v"))
+        .select(F.col(id_col).cast("long").alias("vec_id"), F.when(fits, F.transform(x, lambda c: F.floor(c * QUANTUM).cast("long"))).alias("v"), F.when(~fits, x).alias("wide"))
     )
 
 
@@ -89,10 +92,69 @@ def _lists(q: pd.DataFrame, r: pd.DataFrame):
             yield number, q.iloc[i], parts[i], np.flatnonzero(ids != own)
 
 
+_LONG = (-(2**63), 2**63 - 1)
+
+
+def _whole(v, wide) -> list[int]:
+    """Components as whole numbers of any size: floor(256 x), exact for any double."""
+    return [int(c) for c in v] if v is not None else [math.floor(c * QUANTUM) if abs(c) < 2.0**60 else int(c) * int(QUANTUM) for c in wide]
+
+
+def _best_wide(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score as text) of the k best partners of each query in a block."""
+    out = []
+    rows = [(i, _whole(v, w)) for i, v, w in zip(r.vec_id, r.v, r.wide)]
+    for query, v, w in zip(q.q_vec_id, q.q_v, q.q_wide):
+        own, best = _whole(v, w), {}
+        for i, x in rows:
+            if i != query:
+                best[i] = max(sum(a * b for a, b in zip(own, x)), best.get(i, -math.inf))
+        out += [(query, i, str(s)) for s, i in sorted((-s, i) for i, s in best.items())[:k]]
+    return pd.DataFrame([(q, i, str(-int(s))) for q, i, s in out], columns=["query_id", "vec_id", "score"])
+
+
+def _with_wide(found: DataFrame, vectors: DataFrame, is_query, k: int, block: int = 1024, query_block: int = 256) -> DataFrame:
+    """found, with every pair of which one vector at least is wide. Blocks meet blocks, as in the search itself."""
+    rows = written(vectors.withColumn("d", F.coalesce(F.size("v"), F.size("wide"))), "topk-wide")
+    asked, wide, narrow = rows.where(is_query), rows.where("wide is not null"), rows.where("wide is null")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        count = lambda df, size: df.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / size).alias("n"))
+        sizes = count(left, query_block).withColumnRenamed("n", "x_n").join(count(right, block).withColumnRenamed("n", "y_n"), "d")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+        deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+        a = left.join(sizes, "d").withColumn("x", deal("x_n")).withColumn("y", upto("y_n")).select("d", "x", "y", "vec_id", "v", "wide")
+        b = right.join(sizes, "d").withColumn("y", deal("y_n")).withColumn("x", upto("x_n")).select("d", "x", "y", "vec_id", "v", "wide")
+        keys = ["d", "x", "y"]
+        a = a.select(*[F.col(c).alias(f"q_{c}") for c in a.columns])  # both sides come from one table
+        return a.groupBy(*[f"q_{c}" for c in keys]).cogroup(b.groupBy(*keys)).applyInPandas(lambda q, r: _best_wide(q, r, k), "query_id long, vec_id long, score string")
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        best: dict[int, int] = {}
+        for i, s in zip(rows.vec_id, map(int, rows.score)):
+            best[i] = max(s, best.get(i, s))
+        first = sorted((-s, i) for i, s in best.items())[:k]
+        return pd.DataFrame([(rows.query_id.iloc[0], r + 1, i, min(max(-s, _LONG[0]), _LONG[1])) for r, (s, i) in enumerate(first)], columns=["query_id", "rank", "vec_id", "score"])
+
+    every = found.select("query_id", "vec_id", F.col("score").cast("string").alias("score")).union(met(asked, wide)).union(met(asked.where("wide is not null"), narrow))
+    # k rows of the search and k of each block of wide rows for each query
+    return every.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, slices: int = 2, block: int = 8192, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query with every other row.
 
-    vectors: (vec_id, v) as of quantised(); is_query: a column condition on vec_id. Ties go to the smaller vec_id; a
+    vectors: (vec_id, v, wide) as of quantised(); is_query: a column condition on vec_id. Pairs with a wide vector are scored
+    by whole numbers of any size and ranked by them; only where such a score is written does it stop at the ends of 64
+    bits. Without wide vectors nothing of this runs.
+    """
+    vectors = vectors.select("vec_id", "v", "wide")
+    found = _top_k(vectors.where("v is not null").select("vec_id", "v"), is_query, k, slices, block, query_block)
+    return found if vectors.where("wide is not null").isEmpty() else _with_wide(found, vectors, is_query, k)
+
+
+def _top_k(vectors: DataFrame, is_query, k: int, slices: int, block: int, query_block: int) -> DataFrame:
+    """The search of vectors (vec_id, v) whose scores fit 64 bits. Ties go to the smaller vec_id; a
     query with fewer than k other rows gets all of them; vectors of another length than the query's are not compared.
     A vec_id that repeats counts once for a query, at the best score of its rows, and is never a candidate of a query of
     the same id; a query id given more than once is asked with each distinct vector. Further columns are left out.

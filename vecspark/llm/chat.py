@@ -71,7 +71,7 @@ def _format(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         ids = batch.column(0).to_pylist()
         turns = [write_turn(r or "", t or "") for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         texts = pa.array([t for t, _, _ in turns], pa.string())
-        tokens = [len(x) // 4 for x in encode(texts)]
+        tokens = [len(x) // 4 + 1 for x in encode(pa.array([t[:-1] for t, _, _ in turns], pa.string()))]  # the line end is one
         kinds = [1 if r == "system" else 2 if r == "assistant" else 0 for r in batch.column(1).to_pylist()]
         ordinals, starts = [], []
         for i, n in zip(ids, tokens):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.distance import l2
-from .operators import codecs, exact, graph, index, layout, workload
+from .operators import codecs, exact, graph, index, layout, merged, trained, workload
 from .plans import evaluation
 from .shipping import ship
 
@@ -251,6 +251,33 @@ def pq_adc_knn(spark, d):
     return codecs.pq_adc_knn(_queries(base), codecs.pq_encode_columns(base, books), books, 10)
 
 
+@_query("pq_trained_knn")
+def pq_trained_knn(spark, d):
+    """Codebooks trained over all vectors, 100 nearest by their tables, exact distances of these."""
+    base = _base(spark, d)
+    model = trained.pq_train(base, 8)
+    near = trained.pq_scan(_queries(base), trained.pq_codes(base, model), model, 100)
+    return trained.reranked(near, _queries(base), base, 10)
+
+
+@_query("rotated_knn")
+def rotated_knn(spark, d):
+    """The 100 nearest by estimates from rotated 4-bit codes, exact distances of these."""
+    base = _base(spark, d)
+    model = trained.rotated_fit(base, 4)
+    near = trained.rotated_scan(_queries(base), trained.rotated_codes(base, model), model, 100)
+    return trained.reranked(near, _queries(base), base, 10)
+
+
+@_query("codec_recall", f"""SELECT * FROM (VALUES ('pq'), ('rotated')) t(codec), (SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0)""")
+def codec_recall(spark, d):
+    """Of both trained codecs whether at least 95 % of the ten nearest are found again."""
+    base = _base(spark, d)
+    truth = exact.knn_blocks(_queries(base), base, 10)
+    row = lambda name, found: exact.recall(found, truth, 10).select(F.lit(name).alias("codec"), "queries", (F.col("recall") >= 0.95).alias("enough"))
+    return row("pq", pq_trained_knn(spark, d)).union(row("rotated", rotated_knn(spark, d)))
+
+
 # --- graph ------------------------------------------------------------------------------------------------------
 
 
@@ -292,36 +319,65 @@ def hop_distance(spark, d):
     return graph.hop_distance(base, cut(_graph(base)), 0, cut)
 
 
-def _ann(spark, d, queries=_queries, **how):
-    base = _base(spark, d)
-    built = graph.build(base, m=8, ef=32)
-    return graph.search(queries(base).coalesce(8), built, 10, **how), base, built
+def _merged(spark, d):
+    """One graph over all cells, as tables. Returns it with its base and what cuts lineage."""
+    base, cut = _base(spark, d), _cut(spark)
+    return merged.build_merged(base, cut), base, cut
+
+
+def _found(spark, d, ef=64, wide=32):
+    built, base, cut = _merged(spark, d)
+    return merged.search_merged(_queries(base), built, cut, ef=ef, wide=wide), built, base, cut
 
 
 @_query("ann_search")
 def ann_search(spark, d):
-    return _ann(spark, d, ef=64)[0]
+    return merged.nearest(_found(spark, d)[0], 10)
 
 
 @_query("ann_search_wide")
 def ann_search_wide(spark, d):
-    return _ann(spark, d, ef=64, wide=4)[0]
+    """All of the beam is expanded at once."""
+    return merged.nearest(_found(spark, d, wide=64)[0], 10)
 
 
 @_query("ann_search_full", f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
 def ann_search_full(spark, d):
-    """With a beam as wide as the table the graph search is exact."""
-    base = _base(spark, d)
-    return _ann(spark, d, _queries, ef=base.count(), rerank=10)[0].select("query_id", "rank", "vec_id")
+    """With a beam as wide as the table the graph search is exact: every node can be reached. Cells of 100 vectors, so that
+    links of many cells are merged."""
+    base, cut = _base(spark, d), _cut(spark)
+    n, built = base.count(), merged.build_merged(base, cut, cell_rows=100)
+    return merged.nearest(merged.search_merged(_queries(base), built, cut, ef=n, wide=n), 10).select("query_id", "rank", "vec_id")
+
+
+@_query("graph_reachable", "SELECT count(*) AS nodes, count(*) AS reached FROM embeddings")
+def graph_reachable(spark, d):
+    """Nodes of the merged graph, and how many of them links of level 0 lead to from the entry."""
+    base, cut = _base(spark, d), _cut(spark)
+    hops = merged.reached(merged.build_merged(base, cut, cell_rows=100), cut)
+    return hops.agg(F.count(F.lit(1)).alias("nodes"), F.count("hop").alias("reached"))
+
+
+def _by_records(spark, d, share=None):
+    built, base, cut = _merged(spark, d)
+    model = trained.rotated_fit(base, 4)
+    codes = cut(trained.rotated_codes(base, model))
+    size = 8 + 4 * -(-len(model.centre) // 8)
+    budget = None if share is None else built.edges.where("level = 0").agg(F.coalesce(F.sum(F.lit(16 + size)), F.lit(0)) * share).first()[0]
+    records = merged.slab_records(built, codes, None if budget is None else int(budget), size, cut)
+    return merged.search_records(_queries(base), built, records, codes, trained.rotated_column(model), cut, wide=32)
 
 
 @_query("ann_search_slab")
 def ann_search_slab(spark, d):
-    """Rotated 4-bit codes lead the beam, exact distances rank what is left."""
-    base = _base(spark, d)
-    built = graph.build(base, m=8, ef=32)
-    codec = codecs.RotatedCode.fit(built.vectors, 4)
-    return graph.search(_queries(base).coalesce(8), built, 10, ef=64, code=graph.CodedVectors(codec, codec.encode(built.vectors)))
+    """Rotated 4-bit codes in the records lead the beam, exact distances rank what is left."""
+    return _by_records(spark, d)[0]
+
+
+@_query("ann_search_partial")
+def ann_search_partial(spark, d):
+    """Half of the bytes of all records are there, others are read as lists. Finds what ann_search_slab finds."""
+    return _by_records(spark, d, 0.5)[0]
 
 
 @_query("ann_search_blocks")
@@ -337,32 +393,21 @@ def ann_search_blocks(spark, d):
 
 @_query("ann_recall")
 def ann_recall(spark, d):
-    found, base, _ = _ann(spark, d, ef=64)
-    return exact.recall(found, exact.knn(_queries(base), base, 10), 10)
+    seen, _, base, _ = _found(spark, d)
+    return exact.recall(merged.nearest(seen, 10), exact.knn(_queries(base), base, 10), 10)
 
 
 @_query("ann_cost")
 def ann_cost(spark, d):
-    found = _ann(spark, d, ef=64)[0].where("rank = 1")
-    return found.agg(*[F.avg(c).alias(f"{c}_per_query") for c in ("hops", "scored", "reads", "bytes")])
-
-
-@_query("ann_search_partial")
-def ann_search_partial(spark, d):
-    """Half of the nodes have records, of eight codes each; a few are at hand. Finds what ann_search finds, at another cost."""
-    import numpy as np
-
-    base = _base(spark, d)
-    built = graph.build(base, m=8, ef=32)
-    half = set(range(0, len(built.ids), 2))
-    plan = graph.ReadPlan(built.vectors.shape[1], built.vectors.shape[1], half, 8, frozenset(np.arange(0, len(built.ids), 50).tolist()))
-    return graph.search(_queries(base).coalesce(8), built, 10, ef=64, plan=plan)
+    """Nodes expanded and measured for a query, on average."""
+    per = _found(spark, d)[0].groupBy("query_id").agg(F.sum(F.col("done").cast("long")).alias("hops"), F.count(F.lit(1)).alias("scored"))
+    return per.agg(*[F.avg(c).alias(f"{c}_per_query") for c in ("hops", "scored")])
 
 
 @_query("hub_profile")
 def hub_profile(spark, d):
-    base = _base(spark, d)
-    return graph.hub_profile(_queries(base), graph.build(base, m=8, ef=32), 64)
+    """(vec_id, pops): how often each node is expanded by the queries' searches."""
+    return _found(spark, d)[0].where("done").groupBy("vec_id").agg(F.count(F.lit(1)).alias("pops"))
 
 
 @_query("ann_sharded_full", f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
@@ -370,7 +415,7 @@ def ann_sharded_full(spark, d):
     """Built and stored by shard, loaded with its checks, searched in every shard with a beam as wide as the shard."""
     base = _base(spark, d)
     path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
-    index.store(index.build_tables(base, shard_rows=150), path)
+    index.store(index.build_tables(base, shard_rows=max(150, base.count() // 8)), path)
     loaded = index.load(spark, path, m=8, metric="l2")
     return index.search_tables(_queries(base), loaded, 10, ef=base.count()).select("query_id", "rank", "vec_id")
 
@@ -383,19 +428,19 @@ def ann_sharded(spark, d):
 
 @_query("ann_bsp", f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
 def ann_bsp(spark, d):
-    """The search as rounds of joins; with a beam as wide as the table it is exact."""
+    """The search of several shards as rounds of joins; with a beam as wide as the table it is exact."""
     base, cut = _base(spark, d), _cut(spark)
-    n, tables = base.count(), cut(index.build_tables(base))
+    n = base.count()
+    tables = cut(index.build_tables(base, shard_rows=max(100, n // 4)))
     links = cut(index.edges(tables).where("level = 0"))
-    entry = tables.agg(F.min("entry")).first()[0]
-    return index.search_joins(_queries(base), base, links, entry, cut, 10, ef=n, wide=n).select("query_id", "rank", "vec_id")
+    return index.search_joins(_queries(base), base, links, tables.select("entry"), cut, 10, ef=n, wide=n).select("query_id", "rank", "vec_id")
 
 
 @_query("index_dump_equality", "SELECT count(*) AS differing FROM embeddings WHERE false")
 def index_dump_equality(spark, d):
     """A stored index, loaded again, has every node and link of the built one, and no other."""
     base = _base(spark, d)
-    built = _cut(spark)(index.build_tables(base, shard_rows=150))
+    built = _cut(spark)(index.build_tables(base, shard_rows=max(150, base.count() // 8)))
     path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
     index.store(built, path)
     return index.difference(built, index.load(spark, path)).agg(F.count(F.lit(1)).alias("differing"))

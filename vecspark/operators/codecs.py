@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2
-from .exact import few, ranked
+from .exact import FOUND, met_in_blocks, nearest_of_matrix, ranked
 
 
 # --- scalar -----------------------------------------------------------------------------------------------------
@@ -42,13 +42,20 @@ def sq_distance(a: Column, b: Column, scale: Column) -> Column:
     return F.aggregate(diff, F.lit(0.0), lambda t, x: t + x)
 
 
-def sq_knn(codes: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """Nearest by codes alone; query and base are both coded. The estimate is of squared L2 whatever the metric."""
-    q = codes.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
-    if not few(q):
-        raise ValueError("coded search takes a few thousand queries at a time")
-    scored = codes.crossJoin(F.broadcast(q)).select("query_id", "vec_id", sq_distance(F.col("q"), F.col("code"), F.col("scale")).alias("distance"))
-    return ranked(scored, k)
+def sq_knn(codes: DataFrame, is_query: Column, k: int, block: int = 8192) -> DataFrame:
+    """Nearest by codes alone; query and base are both coded. The estimate is of squared L2 whatever the metric. Blocks of
+    queries meet blocks of codes, whatever their numbers."""
+    rows = codes.select("vec_id", "code", "scale", F.size("code").alias("d"))
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.array(v.code.tolist(), np.int32) for v in (q, b))
+        scale, total = np.asarray(b["scale"].iloc[0], np.float64), np.zeros((len(x), len(y)))
+        for p, r, s in zip(x.T, y.T, scale):  # from the first component to the last, as sq_distance() adds
+            step = (p[:, None] - r[None, :]) * s
+            total += step * step
+        return nearest_of_matrix(q.vec_id.to_numpy(), b.vec_id.to_numpy(), total, k)
+
+    return ranked(met_in_blocks(rows.where(is_query), rows, ["code", "scale"], meet, FOUND, block, 512), k)
 
 
 def pack_nibbles(codes: np.ndarray) -> np.ndarray:
@@ -195,10 +202,33 @@ def pq_step(vectors: DataFrame, books: DataFrame, digits: int = 6) -> DataFrame:
     return books.join(means, ["j", "c"], "left").select("j", "c", F.coalesce("mean", "centroid").alias("centroid"))
 
 
-def pq_adc_knn(queries: DataFrame, codes: DataFrame, books: DataFrame, k: int) -> DataFrame:
-    """Nearest by the sum of a query's table of distances to the centroids; the query itself is not coded. Tables of more
-    than a few queries are joined by (j, code), not broadcast."""
-    lut = pq_parts(queries, _parts_of(books)).join(F.broadcast(books), "j").select(F.col("vec_id").alias("query_id"), "j", F.col("c").alias("code"), l2(F.col("x"), F.col("centroid")).alias("d"))
-    parts = F.array_sort(F.collect_list(F.struct("j", "d")))
-    scored = codes.join(F.broadcast(lut) if few(queries) else lut, ["j", "code"]).groupBy("query_id", "vec_id").agg(F.aggregate(parts, F.lit(0.0), lambda t, x: t + x["d"]).alias("distance"))
-    return ranked(scored, k)
+def pq_rows(codes: DataFrame) -> DataFrame:
+    """(vec_id, code): the codes (vec_id, j, code) of a vector as one array, in order of j."""
+    parts = F.array_sort(F.collect_list(F.struct("j", "code")))
+    return codes.groupBy("vec_id").agg(F.transform(parts, lambda p: p["code"]).alias("code"))
+
+
+def pq_adc_knn(queries: DataFrame, codes: DataFrame, books: DataFrame, k: int, block: int = 32768) -> DataFrame:
+    """Nearest by the sum of a query's table of distances to the centroids; the query itself is not coded. Blocks of queries
+    meet blocks of code arrays; a task makes the tables of its queries and sends each query's k nearest of the block.
+    books: (j, c, centroid), 256 a sub-space at most."""
+    m = _parts_of(books) or 0
+    model: dict[int, dict[int, np.ndarray]] = {j: {} for j in range(m)}
+    for r in books.collect():  # 256 rows a sub-space at most
+        model[r["j"]][r["c"]] = np.array(r["centroid"], np.float64)
+    names = {j: np.array(sorted(own)) for j, own in model.items()}
+    asked = queries.select("vec_id", F.col("embedding").alias("x"), F.lit(m).alias("d"))
+    held = pq_rows(codes).select("vec_id", F.transform("code", lambda c: c.cast("double")).alias("x"), F.lit(m).alias("d"))
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.array(q.x.tolist(), np.float64), np.array(b.x.tolist()).astype(np.int64)
+        wide, total = x.shape[1] // m, np.zeros((len(x), len(y)))
+        for j in range(m):
+            centroids = np.stack([model[j][c] for c in names[j].tolist()])
+            table = np.zeros((len(x), len(centroids)))
+            for p, c in zip(x[:, j * wide : (j + 1) * wide].T, centroids.T):  # as l2() adds
+                table += (p[:, None] - c[None, :]) ** 2
+            total += table[:, np.searchsorted(names[j], y[:, j])]
+        return nearest_of_matrix(q.vec_id.to_numpy(), b.vec_id.to_numpy(), total, k)
+
+    return ranked(met_in_blocks(asked, held, ["x"], meet, FOUND, block, 256), k)

@@ -66,29 +66,52 @@ def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.nd
     return np.repeat(ids, n), names[np.concatenate(at)], np.concatenate(far)
 
 
-def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """The same in two phases: blocks of queries meet blocks of vectors, a task has one pair of blocks and sends each query's
-    k nearest of the block, and these are merged. Neither side is collected or broadcast whole."""
+def met_in_blocks(queries: DataFrame, base: DataFrame, columns: list[str], meet, schema: str, block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """meet(queries, rows) of every block of queries with every block of rows of the same d, one pair of blocks a task.
+
+    Both sides are (vec_id, d, ...); `columns` names what else of them is sent. Neither is collected or broadcast whole.
+    """
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    q, b = (usable(x).select("vec_id", "embedding", F.size("embedding").alias("d")) for x in (queries, base))
-    n, m = q.count(), b.count()
+    n, m = queries.count(), base.count()
     b_blocks = max(1, -(-m // block))
     q_blocks = max(1, -(-n // query_block), min(-(-cores // b_blocks), -(-n // 64)))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("x", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).withColumn("y", upto(b_blocks))
-    right = b.withColumn("y", F.pmod(F.xxhash64("vec_id"), F.lit(b_blocks)).cast("int")).withColumn("x", upto(q_blocks))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = queries.withColumn("q_part", deal(q_blocks)).withColumn("b_part", upto(b_blocks))
+    keys = ["d", "q_part", "b_part"]
+    right = base.withColumn("b_part", deal(b_blocks)).withColumn("q_part", upto(q_blocks)).select(*keys, "vec_id", *columns)
+    left = left.select(*[F.col(c).alias(f"q_{c}") for c in right.columns])  # both sides may come from one table
 
-    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def one(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return meet(q.rename(columns=lambda c: c[2:]), b)
+
+    return left.groupBy(*[f"q_{c}" for c in keys]).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: one(a, b), schema)
+
+
+FOUND = "query_id long, vec_id long, distance double"
+
+
+def nearest_of_matrix(ids: np.ndarray, names: np.ndarray, d: np.ndarray, k: int) -> pd.DataFrame:
+    """The k first of each row of a matrix of distances by (distance, name); ties at the edge all count before the cut."""
+    n = min(k, d.shape[1])
+    edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+    at = [(near := np.flatnonzero(row <= e))[np.lexsort((names[near], row[near]))[:n]] for row, e in zip(d, edge)]
+    return pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": names[np.concatenate(at)], "distance": np.take_along_axis(d, np.stack(at), 1).ravel()})
+
+
+def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """The same in two phases: blocks of queries meet blocks of vectors, a task has one pair of blocks and sends each query's
+    k nearest of the block, and these are merged."""
+    q, b = (usable(x).select("vec_id", "embedding", F.size("embedding").alias("d")) for x in (queries, base))
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.array(v.embedding.tolist(), np.float64) for v in (q, b))
         of, names, far = nearest_of_block(q.vec_id.to_numpy(), x, b.vec_id.to_numpy(), y, k, metric)
         return pd.DataFrame({"query_id": of, "vec_id": names, "distance": far})
 
-    keys = ["d", "x", "y"]
-    left, right = left.toDF("query_id", "embedding", "d", "x", "y").withColumnRenamed("query_id", "vec_id"), right.select("vec_id", "embedding", "d", "x", "y")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: meet(a, b), "query_id long, vec_id long, distance double")
-    return ranked(found, k)
+    return ranked(met_in_blocks(q, b, ["embedding"], meet, FOUND, block, query_block), k)
 
 
 def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2") -> DataFrame:

@@ -171,26 +171,23 @@ def search_tables(queries: DataFrame, index: DataFrame, k: int = 10, ef: int = 6
     return ranked(found, k)
 
 
-def search_joins(queries: DataFrame, vectors: DataFrame, links: DataFrame, entry: int, write, k: int = 10, ef: int = 64, wide: int = 16, metric: str = "l2") -> DataFrame:
-    """(query_id, rank, vec_id, distance): the beam search as rounds of joins, all queries at once.
+def search_joins(queries: DataFrame, vectors: DataFrame, links: DataFrame, entries: DataFrame, write, k: int = 10, ef: int = 64, wide: int = 16, metric: str = "l2") -> DataFrame:
+    """(query_id, rank, vec_id, distance): the beam search as rounds of joins, all queries and shards at once.
 
-    A round takes each query's `wide` nearest open nodes within its beam, joins them with their records (src, dst), drops
-    nodes seen before by an anti join, measures the others and keeps the ef nearest. write(df) cuts the lineage.
+    entries: (entry), one of each shard. They are measured for every query, and the beam begins with all of them, so that
+    every shard is searched; see merged.walk() for the rounds. write(df) cuts the lineage.
     """
+    from .merged import nearest, walk
+
     q = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     v = usable(vectors).select("vec_id", "embedding")
     far = METRICS[metric](F.col("q"), F.col("embedding")).alias("d")
-    top = W.partitionBy("query_id").orderBy("d", "vec_id")
-    seen = write(q.select("query_id", F.lit(entry).cast("long").alias("vec_id")))
-    state = write(seen.join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", far, F.lit(False).alias("done")))
-    while True:
-        turn = F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id"))
-        popped = write(state.where("not done").withColumn("r", turn).where(F.col("r") <= wide).select("query_id", "vec_id"))
-        if popped.isEmpty():
-            return state.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("distance"))
-        reached = popped.join(links.select(F.col("src").alias("vec_id"), "dst"), "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct()
-        fresh = write(reached.join(seen, ["query_id", "vec_id"], "left_anti"))
-        new = fresh.join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", far, F.lit(False).alias("done"))
-        old = state.join(popped.withColumn("now", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "vec_id", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        state = write(old.union(new).withColumn("r", F.row_number().over(top)).where(F.col("r") <= ef).drop("r"))
-        seen = write(seen.union(fresh))
+    begin = v.join(entries.select(F.col("entry").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    # a stated query set against a row a shard
+    seeds = q.crossJoin(F.broadcast(begin)).where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far)
+
+    def expand(popped: DataFrame) -> DataFrame:
+        around = popped.join(links.select(F.col("src").alias("vec_id"), "dst"), "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct()
+        return around.join(v, "vec_id").join(q, "query_id").where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far)
+
+    return nearest(walk(seeds, expand, max(ef, k), wide, write), k)

@@ -233,7 +233,8 @@ _PQ = f"""seeds AS (SELECT j, vec_id AS c, embedding[j * 8 + 1 : j * 8 + 8] AS c
 
 def _books(base):
     """A codebook for each of eight sub-spaces: one step of k-means over all vectors, from the parts of 16 of them."""
-    return codecs.pq_step(base, codecs.pq_seeds(base.where("vec_id < 16"), 8))
+    cut = _cut(base.sparkSession)
+    return cut(codecs.pq_step(base, cut(codecs.pq_seeds(base.where("vec_id < 16"), 8))))
 
 
 @_query("pq_encode", f"WITH {_PQ} SELECT vec_id, CAST(j AS INTEGER) AS j, code FROM pq")

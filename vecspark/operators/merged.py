@@ -190,19 +190,17 @@ def hashed_level(vec_id: Column, m: int) -> Column:
     return F.floor(-F.ln(u) / math.log(m)).cast("int")
 
 
-def _copies(rows: DataFrame, m: int, write: Write, bucket: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors under their smallest id (vec_id, embedding), and links of level 0 that lead from these to their copies: a
-    node has at most m copies below it, and m heads of buckets, so a group of copies is never one task's."""
-    groups = rows.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    more = rows.join(groups.where("n > 1"), "embedding").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / bucket)))
-    more = write(more.withColumn("i", F.row_number().over(W.partitionBy("first", "b").orderBy("vec_id")) - 1).select("first", "b", "i", "vec_id"))
-    heads = more.where("i = 0").withColumn("i", F.row_number().over(W.partitionBy("first").orderBy("vec_id")) - 1).select("first", F.lit(-1).cast("long").alias("b"), "i", "vec_id")
+def _copies(rows: DataFrame, m: int, bucket: int = 4096) -> DataFrame:
+    """Links of level 0 that lead from the first of equal vectors to its copies, rows (vec_id, first, n): a node has at most m
+    copies below it, and m heads of buckets, so a group of copies is never one task's."""
+    more = rows.where("n > 1").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / bucket)))
+    more = more.select("first", "b", (F.row_number().over(W.partitionBy("first", "b").orderBy("vec_id")) - 1).alias("i"), "vec_id")
+    heads = more.where("i = 0").select("first", F.lit(-1).cast("long").alias("b"), (F.row_number().over(W.partitionBy("first").orderBy("vec_id")) - 1).alias("i"), "vec_id")
     # within a bucket and among the heads of a group, of which the first vector is one: number i hangs on (i - 1) div m
     every = more.unionByName(heads)
     above = every.select("first", "b", F.col("i").alias("up"), F.col("vec_id").alias("src"))
     below = every.where("i > 0").withColumn("up", F.floor((F.col("i") - 1) / m)).join(above, ["first", "b", "up"])
-    links = below.select(F.lit(0).alias("level"), "src", F.col("vec_id").alias("dst"), F.lit(0.0).alias("d"), F.lit(True).alias("tree"))
-    return write(groups.select(F.col("first").alias("vec_id"), "embedding")), write(links)
+    return below.select(F.lit(0).alias("level"), "src", F.col("vec_id").alias("dst"))
 
 
 def build_merged(vectors: DataFrame, write: Write, m: int = 8, ef: int = 32, metric: str = "l2", cell_rows: int | None = None, copies: int = 3) -> MergedGraph:
@@ -213,9 +211,10 @@ def build_merged(vectors: DataFrame, write: Write, m: int = 8, ef: int = 32, met
     first by vector counts; vectors that usable() leaves out have no node. No vectors: no nodes, entry -1.
     """
     rows = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = write(rows)
-    distinct, copied = _copies(rows, m, write)
-    nodes = write(distinct.withColumn("level", hashed_level(F.col("vec_id"), m)))
+    groups = rows.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("vec_id") == F.col("first"), hashed_level(F.col("vec_id"), m)).otherwise(0)
+    every = write(rows.join(groups, "embedding").select("vec_id", "embedding", level.alias("level"), "first", "n"))
+    nodes = every.where("vec_id = first").select("vec_id", "embedding", "level")
     by_level = {r["level"]: r["n"] for r in nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a level
     top = max(by_level, default=0)
     counts = {at: sum(n for own, n in by_level.items() if own >= at) for at in range(top + 1)} if by_level else {0: 0}
@@ -224,10 +223,9 @@ def build_merged(vectors: DataFrame, write: Write, m: int = 8, ef: int = 32, met
     links = write(placed.groupBy("at", "cell", "part").applyInPandas(lambda rows: _cell(rows, m, ef, metric), _LINKS))
     heads = links.where("src = dst").select(F.col("level").alias("at"), F.col("src").alias("vec_id")).distinct().join(nodes, "vec_id")
     joined = heads.groupBy("at").applyInPandas(lambda rows: _join_heads(rows, m, metric), _LINKS)
-    edges = write(_kept(links.where("src <> dst").unionByName(joined), nodes, m, metric).unionByName(_placed_copies(copied)))
+    edges = write(_kept(links.where("src <> dst").unionByName(joined), nodes, m, metric).unionByName(_placed_copies(_copies(every, m))))
     entry = nodes.agg(F.max_by("vec_id", F.struct("level", -F.col("vec_id")))).first()[0]
-    every = write(rows.join(nodes.select("vec_id", "level"), "vec_id", "left").select("vec_id", "embedding", F.coalesce("level", F.lit(0)).alias("level")))
-    return MergedGraph(every, edges, -1 if entry is None else entry, top, metric)
+    return MergedGraph(every.select("vec_id", "embedding", "level"), edges, -1 if entry is None else entry, top, metric)
 
 
 # --- search -----------------------------------------------------------------------------------------------------
@@ -264,7 +262,7 @@ def _measured(graph: MergedGraph, asked: DataFrame, pairs: DataFrame) -> DataFra
     return pairs.join(graph.nodes.select("vec_id", "embedding"), "vec_id").join(asked, "query_id").where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far)
 
 
-def seeds(queries: DataFrame, graph: MergedGraph, write: Write, count: int = 4, least: int = 64) -> DataFrame:
+def seeds(queries: DataFrame, graph: MergedGraph, write: Write, count: int = 16, least: int = 64) -> DataFrame:
     """(query_id, vec_id, d): where the search of level 0 begins. On the highest level of `least` nodes the nearest are found by
     measuring all (a resident upper graph of about `least` to m times as many nodes); from there a beam of `count` goes
     down, level by level."""

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import stats
+from .functions import quantiles, stats
 from .functions.distance import l2
-from .operators import codecs, exact, graph, index, layout, merged, trained, workload
+from .operators import codecs, exact, graph, growth, index, layout, merged, trained, workload
 from .plans import evaluation
 from .shipping import ship
 
@@ -447,6 +447,50 @@ def index_dump_equality(spark, d):
     return index.difference(built, index.load(spark, path)).agg(F.count(F.lit(1)).alias("differing"))
 
 
+def _steps(n: int) -> list[int]:
+    """First ids of a build and of two batches after it."""
+    return [0, n * 6 // 10, n * 8 // 10, n]
+
+
+@_query("grown_index", """WITH n AS (SELECT count(*) AS n FROM embeddings), v(version, upto) AS (SELECT 0, n * 6 // 10 FROM n UNION ALL SELECT 1, n * 8 // 10 FROM n UNION ALL SELECT 2, n FROM n)
+ SELECT CAST(version AS BIGINT) AS version, count(*) AS nodes, CAST(0 AS BIGINT) AS differing FROM v JOIN embeddings ON vec_id < upto GROUP BY version""")
+def grown_index(spark, d):
+    """A stored index that took two batches as they arrived: its nodes at each version, and what differs there from a build of
+    the same vectors at once. Versions before stay readable."""
+    base = _base(spark, d)
+    n = base.count()
+    edges, rows = _steps(n), max(50, n // 8)
+    root = f"{_shared(spark)}/grown-{uuid.uuid4().hex}"
+    part = lambda a, b: base.where((F.col("vec_id") >= a) & (F.col("vec_id") < b)).select("vec_id", "embedding")
+    growth.build(part(0, edges[1]), f"{root}/index", shard_rows=rows)
+    for a, b in zip(edges[1:], edges[2:]):
+        part(a, b).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        growth.grow(spark, f"{root}/in", f"{root}/index", f"{root}/state")
+    every = None
+    for version, upto in enumerate(edges[1:]):
+        growth.build(part(0, upto), f"{root}/whole-{version}", shard_rows=rows)
+        here = growth.read(spark, f"{root}/index", version)
+        apart = index.difference(here, growth.read(spark, f"{root}/whole-{version}")).agg(F.count(F.lit(1)).alias("differing"))
+        row = index.nodes(here).agg(F.count(F.lit(1)).alias("nodes")).crossJoin(apart).select(F.lit(version).cast("long").alias("version"), "nodes", "differing")  # one row each
+        every = row if every is None else every.union(row)
+    return every
+
+
+@_query("resumed_build", "WITH n AS (SELECT greatest(50, count(*) // 8) AS r, max(vec_id) AS last FROM embeddings) SELECT last // r + 1 AS shards, CAST(2 AS BIGINT) AS kept, last // r - 1 AS built, CAST(0 AS BIGINT) AS differing FROM n")
+def resumed_build(spark, d):
+    """A build that had made two shards goes on: the shards it found valid, those it made, and what differs from one at once."""
+    base = _base(spark, d).select("vec_id", "embedding")
+    rows, root = max(50, base.count() // 8), f"{_shared(spark)}/resumed-{uuid.uuid4().hex}"
+    growth.build(base.where(F.col("vec_id") < 2 * rows), f"{root}/index", 1, rows)
+    before = _cut(spark)(growth.commits(spark, f"{root}/index"))
+    made = growth.build(base, f"{root}/index", 3, rows)
+    growth.build(base, f"{root}/whole", shard_rows=rows)
+    kept = growth.commits(spark, f"{root}/index").join(before, ["shard", "made", "sha256"]).agg(F.count(F.lit(1)).alias("kept"))
+    now = growth.read(spark, f"{root}/index")
+    apart = index.difference(now, growth.read(spark, f"{root}/whole")).agg(F.count(F.lit(1)).alias("differing"))
+    return now.agg(F.count(F.lit(1)).alias("shards")).crossJoin(kept).crossJoin(apart).select("shards", "kept", F.lit(len(made)).cast("long").alias("built"), "differing")  # one row each
+
+
 # --- derived records --------------------------------------------------------------------------------------------
 
 
@@ -573,10 +617,13 @@ def index_parse_gate(spark, d):
 # --- workload and routing ---------------------------------------------------------------------------------------
 
 
-@_query("zipf_workload", """WITH p AS (SELECT r AS rank, pow(r::DOUBLE, -1.0) AS w FROM range(1, 101) t(r)), t AS (SELECT rank, CAST(ceil(1000 * w / (SELECT list_sum(list(w ORDER BY rank)) FROM p)) AS BIGINT) AS c FROM p),
- s AS (SELECT rank, CAST(greatest(0, least(c, 1000 - coalesce(sum(c) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS times FROM t) SELECT * FROM s WHERE times > 0""")
+@_query("zipf_workload", """WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings), v AS (SELECT *, pow(rank::DOUBLE, -1.0) AS w, count(*) OVER () AS n FROM p),
+ t AS (SELECT *, CAST(ceil(10 * n * w / (SELECT list_sum(list(w ORDER BY rank)) FROM v)) AS BIGINT) AS c FROM v),
+ s AS (SELECT vec_id, rank, CAST(greatest(0, least(c, 10 * n - coalesce(sum(c) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS times FROM t) SELECT * FROM s WHERE times > 0""")
 def zipf_workload(spark, d):
-    return workload.zipf_counts(spark, 100, 1000, 1.0)
+    """Ten queries a vector on average, drawn from the vectors themselves."""
+    base = _base(spark, d)
+    return workload.zipf_times(base, 10 * base.count(), 1.0, _cut(spark))
 
 
 _CENTROIDS = f"""seeds AS (SELECT vec_id AS c, embedding AS centroid FROM embeddings WHERE vec_id % 100 = 0 AND vec_id < 500),
@@ -607,16 +654,23 @@ def kmeans_lloyd_step(spark, d):
     return owner.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
 
 
-@_query("balanced_route")
+@_query("balanced_route", f"""WITH RECURSIVE {_CENTROIDS}, numbered AS (SELECT c, row_number() OVER (ORDER BY c) AS node FROM cents),
+ near AS (SELECT e.vec_id, list(n.node ORDER BY {_l2('e.embedding', 'c.centroid')}, c.c) AS nodes FROM embeddings e, cents c JOIN numbered n USING (c) GROUP BY e.vec_id),
+ rows AS (SELECT *, vec_id // 1000 AS batch, row_number() OVER (PARTITION BY vec_id // 1000 ORDER BY vec_id) AS i FROM near),
+ walk(batch, i, vec_id, node, used) AS (SELECT batch, i, vec_id, nodes[1], list_transform(range(1, 6), lambda n: CASE WHEN n = nodes[1] THEN 1 ELSE 0 END) FROM rows WHERE i = 1
+  UNION ALL SELECT r.batch, r.i, r.vec_id, coalesce(list_filter(r.nodes, lambda n: w.used[n] < 60)[1], r.nodes[5]), list_transform(range(1, 6), lambda n: w.used[n] + CASE WHEN n = coalesce(list_filter(r.nodes, lambda n: w.used[n] < 60)[1], r.nodes[5]) THEN 1 ELSE 0 END)
+  FROM walk w JOIN rows r ON r.batch = w.batch AND r.i = w.i + 1)
+ SELECT vec_id, CAST(node - 1 AS INTEGER) AS node FROM walk""")
 def balanced_route(spark, d):
-    """Greedy routing in order of the query; batches of 200 for each of five nodes, one batch a group."""
+    """Greedy routing in order of the query: 60 for each of five nodes while a nearer one is full, batches of 1,000 ids, a
+    batch a group."""
     base = _base(spark, d)
-    order = workload.nearest_centroid(base, _centroids(base)).withColumn("batch", F.floor(F.col("vec_id") / 1000))
+    order = workload.nearest_centroid(base, _cut(spark)(_centroids(base))).withColumn("batch", F.floor(F.col("vec_id") / 1000))
 
     def run(rows):
         rows = rows.sort_values("vec_id")
         names = sorted(rows.destinations.iloc[0])
-        to = workload.route([[names.index(c) for c in x] for x in rows.destinations], len(names))
+        to = workload.route([[names.index(c) for c in x] for x in rows.destinations], len(names), [60] * len(names))
         return rows[["vec_id"]].assign(node=to)
 
     return order.groupBy("batch").applyInPandas(run, "vec_id long, node int")
@@ -627,12 +681,13 @@ def balanced_route(spark, d):
 
 @_query("latency_quantiles_nearest", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def latency_quantiles_nearest(spark, d):
-    return _events(spark, d).groupBy("event_type").agg(*[stats.nearest_rank("value", q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return quantiles.nearest_ranks(_events(spark, d), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, _cut(spark))
 
 
 @_query("latency_quantiles_linear", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY event_type")
 def latency_quantiles_linear(spark, d):
-    return _events(spark, d).groupBy("event_type").agg(*[F.round(stats.linear_quantile("value", q), 6).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p999", 0.999))])
+    rows = quantiles.linear_quantiles(_events(spark, d), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p999": 0.999}, _cut(spark))
+    return rows.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p999")])
 
 
 _LOADS = "loads AS (SELECT user_id, count(*) AS load FROM events GROUP BY user_id)"
@@ -771,9 +826,7 @@ def monotone_check(spark, d):
 
 @_query("latency_cdf", "SELECT event_type, bucket, count(*) AS n FROM (SELECT event_type, CAST(ceil(10 * cume_dist() OVER (PARTITION BY event_type ORDER BY value)) AS BIGINT) AS bucket FROM events) GROUP BY 1, 2")
 def latency_cdf(spark, d):
-    by_value = _events(spark, d).groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
-    cdf = F.sum("n").over(W.partitionBy("event_type").orderBy("value")) / F.sum("n").over(W.partitionBy("event_type"))
-    return by_value.select("event_type", "n", F.ceil(10 * cdf).alias("bucket")).groupBy("event_type", "bucket").agg(F.sum("n").alias("n"))
+    return quantiles.distribution(_events(spark, d), ["event_type"], "value", 10, _cut(spark))
 
 
 @_query("weighted_recall_qps", f"WITH {_RUNS} SELECT event_type, round(sum(qps * queries) / sum(queries), 6) AS weighted, round(sum(queries) / max(slowest), 6) AS qps FROM runs GROUP BY 1")

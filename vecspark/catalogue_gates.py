@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -41,29 +42,34 @@ def accounting_gate(spark, d):
     return accounting.totals_agree(shards, placed, base.count() + 1)
 
 
-_DESCRIPTORS = [(1, "fixed", "sq", 8, 3, 9, 64, 16), (2, "fixed", "sq", 8, 3, 9, 64, 16), (1, "loose", "sq", 8, 3, 9, 64, 16), (1, "fixed", "raw", 8, 3, 9, 64, 16), (1, "fixed", "sq", 5, 3, 9, 64, 16), (1, "variable", "pq", 0, 0, 9, 64, 0), (1, "variable", "rotated", 4, 3, 9, 60, 0), (1, "fixed", "pq", 0, 3, 9, 64, 4), (1, "blocks", "rotated", 2, 3, 9, 64, 8), (1, "blocks", "rotated", 2, 3, 9, 64, 0)]
-_D_NAMES = "version, layout, kind, bits, shards, slots, header_bytes, stride"
+_D_SQL = """CASE WHEN event_id % 11 = 0 THEN 2 ELSE 1 END AS version, CASE event_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'variable' WHEN 2 THEN 'blocks' ELSE 'loose' END AS layout,
+ CASE user_id % 4 WHEN 0 THEN 'sq' WHEN 1 THEN 'pq' WHEN 2 THEN 'rotated' ELSE 'raw' END AS kind, CAST(event_id % 9 AS INTEGER) AS bits, CAST(user_id % 5 AS INTEGER) AS shards, 9 AS slots, CASE WHEN event_id % 7 = 0 THEN 60 ELSE 64 END AS header_bytes, CAST(user_id % 3 * 8 AS INTEGER) AS stride"""
 
 
-@_query("descriptor_checks", f"""WITH d({_D_NAMES}) AS (VALUES {', '.join(map(str, _DESCRIPTORS))}) SELECT version, layout, kind, bits, stride, CASE WHEN version <> 1 THEN 'unsupported version' WHEN layout NOT IN ('fixed', 'variable', 'blocks') THEN 'unknown layout' WHEN kind NOT IN ('sq', 'pq', 'rotated') THEN 'unknown code kind'
+_D_COLUMNS = [f"{x} AS {n}" for x, n in re.findall(r"(.+?) AS (\w+)(?:,\s+|$)", _D_SQL.replace("\n", ""))]
+
+
+@_query("descriptor_checks", f"""WITH d AS (SELECT event_id, {_D_SQL} FROM events) SELECT event_id, CASE WHEN version <> 1 THEN 'unsupported version' WHEN layout NOT IN ('fixed', 'variable', 'blocks') THEN 'unknown layout' WHEN kind NOT IN ('sq', 'pq', 'rotated') THEN 'unknown code kind'
  WHEN NOT CASE kind WHEN 'sq' THEN bits IN (4, 8) WHEN 'rotated' THEN bits BETWEEN 1 AND 8 ELSE bits = 0 END THEN 'bits do not fit the code kind' WHEN shards < 1 OR slots < 1 THEN 'empty topology' WHEN header_bytes % 8 <> 0 THEN 'misaligned header'
  WHEN layout = 'fixed' AND stride < 8 THEN 'stride below a record''s head' WHEN layout <> 'fixed' AND stride <> 0 THEN 'stride of variable records' END AS reason FROM d""")
 def descriptor_checks(spark, d):
-    rows = spark.createDataFrame(_DESCRIPTORS, "version int, layout string, kind string, bits int, shards int, slots int, header_bytes int, stride int")
-    return rows.select("version", "layout", "kind", "bits", "stride", accounting.descriptor_reason(rows).alias("reason"))
+    """Descriptors that events stand in for, most with some fault."""
+    rows = _events(spark, d).selectExpr("event_id", *[x.strip().replace("CAST(", "cast(") for x in _D_COLUMNS])
+    return rows.select("event_id", accounting.descriptor_reason(rows).alias("reason"))
 
 
-@_query("maintenance_checks", "SELECT shards, packed, blocks, variable, CASE WHEN shards <> 1 THEN 'more than one shard' WHEN packed THEN 'packed placement' WHEN blocks THEN 'locality blocks' WHEN variable THEN 'variable records' END AS reason FROM (SELECT CAST(s AS INTEGER) AS shards, p = 1 AS packed, b = 1 AS blocks, v = 1 AS variable FROM range(1, 3) x(s), range(2) y(p), range(2) z(b), range(2) w(v))")
+@_query("maintenance_checks", "SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN 'more than one shard' WHEN user_id % 2 = 1 THEN 'packed placement' WHEN user_id % 3 = 1 THEN 'locality blocks' WHEN event_type = 'view' THEN 'variable records' END AS reason FROM events")
 def maintenance_checks(spark, d):
-    two = lambda c: F.explode(F.array(F.lit(False), F.lit(True))).alias(c)
-    rows = spark.range(1, 3).select(F.col("id").cast("int").alias("shards")).select("*", two("packed")).select("*", two("blocks")).select("*", two("variable"))
-    return rows.withColumn("reason", accounting.maintenance_reason(*[F.col(c) for c in rows.columns]))
+    """Indexes that events stand in for: shards, placement, blocks and records of each."""
+    odd = lambda c, n: F.col(c) % n == 1
+    reason = accounting.maintenance_reason(F.when(odd("event_id", 4), 1).otherwise(2), odd("user_id", 2), odd("user_id", 3), F.col("event_type") == "view")
+    return _events(spark, d).select("event_id", reason.alias("reason"))
 
 
-@_query("rerank_chunks", "SELECT q AS queue, w AS workers, CAST(CASE WHEN w > 0 AND q > 0 AND w <= q THEN greatest(1, q // (2 * w)) ELSE 0 END AS BIGINT) AS chunk, CAST(CASE WHEN w > 0 AND q > 0 AND w <= q THEN ceil(100.0::DOUBLE / greatest(1, q // (2 * w))) END AS BIGINT) AS chunks FROM (VALUES (1024, 2), (1024, 6), (1024, 16), (8, 8), (7, 8), (0, 1), (5, 0)) t(q, w)")
+@_query("rerank_chunks", "WITH t AS (SELECT event_id, event_id % 300 AS q, user_id % 24 AS w FROM events), c AS (SELECT *, CAST(CASE WHEN w > 0 AND q > 0 AND w <= q THEN greatest(1, q // (2 * w)) ELSE 0 END AS BIGINT) AS chunk FROM t) SELECT event_id, chunk, CAST(CASE WHEN chunk > 0 THEN ceil(100.0::DOUBLE / chunk) END AS BIGINT) AS chunks FROM c")
 def rerank_chunks(spark, d):
-    rows = spark.createDataFrame([(1024, 2), (1024, 6), (1024, 16), (8, 8), (7, 8), (0, 1), (5, 0)], "queue int, workers int")
-    rows = rows.withColumn("chunk", accounting.rerank_chunk(F.col("queue"), F.col("workers")))
+    """Places and workers of the queues that events stand in for."""
+    rows = _events(spark, d).select("event_id", accounting.rerank_chunk(F.col("event_id") % 300, F.col("user_id") % 24).alias("chunk"))
     return rows.withColumn("chunks", F.when(F.col("chunk") > 0, F.ceil(100 / F.col("chunk"))))
 
 
@@ -153,12 +159,11 @@ def routing_sample(spark, d):
     return accounting.routing_sample(_base(spark, d).select("vec_id", graph.level_column(F.col("vec_id"), 8).alias("level")), 40)
 
 
-@_query("self_test_sample", "SELECT 64 AS compared, 64 AS same")
+@_query("self_test_sample", f"WITH {GRAPH} SELECT src, true AS same FROM (SELECT DISTINCT src FROM graph) ORDER BY md5(CAST(src AS VARCHAR) || ':1'), src LIMIT 64")
 def self_test_sample(spark, d):
-    """64 records of a table against the same made again from shuffled links."""
+    """64 records of a table, drawn by hash, against the same made again from shuffled links."""
     edges = _graph(_base(spark, d))
-    got = accounting.sample_compare(layout.slab(edges), layout.slab(edges.repartition(5, "dst")), "src")
-    return got.agg(F.count(F.lit(1)).cast("int").alias("compared"), F.sum(F.col("same").cast("int")).cast("int").alias("same"))
+    return accounting.sample_compare(layout.slab(edges), layout.slab(edges.repartition(5, "dst")), "src")
 
 
 @_query("hub_list", f"WITH {GRAPH}, g AS (SELECT dst, count(*) AS n FROM graph GROUP BY 1), h AS (SELECT dst FROM g ORDER BY n DESC, dst LIMIT 20) SELECT src, CAST(sum(CASE WHEN dst IN (SELECT dst FROM h) THEN 1 ELSE 0 END) AS BIGINT) AS at_hand, count(*) AS links FROM graph GROUP BY 1")
@@ -274,7 +279,7 @@ def pool_identity(spark, d):
 @_query("tail_ratios", "WITH s AS (SELECT event_type, value, event_id % 2 = 0 AS a FROM events) SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q}) FILTER (NOT a) / quantile_cont(value, {q}) FILTER (a), 6) AS {n}_reduction" for n, q in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))) + " FROM s GROUP BY 1")
 def tail_ratios(spark, d):
     e = _events(spark, d).withColumn("side", F.when(F.col("event_id") % 2 == 0, "A").otherwise("B"))
-    return _six(gates.tail_ratios(e, "event_type", "side", "value"), "p50_reduction", "p99_reduction", "p999_reduction")
+    return _six(gates.tail_ratios(e, "event_type", "side", "value", _cut(spark)), "p50_reduction", "p99_reduction", "p999_reduction")
 
 
 @_query("exact_repeats", f"WITH {_RUNS}, a AS (SELECT * FROM runs WHERE variant = 'A' AND NOT (event_type = 'view' AND repeat = 3)) SELECT event_type, count(*) = 5 AS complete, CASE WHEN count(*) = 5 THEN round(avg(qps), 6) END AS mean, round(max(qps) / min(qps), 6) AS span FROM a GROUP BY 1")
@@ -286,7 +291,7 @@ def exact_repeats(spark, d):
 @_query("nullable_median", "SELECT nullif(user_id % 4, 3) AS host, round(median(CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END), 6) AS median FROM events GROUP BY 1")
 def nullable_median(spark, d):
     e = _events(spark, d).select(F.nullif(F.col("user_id") % 4, F.lit(3)).alias("host"), F.when(F.col("event_id") % 10 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("t"))
-    return _six(gates.nullable_median(e, ["host"], "t"), "median")
+    return _six(gates.nullable_median(e, ["host"], "t", _cut(spark)), "median")
 
 
 _SAMPLES = "s AS (SELECT user_id AS process, ts, event_id, CAST(round(value * 100) AS BIGINT) AS rss FROM events), h AS (SELECT *, max(rss) OVER (PARTITION BY process ORDER BY ts, event_id) - CASE WHEN event_id % 1999 = 0 THEN 100000000 ELSE 0 END AS hwm FROM s)"
@@ -329,9 +334,11 @@ def what_if(spark, d):
     return _six(x.select("event_type", (F.col("assumed") == F.col("phase")).alias("as_is"), "assumed", "model", "bound"), "assumed", "model", "bound")
 
 
-@_query("one_factor_matrix", "SELECT k, ef, workers FROM (VALUES (10, 100, 10), (1, 100, 10), (100, 100, 10), (10, 200, 10), (10, 100, 1), (10, 100, 40)) t(k, ef, workers)")
+@_query("one_factor_matrix", "WITH t AS (SELECT DISTINCT event_type FROM events), w AS (SELECT DISTINCT user_id % 10 AS worker FROM events), f AS (SELECT (SELECT min(event_type) FROM t) AS t0, (SELECT min(worker) FROM w) AS w0) SELECT event_type, w0 AS worker FROM t, f UNION SELECT t0, worker FROM w, f")
 def one_factor_matrix(spark, d):
-    return spark.createDataFrame([(r["k"], r["ef"], r["workers"]) for r in gates.one_factor({"k": [10, 1, 100], "ef": [100, 200], "workers": [10, 1, 40]})], "k int, ef int, workers int")
+    """The runs to make where one factor at a time leaves its first level, of the levels seen."""
+    e = _events(spark, d).select("event_type", (F.col("user_id") % 10).alias("worker"))
+    return gates.one_factor_rows(e, ["event_type", "worker"])
 
 
 @_query("promotion_decision", f"WITH {_SCALED}, f AS (SELECT 'scale' AS c FROM s WHERE nodes = 3 AND scale - half < 2.6 UNION ALL SELECT 'recall' FROM s WHERE nodes = 3 AND drift > 0.01 UNION ALL SELECT 'fairness' FROM s WHERE nodes > 1 AND fair_low < 0.08 UNION ALL SELECT 'failed queries' FROM events WHERE event_id % 997 = 0) SELECT count(*) = 0 AS ready, count(*) AS failures, string_agg(DISTINCT c, ',' ORDER BY c) AS checks FROM f")

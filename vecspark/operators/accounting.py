@@ -99,10 +99,15 @@ def worker_of(slot: Column, total: int, workers: int) -> Column:
     return F.floor(((slot + 1) * workers - 1) / total)
 
 
-def offset_failures(table: DataFrame, most: int) -> DataFrame:
+def offset_failures(table: DataFrame, most: int, span: int = 1 << 16) -> DataFrame:
     """(owner, local_slot, failure) of an offset table (owner, local_slot, offset, end, cold): it starts at 0, each record ends
-    where the next starts, lengths are not negative or above `most`, and only cold slots have none."""
-    before = F.lag("end").over(W.partitionBy("owner").orderBy("local_slot"))
+    where the next starts, lengths are not negative or above `most`, and only cold slots have none. Spans of slots are looked
+    at apart; the first record of a span is held against the last one of the spans before it, so an owner is many tasks."""
+    rows = table.withColumn("span", F.floor(F.col("local_slot") / span))
+    last = rows.groupBy("owner", "span").agg(F.max_by("end", "local_slot").alias("last"))
+    edges = last.select("owner", "span", F.lag("last").over(W.partitionBy("owner").orderBy("span")).alias("edge"))  # a row a span
+    inside = F.lag("end").over(W.partitionBy("owner", "span").orderBy("local_slot"))
+    rows = rows.withColumn("inside", inside).join(edges, ["owner", "span"]).withColumn("before", F.coalesce("inside", "edge"))
     length = F.col("end") - F.col("offset")
     why = (
         F.when(F.col("before").isNull() & (F.col("offset") != 0), "base")
@@ -112,7 +117,7 @@ def offset_failures(table: DataFrame, most: int) -> DataFrame:
         .when((length == 0) & ~F.col("cold"), "empty but not cold")
         .when((length > 0) & F.col("cold"), "cold but not empty")
     )
-    return table.withColumn("before", before).select("owner", "local_slot", why.alias("failure")).where("failure is not null")
+    return rows.select("owner", "local_slot", why.alias("failure")).where("failure is not null")
 
 
 def block_region(members: DataFrame, dim: int) -> DataFrame:
@@ -173,6 +178,6 @@ def routing_sample(nodes: DataFrame, least: int) -> DataFrame:
 def sample_compare(one: DataFrame, other: DataFrame, key: str, slots: int = 64, seed: int = 1) -> DataFrame:
     """(key, same) of the `slots` rows that come first by a seeded hash of the key: are they equal in both tables?"""
     names = one.columns
-    drawn = one.select(*names).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(slots)
+    drawn = one.select(*names).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(slots)
     j = drawn.alias("a").join(other.select(*names).alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "left")
     return j.select(F.col(f"a.{key}").alias(key), reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]).alias("same"))

@@ -65,14 +65,16 @@ def build_tables(vectors: DataFrame, m: int = 8, ef: int = 32, metric: str = "l2
     shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), np.float32)
-        index = local_graph(ids, x, rows.level.to_numpy(), m, ef, metric)
-        links = np.array([(at, a, pos, b) for at, lists in enumerate(index.levels) for a, found in lists.items() for pos, b in enumerate(found)], "<i4").reshape(-1, 4)
-        return pd.DataFrame({"shard": rows.shard.iloc[:1], "entry": [int(ids[index.entry])], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f4").tobytes()], "dim": [x.shape[1]], "links": [links.tobytes()]})
-
-    return rows.groupBy("shard").applyInPandas(one, _SHARD)
+    return rows.groupBy("shard").applyInPandas(lambda rows: packed_shard(rows, m, ef, metric), _SHARD)
+
+
+def packed_shard(rows: pd.DataFrame, m: int, ef: int, metric: str) -> pd.DataFrame:
+    """The row of one shard's graph, of its rows (shard, vec_id, embedding, level)."""
+    rows = rows.sort_values("vec_id")
+    ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), np.float32)
+    index = local_graph(ids, x, rows.level.to_numpy(), m, ef, metric)
+    links = np.array([(at, a, pos, b) for at, lists in enumerate(index.levels) for a, found in lists.items() for pos, b in enumerate(found)], "<i4").reshape(-1, 4)
+    return pd.DataFrame({"shard": rows.shard.iloc[:1], "entry": [int(ids[index.entry])], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f4").tobytes()], "dim": [x.shape[1]], "links": [links.tobytes()]})
 
 
 def unpacked(row, metric: str) -> Index:

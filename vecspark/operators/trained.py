@@ -91,10 +91,11 @@ def _added(rows: pd.DataFrame, widths: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"j": rows.j.iloc[:1], "lot": rows.lot.iloc[:1], "sums": [total("sums")], "n": [total("n")], "inertia": [math.fsum(rows.inertia)], "far": [far.tobytes()]})
 
 
-def pq_train(vectors: DataFrame, m: int, centroids: int = 256, rounds: int = 20, seed: int = 1) -> ProductModel:
+def pq_train(vectors: DataFrame, m: int, centroids: int = 256, rounds: int = 20, seed: int = 1, start: ProductModel | None = None) -> ProductModel:
     """Product codes of `m` sub-spaces, by Lloyd's rule over all vectors (vec_id, embedding) of one dimension.
 
-    The first centroids are the parts of the distinct vectors that come first by a seeded hash of the id. A round is one pass;
+    The first centroids are those of `start`, or the parts of the distinct vectors that come first by a seeded hash of the id. A
+    round is one pass;
     a centroid without rows moves to one of the rows farthest from theirs, SPARE a round and sub-space at most. Stops when no
     centroid moves, or after so many rounds. The same for any partitioning. Vectors that usable() leaves out take no part;
     without vectors the books are empty.
@@ -106,7 +107,7 @@ def pq_train(vectors: DataFrame, m: int, centroids: int = 256, rounds: int = 20,
         return ProductModel([0] * (m + 1), [np.zeros((0, 0))] * m)
     cuts = pq_split(first.shape[1], m)
     widths = [b - a for a, b in zip(cuts, cuts[1:])]
-    model = ProductModel(cuts, [np.unique(first[:, a:b], axis=0) for a, b in zip(cuts, cuts[1:])])
+    model = start or ProductModel(cuts, [np.unique(first[:, a:b], axis=0) for a, b in zip(cuts, cuts[1:])])
     n, most = rows.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))).first()
     shift = 61 - math.ceil(math.log2(max(n, 2))) - math.ceil(math.log2(max(most, 2.0**-60)))
     lots = max(1, math.isqrt(rows.rdd.getNumPartitions()))

@@ -1,16 +1,14 @@
-"""Workloads and routing: Zipf query pools, fingerprints, clustering, balanced routing, a cache model."""
+"""Workloads and routing: Zipf query pools, fingerprints, clustering, balanced routing."""
 
 from __future__ import annotations
 
-import random
-from collections import OrderedDict
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2
+from .layout import numbered, prefix_offsets
 
 
 def zipf_counts(spark: SparkSession, n: int, queries: int, alpha: float) -> DataFrame:
@@ -23,6 +21,18 @@ def zipf_counts(spark: SparkSession, n: int, queries: int, alpha: float) -> Data
     return c.select("rank", times.alias("times")).where("times > 0")
 
 
+def zipf_times(vectors: DataFrame, queries: int, alpha: float, write) -> DataFrame:
+    """(vec_id, rank, times): how often each vector is asked if the first by id is the most popular; rank by rank until the total
+    is reached exactly. Ranks and sums go over ranges, so no task has all of them. write(df) cuts the lineage."""
+    rows = numbered(vectors.select("vec_id"), [F.col("vec_id")], "rank", write).withColumn("rank", F.col("rank") + 1)
+    rows = rows.withColumn("w", F.pow(F.col("rank").cast("double"), F.lit(-alpha)))
+    total = F.broadcast(rows.agg(F.sum("w").alias("total")))  # one row
+    shares = rows.crossJoin(total).select("vec_id", "rank", F.ceil(F.lit(queries) * F.col("w") / F.col("total")).alias("c"))
+    summed = prefix_offsets(write(shares.withColumn("owner", F.lit(0)).withColumn("local_slot", F.col("rank"))), "c")
+    times = F.greatest(F.lit(0), F.least(F.col("c"), F.lit(queries) - F.col("offset"))).cast("long")
+    return summed.select("vec_id", "rank", times.alias("times")).where("times > 0")
+
+
 def zipf_pool(spark: SparkSession, n: int, queries: int, alpha: float, seed: int = 1) -> DataFrame:
     """(position, rank): the pool itself, in one permutation by hash that queries and their truth share."""
     rows = zipf_counts(spark, n, queries, alpha).select("rank", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
@@ -160,35 +170,3 @@ def adapted_limits(limits: list[int], backlog: list[int], per_node: int = 200) -
     for i in range(batch - sum(new)):
         new[i % n] += 1
     return new
-
-
-class CoolingCache:
-    """Bounded cache: once full, few newcomers are admitted; a random victim cools in a short queue from which a hit
-    brings it back, and the oldest there is dropped."""
-
-    def __init__(self, capacity: int, admit: float = 0.01, cooling: int = 6, seed: int = 1):
-        self.capacity, self.admit, self.bound, self.random = capacity, admit, cooling, random.Random(seed)
-        self.hot: dict[int, None] = {}
-        self.cool: OrderedDict[int, None] = OrderedDict()
-        self.hits = self.misses = 0
-
-    def access(self, key: int) -> bool:
-        if key in self.hot:
-            self.hits += 1
-            return True
-        if key in self.cool:
-            del self.cool[key]
-            self.hot[key] = None
-            self.hits += 1
-            return True
-        self.misses += 1
-        if len(self.hot) + len(self.cool) < self.capacity:
-            self.hot[key] = None
-        elif self.random.random() < self.admit and self.hot:
-            victim = self.random.choice(list(self.hot))
-            del self.hot[victim]
-            self.cool[victim] = None
-            while len(self.cool) > self.bound or len(self.hot) + len(self.cool) >= self.capacity:
-                self.cool.popitem(last=False)
-            self.hot[key] = None
-        return False

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import linear_quantiles
 from ..functions.stats import ci_half
 from .evaluation import all_gates, failures, ratio_interval
 
@@ -78,11 +81,12 @@ def pool_identity(records: DataFrame, methods: int, rows: int, least_k: int) ->
     ])
 
 
-def tail_ratios(rows: DataFrame, key: str, side: str, x: str) -> DataFrame:
+def tail_ratios(rows: DataFrame, key: str, side: str, x: str, write) -> DataFrame:
     """Per key the baseline's (B) percentiles over the design's (A)."""
-    points = (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))
-    at = lambda s, q: F.percentile(F.when(F.col(side) == s, F.col(x)), F.lit(q))
-    return rows.groupBy(key).agg(*[(at("B", q) / at("A", q)).alias(f"{n}_reduction") for n, q in points])
+    points = {"p50": 0.5, "p99": 0.99, "p999": 0.999}
+    found = linear_quantiles(rows.where(F.col(side).isin("A", "B")), [key, side], x, points, write)
+    at = lambda s, n: F.max(F.when(F.col(side) == s, F.col(n)))
+    return found.groupBy(key).agg(*[(at("B", n) / at("A", n)).alias(f"{n}_reduction") for n in points])
 
 
 def exact_repeats(rows: DataFrame, key: str, repeat: str, x: str, expected: list[int]) -> DataFrame:
@@ -93,9 +97,13 @@ def exact_repeats(rows: DataFrame, key: str, repeat: str, x: str, expected: list
     return g.select(key, "complete", F.when(F.col("complete"), F.col("mean")).alias("mean"), "span")
 
 
-def nullable_median(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Median of numbers given as text; what is no number is left out, and null keys are a group."""
-    return rows.groupBy(*keys).agg(F.percentile(F.expr(f"try_cast({text} as double)"), F.lit(0.5)).alias("median"))
+def nullable_median(rows: DataFrame, keys: list[str], text: str, write) -> DataFrame:
+    """Median of numbers given as text; what is no number is left out, and null keys are a group. A group without numbers has none."""
+    numbers = rows.select(*keys, F.expr(f"try_cast({text} as double)").alias("x"))
+    found = linear_quantiles(numbers, keys, "x", {"median": 0.5}, write)
+    every = rows.select(*keys).distinct().alias("a")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return every.join(found.alias("b"), on, "left").select(*[F.col(f"a.{k}").alias(k) for k in keys], "median")
 
 
 def process_peaks(samples: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,6 +125,13 @@ def what_if(rows: DataFrame, latency: str, phase: str, qps: str, assumed: list[f
     return x.withColumn("model", model).withColumn("bound", F.col(qps) * F.col(latency) / F.col("model")).drop("a")
 
 
+def one_factor_rows(rows: DataFrame, factors: list[str]) -> DataFrame:
+    """Settings of the factors in which one at most is not at its smallest level, of the levels that the rows have."""
+    first = rows.agg(*[F.min(f).alias(f"first_{f}") for f in factors])  # one row
+    each = [rows.select(f).distinct().crossJoin(F.broadcast(first)).select(*[F.col(g) if g == f else F.col(f"first_{g}").alias(g) for g in factors]) for f in factors]
+    return reduce(DataFrame.union, each).distinct()
+
+
 def one_factor(factors: dict[str, list]) -> list[dict]:
     """The first values of all factors, then each other value of one factor with the first ones of the others."""
     base = {f: v[0] for f, v in factors.items()}

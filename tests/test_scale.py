@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.functions import quantiles
-from vecspark.operators import accounting, codecs, exact, graph, growth, index, merged, trained, workload
+from vecspark.operators import accounting, blocks, codecs, exact, graph, growth, index, layout, merged, trained, workload
+from vecspark.sources import sink, vectors
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -300,3 +301,78 @@ def test_zipf_times_add_up(spark, write):
     assert sum(r["times"] for r in got) == 1000 and [r["vec_id"] for r in got] == list(range(5, 5 + len(got)))
     same = [r["times"] for r in workload.zipf_counts(spark, 200, 1000, 1.0).orderBy("rank").collect()]
     assert [r["times"] for r in got] == same
+
+
+# --- vector files as a sink -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["fbin", "fvecs", "i8bin", "ivecs"])
+def test_vector_folders_come_back(spark, tmp_path, kind):
+    x = np.random.Generator(np.random.PCG64(61)).integers(-100, 100, (230, 6)).astype(np.float32)
+    base = table(spark, x).withColumn("path", F.lit("x")).repartition(5)
+    about = sink.write_folder(base, str(tmp_path / "v"), kind, rows_a_file=40)
+    assert about["rows"] == 230 and about["dim"] == 6 and len(about["files"]) >= 6
+    assert {f.name for f in (tmp_path / "v").iterdir() if not f.name.startswith(".")} == {"manifest.json"} | {f["file"] for f in about["files"]}
+    back = sink.read_folder(spark, str(tmp_path / "v"), rowsPerTask=17)
+    assert back.rdd.getNumPartitions() > len(about["files"])
+    assert np.array_equal(np.array([r["embedding"] for r in back.orderBy("vec_id").collect()]), x)
+    for f in about["files"]:  # each is a whole file of its kind
+        got = vectors.read_vectors(spark, str(tmp_path / "v" / f["file"])).orderBy("vec_id").collect()
+        assert np.array_equal(np.array([r["embedding"] for r in got]), x[f["first"] : f["first"] + f["rows"]])
+    with pytest.raises(Exception, match="v"):
+        sink.write_folder(base, str(tmp_path / "v"), kind)
+    assert sink.manifest(str(tmp_path / "v")) == about
+    assert sink.write_folder(base.where("vec_id < 9"), str(tmp_path / "v"), kind, overwrite=True)["rows"] == 9
+    assert sink.read_folder(spark, str(tmp_path / "v")).count() == 9
+
+
+def test_vector_folders_that_fail_leave_nothing(spark, tmp_path):
+    x = np.arange(60, dtype=np.float32).reshape(20, 3) / 7
+    base = table(spark, x).repartition(4)
+    half = base.withColumn("embedding", F.when(F.col("vec_id") == 17, F.array(F.lit(1.0))).otherwise(F.col("embedding")))
+    gone = base.withColumn("embedding", F.when(F.col("vec_id") == 17, F.lit(None)).otherwise(F.col("embedding")))
+    bad = {"half": half, "gone": gone, "twice": base.union(base), "later": base.where("vec_id > 2"), "none": base.limit(0), "gap": base.where("vec_id <> 9")}
+    for name, df in bad.items():
+        with pytest.raises(Exception, match="dimension|null|follow|ids are not|nothing"):
+            sink.write_folder(df, str(tmp_path / name), rows_a_file=4)
+        assert not [f for f in (tmp_path / name).iterdir() if f.name.startswith(("part", "manifest"))]
+    with pytest.raises(Exception, match="can not hold"):
+        sink.write_folder(base, str(tmp_path / "u8"), "u8bin")
+
+
+def test_vector_files_are_converted_by_many_tasks(spark, tmp_path):
+    x = np.random.Generator(np.random.PCG64(62)).standard_normal((300, 5)).astype(np.float32)
+    vectors.write_vectors(x, str(tmp_path / "a.fvecs"))
+    sink.convert_folder(spark, str(tmp_path / "a.fvecs"), str(tmp_path / "b"), "fbin", 50)
+    back = sink.read_folder(spark, str(tmp_path / "b")).orderBy("vec_id").collect()
+    assert np.array_equal(np.array([r["embedding"] for r in back], np.float32), x)
+
+
+# --- blocks -----------------------------------------------------------------------------------------------------
+
+
+def test_blocks_are_bounded_and_hold_links_together(spark, write, crowd):
+    base = write(table(spark, crowd[:400]))
+    built = merged.build_merged(base, write, m=6, ef=24)
+    edges = write(built.edges.where("level = 0").select("src", "dst"))
+    lists = [[] for _ in range(400)]
+    for r in sorted(edges.collect()):
+        lists[r["src"]].append(r["dst"])
+    inside = lambda block: sum(block[u] == block[v] for u, near in enumerate(lists) for v in near)
+    by_hand = layout.refine_blocks(lists, layout.pack_blocks(lists, built.entry, 32), 32)
+    packed = blocks.pack(built.nodes, edges, 32, write)
+    refined = blocks.refine(packed, edges, 32, write)
+    for labels, most in ((packed, 32), (refined, 40)):
+        rows = labels.collect()
+        assert sorted(r["vec_id"] for r in rows) == list(range(400))
+        assert max(np.unique([r["block"] for r in rows], return_counts=True)[1]) <= most
+    assert inside({r["vec_id"]: r["block"] for r in refined.collect()}) >= 0.9 * inside(by_hand)
+    q = base.where("vec_id % 40 = 1")
+    got = merged.nearest(blocks.search(q, built, refined, write, ef=400, wide=400), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.knn(q, base, 5).collect()))
+
+
+def test_blocks_of_nodes_without_links(spark, write):
+    nodes = spark.range(5).select(F.col("id").alias("vec_id"))
+    none = spark.createDataFrame([], "src long, dst long")
+    assert blocks.refine(blocks.pack(nodes, none, 4, write), none, 4, write).select("block").distinct().count() == 5

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import quantiles
 from vecspark.operators import accounting, blocks, codecs, exact, graph, growth, index, layout, merged, trained, workload
+from vecspark.plans import gates
 from vecspark.sources import sink, vectors
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -376,3 +377,93 @@ def test_blocks_of_nodes_without_links(spark, write):
     nodes = spark.range(5).select(F.col("id").alias("vec_id"))
     none = spark.createDataFrame([], "src long, dst long")
     assert blocks.refine(blocks.pack(nodes, none, 4, write), none, 4, write).select("block").distinct().count() == 5
+
+
+# --- balanced cells ---------------------------------------------------------------------------------------------
+
+
+def sequential(x, c, capacity):
+    """Each row by its loss, most first, into its nearest cell with room: what one process would do."""
+    d = ((x[:, None] - c[None]) ** 2).sum(2)
+    left, cost = np.full(len(c), capacity), 0.0
+    for i in np.argsort(-(np.sort(d, 1)[:, 1] - np.sort(d, 1)[:, 0])):
+        j = next(j for j in np.argsort(d[i]) if left[j])
+        left[j] -= 1
+        cost += d[i, j]
+    return cost
+
+
+def test_balanced_cells_have_room_and_cost_little_more(spark, write):
+    rng = np.random.Generator(np.random.PCG64(71))
+    x = np.concatenate([rng.standard_normal((n, 4)) + 6 * np.eye(4)[i] for i, n in enumerate((200, 60, 30, 10))]).astype(np.float32)
+    base = write(table(spark, x).repartition(6))
+    seeds = spark.createDataFrame([(10 * i, [float(v) for v in 6 * np.eye(4)[i]]) for i in range(4)], "c long, centroid array<double>")
+    owned = workload.balanced_assignment(base, seeds, 75, write)
+    rows = owned.collect()
+    assert sorted(r["vec_id"] for r in rows) == list(range(300))
+    assert np.unique([r["c"] for r in rows], return_counts=True)[1].tolist() == [75] * 4
+    assert sum(r["d"] for r in rows) <= 1.05 * sequential(x.astype(float), 6 * np.eye(4), 75)
+    assert sorted(map(tuple, workload.balanced_assignment(base.repartition(2), seeds, 75, write).select("vec_id", "c").collect())) == sorted((r["vec_id"], r["c"]) for r in rows)
+    best, centroids, costs = workload.balanced_kmeans(base, seeds, write, rounds=4)
+    assert all(a > b for a, b in zip(costs, costs[1:])) and centroids.count() == 4
+    assert best.groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] == 75
+    free = workload.balanced_assignment(base, seeds, 300, write).where("c <> floor(vec_id / 300) and vec_id < 200").count()
+    assert free == sum(((x[:200, None] - 6 * np.eye(4)[None]) ** 2).sum(2).argmin(1) != 0)
+    with pytest.raises(ValueError, match="room"):
+        workload.balanced_assignment(base, seeds, 74, write)
+    copies = table(spark, np.zeros((9, 4), np.float32))
+    assert workload.balanced_assignment(copies, seeds.limit(3), 3, write).groupBy("c").count().where("count = 3").count() == 3
+
+
+# --- gates ------------------------------------------------------------------------------------------------------
+
+RUN = "dataset string, method string, ef long, threads int, top_k int, query_contexts int, measurement_mode string, processed_queries long, expected_queries long, failed_queries long, binary_sha256 string, campaign_id string, protocol_fingerprint string, metric string"
+GOOD = ("d", "base", 50, 16, 10, 4, "pool", 100, 100, 0, "b", "c", "f", "l2")
+
+
+def test_protocol_gate_finds_each_fault(spark):
+    names = [x.split()[0] for x in RUN.split(", ")]
+    others = [GOOD, ("d", "design", *GOOD[2:]), ("d", "other", 50, 16, 10, 9, *GOOD[6:])]
+
+    def found(**change):
+        row = tuple(change.get(n, v) for n, v in zip(names, GOOD))
+        got = gates.protocol(spark.createDataFrame([*others, row], RUN), 16, 10, 4, "pool", ("base", "design")).collect()
+        return {(r["check"], r["failure"]) for r in got}
+
+    assert found() == set()
+    assert found(threads=8) == {("row", "threads 8")} and found(top_k=None) == {("row", "top_k missing")}
+    assert found(query_contexts=2) == {("row", "query_contexts 2")} and found(measurement_mode="x") == {("row", "measurement_mode x")}
+    for bad in ({"processed_queries": 99}, {"failed_queries": 1}, {"failed_queries": None}):
+        assert found(**bad) == {("row", "incomplete queries")}
+    assert found(binary_sha256=None) == {("row", "no binary_sha256")}
+    assert found(binary_sha256="z") == {("binary_sha256 drift", "b|z")}
+    assert found(protocol_fingerprint="g") == {("protocol_fingerprint drift", "f|g")}
+    assert found(campaign_id="e") == {("campaign_id drift", "c|e"), ("campaign mismatch", "c|e and c")}
+    assert found(metric="ip") == {("metric drift", "ip|l2")} and found(metric=None) == {("metric drift", "|l2")}
+    assert found(expected_queries=7, processed_queries=7) == {("expected_queries drift", "100|7")}
+
+
+def test_conditions_on_nested_fields(spark):
+    docs = spark.createDataFrame([(("a", 1), (2.0,)), (("b", 1), (3.0,)), (("b", None), (4.0,)), (("c", 2), None), (("full", 9), (7.0,))], "meta struct<label:string,threads:int>, queries struct<qps:double>")
+    count = lambda f: docs.where(gates.matching(f)).count()
+    assert count({}) == 5 and count({"meta.label": "b"}) == 2 and count({"meta.label": {"in": ["a", "c"]}}) == 2
+    assert count({"queries.qps": {"exists": False}}) == 1 and count({"queries.qps": {"at_least": 3, "at_most": 4}}) == 2
+    assert count({"meta.threads": None}) == 1
+    with pytest.raises(ValueError):
+        gates.matching({"meta.label": {"like": "x"}})
+    rows = gates.documents_by_label(docs, {"queries.qps": {"exists": True}}, "meta.threads", "meta.label", ["a", "b", "full"], "queries.qps", "full").orderBy("key").collect()
+    assert [tuple(r) for r in rows] == [(None, None, 4.0, 7.0), (1, 2.0, 3.0, 7.0)]
+
+
+def test_fairness_and_grids(spark):
+    from vecspark.functions import stats
+
+    df = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, 1.0), (2, 3.0)], "k int, x double")
+    assert {r["k"]: r["j"] for r in df.groupBy("k").agg(stats.jain("x").alias("j")).collect()} == {1: 1.0, 2: 0.8}
+    for bad in (df.withColumn("x", -F.col("x")), df.limit(0), df.withColumn("x", F.lit(0.0))):
+        with pytest.raises(Exception, match="fairness"):
+            bad.agg(stats.jain("x")).collect()
+    a = spark.createDataFrame([("d", 1), ("d", 2), ("d", 2)], "dataset string, ef int")
+    b = spark.createDataFrame([("d", 2), ("d", 3)], "dataset string, ef int")
+    assert {tuple(r)[1:] for r in gates.equal_grids(a, b, ["dataset", "ef"]).collect()} == {("d/1", "missing"), ("d/3", "extra"), ("d/2", "twice in base")}
+    assert gates.equal_grids(b, b, ["dataset", "ef"]).isEmpty()

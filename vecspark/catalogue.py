@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .functions import quantiles, stats
 from .functions.distance import l2
-from .operators import codecs, exact, graph, growth, index, layout, merged, trained, workload
+from .operators import blocks, codecs, exact, graph, growth, index, layout, merged, trained, workload
 from .plans import evaluation
+from .sources import sink
 from .shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,13 +384,11 @@ def ann_search_partial(spark, d):
 
 @_query("ann_search_blocks")
 def ann_search_blocks(spark, d):
-    import numpy as np
-
-    base = _base(spark, d)
-    built = graph.build(base, m=8, ef=32)
-    adjacency = [list(map(int, built.levels[0].get(s, ()))) for s in range(len(built.ids))]
-    built.block = np.array(layout.refine_blocks(adjacency, layout.pack_blocks(adjacency, built.entry, 32), 32))
-    return graph.search(_queries(base).coalesce(8), built, 10, ef=64, blocks=True)
+    """Locality blocks of 32 lead the search: what a block holds is measured together."""
+    built, base, cut = _merged(spark, d)
+    links = cut(built.edges.where("level = 0").select("src", "dst"))
+    labels = blocks.refine(blocks.pack(built.nodes, links, 32, cut), links, 32, cut, waves=4)
+    return merged.nearest(blocks.search(_queries(base), built, labels, cut, wide=32), 10)
 
 
 @_query("ann_recall")
@@ -676,6 +675,32 @@ def balanced_route(spark, d):
     return order.groupBy("batch").applyInPandas(run, "vec_id long, node int")
 
 
+@_query("balanced_kmeans", "SELECT vec_id AS c, true AS fits FROM embeddings WHERE vec_id % 100 = 0 AND vec_id < 500")
+def balanced_kmeans(spark, d):
+    """Five cells of which none has more than a fifth of the vectors, rounded up."""
+    base, cut = _base(spark, d), _cut(spark)
+    n = base.count()
+    owned, _, _ = workload.balanced_kmeans(base, cut(_seeds(base)), cut, rounds=3)
+    return owned.groupBy("c").agg((F.count(F.lit(1)) <= -(-n // 5)).alias("fits"))
+
+
+@_query("content_fingerprint", """WITH r AS (SELECT vec_id, sha256(vec_id || ',' || list_aggregate(list_transform(embedding, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS h FROM embeddings),
+ s AS (SELECT vec_id // 65536 AS s, count(*) AS n, sha256(string_agg(h, '' ORDER BY vec_id)) AS h FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY s)) AS sha256 FROM s""")
+def content_fingerprint(spark, d):
+    """Of all vectors in millionths, whole numbers being written alike everywhere."""
+    millionths = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("long"))
+    return workload.content_fingerprint(_base(spark, d).select("vec_id", millionths.alias("embedding")))
+
+
+@_query("vector_sink", "SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS size FROM embeddings")
+def vector_sink(spark, d):
+    """All vectors written as headered files by many tasks, committed, and read back."""
+    path = f"{_shared(spark)}/sink-{uuid.uuid4().hex}"
+    sink.write_folder(_base(spark, d), path, rows_a_file=1000)
+    size = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    return sink.read_folder(spark, path).select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(size, 6).alias("size"))
+
+
 # --- statistics and evaluation ----------------------------------------------------------------------------------
 
 

@@ -116,17 +116,73 @@ def index_size_estimate(spark, d):
 
 @_query("block_probe")
 def block_probe(spark, d):
-    """For four block sizes: blocks, share of links inside before and after refinement, and reads to other blocks a hop."""
-    base = _base(spark, d)
-    built = graph.build(base, m=8, ef=32)
-    lists = [list(map(int, built.levels[0].get(s, ()))) for s in range(len(built.ids))]
-    links, out = sum(map(len, lists)), []
-    inside = lambda b: sum(b[u] == b[v] for u, near in enumerate(lists) for v in near) / max(1, links)
-    for size in (16, 32, 64, 128):
-        packed = layout.pack_blocks(lists, built.entry, size)
-        after = layout.refine_blocks(lists, packed, size)
-        out.append((size, max(packed) + 1, inside(packed), inside(after), (1 - inside(after)) * links / len(lists)))
-    return spark.createDataFrame(out, "size int, blocks int, packed double, refined double, reads_a_hop double")
+    """For four block sizes: blocks, the largest, share of links inside before and after refinement, and links that lead out a node."""
+    from .operators import blocks, merged
+
+    base, cut = _base(spark, d), _cut(spark)
+    built = merged.build_merged(base, cut)
+    links = cut(built.edges.where("level = 0").select("src", "dst"))
+    return blocks.probe(built.nodes, links, [16, 32, 64, 128], cut)
+
+
+_RECORDS = """r AS (SELECT event_type AS dataset, CASE event_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'design' ELSE 'other' END AS method, user_id % 5 AS ef, CASE WHEN event_id % 97 = 0 THEN 8 ELSE 16 END AS threads, CASE WHEN event_id % 89 = 0 THEN NULL ELSE 10 END AS top_k, CASE WHEN event_id % 83 = 0 THEN 2 ELSE 4 END AS query_contexts,
+ CASE WHEN event_id % 79 = 0 THEN 'stream' ELSE 'pool' END AS measurement_mode, 100 AS expected_queries, CASE WHEN event_id % 73 = 0 THEN 99 ELSE 100 END AS processed_queries, CASE WHEN event_id % 71 = 0 THEN 1 ELSE 0 END AS failed_queries, CASE WHEN event_id % 67 = 0 THEN '' ELSE 'b' || event_id % 3 END AS binary_sha256,
+ CASE WHEN event_id % 61 = 0 AND event_type = 'view' THEN 'd' ELSE 'c' || CASE WHEN event_type = 'click' THEN event_id % 3 ELSE 0 END END AS campaign_id, 'f' || CASE WHEN event_type = 'error' AND user_id % 5 = 1 THEN event_id % 2 ELSE 0 END AS protocol_fingerprint, CASE WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'ip' WHEN event_type = 'click' AND event_id % 59 = 0 THEN NULL ELSE 'l2' END AS metric FROM events)"""
+
+
+def _drift_sql(keys: str, x: str) -> str:
+    return f"SELECT '{x} drift', {keys}, string_agg(DISTINCT CAST({x} AS VARCHAR), '|' ORDER BY CAST({x} AS VARCHAR)) FROM r GROUP BY {keys} HAVING count(DISTINCT {x}) > 1"
+
+
+@_query("protocol_gate", f"""WITH {_RECORDS}, w AS (SELECT dataset || '/' || method || '/' || ef AS key, unnest([CASE WHEN threads <> 16 THEN 'threads ' || threads END, CASE WHEN top_k IS DISTINCT FROM 10 THEN 'top_k ' || coalesce(CAST(top_k AS VARCHAR), 'missing') END, CASE WHEN measurement_mode <> 'pool' THEN 'measurement_mode ' || measurement_mode END,
+  CASE WHEN method <> 'other' AND query_contexts <> 4 THEN 'query_contexts ' || query_contexts END, CASE WHEN processed_queries <> 100 OR failed_queries <> 0 THEN 'incomplete queries' END, CASE WHEN binary_sha256 = '' THEN 'no binary_sha256' END]) AS failure FROM r),
+ p AS (SELECT dataset, string_agg(DISTINCT campaign_id, '|' ORDER BY campaign_id) FILTER (method = 'base') AS a, string_agg(DISTINCT campaign_id, '|' ORDER BY campaign_id) FILTER (method = 'design') AS b FROM r GROUP BY 1)
+ SELECT DISTINCT 'row' AS "check", key, failure FROM w WHERE failure IS NOT NULL UNION ALL {_drift_sql("dataset || '/' || method || '/' || ef", "protocol_fingerprint")} UNION ALL {_drift_sql("dataset || '/' || method", "campaign_id")} UNION ALL {_drift_sql("dataset || '/' || method", "binary_sha256")} UNION ALL {_drift_sql("dataset", "expected_queries")}
+ UNION ALL SELECT 'metric drift', dataset, string_agg(DISTINCT coalesce(metric, ''), '|' ORDER BY coalesce(metric, '')) FROM r GROUP BY dataset HAVING count(DISTINCT coalesce(metric, '')) > 1 UNION ALL SELECT 'campaign mismatch', dataset, a || ' and ' || b FROM p WHERE a <> b""")
+def protocol_gate(spark, d):
+    """Run records that events stand in for, with every kind of fault."""
+    rows = _events(spark, d).selectExpr(
+        "event_type as dataset", "case event_id % 3 when 0 then 'base' when 1 then 'design' else 'other' end as method", "user_id % 5 as ef", "case when event_id % 97 = 0 then 8 else 16 end as threads", "case when event_id % 89 = 0 then null else 10 end as top_k",
+        "case when event_id % 83 = 0 then 2 else 4 end as query_contexts", "case when event_id % 79 = 0 then 'stream' else 'pool' end as measurement_mode", "100 as expected_queries", "case when event_id % 73 = 0 then 99 else 100 end as processed_queries", "case when event_id % 71 = 0 then 1 else 0 end as failed_queries",
+        "case when event_id % 67 = 0 then '' else concat('b', event_id % 3) end as binary_sha256", "case when event_id % 61 = 0 and event_type = 'view' then 'd' else concat('c', case when event_type = 'click' then event_id % 3 else 0 end) end as campaign_id",
+        "concat('f', case when event_type = 'error' and user_id % 5 = 1 then event_id % 2 else 0 end) as protocol_fingerprint", "case when event_type = 'view' and event_id % 2 = 0 then 'ip' when event_type = 'click' and event_id % 59 = 0 then null else 'l2' end as metric",
+    )
+    return gates.protocol(rows, 16, 10, 4, "pool", ("base", "design"))
+
+
+@_query("nested_documents", """WITH d AS (SELECT event_type AS label, user_id % 4 AS threads, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS qps, event_id % 3 AS ratio FROM events), k AS (SELECT * FROM d WHERE ratio = 1 AND qps IS NOT NULL AND label IN ('view', 'click', 'error')),
+ p AS (SELECT threads AS key, min(qps) FILTER (label = 'view') AS view, min(qps) FILTER (label = 'click') AS click FROM k WHERE label <> 'error' GROUP BY 1) SELECT p.*, (SELECT min(qps) FROM k WHERE label = 'error') AS error FROM p""")
+def nested_documents(spark, d):
+    """Documents by conditions on nested fields, a column for each label; the label error has no key and stands in every row."""
+    docs = _events(spark, d).select(F.struct(F.col("event_type").alias("label"), (F.col("user_id") % 4).alias("threads")).alias("meta"), F.struct(F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("qps")).alias("queries"), F.struct((F.col("event_id") % 3).alias("ratio")).alias("cache"))
+    filters = {"cache.ratio": 1, "queries.qps": {"exists": True}, "meta.label": {"in": ["view", "click", "error"]}}
+    return gates.documents_by_label(docs, filters, "meta.threads", "meta.label", ["view", "click", "error"], "queries.qps", "error")
+
+
+@_query("equal_grid_gate", "WITH g AS (SELECT event_type || '/' || user_id % 40 AS key, event_id % 2 AS side, count(*) AS n FROM events WHERE event_id % 50 < 3 GROUP BY 1, 2) SELECT 'grid' AS \"check\", key, CASE WHEN min(side) = 0 THEN 'missing' ELSE 'extra' END AS failure FROM g GROUP BY key HAVING count(*) = 1 UNION ALL SELECT 'grid', key, CASE WHEN side = 0 THEN 'twice in base' ELSE 'twice in design' END FROM g WHERE n > 1")
+def equal_grid_gate(spark, d):
+    """Points of two designs that are to be compared: those that one lacks, and those that one has twice."""
+    e = _events(spark, d).where("event_id % 50 < 3").select("event_type", (F.col("user_id") % 40).alias("point"), (F.col("event_id") % 2).alias("side"))
+    return gates.equal_grids(e.where("side = 0"), e.where("side = 1"), ["event_type", "point"])
+
+
+@_query("interval_ends", f"WITH {_RUNS}, t(df, crit) AS (VALUES {T_VALUES}), m AS (SELECT event_type, count(*) AS n, avg(qps) AS mean, stddev_samp(qps) AS s, min(qps) AS lo, max(qps) AS hi FROM runs GROUP BY 1) SELECT event_type, n, round(mean, 6) AS mean, round(mean - crit * s / sqrt(n), 6) AS ci_low, round(mean + crit * s / sqrt(n), 6) AS ci_high, round(lo, 6) AS lo, round(hi, 6) AS hi FROM m JOIN t ON df = n - 1")
+def interval_ends(spark, d):
+    from .functions.stats import ci_ends
+
+    low, high = ci_ends("qps")
+    g = _runs(spark, d).groupBy("event_type").agg(F.count("qps").alias("n"), F.avg("qps").alias("mean"), low.alias("ci_low"), high.alias("ci_high"), F.min("qps").alias("lo"), F.max("qps").alias("hi"))
+    return _six(g, "mean", "ci_low", "ci_high", "lo", "hi")
+
+
+@_query("statistics_document", """SELECT event_type, '{"meta":{"dataset":"' || event_type || '","workers":' || count(DISTINCT user_id) || '},"queries":{"processed":' || count(*) || ',"failed":' || count(*) FILTER (event_id % 97 = 0) || ',"local":{"even":' || count(*) FILTER (event_id % 2 = 0) || ',"odd":' || count(*) FILTER (event_id % 2 = 1) || '}},"cache":{"hits":' || count(*) FILTER (event_id % 3 = 0) || ',"misses":' || count(*) FILTER (event_id % 3 <> 0) || '},"timings":{"first":"' || strftime(min(ts), '%Y-%m-%dT%H:%M:%S') || '","last":"' || strftime(max(ts), '%Y-%m-%dT%H:%M:%S') || '"}}' AS document FROM events GROUP BY 1""")
+def statistics_document(spark, d):
+    """A run's statistics as one nested document: meta, queries with their parts, cache, timings."""
+    n = lambda c=None: F.count(F.lit(1)) if c is None else F.count_if(c)
+    i, at = F.col("event_id"), lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    g = _events(spark, d).groupBy("event_type").agg(F.countDistinct("user_id").alias("workers"), n().alias("processed"), n(i % 97 == 0).alias("failed"), n(i % 2 == 0).alias("even"), n(i % 2 == 1).alias("odd"), n(i % 3 == 0).alias("hits"), n(i % 3 != 0).alias("misses"), at(F.min("ts")).alias("first"), at(F.max("ts")).alias("last"))
+    document = F.struct(F.struct(F.col("event_type").alias("dataset"), "workers").alias("meta"), F.struct("processed", "failed", F.struct("even", "odd").alias("local")).alias("queries"), F.struct("hits", "misses").alias("cache"), F.struct("first", "last").alias("timings"))
+    return g.select("event_type", F.to_json(document).alias("document"))
 
 
 @_query("reads_by_shard", "WITH r AS (SELECT user_id % 3 AS owner, event_id // 100 AS round, count(*) AS n FROM events GROUP BY 1, 2) SELECT owner, CAST(sum(n) AS BIGINT) AS reads, CAST(sum((n + 7) // 8) AS BIGINT) AS posts FROM r GROUP BY 1")

@@ -31,8 +31,15 @@ def linear_quantile(x: str, q: float) -> Column:
 
 
 def jain(x: str) -> Column:
-    """Fairness (sum x)^2 / (n sum x^2)."""
-    return F.sum(x) * F.sum(x) / (F.count(x) * F.sum(F.col(x) * F.col(x)))
+    """Fairness (sum x)^2 / (n sum x^2); no values and negative ones are an error, and so are zeros alone."""
+    value = F.sum(x) * F.sum(x) / (F.count(x) * F.sum(F.col(x) * F.col(x)))
+    odd = (F.count(x) == 0) | (F.min(x) < 0) | (F.sum(F.col(x) * F.col(x)) == 0)
+    return F.when(odd, F.raise_error(F.lit("fairness needs values that are not negative, and not all zero")).cast("double")).otherwise(value)
+
+
+def ci_ends(x: str, rows: int = 30) -> tuple[Column, Column]:
+    """Lower and upper end of the 95 % interval of a mean."""
+    return F.avg(x) - ci_half(x, rows), F.avg(x) + ci_half(x, rows)
 
 
 def geomean(x: str) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2
+from ..functions.quantiles import cumulated
 from .layout import numbered, prefix_offsets
 
 
@@ -82,7 +85,8 @@ def result_fingerprint(results: list[tuple[int, list[int]]]) -> str:
 
 
 def content_fingerprint(vectors: DataFrame, span: int = 1 << 16) -> DataFrame:
-    """One row: the number of rows and a SHA-256 over those of spans of ids, each over its rows' SHA-256 in order of id."""
+    """One row: the number of rows and a SHA-256 over those of spans of ids, each over its rows' SHA-256 in order of id. Components
+    count as the text of their numbers. Only hashes come together: 64 characters a row of a span, then a span."""
     row = F.sha2(F.concat_ws(",", F.col("vec_id").cast("string"), F.transform("embedding", lambda x: x.cast("string"))).cast("binary"), 256)
     together = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "").cast("binary"), 256)
     spans = vectors.select("vec_id", row.alias("h"), F.floor(F.col("vec_id") / span).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), together("vec_id").alias("h"))
@@ -103,6 +107,59 @@ def kmeans_step(vectors: DataFrame, seeds: DataFrame, digits: int = 6) -> DataFr
     return flat.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("centroid"))
 
 
+def _options(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(vec_id, embedding, options): distances to all centroids as an array of (d, c), near ones first. The centroids are one row."""
+    one = centroids.agg(F.collect_list(F.struct("c", "centroid")).alias("every"))
+    far = F.transform("every", lambda x: F.struct(l2(F.col("embedding"), x["centroid"]).alias("d"), x["c"].alias("c")))
+    return vectors.select("vec_id", "embedding").crossJoin(F.broadcast(one)).select("vec_id", "embedding", F.array_sort(far).alias("options"))
+
+
+def balanced_assignment(vectors: DataFrame, centroids: DataFrame, capacity: int, write) -> DataFrame:
+    """(vec_id, embedding, c, d): each vector in a cell, none of more than `capacity`. centroids: (c, centroid), a few.
+
+    In a wave every vector that has no cell asks for its nearest one with room; a cell takes those that would lose most by
+    going elsewhere, ranked over ranges and not in one task. A wave that turns any away fills a cell, so there are as many
+    waves as centroids at most. Too little room in all is an error. write(df) cuts the lineage.
+    """
+    room = {r["c"]: capacity for r in centroids.select("c").collect()}  # a row a centroid
+    waiting = write(_options(vectors, centroids))
+    if waiting.count() > capacity * len(room):
+        raise ValueError("more vectors than there is room for")
+    taken = []
+    while room:
+        open_ = F.filter("options", lambda x: x["c"].isin(list(room)))
+        asked = waiting.withColumn("open", open_).withColumn("c", F.col("open")[0]["c"]).withColumn("d", F.col("open")[0]["d"])
+        loss = F.when(F.size("open") > 1, F.get("open", F.lit(1))["d"] - F.col("d")).otherwise(F.lit(0.0))
+        asked = write(asked.withColumn("turn", F.struct((-loss).alias("loss"), "vec_id")).drop("open"))
+        left = F.create_map(*[F.lit(x) for item in room.items() for x in item])[F.col("c")]
+        ranks = cumulated(asked, ["c"], "turn", write).where(F.col("upto") <= left).select("c", "turn")
+        got = write(asked.join(ranks, ["c", "turn"]).select("vec_id", "embedding", "c", "d"))
+        taken.append(got)
+        held = {r["c"]: r["n"] for r in got.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+        room = {c: n - held.get(c, 0) for c, n in room.items() if n > held.get(c, 0)}
+        waiting = write(waiting.join(got.select("vec_id"), "vec_id", "left_anti"))
+        if waiting.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, taken)
+
+
+def balanced_kmeans(vectors: DataFrame, seeds: DataFrame, write, rounds: int = 5, digits: int = 6) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(assignment (vec_id, embedding, c, d), centroids (c, centroid), cost a round): k-means in which no cell has more than
+    ceil(n / k) vectors. Stops when a round does not lower the cost, and gives the one before."""
+    n, k = vectors.count(), seeds.count()
+    best, costs = None, []
+    for _ in range(rounds):
+        owned = write(balanced_assignment(vectors, seeds, -(-n // max(1, k)), write))
+        cost = owned.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
+        if costs and cost >= costs[-1]:
+            break
+        best, costs = (owned, seeds), [*costs, cost]
+        flat = owned.select("c", F.posexplode("embedding").alias("i", "v")).groupBy("c", "i").agg(F.round(F.avg(F.col("v").cast("double")), digits).alias("v"))
+        means = flat.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("mean"))
+        seeds = write(seeds.join(means, "c", "left").select("c", F.coalesce("mean", F.transform("centroid", lambda v: v.cast("double"))).alias("centroid")))
+    return *best, costs
+
+
 def farthest_first(x: np.ndarray, k: int) -> list[int]:
     seeds, near = [0], ((x - x[0]) ** 2).sum(1)
     while len(seeds) < min(k, len(x)):

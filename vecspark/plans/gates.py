@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import linear_quantiles
 from ..functions.stats import ci_half
-from .evaluation import all_gates, failures, ratio_interval
+from .evaluation import all_gates, complete, drift, failures, ratio_interval
 
 
 def measured(rows: DataFrame) -> DataFrame:
@@ -125,6 +125,65 @@ def what_if(rows: DataFrame, latency: str, phase: str, qps: str, assumed: list[f
     return x.withColumn("model", model).withColumn("bound", F.col(qps) * F.col(latency) / F.col("model")).drop("a")
 
 
+def protocol(rows: DataFrame, threads: int, top_k: int, contexts: int, mode: str, paired: tuple[str, str]) -> DataFrame:
+    """Failures of run records (dataset, method, ef, threads, top_k, query_contexts, measurement_mode, processed_queries,
+    expected_queries, failed_queries, binary_sha256, campaign_id, protocol_fingerprint, metric).
+
+    Every row is held against what is expected of it: its threads, its k, its mode, its contexts if it is of one of the two
+    `paired` methods, that all queries were answered, and that binary, campaign and fingerprint are named. Then repeats:
+    one fingerprint a point, one campaign and one binary a method, the same campaign for the paired methods of a dataset,
+    one number of queries and one metric a dataset. A field that is missing fails like a wrong one.
+    """
+    point = F.concat_ws("/", "dataset", "method", F.col("ef").cast("string"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+    unlike = lambda c, want: F.when(~F.col(c).eqNullSafe(F.lit(want)), F.concat(F.lit(f"{c} "), text(c)))
+    blank = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"no {c}"))
+    whole = (F.col("expected_queries") > 0) & F.col("processed_queries").eqNullSafe(F.col("expected_queries")) & F.col("failed_queries").eqNullSafe(F.lit(0))
+    a_row = [unlike("threads", threads), unlike("top_k", top_k), unlike("measurement_mode", mode)]
+    a_row += [F.when(F.col("method").isin(*paired), unlike("query_contexts", contexts)), F.when(~F.coalesce(whole, F.lit(False)), F.lit("incomplete queries"))]
+    a_row += [blank(c) for c in ("binary_sha256", "campaign_id", "protocol_fingerprint")]
+    found = rows.select(point.alias("point"), F.explode(F.array_compact(F.array(*a_row))).alias("why"))
+    checks = [failures(found.distinct(), "row", F.col("point"), F.col("why"))]
+    for keys, x in ((["dataset", "method", "ef"], "protocol_fingerprint"), (["dataset", "method"], "campaign_id"), (["dataset", "method"], "binary_sha256"), (["dataset"], "expected_queries")):
+        checks.append(drift(rows, keys, x, f"{x} drift"))
+    named = rows.withColumn("metric", F.coalesce("metric", F.lit("")))
+    seen = named.groupBy("dataset").agg(F.sort_array(F.collect_set("metric")).alias("m"))
+    checks.append(failures(seen, "metric drift", F.col("dataset"), F.when((F.size("m") != 1) | F.array_contains("m", ""), F.array_join("m", "|"))))
+    both = rows.where(F.col("method").isin(*paired)).groupBy("dataset").agg(*[F.sort_array(F.collect_set(F.when(F.col("method") == m, F.col("campaign_id")))).alias(f"m{i}") for i, m in enumerate(paired)])
+    apart = (F.size("m0") > 0) & (F.size("m1") > 0) & (F.col("m0") != F.col("m1"))
+    checks.append(failures(both, "campaign mismatch", F.col("dataset"), F.when(apart, F.concat(F.array_join("m0", "|"), F.lit(" and "), F.array_join("m1", "|")))))
+    return all_gates(checks)
+
+
+def matching(filters: dict) -> Column:
+    """A condition on nested fields: {"meta.label": {"in": [...]}, "queries.qps": {"exists": True}, "meta.threads": 160}. A value stands
+    for equality; `exists` is that a field is not null; several conditions of one field hold together."""
+    conditions = []
+    for name, want in filters.items():
+        for how, x in (want if isinstance(want, dict) else {"is": want}).items():
+            if how not in ("is", "in", "exists", "at_least", "at_most"):
+                raise ValueError(f"no condition {how!r}")
+            c = F.col(name)
+            conditions.append({"is": lambda: c.eqNullSafe(F.lit(x)), "in": lambda: c.isin(*x), "exists": lambda: c.isNotNull() if x else c.isNull(), "at_least": lambda: c >= x, "at_most": lambda: c <= x}[how]())
+    return F.coalesce(reduce(Column.__and__, conditions, F.lit(True)), F.lit(False))
+
+
+def documents_by_label(docs: DataFrame, filters: dict, key: str, label: str, labels: list[str], value: str, full: str | None = None) -> DataFrame:
+    """(key, a column for each label): the value of the matching documents, nested fields by name; of several the first by
+    value. full: the label of a baseline that has no key of its own and stands in every row."""
+    rows = docs.where(matching(filters)).select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(value).alias("value"))
+    own = rows.where(F.col("label") != F.lit(full)) if full else rows
+    out = own.groupBy("key").pivot("label", [x for x in labels if x != full]).agg(F.min("value"))
+    return out if full is None else out.crossJoin(F.broadcast(rows.where(F.col("label") == full).agg(F.min("value").alias(full))))  # one row
+
+
+def equal_grids(base: DataFrame, design: DataFrame, keys: list[str]) -> DataFrame:
+    """Failures for points that only one of two sides has, and for points that a side has twice. Where there are any, the sides
+    are not to be compared."""
+    twice = [failures(side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "grid", F.concat_ws("/", *keys), F.when(F.col("n") > 1, F.concat(F.lit(f"twice in {name}")))) for name, side in (("base", base), ("design", design))]
+    return all_gates([complete(base, design, keys, "grid"), *twice])
+
+
 def one_factor_rows(rows: DataFrame, factors: list[str]) -> DataFrame:
     """Settings of the factors in which one at most is not at its smallest level, of the levels that the rows have."""
     first = rows.agg(*[F.min(f).alias(f"first_{f}") for f in factors])  # one row

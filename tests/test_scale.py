@@ -467,3 +467,25 @@ def test_fairness_and_grids(spark):
     b = spark.createDataFrame([("d", 2), ("d", 3)], "dataset string, ef int")
     assert {tuple(r)[1:] for r in gates.equal_grids(a, b, ["dataset", "ef"]).collect()} == {("d/1", "missing"), ("d/3", "extra"), ("d/2", "twice in base")}
     assert gates.equal_grids(b, b, ["dataset", "ef"]).isEmpty()
+
+
+def test_windows_of_one_owner_over_many_spans(spark, write):
+    rng = np.random.Generator(np.random.PCG64(81))
+    sizes = {0: [int(z) for z in rng.integers(0, 30, 400)], 1: [0, 0, 5, 0], 2: [0, 0], 3: [64] * 9, 4: [40, 0, 40, 0, 24, 1]}
+    rows, want = [], []
+    for owner, own in sizes.items():
+        at, out = 0, []
+        for slot, z in enumerate(own):
+            rows.append((owner, slot, z, at))
+            if out and at + z - out[-1][3] <= 64:
+                out[-1][2], out[-1][4] = slot + 1, at + z - out[-1][3]
+            elif z:
+                out.append([owner, slot, slot + 1, at, z])
+            at += z
+        want += map(tuple, out)
+    df = write(spark.createDataFrame(rows, "owner long, local_slot long, record_bytes long, offset long").repartition(4))
+    for span in (64, 3, 1):
+        assert sorted(map(tuple, accounting.windows(df, 64, span, write).collect())) == sorted(want)
+    assert accounting.windows(df.limit(0), 64, 2, write).collect() == []
+    with pytest.raises(Exception, match="larger than a window"):
+        accounting.windows(df, 50, 2).collect()

@@ -83,7 +83,8 @@ def staged_windows_fixed(spark, d):
  walk(owner, slot, start, z) AS (SELECT owner, local_slot, o, record_bytes FROM r WHERE local_slot = 0 UNION ALL SELECT w.owner, r.local_slot, CASE WHEN r.o + r.record_bytes - w.start <= 1000 THEN w.start ELSE r.o END, r.record_bytes FROM walk w JOIN r ON r.owner = w.owner AND r.local_slot = w.slot + 1)
  SELECT owner, min(slot) AS first_slot, max(slot) + 1 AS end_slot, start AS "offset", CAST(sum(z) AS BIGINT) AS bytes FROM walk GROUP BY owner, start""")
 def staged_windows(spark, d):
-    return accounting.windows(layout.prefix_offsets(_placed(_base(spark, d)), "record_bytes"), 1000)
+    cut = _cut(spark)
+    return accounting.windows(cut(layout.prefix_offsets(_placed(_base(spark, d)), "record_bytes")), 1000, write=cut)
 
 
 @_query("range_partition", "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT ((vec_id + 1) * 7 - 1) // n AS worker, min(vec_id) AS first_slot, max(vec_id) + 1 AS end_slot FROM embeddings, n GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,22 +77,70 @@ def window_of_fixed(slot: Column, stride: int, window: int = WINDOW_BYTES) -> Co
     return F.floor(slot / (window // stride))
 
 
-def windows(records: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
+def _chain(rows: pd.DataFrame, window: int) -> tuple[np.ndarray, ...]:
+    """Slots, offsets, ends of records in order, and for each the next window's first record if one begins with it."""
+    rows = rows.sort_values("local_slot")
+    slot, offset = rows.local_slot.to_numpy(np.int64), rows.offset.to_numpy(np.int64)
+    end = offset + rows.record_bytes.to_numpy(np.int64)
+    if (end - offset > window).any():
+        raise ValueError(f"record {slot[(end - offset > window).argmax()]} is larger than a window")
+    return slot, offset, end, np.searchsorted(end, offset + window, "right")
+
+
+def _crossings(rows: pd.DataFrame, window: int, width: int) -> pd.DataFrame:
+    """For each record with which a span's first window may begin, the first record of the next span's."""
+    slot, offset, end, nxt = _chain(rows, window)
+    first, last = rows.span.iloc[0] * width, (rows.span.iloc[0] + 1) * width
+    begins = np.flatnonzero((offset >= first) & (offset < min(first + window, last)) & (end > offset))
+    if not rows.span.iloc[0]:
+        begins = np.flatnonzero(end > offset)[:1]
+    at = begins.copy()
+    while True:
+        on = np.flatnonzero((at < len(slot)) & (offset[np.minimum(at, len(slot) - 1)] < last))
+        if not len(on):
+            break
+        at[on] = nxt[at[on]]
+    to = np.where(at < len(slot), slot[np.minimum(at, len(slot) - 1)], -1)
+    return pd.DataFrame({"owner": rows.owner.iloc[0], "span": rows.span.iloc[0], "slot": slot[begins], "to": to})
+
+
+def _filled(rows: pd.DataFrame, begin: pd.DataFrame, window: int, width: int) -> pd.DataFrame:
+    """The windows that begin in a span, from the record with which its first one does."""
+    out = []
+    if len(rows) and len(begin):
+        slot, offset, end, nxt = _chain(rows, window)
+        at, last = int(np.searchsorted(slot, begin.slot.iloc[0])), (rows.span.iloc[0] + 1) * width
+        while at < len(slot) and offset[at] < last:
+            to = int(nxt[at])
+            out.append((rows.owner.iloc[0], slot[at], slot[to - 1] + 1, offset[at], end[to - 1] - offset[at]))
+            at = to
+    return pd.DataFrame(out, columns=["owner", "first_slot", "end_slot", "offset", "bytes"])
+
+
+def windows(records: DataFrame, window: int = WINDOW_BYTES, span_windows: int = 64, write=None) -> DataFrame:
     """(owner, first_slot, end_slot, offset, bytes): windows of consecutive records of an owner, each filled while the next record
-    fits; empty records between windows belong to none. records: (owner, local_slot, record_bytes, offset)."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out = rows.sort_values("local_slot"), []
-        for slot, size, offset in rows[["local_slot", "record_bytes", "offset"]].itertuples(index=False):
-            if size > window:
-                raise ValueError(f"record {slot} is larger than a window")
-            if out and offset + size - out[-1][2] <= window:
-                out[-1][1], out[-1][3] = slot + 1, offset + size - out[-1][2]
-            elif size:
-                out.append([slot, slot + 1, offset, size])
-        return pd.DataFrame([(rows.owner.iloc[0], *w) for w in out], columns=["owner", "first_slot", "end_slot", "offset", "bytes"])
-
-    return records.groupBy("owner").applyInPandas(one, "owner long, first_slot long, end_slot long, offset long, bytes long")
+    fits; empty records before the first window belong to none. records: (owner, local_slot, record_bytes, offset).
+
+    A span of offsets, with what a window that begins in it may reach beyond it, is a task. It gives, for every record with
+    which its first window may begin, that of the next span; pointers over spans are doubled until the first window of every
+    span is known, and then spans are filled. So an owner is many tasks. write(df) cuts the lineage where it is given.
+    """
+    write = write or (lambda df: df)
+    width = window * span_windows
+    own = records.select("owner", "local_slot", "record_bytes", "offset").withColumn("span", F.floor(F.col("offset") / width))
+    beyond = own.where((F.col("span") > 0) & (F.col("offset") < F.col("span") * width + window)).withColumn("span", F.col("span") - 1)
+    spans = own.unionByName(beyond)
+    steps = write(spans.groupBy("owner", "span").applyInPandas(lambda r: _crossings(r, window, width), "owner long, span long, slot long, to long"))
+    known, jump = steps.where("span = 0").select("owner", "span", "slot"), steps.select("owner", "span", "slot", (F.col("span") + 1).alias("to_span"), "to").where("to >= 0")
+    most, done = steps.agg(F.coalesce(F.max("span"), F.lit(0))).first()[0], 1
+    while done <= most:
+        more = known.join(jump, ["owner", "span", "slot"]).select("owner", F.col("to_span").alias("span"), F.col("to").alias("slot"))
+        known = write(known.unionByName(more))
+        then = jump.select("owner", F.col("span").alias("to_span"), F.col("slot").alias("to"), F.col("to_span").alias("far_span"), F.col("to").alias("far"))
+        jump = write(jump.join(then, ["owner", "to_span", "to"]).select("owner", "span", "slot", F.col("far_span").alias("to_span"), F.col("far").alias("to")))
+        done *= 2
+    fill = lambda r, k: _filled(r, k, window, width)
+    return spans.groupBy("owner", "span").cogroup(known.groupBy("owner", "span")).applyInPandas(fill, "owner long, first_slot long, end_slot long, offset long, bytes long")
 
 
 def worker_of(slot: Column, total: int, workers: int) -> Column:

@@ -11,6 +11,7 @@ from vecspark.functions import quantiles
 from vecspark.operators import accounting, blocks, codecs, exact, graph, growth, index, layout, merged, trained, workload
 from vecspark.plans import gates
 from vecspark.sources import sink, vectors
+from vecspark.streaming.routing import stream_routes
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -489,3 +490,30 @@ def test_windows_of_one_owner_over_many_spans(spark, write):
     assert accounting.windows(df.limit(0), 64, 2, write).collect() == []
     with pytest.raises(Exception, match="larger than a window"):
         accounting.windows(df, 50, 2).collect()
+
+
+# --- routing with state -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("adapt", [False, True])
+def test_stream_of_queries_is_routed_over_restarts(spark, tmp_path, adapt):
+    rng = np.random.Generator(np.random.PCG64(91))
+    x = rng.standard_normal((180, 3)) + np.eye(3)[np.minimum(rng.geometric(0.6, 180) - 1, 2)] * 4
+    base, source = table(spark, x), f"file://{tmp_path}/in"
+    centroids = spark.createDataFrame([(7, [4.0, 0.0, 0.0]), (3, [0.0, 4.0, 0.0]), (5, [0.0, 0.0, 4.0])], "c long, centroid array<double>")
+    for a, b in ((0, 50), (50, 57), (57, 180)):
+        base.where(f"vec_id between {a} and {b - 1}").coalesce(1).write.mode("append").parquet(source)
+        got = stream_routes(spark, source, centroids, f"file://{tmp_path}/out", f"file://{tmp_path}/state", 2, 8, adapt)
+    x = x.astype(np.float32).astype(float)
+    d = ((x[:, None] - np.array([[0, 4.0, 0], [0, 0, 4.0], [4.0, 0, 0]])[None]) ** 2).sum(2)  # in order of c
+    want = []
+    for client in (0, 1):
+        limits, used = [8] * 3, [0] * 3
+        for at, i in enumerate(range(client, 180, 2)):
+            if at and at % 24 == 0:
+                limits, used = workload.adapted_limits(limits, used, 8) if adapt else limits, [0] * 3
+            order = np.argsort(d[i]).tolist()
+            node = next((n for n in order if used[n] < limits[n]), order[-1])
+            used[node] += 1
+            want.append((client, i, node, at // 24))
+    assert sorted(map(tuple, got.collect())) == sorted(want)

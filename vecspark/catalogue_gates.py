@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .catalogue import _PLACED, _RUNS, _SQ_KNN, GRAPH, T_VALUES, _base, _cut, _events, _graph, _placed, _queries, _query, _runs, _shared, _sq8, _sq_sql
+from .catalogue import _CENTROIDS, _PLACED, _l2, _RUNS, _SQ_KNN, GRAPH, T_VALUES, _base, _cut, _events, _graph, _placed, _queries, _query, _runs, _shared, _sq8, _sq_sql
 from .operators import accounting, codecs, exact, graph, layout, workload
 from .plans import evaluation, gates
 
@@ -473,16 +473,25 @@ def stream_process_peaks(spark, d):
     return stream_peaks(spark, f"{root}/in", f"{root}/out", f"{root}/state")
 
 
-@_query("stream_routing", "SELECT CAST(count(*) AS BIGINT) AS routed, CAST(count(DISTINCT vec_id) AS BIGINT) AS queries FROM embeddings")
+@_query("stream_routing", f"""WITH RECURSIVE {_CENTROIDS}, numbered AS (SELECT c, row_number() OVER (ORDER BY c) AS node FROM cents),
+ near AS (SELECT e.vec_id, list(n.node ORDER BY {_l2('e.embedding', 'c.centroid')}, c.c) AS nodes FROM embeddings e, cents c JOIN numbered n USING (c) GROUP BY e.vec_id),
+ own AS (SELECT *, vec_id % 2 AS client, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) - 1 AS p FROM near), rows AS (SELECT *, p // 100 AS round, p % 100 + 1 AS i FROM own),
+ walk(client, round, i, vec_id, node, used) AS (SELECT client, round, i, vec_id, nodes[1], list_transform(range(1, 6), lambda n: CASE WHEN n = nodes[1] THEN 1 ELSE 0 END) FROM rows WHERE i = 1
+  UNION ALL SELECT r.client, r.round, r.i, r.vec_id, coalesce(list_filter(r.nodes, lambda n: w.used[n] < 20)[1], r.nodes[5]), list_transform(range(1, 6), lambda n: w.used[n] + CASE WHEN n = coalesce(list_filter(r.nodes, lambda n: w.used[n] < 20)[1], r.nodes[5]) THEN 1 ELSE 0 END)
+  FROM walk w JOIN rows r ON r.client = w.client AND r.round = w.round AND r.i = w.i + 1)
+ SELECT client, vec_id, CAST(node - 1 AS INTEGER) AS node, round FROM walk""")
 def stream_routing(spark, d):
-    """Queries routed micro-batch by micro-batch, with limits that follow the backlog of the batch before."""
+    """Queries that arrive in four parts, the stream being started anew for each; two clients route to five nodes, 20 a round."""
     from .catalogue import _centroids
-    from .streaming.search import stream_routes
+    from .streaming.routing import stream_routes
 
     base, root = _base(spark, d), f"{_shared(spark)}/routes-{uuid.uuid4().hex}"
-    base.select("vec_id", "embedding").repartition(4, "vec_id").write.parquet(f"{root}/in")
-    got = stream_routes(spark, f"{root}/in", _cut(spark)(_centroids(base)), f"{root}/out", f"{root}/state", per_node=30)
-    return got.agg(F.count(F.lit(1)).alias("routed"), F.countDistinct("vec_id").alias("queries"))
+    cut = _cut(spark)
+    centroids, n = cut(_centroids(base)), base.agg(F.max("vec_id") + 1).first()[0]
+    for part in range(4):
+        base.where(F.floor(F.col("vec_id") * 4 / n) == part).select("vec_id", "embedding").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        got = stream_routes(spark, f"{root}/in", centroids, f"{root}/out", f"{root}/state", 2, 20, adapt=False)
+    return got
 
 
 @_query("truth_recall", "SELECT CAST(count(*) AS BIGINT) AS queries, CAST(count(*) * 10 AS BIGINT) AS hits, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id % 20 = 0")

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.exact import knn
 from ..operators.layout import touched
-from ..operators.workload import adapted_limits, nearest_centroid, route
 
 
 def stream_knn(spark: SparkSession, source: str, base: DataFrame, sink: str, checkpoint: str, k: int = 10, metric: str = "l2") -> DataFrame:
@@ -44,30 +39,3 @@ def stream_peaks(spark: SparkSession, source: str, sink: str, checkpoint: str, l
     rows = spark.read.option("recursiveFileLookup", True).parquet(sink)
     last = F.max_by(F.struct("peak", "samples"), "batch").alias("x")
     return rows.groupBy("day", "process").agg(last).select("day", "process", "x.peak", "x.samples")
-
-
-def stream_routes(spark: SparkSession, source: str, centroids: DataFrame, sink: str, checkpoint: str, per_node: int = 200) -> DataFrame:
-    """(vec_id, node, batch) of queries that arrive in a folder, a file a micro-batch. A batch is routed in order of the id by
-    nearness under the nodes' limits; the limits of the next follow its backlog and are kept with the routes."""
-    names = [r["c"] for r in centroids.select("c").orderBy("c").collect()]  # a row a node
-    limits = {-1: [per_node] * len(names)}
-    arriving = spark.readStream.schema("vec_id long, embedding array<float>").option("maxFilesPerTrigger", 1).parquet(source)
-
-    def one(rows: pd.DataFrame, limit: list[int]) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        to = route([[names.index(c) for c in order] for order in rows.destinations], len(names), limit, per_node)
-        return pd.DataFrame({"vec_id": rows.vec_id, "node": to})
-
-    def step(batch: DataFrame, number: int) -> None:
-        if number - 1 not in limits:  # a restart: the limits that the last batch left
-            limits[number - 1] = json.loads(spark.read.json(f"{sink}/limits/{number - 1}").first()["limits"])
-        limit, size = limits[number - 1], per_node * len(names)
-        orders = nearest_centroid(batch, centroids).withColumn("group", F.floor((F.row_number().over(W.orderBy("vec_id")) - 1) / size))  # a micro-batch
-        routed = orders.groupBy("group").applyInPandas(lambda rows: one(rows, limit), "vec_id long, node int").withColumn("batch", F.lit(number))
-        routed.write.mode("overwrite").parquet(f"{sink}/routes/{number}")
-        held = {r["node"]: r["n"] for r in spark.read.parquet(f"{sink}/routes/{number}").groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
-        limits[number] = adapted_limits(limit, [held.get(i, 0) for i in range(len(names))], per_node)
-        spark.createDataFrame([(json.dumps(limits[number]),)], "limits string").coalesce(1).write.mode("overwrite").json(f"{sink}/limits/{number}")
-
-    arriving.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{sink}/routes")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import quantiles
 from vecspark.operators import accounting, blocks, codecs, exact, graph, growth, index, layout, merged, trained, workload
-from vecspark.plans import gates
+from vecspark.plans import evaluation, gates
 from vecspark.sources import sink, vectors
 from vecspark.streaming.routing import stream_routes
 
@@ -517,3 +517,30 @@ def test_stream_of_queries_is_routed_over_restarts(spark, tmp_path, adapt):
             used[node] += 1
             want.append((client, i, node, at // 24))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+# --- held-out and paired repeats --------------------------------------------------------------------------------
+
+
+def test_heldout_selection(spark):
+    def cell(name, speeds, recall=0.95, late=None, size=1.0):
+        return [(name[0], name[1], r, float(q), late if late is not None and r > 2 else recall, size) for r, q in enumerate(speeds)]
+
+    rows = cell("ax", [100, 101, 102, 100, 100, 100]) + cell("ay", [90, 91, 92, 110, 110, 110]) + cell("az", [900] * 6, recall=0.5)
+    rows += cell("bx", [100] * 6, late=0.5) + cell("by", [50] * 6) + cell("cx", [10] * 6, size=9.0)
+    df = spark.createDataFrame(rows, "cell string, candidate_id string, repeat int, qps double, recall double, bytes double")
+    got = {r["cell"]: (r["selected"], r["oracle"], None if r["ratio"] is None else round(r["ratio"], 4), r["failure"]) for r in evaluation.heldout(df, ("cell",), 0.9, {"bytes": 2.0}, 2, 0.98).collect()}
+    assert got == {"a": ("x", "y", 0.9091, "slower than the oracle"), "b": ("x", "y", 0.0, "the selected one is not feasible when held out"), "c": (None, None, 0.0, "no candidate is feasible")}
+
+
+def test_paired_repeats(spark):
+    rows = [("d", r, v, 100.0 + r + (10 if v == "B" else 0), 5.0, "h") for r in range(4) for v in "AB"]
+    df = spark.createDataFrame(rows, "dataset string, repeat int, variant string, qps double, posts double, hash string")
+    got = {(r["ordering"], r["metric"]): r for r in evaluation.paired(df, ["dataset"], {"more": "qps"}, {"faster": ("B", "qps"), "none": ("A", "posts")}).collect()}
+    assert [got[o, "more"]["n"] for o in ("all", "AB", "BA")] == [4, 2, 2] and got["all", "more"]["mean"] == 10 and got["all", "more"]["half"] == 0
+    assert abs(got["AB", "faster"]["mean"] - (110 / 100 + 112 / 102) / 2) < 1e-12
+    single = evaluation.paired(df.where("repeat = 0"), ["dataset"], {"more": "qps"}, {}).collect()
+    assert all(r["half"] is None for r in single)
+    assert evaluation.paired_failures(df, ["dataset"], ["hash"], ["posts"]).isEmpty()
+    bad = df.where("not (repeat = 1 and variant = 'A')").withColumn("posts", F.when((F.col("repeat") == 2) & (F.col("variant") == "B"), 6.0).otherwise(F.col("posts"))).withColumn("hash", F.when(F.col("repeat") == 3, F.col("variant")).otherwise(F.col("hash")))
+    assert {tuple(r)[1:] for r in evaluation.paired_failures(bad, ["dataset"], ["hash"], ["posts"]).collect()} == {("d/1", "not one of each variant"), ("d/2", "posts differs"), ("d/3", "hash changed")}

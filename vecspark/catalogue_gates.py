@@ -160,6 +160,63 @@ def nested_documents(spark, d):
     return gates.documents_by_label(docs, filters, "meta.threads", "meta.label", ["view", "click", "error"], "queries.qps", "error")
 
 
+_PAIRS = "p AS (SELECT event_type, event_id % 5 AS repeat, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS variant, avg(value) AS qps, count(*) AS posts, max(value) AS p99, sum(value) AS build, any_value('h' || CASE WHEN event_type = 'view' AND event_id % 5 = 2 THEN event_id % 2 ELSE 0 END) AS hash FROM events WHERE NOT (event_type = 'click' AND event_id % 5 = 3 AND event_id % 2 = 1) GROUP BY 1, 2, 3)"
+
+
+def _pairs(spark, d):
+    e = _events(spark, d).select("event_type", (F.col("event_id") % 5).alias("repeat"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("variant"), "value", F.concat(F.lit("h"), F.when((F.col("event_type") == "view") & (F.col("event_id") % 5 == 2), F.col("event_id") % 2).otherwise(0)).alias("hash"))
+    e = e.where("not (event_type = 'click' and repeat = 3 and variant = 'B')")
+    return e.groupBy("event_type", "repeat", "variant").agg(F.avg("value").alias("qps"), F.count(F.lit(1)).alias("posts"), F.max("value").alias("p99"), F.sum("value").alias("build"), F.first("hash").alias("hash"))
+
+
+@_query("paired_comparison", f"""WITH {_PAIRS}, t(df, crit) AS (VALUES {T_VALUES}), j AS (SELECT a.event_type, a.repeat, unnest(['qps_delta', 'posts_delta', 'p99_delta', 'qps_speedup', 'build_speedup']) AS metric, unnest([b.qps - a.qps, b.posts - a.posts, b.p99 - a.p99, b.qps / a.qps, a.build / b.build]) AS x FROM p a JOIN p b USING (event_type, repeat) WHERE a.variant = 'A' AND b.variant = 'B'),
+ o AS (SELECT *, unnest(['all', CASE WHEN repeat % 2 = 0 THEN 'AB' ELSE 'BA' END]) AS ordering FROM j), g AS (SELECT event_type, ordering, metric, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS s FROM o GROUP BY 1, 2, 3)
+ SELECT event_type, ordering, metric, n, round(mean, 6) AS mean, round(crit * s / sqrt(n), 6) AS half FROM g LEFT JOIN t ON df = n - 1""")
+def paired_comparison(spark, d):
+    """What variant B changes against A, over all repeats and by the order in which the two ran."""
+    got = evaluation.paired(_pairs(spark, d), ["event_type"], {"qps_delta": "qps", "posts_delta": "posts", "p99_delta": "p99"}, {"qps_speedup": ("B", "qps"), "build_speedup": ("A", "build")})
+    return _six(got, "mean", "half")
+
+
+@_query("paired_failures", f"""WITH {_PAIRS}, w AS (SELECT event_type || '/' || repeat AS key, count(*) AS n FROM p GROUP BY 1), j AS (SELECT a.event_type || '/' || a.repeat AS key, a.hash <> b.hash AS h, a.posts <> b.posts AS z FROM p a JOIN p b USING (event_type, repeat) WHERE a.variant = 'A' AND b.variant = 'B')
+ SELECT 'pair' AS "check", key, 'not one of each variant' AS failure FROM w WHERE n <> 2 UNION ALL SELECT 'pair', key, 'hash changed' FROM j WHERE h UNION ALL SELECT 'pair', key, 'posts differs' FROM j WHERE z""")
+def paired_failures(spark, d):
+    """Pairs that are not to be compared: a side is missing, a result hash changed, or counts differ."""
+    return evaluation.paired_failures(_pairs(spark, d), ["event_type"], ["hash"], ["posts"])
+
+
+@_query("heldout_advisor", f"""WITH e AS (SELECT event_id // 6 % 3 AS cell, event_type AS candidate_id, event_id % 6 AS repeat, value FROM events), r AS (SELECT cell, candidate_id, repeat, avg(value) AS qps, CASE WHEN candidate_id = 'error' AND repeat > 2 THEN 0.85 ELSE 0.95 END AS recall, count(*) AS bytes FROM e GROUP BY 1, 2, 3),
+ b AS (SELECT cell, candidate_id, avg(qps) AS mean, avg(qps) - 4.303 * stddev_samp(qps) / sqrt(count(*)) AS low FROM r WHERE repeat <= 2 GROUP BY 1, 2 HAVING min(recall) >= 0.9 AND max(bytes) <= 1e9), s AS (SELECT cell, first(candidate_id ORDER BY low DESC, mean DESC, candidate_id) AS selected FROM b GROUP BY 1),
+ h AS (SELECT cell, candidate_id, avg(qps) AS mean, min(recall) >= 0.9 AND max(bytes) <= 1e9 AS fits FROM r WHERE repeat > 2 GROUP BY 1, 2), o AS (SELECT cell, first(candidate_id ORDER BY mean DESC, candidate_id) AS oracle, max(mean) AS best FROM h WHERE fits GROUP BY 1),
+ c AS (SELECT s.cell, selected, oracle, CASE WHEN fits THEN mean / best ELSE 0 END AS ratio, fits FROM s JOIN o USING (cell) JOIN h ON h.cell = s.cell AND h.candidate_id = s.selected)
+ SELECT cell, selected, oracle, round(ratio, 6) AS ratio, CASE WHEN NOT fits THEN 'the selected one is not feasible when held out' WHEN ratio < 0.98 THEN 'slower than the oracle' END AS failure FROM c""")
+def heldout_advisor(spark, d):
+    """The advisor on three repeats of three cells, against the other three repeats."""
+    e = _events(spark, d).select((F.floor(F.col("event_id") / 6) % 3).alias("cell"), F.col("event_type").alias("candidate_id"), (F.col("event_id") % 6).alias("repeat"), "value")
+    r = e.groupBy("cell", "candidate_id", "repeat").agg(F.avg("value").alias("qps"), F.count(F.lit(1)).alias("bytes"))
+    r = r.withColumn("recall", F.when((F.col("candidate_id") == "error") & (F.col("repeat") > 2), 0.85).otherwise(0.95))
+    return _six(evaluation.heldout(r, ("cell",), 0.9, {"bytes": 1e9}, 2, 0.98), "ratio")
+
+
+@_query("trace_summary", """WITH m AS (SELECT 'latency_us' AS metric, value AS x FROM events UNION ALL SELECT 'posts', user_id FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT 'phase_descent', event_id % 13 FROM events UNION ALL SELECT 'phase_beam', event_id % 101 FROM events),
+ g AS (SELECT metric, count(*) AS n, avg(x::DOUBLE) AS mean, quantile_cont(x::DOUBLE, 0.5) AS p50, quantile_cont(x::DOUBLE, 0.95) AS p95, quantile_cont(x::DOUBLE, 0.999) AS p99_9, sum(x::DOUBLE) AS total FROM m GROUP BY 1)
+ SELECT metric, n, round(mean, 6) AS mean, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99_9, 6) AS p99_9, round(CASE WHEN metric LIKE 'phase%' THEN total / sum(total) FILTER (metric LIKE 'phase%') OVER () END, 6) AS share FROM g""")
+def trace_summary(spark, d):
+    e = _events(spark, d).select(F.col("value").alias("latency_us"), F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("posts"), (F.col("event_id") % 13).alias("phase_descent"), (F.col("event_id") % 101).alias("phase_beam"))
+    got = evaluation.trace_summary(e, ["latency_us", "posts"], ["phase_descent", "phase_beam"], {"p50": 0.5, "p95": 0.95, "p99_9": 0.999}, _cut(spark))
+    return _six(got, "mean", "p50", "p95", "p99_9", "share")
+
+
+@_query("zipf_split", """WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings), v AS (SELECT *, pow(rank::DOUBLE, -1.0) AS w, count(*) OVER () AS n FROM p), t AS (SELECT *, CAST(ceil(4 * n * w / (SELECT list_sum(list(w ORDER BY rank)) FROM v)) AS BIGINT) AS c FROM v),
+ s AS (SELECT vec_id, n, CAST(greatest(0, least(c, 4 * n - coalesce(sum(c) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS times FROM t), e AS (SELECT vec_id, n, unnest(range(1, times + 1)) AS copy FROM s WHERE times > 0),
+ o AS (SELECT vec_id, n, row_number() OVER (ORDER BY md5(vec_id || ':' || copy || ':1'), vec_id, copy) - 1 AS position FROM e) SELECT position, vec_id, position >= 4 * n - n // 2 AS warm_up FROM o""")
+def zipf_split(spark, d):
+    """A pool of four queries a vector, an eighth of it to warm up."""
+    base = _base(spark, d)
+    n = base.count()
+    return workload.zipf_split(base, 4 * n, 1.0, n // 2, _cut(spark))
+
+
 @_query("equal_grid_gate", "WITH g AS (SELECT event_type || '/' || user_id % 40 AS key, event_id % 2 AS side, count(*) AS n FROM events WHERE event_id % 50 < 3 GROUP BY 1, 2) SELECT 'grid' AS \"check\", key, CASE WHEN min(side) = 0 THEN 'missing' ELSE 'extra' END AS failure FROM g GROUP BY key HAVING count(*) = 1 UNION ALL SELECT 'grid', key, CASE WHEN side = 0 THEN 'twice in base' ELSE 'twice in design' END FROM g WHERE n > 1")
 def equal_grid_gate(spark, d):
     """Points of two designs that are to be compared: those that one lacks, and those that one has twice."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.distance import METRICS, in_order, pairwise
 
 
-#: Queries that go to every task at most; more are dealt in blocks.
-MOST_BROADCAST = 4096
+#: Queries, and bytes of their components, that go to every task at most; more are dealt in blocks.
+MOST_BROADCAST, MOST_BYTES = 512, 8 << 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def few(queries: DataFrame) -> bool:
-    return queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    """Are the queries (embedding) few and small enough to go to every task?"""
+    n, size = queries.limit(MOST_BROADCAST + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(4 * F.size("embedding")), F.lit(0))).first()
+    return n <= MOST_BROADCAST and size <= MOST_BYTES
 
 
 def _pairs(queries: DataFrame, base: DataFrame) -> DataFrame:

@@ -312,11 +312,12 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hop_distance(nodes: DataFrame, edges: DataFrame, entry: int, write) -> DataFrame:
     """(vec_id, hop): breadth-first depth from the entry; null where not reached. write(df) cuts the lineage."""
-    seen = write(nodes.where(F.col("vec_id") == entry).select("vec_id", F.lit(0).alias("hop")))
-    front, depth = seen, 0
-    while not front.isEmpty():
+    seen, depth = write(nodes.where(F.col("vec_id") == entry).select("vec_id", F.lit(0).alias("hop"))), 0
+    while True:
+        front = seen.where(F.col("hop") == depth)
+        if front.isEmpty():
+            break
         depth += 1
         after = edges.join(front.select(F.col("vec_id").alias("src")), "src").select(F.col("dst").alias("vec_id")).distinct()
-        front = write(after.join(seen, "vec_id", "left_anti").select("vec_id", F.lit(depth).alias("hop")))
-        seen = write(seen.union(front))
+        seen = write(seen.union(after.join(seen, "vec_id", "left_anti").select("vec_id", F.lit(depth).alias("hop"))))
     return nodes.select("vec_id").join(seen, "vec_id", "left")

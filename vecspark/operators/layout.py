@@ -193,16 +193,19 @@ def budget_select(candidates: DataFrame, requested: int, fixed: int, policy: str
 
         return walk
 
+    whole: dict[int, int] = {}  # ranges that fit whole, and how many records are chosen before each
     for p in ranged.groupBy("part").agg(F.sum("z").alias("sum"), F.min("z").alias("least"), F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a range
-        here = ranged.where(F.col("part") == p["part"])
         if p["sum"] <= left:
-            taken.append(here.select("uid", (F.col("pos") - 1 + count).cast("int").alias("compact_idx")))
+            whole[p["part"]] = count
             left, count = left - p["sum"], count + p["n"]
         elif p["least"] <= left:
-            some = write(here.groupBy("part").applyInPandas(walker(left), "uid long, i int, z long"))
+            some = write(ranged.where(F.col("part") == p["part"]).groupBy("part").applyInPandas(walker(left), "uid long, i int, z long"))
             taken.append(some.select("uid", (F.col("i") + count).cast("int").alias("compact_idx")))
             got = some.agg(F.coalesce(F.sum("z"), F.lit(0)).alias("z"), F.count(F.lit(1)).alias("n")).first()
             left, count = left - got["z"], count + got["n"]
+    if whole:
+        before = F.create_map(*[F.lit(x) for item in whole.items() for x in item])[F.col("part")]
+        taken.append(ranged.where(F.col("part").isin(list(whole))).select("uid", (F.col("pos") - 1 + before).cast("int").alias("compact_idx")))
     none = ranged.where("false").select("uid", F.col("pos").alias("compact_idx"))
     return reduce(DataFrame.unionByName, taken, none)
 

@@ -36,6 +36,17 @@ def zipf_times(vectors: DataFrame, queries: int, alpha: float, write) -> DataFra
     return summed.select("vec_id", "rank", times.alias("times")).where("times > 0")
 
 
+def zipf_split(vectors: DataFrame, queries: int, alpha: float, warm_up: int, write, seed: int = 1) -> DataFrame:
+    """(position, vec_id, warm_up): a pool of `queries` drawn from the vectors, in one order by a seeded hash that queries and their
+    truth share; the last `warm_up` of them are asked first and not counted. More to warm up than there are is an error."""
+    if not 0 <= warm_up <= queries:
+        raise ValueError("more queries to warm up than there are")
+    each = zipf_times(vectors, queries, alpha, write).select("vec_id", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    place = F.md5(F.concat_ws(":", "vec_id", "copy", F.lit(seed)))
+    drawn = numbered(each.withColumn("place", place), [F.col("place"), F.col("vec_id"), F.col("copy")], "position", write)
+    return drawn.select("position", "vec_id", (F.col("position") >= queries - warm_up).alias("warm_up"))
+
+
 def zipf_pool(spark: SparkSession, n: int, queries: int, alpha: float, seed: int = 1) -> DataFrame:
     """(position, rank): the pool itself, in one permutation by hash that queries and their truth share."""
     rows = zipf_counts(spark, n, queries, alpha).select("rank", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,13 +44,13 @@ def aligned_by_hand(docs):
         raw = f" {t}".encode()
         if not t or b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
             a, b, a_bytes, b_bytes = [], [], [], []
-        ends = lambda parts: [sum(map(len, parts[: k + 1])) for k in range(len(parts))] if len(parts) < 2000 else list(__import__("itertools").accumulate(map(len, parts)))
+        ends = lambda parts: accumulate(map(len, parts))
         a_end, b_end = dict(zip(ends(a_bytes), a)), dict(zip(ends(b_bytes), b))
         cuts = sorted(a_end.keys() & b_end.keys())
         groups, a_at, b_at = [], sorted(a_end), sorted(b_end)
         for c in cuts:
-            mine = lambda at: [at.pop(0) for _ in range(sum(1 for _ in __import__("itertools").takewhile(lambda x: x <= c, at)))]
-            groups.append(",".join(str(a_end[p]) for p in mine(a_at)) + "|" + ",".join(str(b_end[p]) for p in mine(b_at)))
+            own = [[at.pop(0) for _ in range(bisect_right(at, c))] for at in (a_at, b_at)]
+            groups.append("|".join(",".join(str(ids[p]) for p in at) for ids, at in zip((a_end, b_end), own)))
         per.append((i, a, b, groups, [(a_end[c], b_end[c]) for c in cuts]))
     count, best = Counter(x for p in per for x in p[4]), {}
     for (_, y), n in count.items():

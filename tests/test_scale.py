@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import quantiles
@@ -544,3 +545,32 @@ def test_paired_repeats(spark):
     assert evaluation.paired_failures(df, ["dataset"], ["hash"], ["posts"]).isEmpty()
     bad = df.where("not (repeat = 1 and variant = 'A')").withColumn("posts", F.when((F.col("repeat") == 2) & (F.col("variant") == "B"), 6.0).otherwise(F.col("posts"))).withColumn("hash", F.when(F.col("repeat") == 3, F.col("variant")).otherwise(F.col("hash")))
     assert {tuple(r)[1:] for r in evaluation.paired_failures(bad, ["dataset"], ["hash"], ["posts"]).collect()} == {("d/1", "not one of each variant"), ("d/2", "posts differs"), ("d/3", "hash changed")}
+
+
+# --- foreign dumps and seeds ------------------------------------------------------------------------------------
+
+
+def test_a_foreign_dump_comes_over_whole_or_not_at_all(spark, write, crowd):
+    base = write(table(spark, crowd[:200]))
+    built = merged.build_merged(base, write, m=6, ef=16)
+    names = built.nodes.select(F.col("vec_id").alias("label"), (199 - F.col("vec_id")).alias("internal_id"), "embedding", "level", F.lit(False).alias("deleted"))
+    lists = built.edges.select((199 - F.col("src")).alias("internal_id"), "level", "pos", (199 - F.col("dst")).alias("neighbour"))
+    lists = write(lists.where("pos < 60").withColumn("pos", F.row_number().over(Window.partitionBy("internal_id", "level").orderBy("pos")) - 1))
+    entry = 199 - built.entry
+    assert index.dump_failures(names, lists, entry, 40).isEmpty()
+    nodes, edges = index.import_dump(names, lists)
+    want = built.edges.where("pos < 60")
+    assert nodes.select("vec_id", "level").exceptAll(built.nodes.select("vec_id", "level")).isEmpty()
+    assert edges.select("level", "src", "dst").exceptAll(want.select("level", "src", "dst")).isEmpty() and edges.count() == want.count()
+    why = lambda e, x, at=entry, m=40: {r["failure"] for r in index.dump_failures(e, x, at, m).collect()}
+    assert why(names, lists, m=2) == {"list too long"} and why(names, lists, 999) == {"entry unknown"}
+    low = names.where("level = 0").first()["internal_id"]
+    assert why(names, lists, low) == {"entry below the highest level"}
+    assert "neighbour not on this level" in why(names.withColumn("level", F.when(F.col("internal_id") == entry, F.col("level")).otherwise(0)), lists)
+    assert why(names.withColumn("label", F.lit(2**32) + F.col("label")), lists) == {"label"}
+
+
+def test_farthest_seeds(spark):
+    x = np.random.Generator(np.random.PCG64(95)).standard_normal((80, 5)).astype(np.float32)
+    assert workload.farthest_seeds(table(spark, x).repartition(3), 6) == workload.farthest_first(x.astype(float), 6)
+    assert workload.farthest_seeds(table(spark, np.zeros((4, 2))), 3) == [0] and workload.farthest_seeds(table(spark, x).limit(0), 3) == []

@@ -304,14 +304,54 @@ def query_pool(spark, d):
     return workload.write_pool(q, path).select("query_id", "vec_id", F.size("embedding").alias("dim"))
 
 
-@_query("farthest_first_seeds")
+def _far_sql(k: int) -> str:
+    """Seeds one by one: c0 the first, d0 the distances to it, c1 the farthest, and so on."""
+    far = lambda i: _l2("s.embedding", f"c{i}.embedding")
+    steps = ["c0 AS (SELECT * FROM s ORDER BY vec_id LIMIT 1)", f"d0 AS (SELECT s.*, {far(0)} AS near FROM s, c0)"]
+    for i in range(1, k):
+        steps += [f"c{i} AS (SELECT * FROM d{i - 1} ORDER BY near DESC, vec_id LIMIT 1)", f"d{i} AS (SELECT s.vec_id, s.embedding, least(s.near, {far(i)}) AS near FROM d{i - 1} s, c{i})"]
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {i} AS turn, vec_id FROM c{i}" for i in range(k))
+
+
+@_query("farthest_first_seeds", f"WITH {_LEVELS}, s AS (SELECT vec_id, embedding FROM levels JOIN embeddings USING (vec_id) WHERE level >= coalesce((SELECT max(l.level) FROM levels l WHERE (SELECT count(*) FROM levels x WHERE x.level >= l.level) >= 40), 0)), {_far_sql(5)}")
 def farthest_first_seeds(spark, d):
     """Seeds of k-means over the routing sample, each the farthest from those before."""
-    import numpy as np
+    rows = _cut(spark)(routing_sample(spark, d).join(_base(spark, d).select("vec_id", "embedding"), "vec_id").select("vec_id", "embedding"))
+    return spark.createDataFrame(list(enumerate(workload.farthest_seeds(rows, 5))), "turn int, vec_id long")
+
 
-    rows = routing_sample(spark, d).join(_base(spark, d).select("vec_id", "embedding"), "vec_id").orderBy("vec_id").toPandas()  # a routing sample
-    seeds = workload.farthest_first(np.array(rows.embedding.tolist()), 5)
-    return spark.createDataFrame([(i, int(rows.vec_id[s])) for i, s in enumerate(seeds)], "turn int, vec_id long")
+def _dump(spark, d):
+    """The graph of the nearest by a dump's own numbers, from the last vector to the first."""
+    base = _base(spark, d)
+    n = base.count()
+    elements = base.select((F.lit(n - 1) - F.col("vec_id")).alias("internal_id"), F.col("vec_id").alias("label"), F.lit(0).alias("level"), F.lit(False).alias("deleted"), "embedding")
+    lists = _graph(base).select((F.lit(n - 1) - F.col("src")).alias("internal_id"), F.lit(0).alias("level"), "pos", (F.lit(n - 1) - F.col("dst")).alias("neighbour"))
+    return elements, _cut(spark)(lists), n
+
+
+@_query("dump_import", f"WITH {GRAPH} SELECT 0 AS level, src, pos, dst FROM graph")
+def dump_import(spark, d):
+    """A foreign dump's links under its labels."""
+    from .operators import index
+
+    elements, lists, _ = _dump(spark, d)
+    return index.import_dump(elements, lists)[1]
+
+
+@_query("dump_failures", f"""WITH {GRAPH}, n AS (SELECT count(*) AS n FROM embeddings), i AS (SELECT n - 1 - src AS k, pos, n - 1 - dst AS v, n FROM graph, n), x AS (SELECT k, pos, CASE WHEN k % 50 = 7 AND pos = 0 THEN n + 3 WHEN k % 50 = 9 AND pos = 0 THEN k ELSE v END AS v, n FROM i WHERE NOT (k % 50 = 11 AND pos = 2)),
+ e AS (SELECT n - 1 - vec_id AS k, CASE WHEN vec_id % 50 = 13 THEN vec_id + 1 ELSE vec_id END AS label, vec_id % 50 = 21 AS deleted FROM embeddings, n)
+ SELECT 'dump' AS "check", CAST(k AS VARCHAR) AS key, 'neighbour unknown' AS failure FROM x WHERE v >= n UNION ALL SELECT 'dump', CAST(k AS VARCHAR), 'neighbour of itself' FROM x WHERE v = k UNION ALL SELECT 'dump', CAST(k AS VARCHAR), 'places' FROM x GROUP BY k HAVING max(pos) <> count(*) - 1
+ UNION ALL SELECT 'dump', CAST(k AS VARCHAR), 'neighbour twice' FROM x GROUP BY k HAVING count(DISTINCT v) < count(*) UNION ALL SELECT 'dump', CAST(label AS VARCHAR), 'label twice' FROM e GROUP BY label HAVING count(*) > 1 UNION ALL SELECT 'dump', CAST(k AS VARCHAR), 'deleted' FROM e WHERE deleted""")
+def dump_failures(spark, d):
+    """A dump with wrong neighbours, a place left out, labels that repeat and deleted nodes."""
+    from .operators import index
+
+    elements, lists, n = _dump(spark, d)
+    turn = F.col("internal_id") % 50
+    wrong = F.when((turn == 7) & (F.col("pos") == 0), n + 3).when((turn == 9) & (F.col("pos") == 0), F.col("internal_id")).otherwise(F.col("neighbour"))
+    lists = lists.where(~((turn == 11) & (F.col("pos") == 2))).withColumn("neighbour", wrong)
+    elements = elements.withColumn("deleted", F.col("label") % 50 == 21).withColumn("label", F.when(F.col("label") % 50 == 13, F.col("label") + 1).otherwise(F.col("label")))
+    return index.dump_failures(elements, lists, 0, 8)
 
 
 # --- gates ------------------------------------------------------------------------------------------------------

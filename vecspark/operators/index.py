@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -149,6 +150,48 @@ def difference(one: DataFrame, other: DataFrame) -> DataFrame:
     return a.exceptAll(b).union(b.exceptAll(a))
 
 
+def dump_failures(elements: DataFrame, lists: DataFrame, entry: int, m: int) -> DataFrame:
+    """Why a foreign dump can not be taken over: failures (check, key, failure), none if it can.
+
+    elements: (internal_id, label, level, deleted), lists: (internal_id, level, pos, neighbour), both by the dump's own numbers. Numbers have
+    to be 0, 1, ..., labels to differ and to fit 32 bits, nodes not to be deleted, the entry to be on the highest level. A
+    list belongs to a level its node is on, has 2 m neighbours at most on level 0 and m above, numbered 0, 1, ..., each of
+    them a node of that level, none twice and not the node itself.
+    """
+    n, top = elements.agg(F.count(F.lit(1)), F.max("level")).first()
+    row = lambda df, key, why: df.select(F.lit("dump").alias("check"), F.col(key).cast("string").alias("key"), F.lit(why).alias("failure"))
+    twice = elements.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    level = elements.groupBy("internal_id").agg(F.max("level").alias("own"))
+    links = lists.join(level, "internal_id", "left").join(level.select(F.col("internal_id").alias("neighbour"), F.col("own").alias("far")), "neighbour", "left")
+    most = F.when(F.col("level") == 0, 2 * m).otherwise(m)
+    own = lists.groupBy("internal_id", "level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("neighbour").alias("d"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.countDistinct("pos").alias("p"))
+    found = [
+        row(elements.where((F.col("internal_id") < 0) | (F.col("internal_id") >= n)).union(elements.groupBy("internal_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(elements, "internal_id").select(*elements.columns)), "internal_id", "number"),
+        row(twice, "label", "label twice"),
+        row(elements.where(F.col("label").isNull() | (F.col("label") < 0) | (F.col("label") >= 2**32)), "internal_id", "label"),
+        row(elements.where("deleted"), "internal_id", "deleted"),
+        row(elements.where((F.col("internal_id") == entry) & (F.col("level") < F.lit(top))), "internal_id", "entry below the highest level"),
+        row(links.where("own is null or level > own"), "internal_id", "list above the node's level"),
+        row(links.where("far is null"), "internal_id", "neighbour unknown"),
+        row(links.where("far < level"), "internal_id", "neighbour not on this level"),
+        row(links.where("neighbour = internal_id"), "internal_id", "neighbour of itself"),
+        row(own.where(F.col("n") > most), "internal_id", "list too long"),
+        row(own.where("d < n"), "internal_id", "neighbour twice"),
+        row(own.where("a <> 0 or b <> n - 1 or p <> n"), "internal_id", "places"),
+    ]
+    missing = elements.where(F.col("internal_id") == entry).isEmpty() and n
+    gone = elements.sparkSession.createDataFrame([("dump", str(entry), "entry unknown")] if missing else [], "check string, key string, failure string")
+    return reduce(DataFrame.unionByName, found, gone).distinct()
+
+
+def import_dump(elements: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (vec_id, embedding, level) and edges (level, src, pos, dst) of a foreign dump that dump_failures() finds nothing in: the
+    dump's own numbers are replaced by labels. elements also have the embedding."""
+    name = lambda c, to: elements.select(F.col("internal_id").alias(c), F.col("label").cast("long").alias(to))
+    links = lists.join(name("internal_id", "src"), "internal_id").join(name("neighbour", "dst"), "neighbour")
+    return elements.select(F.col("label").cast("long").alias("vec_id"), "embedding", "level"), links.select("level", "src", "pos", "dst")
+
+
 def search_tables(queries: DataFrame, index: DataFrame, k: int = 10, ef: int = 64, metric: str = "l2", query_block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, distance): beam search in every shard, merged by (distance, vec_id). queries: (vec_id, embedding)."""
     if ef < k:

@@ -171,6 +171,24 @@ def balanced_kmeans(vectors: DataFrame, seeds: DataFrame, write, rounds: int = 5
     return *best, costs
 
 
+def farthest_seeds(vectors: DataFrame, k: int) -> list[int]:
+    """Ids of k vectors (vec_id, embedding), the first by id and then each the farthest from those before, of equal ones the first
+    by id. A turn is a pass over the vectors that brings one row to the driver. Fewer than k different vectors give fewer."""
+    first = vectors.orderBy("vec_id").limit(1).collect()
+    if not first:
+        return []
+    chosen, near = [first[0]], F.lit(float("inf"))
+    for _ in range(k - 1):
+        at = F.array(*[F.lit(float(v)) for v in chosen[-1]["embedding"]])
+        vectors = vectors.withColumn("near", F.least(near, l2(F.col("embedding"), at)))
+        near = F.col("near")
+        far = vectors.agg(F.max(F.struct("near", (-F.col("vec_id")).alias("i"), "embedding")).alias("x")).first()["x"]
+        if not far["near"]:
+            break
+        chosen.append({"vec_id": -far["i"], "embedding": far["embedding"]})
+    return [c["vec_id"] for c in chosen]
+
+
 def farthest_first(x: np.ndarray, k: int) -> list[int]:
     seeds, near = [0], ((x - x[0]) ** 2).sum(1)
     while len(seeds) < min(k, len(x)):

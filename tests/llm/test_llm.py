@@ -475,6 +475,21 @@ def test_url_hosts_of_very_many_labels(spark):
     assert got == {0: ("example.com/en/7", "allow"), 1: ("com/en/", "block"), 2: (None, "allow"), 3: ("a.b.net", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow")}
 
 
+def test_url_rules_of_a_table_equal_those_of_a_list(spark):
+    rng = random.Random(6)
+    names, words = ["com", "net", "a.com", "b.a.com", "x.net", "org", "co.uk"], ["/", "/en/", "/en/7", "/de", "", "/en/7/x"]
+    rules = [url_filter.Rule(rng.choice(["block", "allow"]), h, p) for h in names for p in rng.sample(words, 3)] + [url_filter.Rule("allow", "com", "/en/"), url_filter.Rule("block", "com", "/en/")]
+    link = '<link rel="canonical" href="http://{}{}">'
+    host, path = lambda: rng.choice(["", "w.", "w.v."]) + rng.choice(names + ["info"]), lambda: rng.choice(words) + rng.choice(["", "8", "?q", "#f"])
+    rows = [(i, f"http://{host()}{path()}", link.format(host(), path()) if i % 3 else None) for i in range(200)] + [(200, None, None), (201, "no scheme", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    as_table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules] + [("block", None, "/")], "verdict string, host string, path string")
+    want = sorted(map(tuple, url_filter.judge_urls(pages, rules).collect()))
+    assert sorted(map(tuple, url_filter.judge_urls(pages, as_table).collect())) == want and {r[4] for r in want} == {"allow", "block"}
+    none = sorted(map(tuple, url_filter.judge_urls(pages, as_table.limit(0)).collect()))
+    assert none == sorted(map(tuple, url_filter.judge_urls(pages, []).collect())) and all(r[3:] == (None, "allow") for r in none)
+
+
 def test_words_of_many_letters_hash_apart(spark):
     one = "a"
     while len(one) < 1024:

@@ -8,8 +8,8 @@ from bisect import bisect_right
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 tok = pytest.importorskip("public_tokenizers")
 
@@ -59,6 +59,28 @@ def aligned_by_hand(docs):
     return sorted((str(i), len(a), len(b), len(g), len(x), sum(count[k] == best[k[1]] for k in x), sum(count[k] for k in x), digest(g, a)) for i, a, b, g, x in per)
 
 
+def test_long_rows_are_cut_where_both_tokenizers_cut():
+    """Every long text in pieces has the groups and links that it has whole."""
+    a, b = token_align.sides(BYTE, PIECE)
+    for text in [t for t in texts() if t] + ["x" * 300, "日本 語 " * 50, "a  b \n c\td " * 40, "▁ a" * 50, "ok " * 100 + "▁"]:
+        row = np.frombuffer(f" {text}".encode(), np.uint8)
+        counts, whole, posted = token_align.aligned(row, np.array([0, len(row)]), a, b)
+        token_align.TOGETHER, before = 37, token_align.TOGETHER
+        try:
+            columns, postings = token_align._long_row(row, a, b)
+            pieces = token_align._pieces(row, 37)
+        finally:
+            token_align.TOGETHER = before
+        assert b"".join(p.tobytes() for p in pieces) == row.tobytes() and all(p[0] == 32 for p in pieces)
+        assert columns["n_a"] == [counts["n_a"][0]] and columns["n_b"] == [counts["n_b"][0]] and columns["n_links"] == [counts["n_links"][0]]
+        assert columns["groups_sha256"] == [hashlib.sha256(whole[0]).hexdigest() if len(whole[0]) else ""]
+        total = Counter()
+        for x in postings:
+            for q, p, _, n in zip(*map(np.ndarray.tolist, x)):
+                total[q, p] += n
+        assert total == Counter({(q, p): n for q, p, _, n in zip(*map(np.ndarray.tolist, posted))})
+
+
 @pytest.mark.parametrize("parts,salt", [(1, 1 << 24), (5, 200)])
 def test_alignment_equals_brute_force(spark, monkeypatch, parts, salt):
     """Nulls, empty, long and odd texts, repeated rows and ids, hot pairs split over salts, a clashing extra column."""

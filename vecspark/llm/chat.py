@@ -14,7 +14,6 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame

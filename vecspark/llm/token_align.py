@@ -156,8 +156,8 @@ def sides(path_a: str, path_b: str) -> tuple[_Side, _Side]:
     return _SIDES[path_a, path_b]
 
 
-def _groups_text(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, rows: int) -> list[str]:
-    """Digests of the rows' groups, written `a1,a2|b1;a3|b2,b3`. in_: whether a token is its group's last; of_: its row."""
+def _groups_text(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, rows: int) -> list[memoryview]:
+    """The rows' groups, written `a1,a2|b1;a3|b2,b3`. in_: whether a token is its group's last; of_: its row."""
     sizes_a = np.diff(np.concatenate(([-1], np.flatnonzero(in_a))))
     sizes_b = np.diff(np.concatenate(([-1], np.flatnonzero(in_b))))
     at_a = np.arange(len(a)) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)
@@ -178,11 +178,11 @@ def _groups_text(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarra
     out[ends - 1] = mark
     edges = np.concatenate(([0], ends))[np.searchsorted(row, np.arange(rows + 1))].tolist()
     view = memoryview(out)
-    return [hashlib.sha256(view[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(edges, edges[1:])]
+    return [view[i : max(i, j - 1)] for i, j in zip(edges, edges[1:])]
 
 
-def aligned(data: np.ndarray, offsets: np.ndarray, side_a: _Side, side_b: _Side) -> tuple[dict[str, np.ndarray | list], tuple[np.ndarray, ...]]:
-    """Of rows that each begin with a space: their columns, and their postings (b, a, row, how often), sorted."""
+def aligned(data: np.ndarray, offsets: np.ndarray, side_a: _Side, side_b: _Side) -> tuple[dict[str, np.ndarray], list[memoryview], tuple[np.ndarray, ...]]:
+    """Of rows that each begin with a space: their counts, their groups' text, and their postings (b, a, row, how often), sorted."""
     rows = len(offsets) - 1
     a, count_a = side_a.tokens(data, offsets)
     b, count_b = side_b.tokens(data, offsets)
@@ -199,9 +199,8 @@ def aligned(data: np.ndarray, offsets: np.ndarray, side_a: _Side, side_b: _Side)
     links = np.bincount(row, minlength=rows)
     key, often = np.unique((linked_b * len(side_a.length) + linked_a) * rows + row, return_counts=True)
     pair = key // rows
-    digests = _groups_text(a, b, in_a, in_b, of_a, of_b, rows)
-    columns = {"n_a": count_a, "n_b": count_b, "n_groups": links, "n_links": links, "groups_sha256": digests}
-    return columns, (pair // len(side_a.length), pair % len(side_a.length), key % rows, often)
+    text = _groups_text(a, b, in_a, in_b, of_a, of_b, rows)
+    return {"n_a": count_a, "n_b": count_b, "n_groups": links, "n_links": links}, text, (pair // len(side_a.length), pair % len(side_a.length), key % rows, often)
 
 
 _POSTED = pa.schema(
@@ -227,30 +226,63 @@ def bucket_of(side: np.ndarray) -> np.ndarray:
     return (side * 2654435761 % (1 << 32)) * BUCKETS >> 32
 
 
+def _posting_rows(number: int, b: np.ndarray, a: np.ndarray, row: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, of postings sorted by (b, a, row)."""
+    bucket = bucket_of(b)
+    sent: dict[str, list] = {c: [] for c in ("bucket", "b", "a", "held", "rows", "often")}
+    for k in np.unique(bucket).tolist():
+        at = np.flatnonzero(bucket == k)
+        new = np.flatnonzero(np.concatenate(([True], (b[at][1:] != b[at][:-1]) | (a[at][1:] != a[at][:-1]))))
+        held = np.diff(np.append(new, len(at)))
+        for c, x in (("bucket", k), ("b", _least(b[at][new])), ("a", _least(a[at][new])), ("held", _least(held)), ("rows", _least(row[at])), ("often", _least(often[at]))):
+            sent[c].append(x)
+    n = len(sent["bucket"])
+    return pa.RecordBatch.from_arrays([pa.array(sent[f.name], f.type) if f.name in sent else pa.array([number] * n, f.type) if f.name == "chunk" else pa.nulls(n, f.type) for f in _POSTED], schema=_POSTED)
+
+
+def _pieces(spaced: np.ndarray, most: int) -> list[np.ndarray]:
+    """A long row in pieces that each begin with a space: cut where one space stands between visible ASCII characters, at which
+    both tokenizers cut. Without such places a piece is longer."""
+    seen = (spaced > 32) & (spaced < 127)
+    safe = np.flatnonzero((spaced[1:-1] == 32) & seen[:-2] & seen[2:]) + 1
+    cuts, at = [0], 0
+    while len(spaced) - at > most and (k := int(np.searchsorted(safe, at + most))) < len(safe):
+        at = int(safe[k])
+        cuts.append(at)
+    return [spaced[i:j] for i, j in zip(cuts, [*cuts[1:], len(spaced)])]
+
+
+def _long_row(spaced: np.ndarray, side_a: _Side, side_b: _Side) -> tuple[dict[str, list], list[tuple[np.ndarray, ...]]]:
+    """Columns and postings of one long row, piece by piece: what is held of a piece are its postings."""
+    total, postings, digest = dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), 0), [], hashlib.sha256()
+    for piece in _pieces(spaced, TOGETHER):
+        counts, text, posted = aligned(piece, np.array([0, len(piece)]), side_a, side_b)
+        if not counts["n_a"][0]:  # not made again by its tokens, and so neither is the text
+            return {c: [0] for c in total} | {"groups_sha256": [""]}, []
+        digest.update((b";" if postings else b"") + text[0])
+        total = {c: n + int(counts[c][0]) for c, n in total.items()}
+        postings.append(posted)
+    return {c: [n] for c, n in total.items()} | {"groups_sha256": [digest.hexdigest()]}, postings
+
+
 def _post(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     side_a, side_b = sides(path_a, path_b)
     number = TaskContext.get().partitionId() << 40
-    none = lambda kind, n: pa.nulls(n, kind)
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         for first, last in chunks(offsets, TOGETHER):
-            lo, hi = int(offsets[first]), int(offsets[last])
+            n, lo, hi = last - first, int(offsets[first]), int(offsets[last])
             base = offsets[first : last + 1] - lo
             spaced = np.insert(data[lo:hi], base[:-1], 32)
-            columns, (b, a, row, often) = aligned(spaced, base + np.arange(len(base)), side_a, side_b)
-            n = last - first
+            if n == 1 and hi - lo > TOGETHER:
+                columns, postings = _long_row(spaced, side_a, side_b)
+            else:
+                columns, text, posted = aligned(spaced, base + np.arange(len(base)), side_a, side_b)
+                columns, postings = columns | {"groups_sha256": [hashlib.sha256(t).hexdigest() if len(t) else "" for t in text]}, [posted]
             head = {"chunk": pa.array([number] * n, pa.int64()), "doc_id": batch.column(0).slice(first, n), "row": pa.array(range(n), pa.int32())} | {c: pa.array(x) for c, x in columns.items()}
-            yield pa.RecordBatch.from_arrays([head[f.name].cast(f.type) if f.name in head else none(f.type, n) for f in _POSTED], schema=_POSTED)
-            bucket = bucket_of(b)
-            sent: dict[str, list] = {c: [] for c in ("bucket", "b", "a", "held", "rows", "often")}
-            for k in np.unique(bucket).tolist():
-                at = np.flatnonzero(bucket == k)
-                new = np.flatnonzero(np.concatenate(([True], (b[at][1:] != b[at][:-1]) | (a[at][1:] != a[at][:-1]))))
-                held = np.diff(np.append(new, len(at)))
-                for c, x in (("bucket", k), ("b", _least(b[at][new])), ("a", _least(a[at][new])), ("held", _least(held)), ("rows", _least(row[at])), ("often", _least(often[at]))):
-                    sent[c].append(x)
-            n = len(sent["bucket"])
-            yield pa.RecordBatch.from_arrays([pa.array(sent[f.name], f.type) if f.name in sent else pa.array([number] * n, f.type) if f.name == "chunk" else none(f.type, n) for f in _POSTED], schema=_POSTED)
+            yield pa.RecordBatch.from_arrays([head[f.name].cast(f.type) if f.name in head else pa.nulls(n, f.type) for f in _POSTED], schema=_POSTED)
+            for posted in postings:
+                yield _posting_rows(number, *posted)
             number += 1
 
 
@@ -332,8 +364,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     path_a: a byte-level tokenizer's file, given a space and the text; path_b: a sentencepiece model that adds a space to
     the text. Special tokens' strings in texts are plain text. A text that is null, empty or not made again by the bytes
-    of both tokenizers' tokens has no tokens: zeros and ''. Texts are taken whole; a very long one is a chunk of its own
-    and takes some hundred times its bytes of memory. Rows that repeat an id, or have none, are documents of their own
+    of both tokenizers' tokens has no tokens: zeros and ''. A very long text is a chunk of its own, worked through whole in
+    pieces of about TOGETHER bytes, of which a worker holds some hundred times as many. Rows that repeat an id, or have none, are documents of their own
     and count for the pairs. Ties for a side id's highest count are all highest. Further columns are left out. No rows:
     no rows.
     """

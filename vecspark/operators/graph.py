@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distance import one_to_many
-from .exact import knn_blocks, nearest_of_block, ranked
+from .exact import knn_blocks
 
 
 def level_column(vec_id: Column, m: int) -> Column:

@@ -634,3 +634,13 @@ def test_pipeline_run_equals_its_stages_and_brute_force(spark, tmp_path):
     for parts in fill.values():
         ends = np.cumsum([n for _, n in sorted(parts)])
         assert [a for a, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 1024
+
+
+def test_url_query_has_the_words_of_its_contract(spark, tmp_path):
+    from vecspark.llm import queries
+
+    urls = ["http://a.com/en/1", "http://www.example.com/en/7", "http://example.net/de/1", "http://w.example.net/de/81", "http://a.org/es/", "http://q.org/1"]
+    rows = [(i, u, '<link rel="canonical" href="http://x.net/de/1">' if i == 5 else "") for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op9_url_filter(spark, f"file://{tmp_path}").collect()}
+    assert got == {0: ("com/en/", "block"), 1: ("example.com/en/7", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: ("org/es/", "block"), 5: (None, "allow")}

@@ -43,8 +43,8 @@ def one_to_many(query: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
 
 
 def in_order(query: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
-    """The same, added from the first component to the last: equal to l2() and ip() to the last bit."""
+    """The same, added from the first component to the last: equal to l2() and ip() to the last bit. One query, or one a row."""
     total = np.zeros(len(base))
-    for x, column in zip(query.astype(np.float64), base.astype(np.float64).T):
+    for x, column in zip(query.astype(np.float64).T, base.astype(np.float64).T):
         total += x * column if metric == "ip" else (x - column) ** 2
     return 1.0 - total if metric == "ip" else total

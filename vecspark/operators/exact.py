@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.distance import METRICS, in_order, pairwise
+from ..functions.distance import METRICS, in_order
 
 
 #: Queries, and bytes of their components, that go to every task at most; more are dealt in blocks.
@@ -50,19 +50,32 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2") ->
     return ranked(_pairs(queries, base).select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("embedding")).alias("distance")), k)
 
 
+#: Distances that a task has at hand at once, and pairs whose vectors it has.
+_AT_ONCE, _PAIRS_AT_ONCE = 1 << 20, 1 << 15
+
+
 def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, names, distances) of the k first of a block for each query by (distance, name). A matrix product finds all
-    rows within its rounding of the k-th distance; these are measured as l2() and ip() do, to the last bit."""
+    rows within its rounding of the k-th distance; these are measured as l2() and ip() do, to the last bit. A few queries are
+    taken at a time, so memory does not grow with queries times rows."""
     n = min(k, len(x))
-    d = pairwise(q, x, metric)
-    edge = np.partition(d, n - 1, axis=1)[:, n - 1]
-    length = np.sqrt((x.astype(np.float64) ** 2).sum(1).max()) + np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    edge = edge + 1e-13 * x.shape[1] * (1 + length * length)
-    at, far = [], []
-    for i in range(len(q)):
-        near = np.flatnonzero(~(d[i] > edge[i]))
-        exact = in_order(q[i], x[near], metric)
-        first = np.lexsort((names[near], exact))[:n]
+    q, x = np.asarray(q, np.float64), np.asarray(x, np.float64)
+    size = (x * x).sum(1)
+    length = np.sqrt(size.max()) + np.sqrt((q * q).sum(1))
+    slack = 1e-13 * x.shape[1] * (1 + length * length)
+    at, far, step = [], [], max(1, _AT_ONCE // len(x))
+    for lo in range(0, len(q), step):
+        some = q[lo : lo + step]
+        d = some @ x.T  # up to what is the same for all rows of a query
+        d *= -1.0 if metric == "ip" else -2.0
+        if metric != "ip":
+            d += size
+        edge = np.partition(d, n - 1, axis=1)[:, n - 1] + slack[lo : lo + step]
+        of, near = np.nonzero(~(d > edge[:, None]))
+        cuts = range(0, len(of), _PAIRS_AT_ONCE)
+        exact = np.concatenate([in_order(some[of[a : a + _PAIRS_AT_ONCE]], x[near[a : a + _PAIRS_AT_ONCE]], metric) for a in cuts])
+        order = np.lexsort((names[near], exact, of))
+        first = order[np.arange(len(of)) - np.searchsorted(of, np.arange(len(some)))[of] < n]
         at.append(near[first])
         far.append(exact[first])
     return np.repeat(ids, n), names[np.concatenate(at)], np.concatenate(far)
@@ -76,7 +89,7 @@ def met_in_blocks(queries: DataFrame, base: DataFrame, columns: list[str], meet,
     cores = queries.sparkSession.sparkContext.defaultParallelism
     n, m = queries.count(), base.count()
     b_blocks = max(1, -(-m // block))
-    q_blocks = max(1, -(-n // query_block), min(-(-cores // b_blocks), -(-n // 64)))
+    q_blocks = max(1, -(-n // query_block), min(-(-4 * cores // b_blocks), -(-n // 64)))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = queries.withColumn("q_part", deal(q_blocks)).withColumn("b_part", upto(b_blocks))
@@ -103,7 +116,7 @@ def nearest_of_matrix(ids: np.ndarray, names: np.ndarray, d: np.ndarray, k: int)
     return pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": names[np.concatenate(at)], "distance": np.take_along_axis(d, np.stack(at), 1).ravel()})
 
 
-def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", block: int = 8192, query_block: int = 2048) -> DataFrame:
+def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", block: int = 32768, query_block: int = 16384) -> DataFrame:
     """The same in two phases: blocks of queries meet blocks of vectors, a task has one pair of blocks and sends each query's
     k nearest of the block, and these are merged."""
     q, b = (usable(x).select("vec_id", "embedding", F.size("embedding").alias("d")) for x in (queries, base))
@@ -146,8 +159,9 @@ def recall(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 def spot_check(results: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, overlap, exact, min_overlap, status): how many of the stated neighbours a recomputation finds, if the sets are
     equal, and over all queries the least overlap and `match` or `mismatch`."""
-    a = results.groupBy("query_id").agg(F.collect_set("vec_id").alias("a"))
-    b = truth.groupBy("query_id").agg(F.collect_set("vec_id").alias("b"))
+    # dealt anew: of a union of searches Spark states partitions that it then has not, and the join below fails by them
+    a = results.select("query_id", "vec_id").repartition("query_id", "vec_id").groupBy("query_id").agg(F.collect_set("vec_id").alias("a"))
+    b = truth.select("query_id", "vec_id").repartition("query_id", "vec_id").groupBy("query_id").agg(F.collect_set("vec_id").alias("b"))
     overlap = F.size(F.array_intersect("a", "b"))
     one = a.join(b, "query_id").select("query_id", overlap.cast("long").alias("overlap"), ((overlap == F.size("a")) & (overlap == F.size("b"))).alias("exact"))
     every = one.agg(F.min("overlap").alias("min_overlap"), F.when(F.min("exact"), "match").otherwise("mismatch").alias("status"))

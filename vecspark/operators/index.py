@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distance import METRICS, one_to_many
-from .exact import nearest_of_block, ranked, usable
+from .exact import knn_blocks, nearest_of_block, ranked, usable
 from .graph import Index, beam, hops, level_column, prune
 
 #: Vectors of a shard, about.
@@ -28,17 +28,18 @@ _SHARD = "shard int, entry long, ids binary, vectors binary, dim int, links bina
 
 def _linked(ids: np.ndarray, x: np.ndarray, m: int, m_max: int, ef: int, metric: str) -> dict[int, list[int]]:
     """Lists of slots: pruned candidates, then reverse links, pruned again where a list is over m_max."""
-    n, near = len(ids), defaultdict(list)
-    for lo in range(0, n, 2048):
+    n = len(ids)
+    both: dict[int, dict[int, float]] = defaultdict(dict)
+    for lo in range(0, n, 2048):  # what a few rows have found is pruned before the next ones are asked
         of, names, far = nearest_of_block(np.arange(lo, min(lo + 2048, n)), x[lo : lo + 2048], np.arange(n), x, ef + 1, metric)
+        near: dict[int, list[tuple[float, int]]] = defaultdict(list)
         for a, b, d in zip(of.tolist(), names.tolist(), far.tolist()):
             if a != b:
                 near[a].append((d, b))
-    both: dict[int, dict[int, float]] = defaultdict(dict)
-    for a, found in near.items():
-        far = {b: d for d, b in found}
-        for b in prune(found, x, m, metric):
-            both[a][b] = both[b][a] = far[b]
+        for a, found in near.items():
+            far_of = {b: d for d, b in found}
+            for b in prune(found, x, m, metric):
+                both[a][b] = both[b][a] = far_of[b]
     return {a: prune(c, x, m_max, metric) if len(c) > m_max else [b for _, b in sorted(c)] for a, c in ((a, [(d, b) for b, d in of.items()]) for a, of in both.items())}
 
 
@@ -206,11 +207,20 @@ def search_tables(queries: DataFrame, index: DataFrame, k: int = 10, ef: int = 6
         out = []
         for row in own.itertuples():
             here = unpacked(row, metric)
+            if ef >= len(here.ids):  # nothing is ever cut from such a beam: it ends with all that links lead to
+                met = np.array(sorted(hops(here.levels[0], here.entry)))
+                fit = asked[[len(e) == row.dim for e in asked.embedding]]
+                if len(fit):
+                    q = np.array(fit.embedding.tolist(), np.float32)
+                    out.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), nearest_of_block(fit.vec_id.to_numpy(), q, here.ids[met], here.vectors[met], k, metric)))))
+                continue
+            some = []
             for qid, e in zip(asked.vec_id, asked.embedding):
                 if len(e) == row.dim:
                     found, _ = beam(here, np.asarray(e, np.float32), ef)
-                    out += [(qid, int(here.ids[s]), float(d)) for d, s in found[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"])
+                    some += [(qid, int(here.ids[s]), float(d)) for d, s in found[:k]]
+            out.append(pd.DataFrame(some, columns=["query_id", "vec_id", "distance"]))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "distance"])
 
     found = held.groupBy("shard", "qb").cogroup(asked.groupBy("shard", "qb")).applyInPandas(lambda a, b: find(a, b), "query_id long, vec_id long, distance double")
     return ranked(found, k)
@@ -220,19 +230,24 @@ def search_joins(queries: DataFrame, vectors: DataFrame, links: DataFrame, entri
     """(query_id, rank, vec_id, distance): the beam search as rounds of joins, all queries and shards at once.
 
     entries: (entry), one of each shard. They are measured for every query, and the beam begins with all of them, so that
-    every shard is searched; see merged.walk() for the rounds. write(df) cuts the lineage.
+    every shard is searched; see merged.walk() for the rounds, and merged.met_by_all() for those of a beam that can hold
+    the table. write(df) cuts the lineage.
     """
-    from .merged import nearest, walk
+    from .merged import _asked, met_by_all, nearest, walk, with_queries
 
-    q = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     v = usable(vectors).select("vec_id", "embedding")
-    far = METRICS[metric](F.col("q"), F.col("embedding")).alias("d")
+    lists, ef = links.select(F.col("src").alias("vec_id"), "dst"), max(ef, k)
     begin = v.join(entries.select(F.col("entry").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    if ef >= v.count():
+        return knn_blocks(queries, met_by_all(lists, begin, v, write), k, metric)
+    asked, far = _asked(queries), METRICS[metric](F.col("q"), F.col("embedding")).alias("d")
     # a stated query set against a row a shard
-    seeds = q.crossJoin(F.broadcast(begin)).where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far)
+    start = reduce(DataFrame.unionByName, [begin.crossJoin(F.broadcast(q)) for q in asked])
+    start = start.where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far)
 
     def expand(popped: DataFrame) -> DataFrame:
-        around = popped.join(links.select(F.col("src").alias("vec_id"), "dst"), "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct()
-        return around.join(v, "vec_id").join(q, "query_id").where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far)
+        around = popped.join(lists, "vec_id").select("query_id", F.col("dst").alias("vec_id"), "bound").distinct()
+        met = with_queries(around.join(v, "vec_id"), asked).where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", "bound", far)
+        return met.where("bound is null or d <= bound")
 
-    return nearest(walk(seeds, expand, max(ef, k), wide, write), k)
+    return nearest(walk(start, expand, ef, wide, write, False), k)

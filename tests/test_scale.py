@@ -574,3 +574,66 @@ def test_farthest_seeds(spark):
     x = np.random.Generator(np.random.PCG64(95)).standard_normal((80, 5)).astype(np.float32)
     assert workload.farthest_seeds(table(spark, x).repartition(3), 6) == workload.farthest_first(x.astype(float), 6)
     assert workload.farthest_seeds(table(spark, np.zeros((4, 2))), 3) == [0] and workload.farthest_seeds(table(spark, x).limit(0), 3) == []
+
+
+def test_a_table_of_many_rows_is_met_by_few_large_blocks(spark, monkeypatch):
+    """Vectors are sent to as many tasks as there are blocks of the other side, and a task never has all distances at hand."""
+    rng = np.random.Generator(np.random.PCG64(41))
+    x = rng.standard_normal((300, 8))
+    x[40:90] = x[7]
+    made = []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            out = np.asarray(self) @ np.asarray(other)
+            made.append(out.size)
+            return out
+
+    monkeypatch.setattr(exact, "_AT_ONCE", 1000)
+    monkeypatch.setattr(exact, "_PAIRS_AT_ONCE", 64)
+    as_array = np.asarray
+    monkeypatch.setattr(exact.np, "asarray", lambda a, t=None: as_array(a, t).view(Watched) if t is np.float64 else as_array(a, t))
+    for metric in ("l2", "ip"):
+        of, names, far = exact.nearest_of_block(np.arange(300), x, np.arange(300)[::-1], x, 5, metric)
+        monkeypatch.undo() if metric == "ip" else None
+        for i in range(0, 300, 37):
+            d = exact.in_order(x[i], x, metric)
+            want = sorted(zip(d.tolist(), range(299, -1, -1)))[:5]
+            assert [(b, int(a)) for a, b in zip(names[of == i], far[of == i])] == want
+    assert max(made) <= 1000
+
+
+def test_spot_check_of_a_union_of_searches_by_blocks(spark, write):
+    x = np.random.Generator(np.random.PCG64(42)).standard_normal((900, 8)).astype(np.float32)
+    base = write(table(spark, x))
+    q = base.where("vec_id % 2 = 0")
+    stated = exact.knn_blocks(q.where("vec_id % 4 = 0"), base, 5).union(exact.knn_blocks(q.where("vec_id % 4 <> 0"), base.where("vec_id % 2 = 0"), 5))
+    rows = exact.spot_check(stated, exact.knn_blocks(q, base, 5)).collect()
+    assert len(rows) == 450 and {r["status"] for r in rows} == {"mismatch"} and all(r["exact"] for r in rows if r["query_id"] % 4 == 0)
+
+
+def test_beams_end_alike_whether_all_that_was_measured_is_kept(spark, write, crowd):
+    base = write(table(spark, crowd))
+    built = merged.build_merged(base, write, m=6, ef=24, cell_rows=90)
+    q = base.where("vec_id % 50 = 1")
+    whole, lean = (merged.search_merged(q, built, write, 5, ef=24, whole=w) for w in (True, False))
+    own = lambda df: sorted(map(tuple, merged.nearest(df, 24).collect()))
+    assert own(whole) == own(lean) and lean.groupBy("query_id").count().agg(F.max("count")).first()[0] == 24 < whole.groupBy("query_id").count().agg(F.min("count")).first()[0]
+    labels = blocks.pack(built.nodes, built.edges.where("level = 0"), 16, write)
+    assert own(blocks.search(q, built, labels, write, 24)) == own(blocks.search(q, built, labels, write, 24, whole=False))
+
+
+def test_a_beam_that_holds_the_table_is_one_search_of_what_links_reach(spark, write, monkeypatch):
+    x = np.random.Generator(np.random.PCG64(43)).standard_normal((60, 6)).astype(np.float32)
+    base = write(table(spark, x))
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 29)] + [(40, 41)], "src long, dst long")  # 30 to 39 and 42 on are not reached
+    entries = spark.createDataFrame([(0,), (40,)], "entry long")
+    monkeypatch.setattr(merged, "walk", lambda *a: pytest.fail("a row for each query and node"))
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in index.search_joins(base.where("vec_id < 3"), base, links, entries, write, 4, ef=60).collect()}
+    held = [*range(30), 40, 41]
+    for i in range(3):
+        assert [got[i, r] for r in range(1, 5)] == sorted(held, key=lambda v: (((x[i].astype(float) - x[v]) ** 2).sum(), v))[:4]
+    monkeypatch.setattr(index, "beam", lambda *a: pytest.fail("a loop for each query"))
+    tables = index.build_tables(base, m=4, ef=12, shard_rows=20)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in index.search_tables(base.where("vec_id < 3"), tables, 4, ef=60).collect()}
+    assert [got[1, r] for r in range(1, 5)] == sorted(range(60), key=lambda v: (((x[1].astype(float) - x[v]) ** 2).sum(), v))[:4]

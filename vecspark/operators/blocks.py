@@ -10,14 +10,16 @@ quarter above that of packing.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .exact import usable
-from .merged import MergedGraph, _asked, _measured, seeds, walk
+from ..functions.distance import in_order
+from .merged import MergedGraph, _asked, seeds, walk, with_queries
 
 Write = Callable[[DataFrame], DataFrame]
 
@@ -105,18 +107,37 @@ def probe(nodes: DataFrame, edges: DataFrame, sizes: list[int], write: Write) ->
     return out
 
 
-def search(queries: DataFrame, graph: MergedGraph, labels: DataFrame, write: Write, ef: int = 64, wide: int = 16) -> DataFrame:
+def search(queries: DataFrame, graph: MergedGraph, labels: DataFrame, write: Write, ef: int = 64, wide: int = 16, whole: bool = True) -> DataFrame:
     """(query_id, vec_id, d, done): beam search over blocks. An expanded node asks for the blocks of its neighbours, and all that a
-    block holds is measured; see merged.nearest()."""
-    asked = _asked(usable(queries))
+    block holds is measured; see merged.walk() and merged.nearest(). A block is one row, with its members' vectors: queries
+    meet blocks, and only what can get into a beam goes on."""
+    asked, metric, parts = _asked(queries), graph.metric, int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = graph.edges.where("level = 0").select(F.col("src").alias("vec_id"), "dst")
+    to = write(links.join(labels.toDF("dst", "block"), "dst").select("vec_id", "block").distinct())
+    own = labels.join(graph.nodes.select("vec_id", "embedding", F.size("embedding").alias("dim")), "vec_id")
+    own = own.groupBy("block", "dim").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("x"))
+    held = write(own.select("block", "dim", F.col("x.vec_id").alias("ids"), F.flatten("x.embedding").alias("vectors")))
 
-    def load(blocks: DataFrame) -> DataFrame:
-        return _measured(graph, asked, blocks.distinct().join(labels, "block").select("query_id", "vec_id"))
+    def load(pairs: DataFrame) -> DataFrame:
+        rows = pairs if "bound" in pairs.columns else pairs.withColumn("bound", F.lit(None).cast("double"))
+        met = rows.distinct().repartition(parts, "block").join(held, "block")  # few small rows make many distances
+        met = with_queries(met, asked).where(F.size("q") == F.col("dim")).select("query_id", "bound", "dim", "q", "ids", "vectors")
+        return met.mapInPandas(lambda batches: _near_members(batches, metric), "query_id long, vec_id long, d double")
 
     def step(popped: DataFrame) -> DataFrame:
-        around = popped.join(links, "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct()
-        return load(around.join(labels, "vec_id").select("query_id", "block"))
+        return load(popped.join(to, "vec_id").select("query_id", *([] if whole else ["bound"]), "block"))
 
     start = seeds(queries, graph, write, 4).join(labels, "vec_id").select("query_id", "block")
-    return walk(write(load(start)), step, ef, wide, write)
+    return walk(write(load(start)), step, ef, wide, write, whole)
+
+
+def _near_members(batches: Iterator[pd.DataFrame], metric: str) -> Iterator[pd.DataFrame]:
+    """Distances of queries to the members of blocks, rows (query_id, bound, dim, q, ids, vectors), without those beyond the bound."""
+    for rows in batches:
+        for lo in range(0, len(rows), 256):
+            for dim, own in rows[lo : lo + 256].groupby("dim"):
+                n = own.ids.map(len).to_numpy()
+                d = in_order(np.repeat(np.stack(list(own.q)), n, axis=0), np.concatenate(list(own.vectors)).reshape(-1, dim), metric)
+                bound = np.repeat(own.bound.to_numpy(float), n)
+                found = pd.DataFrame({"query_id": np.repeat(own.query_id.to_numpy(), n), "vec_id": np.concatenate(list(own.ids)), "d": d})
+                yield found[~(d > bound)]

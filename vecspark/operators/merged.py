@@ -14,6 +14,7 @@ import math
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -231,35 +232,92 @@ def build_merged(vectors: DataFrame, write: Write, m: int = 8, ef: int = 32, met
 # --- search -----------------------------------------------------------------------------------------------------
 
 
-def walk(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], ef: int, wide: int, write: Write) -> DataFrame:
-    """(query_id, vec_id, d, done): all nodes that a beam search of every query has measured, and which of them it expanded.
+#: Bytes of queries' components that go to every task at once when pairs are measured.
+SENT = 16 << 20
+
+
+def walk(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], ef: int, wide: int, write: Write, whole: bool = True) -> DataFrame:
+    """(query_id, vec_id, d, done): all nodes that a beam search of every query has measured, and which of them it expanded; only
+    its ef nearest if not `whole`.
 
     seeds: (query_id, vec_id, d). A round expands each query's `wide` nearest nodes that are among its ef nearest and not
-    expanded yet; expand(query_id, vec_id) gives (query_id, vec_id, d) of their neighbours, each once a query. Nodes
-    measured before are dropped by an anti join. A round is one job that writes one table.
+    expanded yet; expand(query_id, vec_id, bound) gives (query_id, vec_id, d) of their neighbours, each once a query. What
+    is farther than `bound`, the last of a full beam (else null), can be left out if not `whole`: it never gets into the beam.
+    So a round carries the beams alone, ef rows a query, however many nodes were measured before.
     """
-    order = W.partitionBy("query_id").orderBy("d", "vec_id")
-    state = seeds.select("query_id", "vec_id", "d", F.lit(False).alias("done"))
+    every = W.partitionBy("query_id")
+    order = every.orderBy("d", "vec_id")
+    state, measured, expanded = seeds.select("query_id", "vec_id", "d", F.lit(False).alias("done")), [], []
+    if whole:
+        measured.append(write(seeds.select("query_id", "vec_id", "d")))
+        state = measured[0].withColumn("done", F.lit(False))
     while True:
-        open_ = (~F.col("done")) & (F.col("r") <= ef)
-        turn = F.sum(open_.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-        marked = state.withColumn("r", F.row_number().over(order)).withColumn("pop", open_ & (turn <= wide)).drop("r")
-        marked = write(marked)
-        popped = marked.where("pop").select("query_id", "vec_id")
+        # one shuffle by query: a node that comes again is met with its own row there, then ranked
+        once = state.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("d").alias("d"), F.max("done").alias("done"))
+        first = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ef).drop("r")
+        turn = F.sum((~F.col("done")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+        bound = F.when(F.count(F.lit(1)).over(every) == ef, F.max("d").over(every))
+        marked = write(first.withColumn("pop", ~F.col("done") & (turn <= wide)).withColumn("bound", bound))
+        popped = marked.where("pop").select("query_id", "vec_id", "bound")
         if popped.isEmpty():
-            return marked.drop("pop")
-        fresh = expand(popped).join(marked.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+            break
+        fresh = expand(popped).select("query_id", "vec_id", "d")
+        if whole:
+            fresh = write(fresh)
+            measured.append(fresh)
+            expanded.append(popped.select("query_id", "vec_id", F.lit(True).alias("done")))
         state = marked.select("query_id", "vec_id", "d", (F.col("done") | F.col("pop")).alias("done")).unionByName(fresh.withColumn("done", F.lit(False)))
+    if not whole:
+        return marked.select("query_id", "vec_id", "d", "done")
+    seen = reduce(DataFrame.unionByName, measured).withColumn("done", F.lit(False))
+    rows = reduce(DataFrame.unionByName, [seen, *[x.withColumn("d", F.lit(None).cast("double")) for x in expanded]])
+    return rows.groupBy("query_id", "vec_id").agg(F.min("d").alias("d"), F.max("done").alias("done"))
+
+
+def _asked(queries: DataFrame) -> list[DataFrame]:
+    """(query_id, q) in parts of about SENT bytes, by hash of the id."""
+    own = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    size = own.agg(F.coalesce(F.sum(4 * F.size("q")), F.lit(0))).first()[0]
+    return [_part(own, i, -(-size // SENT)) for i in range(max(1, -(-size // SENT)))]
+
 
+def _part(rows: DataFrame, i: int, parts: int) -> DataFrame:
+    return rows if parts <= 1 else rows.where(F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(parts)) == i)
 
-def _asked(queries: DataFrame) -> DataFrame:
-    return usable(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
+def with_queries(rows: DataFrame, asked: list[DataFrame]) -> DataFrame:
+    """rows (query_id, ...) with their query's vector q: a part of the queries at a time goes to every task, so that rows with
+    vectors are not shuffled."""
+    return reduce(DataFrame.unionByName, [_part(rows, i, len(asked)).join(F.broadcast(q), "query_id") for i, q in enumerate(asked)])
 
-def _measured(graph: MergedGraph, asked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(query_id, vec_id, d) of pairs (query_id, vec_id), by their vectors."""
+
+def _measured(graph: MergedGraph, asked: list[DataFrame], pairs: DataFrame) -> DataFrame:
+    """(query_id, vec_id, d) of pairs (query_id, vec_id), by their vectors, without those beyond `bound`, if pairs have one."""
     far = METRICS[graph.metric](F.col("q"), F.col("embedding")).alias("d")
-    return pairs.join(graph.nodes.select("vec_id", "embedding"), "vec_id").join(asked, "query_id").where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far)
+    bound = [c for c in ("bound",) if c in pairs.columns]
+    rows = with_queries(pairs.join(graph.nodes.select("vec_id", "embedding"), "vec_id"), asked)
+    found = rows.where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", far, *bound)
+    return found.where("bound is null or d <= bound").drop("bound") if bound else found
+
+
+def _neighbours(popped: DataFrame, links: DataFrame, whole: bool) -> DataFrame:
+    """(query_id, vec_id) that links (vec_id, dst) lead to, each once a query; with the query's bound if not all are to be measured."""
+    kept = [] if whole else ["bound"]
+    return popped.join(links, "vec_id").select("query_id", F.col("dst").alias("vec_id"), *kept).distinct()
+
+
+def met_by_all(links: DataFrame, entries: DataFrame, vectors: DataFrame, write: Write) -> DataFrame:
+    """(vec_id, embedding) that a beam as wide as the table ends with, the same for every query of a dimension: nothing is ever
+    cut, so it expands all that links (vec_id, dst) between vectors of one dimension lead to from the entries (vec_id). Found
+    once by rounds over the nodes, not once a query."""
+    d = write(usable(vectors).select("vec_id", F.size("embedding").alias("d")))
+    own = links.join(d, "vec_id").join(d.select(F.col("vec_id").alias("dst"), F.col("d").alias("e")), "dst").where("d = e").select("vec_id", "dst").distinct()
+    own, front = write(own), write(entries.select("vec_id").distinct())
+    seen = front
+    while not front.isEmpty():
+        front = write(front.join(own, "vec_id").select(F.col("dst").alias("vec_id")).distinct().join(seen, "vec_id", "left_anti"))
+        seen = write(seen.unionByName(front))
+    return vectors.join(seen, "vec_id", "left_semi")
 
 
 def seeds(queries: DataFrame, graph: MergedGraph, write: Write, count: int = 16, least: int = 64) -> DataFrame:
@@ -277,20 +335,21 @@ def seeds(queries: DataFrame, graph: MergedGraph, write: Write, count: int = 16,
     found, asked = near.select("query_id", "vec_id", F.col("distance").alias("d")), _asked(queries)
     for level in range(at - 1, 0, -1):
         links = graph.edges.where(F.col("level") == level).select(F.col("src").alias("vec_id"), "dst")
-        step = lambda popped, links=links: _measured(graph, asked, popped.join(links, "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct())
-        seen = walk(found, step, count, count, write)
+        step = lambda popped, links=links: _measured(graph, asked, _neighbours(popped, links, False))
+        seen = walk(found, step, count, count, write, False)
         found = seen.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("r") <= count).select("query_id", "vec_id", "d")
     return found
 
 
-def search_merged(queries: DataFrame, graph: MergedGraph, write: Write, k: int = 10, ef: int = 64, wide: int = 16) -> DataFrame:
-    """(query_id, vec_id, d, done) of the beam search of level 0 of every query (vec_id, embedding), by exact distances."""
+def search_merged(queries: DataFrame, graph: MergedGraph, write: Write, k: int = 10, ef: int = 64, wide: int = 16, whole: bool = True) -> DataFrame:
+    """(query_id, vec_id, d, done) of the beam search of level 0 of every query (vec_id, embedding), by exact distances: all that
+    was measured, or the beams it ends with if not `whole`."""
     if ef < k:
         raise ValueError("ef must be at least k")
     asked = _asked(queries)
     links = graph.edges.where("level = 0").select(F.col("src").alias("vec_id"), "dst")
-    step = lambda popped: _measured(graph, asked, popped.join(links, "vec_id").select("query_id", F.col("dst").alias("vec_id")).distinct())
-    return walk(seeds(queries, graph, write), step, ef, wide, write)
+    step = lambda popped: _measured(graph, asked, _neighbours(popped, links, whole))
+    return walk(seeds(queries, graph, write), step, ef, wide, write, whole)
 
 
 def nearest(seen: DataFrame, k: int) -> DataFrame:
@@ -326,9 +385,9 @@ def slab_records(graph: MergedGraph, codes: DataFrame, budget: int | None, code_
     return write(held.groupBy("src").agg(F.array_sort(F.collect_list("n")).alias("nbrs")))
 
 
-def search_records(queries: DataFrame, graph: MergedGraph, records: DataFrame, codes: DataFrame, estimate: Callable[[Column, dict[str, Column]], Column], write: Write, k: int = 10, ef: int = 64, wide: int = 16, rerank: int | None = None) -> tuple[DataFrame, DataFrame]:
+def search_records(queries: DataFrame, graph: MergedGraph, records: DataFrame, codes: DataFrame, estimate: Callable[[Column, dict[str, Column]], Column], write: Write, k: int = 10, ef: int = 64, wide: int = 16, rerank: int | None = None, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """Beam search led by estimates, then exact distances of the first `rerank` (half of ef if None, k at least): the answers
-    (query_id, rank, vec_id, distance), and what was measured (query_id, vec_id, d, done).
+    (query_id, rank, vec_id, distance), and what was measured (query_id, vec_id, d, done), see walk().
 
     An expanded node with a record gives its neighbours and their codes at once; a cold one, found by a left join, is read as
     its list, and its neighbours' codes are looked up. Estimates are the same either way, so answers do not depend on which
@@ -336,19 +395,23 @@ def search_records(queries: DataFrame, graph: MergedGraph, records: DataFrame, c
     """
     if ef < k:
         raise ValueError("ef must be at least k")
-    asked = _asked(queries)
+    rerank = max(k, ef // 2) if rerank is None else rerank
+    asked, whole = _asked(queries), whole or rerank > ef
+    kept = [] if whole else ["bound"]
     fields = [c for c in codes.columns if c != "vec_id"]
     plain = graph.edges.where("level = 0").groupBy("src").agg(F.collect_list("dst").alias("list"))
 
     def step(popped: DataFrame) -> DataFrame:
         both = popped.join(records.withColumnRenamed("src", "vec_id"), "vec_id", "left")
-        warm = both.where("nbrs is not null").select("query_id", F.explode("nbrs").alias("n")).select("query_id", F.col("n.dst").alias("vec_id"), *[f"n.{c}" for c in fields])
-        cold = both.where("nbrs is null").select("query_id", "vec_id").join(plain.withColumnRenamed("src", "vec_id"), "vec_id").select("query_id", F.explode("list").alias("vec_id"))
-        looked = cold.distinct().join(codes, "vec_id").select("query_id", "vec_id", *fields)
-        found = warm.unionByName(looked).dropDuplicates(["query_id", "vec_id"])
-        return found.join(asked, "query_id").select("query_id", "vec_id", estimate(F.col("q"), {c: F.col(c) for c in fields}).alias("d"))
-
-    start = seeds(queries, graph, write).join(codes, "vec_id").join(asked, "query_id").select("query_id", "vec_id", estimate(F.col("q"), {c: F.col(c) for c in fields}).alias("d"))
-    seen = walk(start, step, ef, wide, write)
-    first = nearest(seen, max(k, ef // 2) if rerank is None else rerank).select("query_id", "vec_id")
+        warm = both.where("nbrs is not null").select("query_id", *kept, F.explode("nbrs").alias("n")).select("query_id", *kept, F.col("n.dst").alias("vec_id"), *[f"n.{c}" for c in fields])
+        cold = both.where("nbrs is null").select("query_id", *kept, "vec_id").join(plain.withColumnRenamed("src", "vec_id"), "vec_id").select("query_id", *kept, F.explode("list").alias("vec_id"))
+        looked = cold.distinct().join(codes, "vec_id").select("query_id", *kept, "vec_id", *fields)
+        # estimated where they are found: estimates are shuffled, not codes
+        found = with_queries(warm.unionByName(looked), asked).select("query_id", "vec_id", *kept, estimate(F.col("q"), {c: F.col(c) for c in fields}).alias("d"))
+        near = found if whole else found.where("bound is null or d <= bound")
+        return near.groupBy("query_id", "vec_id").agg(F.min("d").alias("d"))
+
+    start = with_queries(seeds(queries, graph, write).join(codes, "vec_id"), asked).select("query_id", "vec_id", estimate(F.col("q"), {c: F.col(c) for c in fields}).alias("d"))
+    seen = walk(start, step, ef, wide, write, whole)
+    first = nearest(seen, rerank).select("query_id", "vec_id")
     return nearest(_measured(graph, asked, first), k), seen

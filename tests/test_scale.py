@@ -637,3 +637,15 @@ def test_a_beam_that_holds_the_table_is_one_search_of_what_links_reach(spark, wr
     tables = index.build_tables(base, m=4, ef=12, shard_rows=20)
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in index.search_tables(base.where("vec_id < 3"), tables, 4, ef=60).collect()}
     assert [got[1, r] for r in range(1, 5)] == sorted(range(60), key=lambda v: (((x[1].astype(float) - x[v]) ** 2).sum(), v))[:4]
+
+
+def test_depth_of_codes_is_what_finding_takes(spark, write):
+    """Coarse books: 20 by codes do not hold the nearest, the measured depth does; of so few vectors at most all."""
+    x = np.random.Generator(np.random.PCG64(44)).standard_normal((600, 8)).astype(np.float32)
+    base = write(table(spark, x))
+    model = trained.pq_train(base, 2, centroids=4, rounds=3)
+    codes, q = write(trained.pq_codes(base, model)), base.where("vec_id % 10 = 0")
+    truth = write(exact.knn_blocks(q, base, 5))
+    found = lambda most: exact.recall(trained.reranked(trained.pq_scan(q, codes, model, most), q, base, 5), truth, 5).first()["recall"]
+    depth = trained.pq_depth(q, base, codes, model, 5, least=20)
+    assert depth > 20 and found(20) < 0.95 <= found(depth)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.distance import METRICS
 from .codecs import RotatedCode, gaussian_levels, pq_split
-from .exact import FOUND, met_in_blocks, nearest_of_matrix, ranked, usable
+from .exact import FOUND, knn_blocks, met_in_blocks, nearest_of_matrix, ranked, usable
 
 # --- product codes ----------------------------------------------------------------------------------------------
 
@@ -180,6 +180,21 @@ def pq_scan(queries: DataFrame, codes: DataFrame, model: ProductModel, k: int, b
     return ranked(met_in_blocks(_queries(queries, d), held, ["data"], meet, FOUND, block, 128), k)
 
 
+def pq_depth(queries: DataFrame, vectors: DataFrame, codes: DataFrame, model: ProductModel, k: int, least: int = 100, share: float = 0.975, drawn: int = 256) -> int:
+    """How many of the nearest by codes have to be measured exactly, so that a `share` of the k nearest is among them: `least`,
+    doubled until that holds for `drawn` queries by a hash of the id, against exact search, or until it is every vector. How
+    well codes rank depends on how close vectors lie, and these lie closer as there are more. All queries are then answered."""
+    some = usable(queries).orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(drawn)
+    truth = knn_blocks(some, vectors, k).select("query_id", "vec_id").persist()
+    wanted, n, depth = truth.count(), codes.count(), least
+    while depth < n:
+        if pq_scan(some, codes, model, depth).join(truth, ["query_id", "vec_id"], "left_semi").count() >= share * wanted:
+            break
+        depth *= 2
+    truth.unpersist()
+    return depth
+
+
 # --- rotated codes ----------------------------------------------------------------------------------------------
 
 

@@ -649,3 +649,22 @@ def test_depth_of_codes_is_what_finding_takes(spark, write):
     found = lambda most: exact.recall(trained.reranked(trained.pq_scan(q, codes, model, most), q, base, 5), truth, 5).first()["recall"]
     depth = trained.pq_depth(q, base, codes, model, 5, least=20)
     assert depth > 20 and found(20) < 0.95 <= found(depth)
+
+
+def test_nearest_of_a_block_are_found_by_groups_of_rows(monkeypatch):
+    """Few of the distances are ordered; rows far from the origin, copies, very long and very short vectors have the same answers."""
+    rng = np.random.Generator(np.random.PCG64(45))
+    x = rng.standard_normal((3000, 8)).astype(np.float32)
+    q = x[:40] + rng.standard_normal((40, 8)).astype(np.float32)
+    parted, partition = [], np.partition
+    monkeypatch.setattr(exact.np, "partition", lambda a, *rest, **named: parted.append(a.size) or partition(a, *rest, **named))
+    names = rng.permutation(3000)
+    for asked, held, few in ((q, x, True), (q + 500, x + 500, True), (q, np.repeat(x[:10], 300, axis=0), False), (q * 1e18, x * 1e18, False), (q * 1e-12, x * 1e-12, False)):
+        for metric in ("l2", "ip"):
+            parted.clear()
+            of, got, far = exact.nearest_of_block(np.arange(40), asked, names, held, 5, metric)
+            assert not few or sum(parted) <= 40 * 3000 / 16
+            for i in range(0, 40, 13):
+                d = exact.in_order(asked[i], held, metric)
+                first = np.lexsort((names, d))[:5]
+                assert got[of == i].tolist() == names[first].tolist() and far[of == i].tolist() == d[first].tolist()

@@ -51,7 +51,62 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2") ->
 
 
 #: Distances that a task has at hand at once, and pairs whose vectors it has.
-_AT_ONCE, _PAIRS_AT_ONCE = 1 << 20, 1 << 15
+_AT_ONCE, _PAIRS_AT_ONCE = 1 << 23, 1 << 15
+#: Columns of a matrix of distances that are looked through by their least first; lengths that single precision can hold the square of.
+_GROUP, _LONGEST = 64, 1e15
+
+
+def _screen(q: np.ndarray, x: np.ndarray, n: int, metric: str):
+    """within(lo, hi), and how many distances a query has at once: for the queries lo to hi, pairs (query - lo, row) in order of the
+    query, among them every row whose distance is at most the n-th. None where single precision is too coarse to tell. Values are those of a matrix product up to what is the
+    same for all rows of a query, from vectors without their common middle. Rows stand in groups: the n-th of the groups' least values
+    is no less than the n-th value, so only groups with a value up to it are looked through."""
+    middle, d = x.mean(0), x.shape[1]
+    longest = np.sqrt((x * x).sum(1).max()) + np.sqrt((q * q).sum(1))
+    if not longest.max(initial=0) < _LONGEST:
+        return None
+    y, p = x - middle, q if metric == "ip" else q - middle
+    size = (y * y).sum(1)
+    length = np.sqrt(size.max()) + np.sqrt((p * p).sum(1))
+    # twice what a sum of d + 1 products can lose in single precision, and what the distances proper lose in double
+    slack = 2.0**-22 * (d + 8) * length * length + 1e-13 * d * (1 + longest * longest)
+    deep = max(1, min(_GROUP, len(x) // (8 * n)))
+    groups = -(-len(x) // deep)
+    rows, asked = np.zeros((deep * groups, d + 1), np.float32), np.empty_like(p, np.float32, shape=(len(p), d + 1))
+    rows[: len(x), :d] = y * (-1.0 if metric == "ip" else -2.0)
+    rows[: len(x), d] = 0 if metric == "ip" else size
+    asked[:, :d], asked[:, d] = p, 1
+
+    def within(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray] | None:
+        v = asked[lo:hi] @ rows.T
+        v[:, len(x) :] = np.inf
+        v = v.reshape(hi - lo, deep, groups)
+        least = v.min(1)
+        edge = np.partition(least, n - 1, axis=1)[:, n - 1] + slack[lo:hi]
+        edge = np.nextafter(edge.astype(np.float32), np.float32(np.inf))
+        of, group = np.nonzero(least <= edge[:, None])
+        if len(of) > 32 * n * (hi - lo):
+            return None
+        at, level = np.nonzero(v[of, :, group] <= edge[of, None])
+        return None if len(at) > 32 * n * (hi - lo) else (of[at], level * groups + group[at])
+
+    return within, deep * groups
+
+
+def _screen_double(q: np.ndarray, x: np.ndarray, n: int, metric: str):
+    """The same in double precision, for vectors of any length and rows of any closeness."""
+    size = (x * x).sum(1)
+    length = np.sqrt(size.max()) + np.sqrt((q * q).sum(1))
+    slack = 1e-13 * x.shape[1] * (1 + length * length)
+
+    def within(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        d = q[lo:hi] @ x.T
+        d *= -1.0 if metric == "ip" else -2.0
+        if metric != "ip":
+            d += size
+        return np.nonzero(~(d > (np.partition(d, n - 1, axis=1)[:, n - 1] + slack[lo:hi])[:, None]))
+
+    return within, len(x)
 
 
 def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,18 +115,15 @@ def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.nd
     taken at a time, so memory does not grow with queries times rows."""
     n = min(k, len(x))
     q, x = np.asarray(q, np.float64), np.asarray(x, np.float64)
-    size = (x * x).sum(1)
-    length = np.sqrt(size.max()) + np.sqrt((q * q).sum(1))
-    slack = 1e-13 * x.shape[1] * (1 + length * length)
-    at, far, step = [], [], max(1, _AT_ONCE // len(x))
+    single, double = _screen(q, x, n, metric), None
+    at, far, step = [], [], max(1, _AT_ONCE // (single[1] if single else len(x)))
     for lo in range(0, len(q), step):
         some = q[lo : lo + step]
-        d = some @ x.T  # up to what is the same for all rows of a query
-        d *= -1.0 if metric == "ip" else -2.0
-        if metric != "ip":
-            d += size
-        edge = np.partition(d, n - 1, axis=1)[:, n - 1] + slack[lo : lo + step]
-        of, near = np.nonzero(~(d > edge[:, None]))
+        found = single and single[0](lo, lo + len(some))
+        if found is None:
+            double = double or _screen_double(q, x, n, metric)
+            found = double[0](lo, lo + len(some))
+        of, near = found
         cuts = range(0, len(of), _PAIRS_AT_ONCE)
         exact = np.concatenate([in_order(some[of[a : a + _PAIRS_AT_ONCE]], x[near[a : a + _PAIRS_AT_ONCE]], metric) for a in cuts])
         order = np.lexsort((names[near], exact, of))

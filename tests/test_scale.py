@@ -668,3 +668,20 @@ def test_nearest_of_a_block_are_found_by_groups_of_rows(monkeypatch):
                 d = exact.in_order(asked[i], held, metric)
                 first = np.lexsort((names, d))[:5]
                 assert got[of == i].tolist() == names[first].tolist() and far[of == i].tolist() == d[first].tolist()
+
+
+def test_vectors_are_sent_few_times_whatever_their_number(spark, monkeypatch):
+    """All against all: a vector goes to no more blocks as the table grows, and blocks are bounded by their components."""
+    sent = []
+    for n in (10_256, 102_564, 615_384):
+        b, q = exact.grid(n, n, exact._ROWS, exact._ROWS, 48)
+        assert b * q >= 48 and max(-(-n // b), -(-n // q)) <= exact._ROWS
+        sent.append(b + q)
+    assert max(sent) <= 16
+    base = table(spark, np.random.Generator(np.random.PCG64(46)).standard_normal((300, 8)).astype(np.float32))
+    want = sorted(map(tuple, exact.knn_blocks(base, base, 5).collect()))
+    rows, cut = [], exact.grid
+    monkeypatch.setattr(exact, "grid", lambda n, m, block, query_block, wanted: rows.append((block, query_block)) or cut(n, m, block, query_block, wanted))
+    monkeypatch.setattr(exact, "_COMPONENTS", 400)
+    monkeypatch.setattr(exact, "_LEAST_ROWS", 10)
+    assert sorted(map(tuple, exact.knn_blocks(base, base, 5).collect())) == want and rows == [(50, 50)]

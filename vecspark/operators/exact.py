@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,6 +56,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2") ->
 _AT_ONCE, _PAIRS_AT_ONCE = 1 << 23, 1 << 15
 #: Columns of a matrix of distances that are looked through by their least first; lengths that single precision can hold the square of.
 _GROUP, _LONGEST = 64, 1e15
+#: Components of the vectors of a block, and rows that it has at most and at least.
+_COMPONENTS, _ROWS, _LEAST_ROWS = 1 << 23, 1 << 17, 1 << 10
 
 
 def _screen(q: np.ndarray, x: np.ndarray, n: int, metric: str):
@@ -133,15 +137,24 @@ def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.nd
     return np.repeat(ids, n), names[np.concatenate(at)], np.concatenate(far)
 
 
-def met_in_blocks(queries: DataFrame, base: DataFrame, columns: list[str], meet, schema: str, block: int = 8192, query_block: int = 2048) -> DataFrame:
+def grid(n: int, m: int, block: int, query_block: int, wanted: int) -> tuple[int, int]:
+    """(blocks of m rows, blocks of n queries): no larger than stated, about `wanted` pairs of them, and few rows sent in all."""
+    b_blocks = max(1, -(-m // block), min(math.isqrt(wanted * m // max(n, 1)), wanted, m // _LEAST_ROWS))
+    return b_blocks, max(1, -(-n // query_block), min(-(-wanted // b_blocks), -(-n // 64)))
+
+
+def met_in_blocks(queries: DataFrame, base: DataFrame, columns: list[str], meet, schema: str, block: int | None = 8192, query_block: int | None = 2048) -> DataFrame:
     """meet(queries, rows) of every block of queries with every block of rows of the same d, one pair of blocks a task.
 
-    Both sides are (vec_id, d, ...); `columns` names what else of them is sent. Neither is collected or broadcast whole.
+    Both sides are (vec_id, d, ...); `columns` names what else of them is sent. Neither is collected or broadcast whole. A row is sent
+    once for each block of the other side, so where more pairs of blocks are wanted than memory asks for, both sides are cut alike.
+    Blocks of no stated size have as many rows as _COMPONENTS and _ROWS allow.
     """
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    n, m = queries.count(), base.count()
-    b_blocks = max(1, -(-m // block))
-    q_blocks = max(1, -(-n // query_block), min(-(-4 * cores // b_blocks), -(-n // 64)))
+    wanted = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    n, (m, widest) = queries.count(), base.agg(F.count(F.lit(1)), F.max("d")).first()
+    most = max(_LEAST_ROWS, min(_ROWS, _COMPONENTS // (widest or 1)))
+    block, query_block = block or most, query_block or most
+    b_blocks, q_blocks = grid(n, m, block, query_block, wanted)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = queries.withColumn("q_part", deal(q_blocks)).withColumn("b_part", upto(b_blocks))
@@ -168,7 +181,7 @@ def nearest_of_matrix(ids: np.ndarray, names: np.ndarray, d: np.ndarray, k: int)
     return pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": names[np.concatenate(at)], "distance": np.take_along_axis(d, np.stack(at), 1).ravel()})
 
 
-def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", block: int = 32768, query_block: int = 16384) -> DataFrame:
+def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", block: int | None = None, query_block: int | None = None) -> DataFrame:
     """The same in two phases: blocks of queries meet blocks of vectors, a task has one pair of blocks and sends each query's
     k nearest of the block, and these are merged."""
     q, b = (usable(x).select("vec_id", "embedding", F.size("embedding").alias("d")) for x in (queries, base))

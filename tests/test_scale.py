@@ -685,3 +685,24 @@ def test_vectors_are_sent_few_times_whatever_their_number(spark, monkeypatch):
     monkeypatch.setattr(exact, "_COMPONENTS", 400)
     monkeypatch.setattr(exact, "_LEAST_ROWS", 10)
     assert sorted(map(tuple, exact.knn_blocks(base, base, 5).collect())) == want and rows == [(50, 50)]
+
+
+def test_packing_lets_go_of_links_between_blocks_without_room(spark, write):
+    """Ends that have no room for each other never get any; of a block's such links one row stays, so that it counts as linked."""
+    rng = np.random.Generator(np.random.PCG64(47))
+    pairs = {(a, b) for a, b in rng.integers(0, 120, (700, 2)).tolist() if a != b}
+    edges = write(spark.createDataFrame(sorted(pairs), "src long, dst long"))
+    nodes, seen = spark.range(120).toDF("vec_id"), []
+
+    def watched(df):
+        out = write(df)
+        if "w" in out.columns:
+            seen.append(out.toPandas())
+        return out
+
+    labels = {r["vec_id"]: r["block"] for r in blocks.pack(nodes, edges, 8, watched).collect()}
+    assert len(labels) == 120 and max(sum(b == x for b in labels.values()) for x in set(labels.values())) <= 8
+    for rows in seen:
+        open_, shut = rows[rows.b.notna()], rows[rows.b.isna()]
+        assert (open_.na + open_.nb <= 8).all() and shut.a.is_unique
+    assert len(seen[-1]) < len(seen[0]) / 4 and set(seen[-1].a) == {labels[a] for a, b in pairs if labels[a] != labels[b]} | {labels[b] for a, b in pairs if labels[a] != labels[b]}

@@ -28,24 +28,29 @@ def _room(size: int) -> int:
     return size + size // 4
 
 
+def _open(rows: DataFrame, room: int) -> DataFrame:
+    """(a, na, b, nb, w): the links of blocks that have room for each other; of a block's others, whose ends only grow and never
+    meet, one row without b, so that it still counts as one with links. rows: (a, na, b, nb, w), several a pair."""
+    fits = lambda c: F.when(F.col("na") + F.col("nb") <= room, F.col(c))
+    rows = rows.select("a", "na", fits("b").alias("b"), fits("nb").alias("nb"), F.coalesce(fits("w"), F.lit(0)).alias("w"))
+    return rows.groupBy("a", "na", "b", "nb").agg(F.sum("w").alias("w"))
+
+
 def _contracted(links: DataFrame, turn: int, room: int, write: Write) -> tuple[DataFrame, DataFrame]:
-    """One round: (a, b, na, nb) of blocks a that join blocks b, and the links between what is left. links: (a, na, b, nb, w), both
-    ways, with the blocks' sizes."""
+    """One round: (a, b, size) of blocks a that join blocks b, which then have that size, and the links between what is left. links:
+    (a, na, b, nb, w), both ways, with the blocks' sizes, see _open()."""
     leads = lambda c: F.pmod(F.xxhash64(c, F.lit(turn), F.lit(room)), F.lit(2)) == 0
     may = links.where(~leads("a") & leads("b") & (F.col("na") + F.col("nb") <= room))
     best = may.groupBy("a", "na").agg(F.max(F.struct("w", (-F.col("b")).alias("b"), "nb")).alias("x"))
     asked = best.select("a", "na", (-F.col("x.b")).alias("b"), "x.nb", "x.w")
     line = W.partitionBy("b").orderBy(F.desc("w"), "a").rowsBetween(W.unboundedPreceding, W.currentRow)
-    joins = write(asked.withColumn("sum", F.sum("na").over(line)).where(F.col("sum") + F.col("nb") <= room).select("a", "b", "na", "nb"))
-    grown = joins.groupBy("b").agg((F.sum("na") + F.max("nb")).alias("size"))
-    side = lambda c: (joins.select(F.col("a").alias(c), F.col("b").alias(f"{c}_to"), F.col("nb").alias(f"{c}_of")), grown.select(F.col("b").alias(f"{c}_new"), F.col("size").alias(f"{c}_size")))
+    taken = asked.withColumn("size", F.sum("na").over(line) + F.col("nb")).where(F.col("size") <= room)
+    joins = write(taken.select("a", "b", F.max("size").over(W.partitionBy("b")).alias("size")))
+    changed = joins.union(joins.select("b", "b", "size").distinct())
     rows = links
     for c in ("a", "b"):
-        to, size = side(c)
-        rows = rows.join(to, c, "left").withColumn(f"{c}_new", F.coalesce(f"{c}_to", c)).join(size, f"{c}_new", "left")
-        rows = rows.withColumn(f"n{c}", F.coalesce(f"{c}_size", f"{c}_of", f"n{c}"))
-    rows = rows.where("a_new <> b_new").groupBy(F.col("a_new").alias("a"), "na", F.col("b_new").alias("b"), "nb").agg(F.sum("w").alias("w"))
-    return joins, write(rows.select("a", "na", "b", "nb", "w"))
+        rows = rows.join(changed.toDF(c, "to", "size"), c, "left").withColumn(c, F.coalesce("to", c)).withColumn(f"n{c}", F.coalesce("size", f"n{c}")).drop("to", "size")
+    return joins, write(_open(rows.where("b is null or a <> b"), room))
 
 
 def pack(nodes: DataFrame, edges: DataFrame, size: int, write: Write, start: DataFrame | None = None, quiet: float = 0.02) -> DataFrame:
@@ -55,20 +60,18 @@ def pack(nodes: DataFrame, edges: DataFrame, size: int, write: Write, start: Dat
     links found another in two rounds one after the other. Nodes without links are blocks of their own.
     """
     labels = start if start is not None else nodes.select("vec_id", F.col("vec_id").alias("block"))
-    sizes = labels.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    of = lambda c, name: labels.select(F.col("vec_id").alias(c), F.col("block").alias(name))
-    rows = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a <> b").select("a", "b")
-    both = rows.union(rows.select("b", "a")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    links = both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").select("a", "na", "b", "nb", "w")
-    links, still = write(links), 0
+    sized = write(labels.join(labels.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block").select("vec_id", "block", "n"))
+    rows = edges.join(sized.toDF("src", "a", "na"), "src").join(sized.toDF("dst", "b", "nb"), "dst").where("a <> b").select("a", "na", "b", "nb", F.lit(1).alias("w"))
+    links, still = write(_open(rows.union(rows.select("b", "nb", "a", "na", "w")), size)), 0
     for turn in range(8 * max(1, math.ceil(math.log2(size)))):
         held = links.select("a").distinct().count()
         joins, links = _contracted(links, turn, size, write)
-        labels = write(labels.join(joins.select(F.col("a").alias("block"), F.col("b").alias("to")), "block", "left").select("vec_id", F.coalesce("to", "block").alias("block")))
+        labels = labels.join(joins.select(F.col("a").alias("block"), F.col("b").alias("to")), "block", "left").select("vec_id", F.coalesce("to", "block").alias("block"))
+        labels = write(labels) if turn % 8 == 7 else labels
         still = still + 1 if joins.count() < quiet * held else 0
         if still == 2 or not held:
             break
-    return labels
+    return write(labels)
 
 
 def refine(labels: DataFrame, edges: DataFrame, size: int, write: Write, waves: int = 10) -> DataFrame:
@@ -76,12 +79,13 @@ def refine(labels: DataFrame, edges: DataFrame, size: int, write: Write, waves:
     holds most of their neighbours (src, dst), if more than their own; of equal ones the smallest. A block takes the
     movers that gain most while it has room, what leaves it in the same wave not counted."""
     for wave in range(waves):
-        near = edges.join(labels.toDF("dst", "to"), "dst").groupBy("src", "to").agg(F.count(F.lit(1)).alias("w"))
+        turn = F.pmod(F.xxhash64("src", F.lit(wave)), F.lit(2)) == 0
+        # one shuffle: what follows is by src as well
+        near = edges.where(turn).join(labels.toDF("dst", "to"), "dst").repartition("src").groupBy("src", "to").agg(F.count(F.lit(1)).alias("w"))
         own = labels.toDF("src", "block")
         held = F.coalesce(F.max(F.when(F.col("to") == F.col("block"), F.col("w"))), F.lit(0))
         best = near.join(own, "src").groupBy("src", "block").agg(F.max(F.struct("w", (-F.col("to")).alias("to"))).alias("x"), held.alias("held"))
-        turn = F.pmod(F.xxhash64("src", F.lit(wave)), F.lit(2)) == 0
-        movers = best.select("src", "block", (-F.col("x.to")).alias("to"), (F.col("x.w") - F.col("held")).alias("gain")).where(turn & (F.col("gain") > 0) & (F.col("to") != F.col("block")))
+        movers = best.select("src", "block", (-F.col("x.to")).alias("to"), (F.col("x.w") - F.col("held")).alias("gain")).where((F.col("gain") > 0) & (F.col("to") != F.col("block")))
         sizes = labels.groupBy(F.col("block").alias("to")).agg(F.count(F.lit(1)).alias("n"))
         line = F.row_number().over(W.partitionBy("to").orderBy(F.desc("gain"), "src"))
         moved = movers.withColumn("r", line).where(F.col("r") <= _room(size)).join(sizes, "to").where(F.col("n") + F.col("r") <= _room(size)).select(F.col("src").alias("vec_id"), "to")

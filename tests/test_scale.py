@@ -639,6 +639,21 @@ def test_a_beam_that_holds_the_table_is_one_search_of_what_links_reach(spark, wr
     assert [got[1, r] for r in range(1, 5)] == sorted(range(60), key=lambda v: (((x[1].astype(float) - x[v]) ** 2).sum(), v))[:4]
 
 
+def test_a_whole_beam_over_a_merged_graph_carries_no_row_for_each_query_and_node(spark, write, tmp_path, monkeypatch):
+    from vecspark import catalogue
+
+    x = np.random.Generator(np.random.PCG64(48)).standard_normal((260, 6)).astype(np.float32)
+    base = write(table(spark, x).withColumn("label", F.lit(0)))
+    base.write.parquet(f"{tmp_path}/in/embeddings.parquet")
+    monkeypatch.setattr(merged, "walk", lambda *a: pytest.fail("a row for each query and node"))
+    q = base.where("vec_id % 20 = 0")
+    want = sorted(tuple(r)[:3] for r in exact.knn_blocks(q, base, 10).collect())
+    assert sorted(map(tuple, catalogue.ann_search_full(spark, f"{tmp_path}/in").collect())) == want
+    links = spark.createDataFrame([(0, 5, 0, 9), (0, 9, 0, 11), (0, 20, 0, 5), (1, 5, 0, 30)], "level int, src long, pos int, dst long")  # 20 is not reached
+    found = merged.search_whole(q, merged.MergedGraph(base, links, 5, 1, "l2"), write, 10).collect()
+    assert len(found) == 3 * 13 and {r["vec_id"] for r in found} == {5, 9, 11}
+
+
 def test_depth_of_codes_is_what_finding_takes(spark, write):
     """Coarse books: 20 by codes do not hold the nearest, the measured depth does; of so few vectors at most all."""
     x = np.random.Generator(np.random.PCG64(44)).standard_normal((600, 8)).astype(np.float32)

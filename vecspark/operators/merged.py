@@ -352,6 +352,14 @@ def search_merged(queries: DataFrame, graph: MergedGraph, write: Write, k: int =
     return walk(seeds(queries, graph, write), step, ef, wide, write, whole)
 
 
+def search_whole(queries: DataFrame, graph: MergedGraph, write: Write, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, distance) of the search of level 0 with a beam as wide as the table, which ends with all that links
+    lead to from the entry: that is found once and measured by blocks, see met_by_all(). No row for each query and node."""
+    links = graph.edges.where("level = 0").select(F.col("src").alias("vec_id"), "dst")
+    nodes = graph.nodes.select("vec_id", "embedding")
+    return knn_blocks(queries, met_by_all(links, nodes.where(F.col("vec_id") == graph.entry), nodes, write), k, graph.metric)
+
+
 def nearest(seen: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, distance) of the k nearest that a search has measured."""
     return ranked(seen.select("query_id", "vec_id", F.col("d").alias("distance")), k)

@@ -654,6 +654,27 @@ def test_a_whole_beam_over_a_merged_graph_carries_no_row_for_each_query_and_node
     assert len(found) == 3 * 13 and {r["vec_id"] for r in found} == {5, 9, 11}
 
 
+def test_range_search_measures_by_blocks(spark, monkeypatch):
+    """No distance of a pair is a column expression; copies, long and short vectors and odd rows have the same answers."""
+    rng = np.random.Generator(np.random.PCG64(49))
+    x = rng.standard_normal((700, 8)).astype(np.float32)
+    x[100:140] = x[7]
+    names = rng.permutation(700)
+    for scale, shift in ((1, 0), (1, 500), (1e18, 0), (1e-12, 0)):
+        held = (x * np.float32(scale) + np.float32(shift)).astype(np.float32)
+        for metric in ("l2", "ip"):
+            d = np.stack([exact.in_order(v, held, metric) for v in held[:40]])
+            for radius in (float(np.partition(d.ravel(), 900)[900]), float(d.min()), -float("inf")):  # a radius that is a distance itself
+                of, got, far = exact.within_of_block(np.arange(40), held[:40], names, held, radius, metric)
+                a, b = np.nonzero(d <= radius)
+                assert sorted(zip(of.tolist(), got.tolist(), far.tolist())) == sorted(zip(a.tolist(), names[b].tolist(), d[a, b].tolist()))
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (None, [0.0, 0.0]), (8, [1.0, 0.0])]
+    base = spark.createDataFrame(rows, VECTORS)
+    monkeypatch.setattr(exact, "_pairs", lambda *a: pytest.fail("a column expression for each pair"))
+    got = sorted(map(tuple, exact.range_search(base, base, 0.5).collect()))
+    assert got == [(0, 0, 0.0), (1, 1, 0.0), (1, 8, 0.0), (4, 4, 0.0), (8, 1, 0.0), (8, 8, 0.0)]
+
+
 def test_depth_of_codes_is_what_finding_takes(spark, write):
     """Coarse books: 20 by codes do not hold the nearest, the measured depth does; of so few vectors at most all."""
     x = np.random.Generator(np.random.PCG64(44)).standard_normal((600, 8)).astype(np.float32)

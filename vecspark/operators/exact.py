@@ -60,11 +60,9 @@ _GROUP, _LONGEST = 64, 1e15
 _COMPONENTS, _ROWS, _LEAST_ROWS = 1 << 23, 1 << 17, 1 << 10
 
 
-def _screen(q: np.ndarray, x: np.ndarray, n: int, metric: str):
-    """within(lo, hi), and how many distances a query has at once: for the queries lo to hi, pairs (query - lo, row) in order of the
-    query, among them every row whose distance is at most the n-th. None where single precision is too coarse to tell. Values are those of a matrix product up to what is the
-    same for all rows of a query, from vectors without their common middle. Rows stand in groups: the n-th of the groups' least values
-    is no less than the n-th value, so only groups with a value up to it are looked through."""
+def _single(q: np.ndarray, x: np.ndarray, metric: str):
+    """(asked, rows, slack, rest): asked @ rows.T in single precision, with a query's rest, is within its slack of the distances.
+    None where single precision is too coarse to tell. The product is one of vectors without their common middle."""
     middle, d = x.mean(0), x.shape[1]
     longest = np.sqrt((x * x).sum(1).max()) + np.sqrt((q * q).sum(1))
     if not longest.max(initial=0) < _LONGEST:
@@ -74,12 +72,25 @@ def _screen(q: np.ndarray, x: np.ndarray, n: int, metric: str):
     length = np.sqrt(size.max()) + np.sqrt((p * p).sum(1))
     # twice what a sum of d + 1 products can lose in single precision, and what the distances proper lose in double
     slack = 2.0**-22 * (d + 8) * length * length + 1e-13 * d * (1 + longest * longest)
+    rows, asked = np.zeros((len(x), d + 1), np.float32), np.empty_like(p, np.float32, shape=(len(p), d + 1))
+    rows[:, :d] = y * (-1.0 if metric == "ip" else -2.0)
+    rows[:, d] = 0 if metric == "ip" else size
+    asked[:, :d], asked[:, d] = p, 1
+    return asked, rows, slack, 1 - (q * middle).sum(1) if metric == "ip" else (p * p).sum(1)
+
+
+def _screen(q: np.ndarray, x: np.ndarray, n: int, metric: str):
+    """within(lo, hi), and how many distances a query has at once: for the queries lo to hi, pairs (query - lo, row) in order of the
+    query, among them every row whose distance is at most the n-th. None where single precision is too coarse to tell. Values are those of a matrix product up to what is the
+    same for all rows of a query. Rows stand in groups: the n-th of the groups' least values
+    is no less than the n-th value, so only groups with a value up to it are looked through."""
+    single = _single(q, x, metric)
+    if single is None:
+        return None
+    asked, rows, slack, _ = single
     deep = max(1, min(_GROUP, len(x) // (8 * n)))
     groups = -(-len(x) // deep)
-    rows, asked = np.zeros((deep * groups, d + 1), np.float32), np.empty_like(p, np.float32, shape=(len(p), d + 1))
-    rows[: len(x), :d] = y * (-1.0 if metric == "ip" else -2.0)
-    rows[: len(x), d] = 0 if metric == "ip" else size
-    asked[:, :d], asked[:, d] = p, 1
+    rows = np.concatenate((rows, np.zeros((deep * groups - len(x), rows.shape[1]), np.float32)))
 
     def within(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray] | None:
         v = asked[lo:hi] @ rows.T
@@ -194,18 +205,48 @@ def knn_blocks(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "
     return ranked(met_in_blocks(q, b, ["embedding"], meet, FOUND, block, query_block), k)
 
 
-def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
-    """(query_id, vec_id, distance) of all vectors within the radius. Above MOST_BROADCAST queries these are dealt in parts."""
-    if few(queries):
-        pairs = _pairs(queries, base)
+def within_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, radius: float, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, names, distances) of all rows of a block within the radius of each query. A matrix product leaves out what is
+    farther by more than its rounding; the rest is measured as l2() and ip() do, to the last bit. A few queries are taken at a time."""
+    q, x = np.asarray(q, np.float64), np.asarray(x, np.float64)
+    single = _single(q, x, metric)
+    if single is None:  # in double precision, for vectors of any length
+        size, own = (0.0, 1.0) if metric == "ip" else ((x * x).sum(1), (q * q).sum(1))
+        longest = np.sqrt((x * x).sum(1).max()) + np.sqrt((q * q).sum(1))
+        slack, rest = 1e-13 * x.shape[1] * (1 + longest * longest), np.broadcast_to(own, len(q))
     else:
-        parts = -(-queries.count() // MOST_BROADCAST)
-        deal = lambda df: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-        q = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), deal(queries).alias("part"))
-        b = usable(base).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-        pairs = b.join(q, "part").where(F.size("q") == F.size("embedding"))
-    scored = pairs.select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("embedding")).alias("distance"))
-    return scored.where(F.col("distance") <= radius)
+        asked, rows, slack, rest = single
+    at, out, step = [], [], max(1, _AT_ONCE // len(x))
+    for lo in range(0, len(q), step):
+        some = slice(lo, lo + step)
+        edge = (radius - rest + slack + 1e-15 * np.abs(rest))[some, None]
+        if single is None:
+            far = ~(q[some] @ x.T * (-1.0 if metric == "ip" else -2.0) + size > edge)
+        else:
+            far = asked[some] @ rows.T <= np.nextafter(edge.astype(np.float32), np.float32(np.inf))
+        of, near = np.nonzero(far)
+        for cut in range(0, len(of), _PAIRS_AT_ONCE):
+            a, b = of[cut : cut + _PAIRS_AT_ONCE] + lo, near[cut : cut + _PAIRS_AT_ONCE]
+            exact = in_order(q[a], x[b], metric)
+            fit = exact <= radius
+            at.append((a[fit], b[fit]))
+            out.append(exact[fit])
+    if not out:
+        return ids[:0], names[:0], np.zeros(0)
+    return ids[np.concatenate([a for a, _ in at])], names[np.concatenate([b for _, b in at])], np.concatenate(out)
+
+
+def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2", block: int = 4096, query_block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, distance) of all vectors within the radius. Blocks of queries meet blocks of vectors, so small that a task
+    holds all their pairs, should all be within the radius."""
+    q, b = (usable(x).select("vec_id", "embedding", F.size("embedding").alias("d")) for x in (queries, base))
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.array(v.embedding.tolist(), np.float64) for v in (q, b))
+        of, names, far = within_of_block(q.vec_id.to_numpy(), x, b.vec_id.to_numpy(), y, radius, metric)
+        return pd.DataFrame({"query_id": of, "vec_id": names, "distance": far})
+
+    return met_in_blocks(q, b, ["embedding"], meet, FOUND, block, query_block)
 
 
 def long_form(truth: DataFrame) -> DataFrame:

@@ -200,6 +200,26 @@ def test_coded_search_takes_any_number_of_queries(spark):
     assert len(got) == 4500 and all(r["distance"] == 0 and r["vec_id"] <= r["query_id"] for r in got)
 
 
+def test_coded_search_orders_few_of_its_distances(spark, write):
+    """No distance of a pair is added up unless a product leaves it in; ties of codes go to the smaller id."""
+    rng = np.random.Generator(np.random.PCG64(50))
+    x = rng.integers(0, 6, (1500, 5)).astype(np.int32)
+    scale, measured = rng.random(5) + 0.1, []
+    rows = write(spark.createDataFrame([(i, row.tolist(), scale.tolist()) for i, row in enumerate(x)], "vec_id long, code array<int>, scale array<double>"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in codecs.sq_knn(rows, F.col("vec_id") % 20 == 0, 7).collect()}
+    assert len(got) == 75 * 7
+    for i in range(0, 1500, 140):
+        d = np.zeros(1500)
+        for j in range(5):
+            step = (x[i, j] - x[:, j]) * scale[j]
+            d += step * step
+        assert [got[i, r] for r in range(1, 8)] == [(int(b), d[b]) for b in np.lexsort((np.arange(1500), d))[:7]]
+    wide = rng.integers(0, 256, (2000, 64)).astype(np.int32)
+    far = lambda a, b: measured.append(len(a)) or ((wide[a] - wide[b]).astype(float) ** 2).sum(1)
+    exact.nearest_of_block(np.arange(40), wide[:40], np.arange(2000), wide, 5, "l2", far)
+    assert sum(measured) < 40 * 20
+
+
 # --- growth of stored indexes -----------------------------------------------------------------------------------
 
 

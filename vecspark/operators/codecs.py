@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import l2
-from .exact import FOUND, met_in_blocks, nearest_of_matrix, ranked
+from .exact import FOUND, met_in_blocks, nearest_of_block, nearest_of_matrix, ranked
 
 
 # --- scalar -----------------------------------------------------------------------------------------------------
@@ -42,20 +42,26 @@ def sq_distance(a: Column, b: Column, scale: Column) -> Column:
     return F.aggregate(diff, F.lit(0.0), lambda t, x: t + x)
 
 
-def sq_knn(codes: DataFrame, is_query: Column, k: int, block: int = 8192) -> DataFrame:
+def sq_knn(codes: DataFrame, is_query: Column, k: int, block: int | None = None) -> DataFrame:
     """Nearest by codes alone; query and base are both coded. The estimate is of squared L2 whatever the metric. Blocks of
-    queries meet blocks of codes, whatever their numbers."""
-    rows = codes.select("vec_id", "code", "scale", F.size("code").alias("d"))
+    queries meet blocks of codes, whatever their numbers; a matrix product leaves out what is farther by more than its rounding."""
+    rows, model = codes.select("vec_id", "code", F.size("code").alias("d")), codes.select("scale").first()
 
     def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.array(v.code.tolist(), np.int32) for v in (q, b))
-        scale, total = np.asarray(b["scale"].iloc[0], np.float64), np.zeros((len(x), len(y)))
-        for p, r, s in zip(x.T, y.T, scale):  # from the first component to the last, as sq_distance() adds
-            step = (p[:, None] - r[None, :]) * s
-            total += step * step
-        return nearest_of_matrix(q.vec_id.to_numpy(), b.vec_id.to_numpy(), total, k)
+        scale = np.asarray(model["scale"], np.float64)[: x.shape[1]]
+
+        def measure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(a))
+            for p, r, s in zip(x[a].T, y[b].T, scale):  # from the first component to the last, as sq_distance() adds
+                step = (p - r) * s
+                total += step * step
+            return total
+
+        of, names, far = nearest_of_block(q.vec_id.to_numpy(), x * scale, b.vec_id.to_numpy(), y * scale, k, "l2", measure)
+        return pd.DataFrame({"query_id": of, "vec_id": names, "distance": far})
 
-    return ranked(met_in_blocks(rows.where(is_query), rows, ["code", "scale"], meet, FOUND, block, 512), k)
+    return ranked(met_in_blocks(rows.where(is_query), rows, ["code"], meet, FOUND, block, None), k)
 
 
 def pack_nibbles(codes: np.ndarray) -> np.ndarray:

@@ -124,12 +124,14 @@ def _screen_double(q: np.ndarray, x: np.ndarray, n: int, metric: str):
     return within, len(x)
 
 
-def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.ndarray, k: int, metric: str, measure=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, names, distances) of the k first of a block for each query by (distance, name). A matrix product finds all
-    rows within its rounding of the k-th distance; these are measured as l2() and ip() do, to the last bit. A few queries are
-    taken at a time, so memory does not grow with queries times rows."""
+    rows within its rounding of the k-th distance; these are measured as l2() and ip() do, to the last bit, or by measure(query
+    rows, rows), which may differ from them by rounding alone. A few queries are taken at a time, so memory does not grow with
+    queries times rows."""
     n = min(k, len(x))
     q, x = np.asarray(q, np.float64), np.asarray(x, np.float64)
+    measure = measure or (lambda a, b: in_order(q[a], x[b], metric))
     single, double = _screen(q, x, n, metric), None
     at, far, step = [], [], max(1, _AT_ONCE // (single[1] if single else len(x)))
     for lo in range(0, len(q), step):
@@ -140,7 +142,7 @@ def nearest_of_block(ids: np.ndarray, q: np.ndarray, names: np.ndarray, x: np.nd
             found = double[0](lo, lo + len(some))
         of, near = found
         cuts = range(0, len(of), _PAIRS_AT_ONCE)
-        exact = np.concatenate([in_order(some[of[a : a + _PAIRS_AT_ONCE]], x[near[a : a + _PAIRS_AT_ONCE]], metric) for a in cuts])
+        exact = np.concatenate([measure(lo + of[a : a + _PAIRS_AT_ONCE], near[a : a + _PAIRS_AT_ONCE]) for a in cuts])
         order = np.lexsort((names[near], exact, of))
         first = order[np.arange(len(of)) - np.searchsorted(of, np.arange(len(some)))[of] < n]
         at.append(near[first])
@@ -154,18 +156,21 @@ def grid(n: int, m: int, block: int, query_block: int, wanted: int) -> tuple[int
     return b_blocks, max(1, -(-n // query_block), min(-(-wanted // b_blocks), -(-n // 64)))
 
 
-def met_in_blocks(queries: DataFrame, base: DataFrame, columns: list[str], meet, schema: str, block: int | None = 8192, query_block: int | None = 2048) -> DataFrame:
+def met_in_blocks(queries: DataFrame, base: DataFrame, columns: list[str], meet, schema: str, block: int | None = 8192, query_block: int | None = 2048, alike: bool = True) -> DataFrame:
     """meet(queries, rows) of every block of queries with every block of rows of the same d, one pair of blocks a task.
 
     Both sides are (vec_id, d, ...); `columns` names what else of them is sent. Neither is collected or broadcast whole. A row is sent
     once for each block of the other side, so where more pairs of blocks are wanted than memory asks for, both sides are cut alike.
-    Blocks of no stated size have as many rows as _COMPONENTS and _ROWS allow.
+    Blocks of no stated size have as many rows as _COMPONENTS and _ROWS allow. If not `alike`, rows are cut no further than their
+    stated size and queries into as many blocks as are wanted: what a query finds in a block is then sent few times.
     """
     wanted = 4 * queries.sparkSession.sparkContext.defaultParallelism
     n, (m, widest) = queries.count(), base.agg(F.count(F.lit(1)), F.max("d")).first()
     most = max(_LEAST_ROWS, min(_ROWS, _COMPONENTS // (widest or 1)))
     block, query_block = block or most, query_block or most
-    b_blocks, q_blocks = grid(n, m, block, query_block, wanted)
+    b_blocks, q_blocks = grid(n, m, block, query_block, wanted if alike else 1)
+    if not alike:
+        q_blocks = max(q_blocks, min(-(-wanted // b_blocks), -(-n // 64)))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = queries.withColumn("q_part", deal(q_blocks)).withColumn("b_part", upto(b_blocks))

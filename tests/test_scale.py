@@ -707,6 +707,27 @@ def test_depth_of_codes_is_what_finding_takes(spark, write):
     assert depth > 20 and found(20) < 0.95 <= found(depth)
 
 
+def test_product_codes_are_answered_without_a_row_for_each_candidate(spark, write, monkeypatch):
+    """The candidates are those of the scan, ties at the edge by id; a query has one row between the passes, also over many blocks of codes."""
+    x = np.random.Generator(np.random.PCG64(51)).standard_normal((500, 8)).astype(np.float32)
+    x[60:90] = x[3]
+    base = write(table(spark, x))
+    model = trained.pq_train(base, 2, centroids=5, rounds=3)  # many equal codes
+    codes, q = write(trained.pq_codes(base, model, whole=True)), base.where("vec_id % 20 = 0 or vec_id = 3")
+    for depth in (37, 1000):
+        want = sorted(map(tuple, trained.reranked(trained.pq_scan(q, codes, model, depth), q, base, 5).collect()))
+        ends = {r["query_id"]: (r["distance"], r["vec_id"]) for r in trained.pq_scan(q, codes, model, depth).where(f"rank = {min(depth, 500)}").collect()}
+        for most in (1 << 21, 150):
+            monkeypatch.setattr(trained, "CODES", most)
+            edges = trained.pq_edges(q, codes, model, depth).collect()
+            assert len(edges) == 26 and {r["query_id"]: (r["edge"], r["last"]) for r in edges} == ends
+        assert sorted(map(tuple, trained.pq_nearest(q, codes, model, depth, 5).collect())) == want
+    truth = write(exact.knn_blocks(q, base, 5).select("query_id", "vec_id"))
+    places = {(r["query_id"], r["vec_id"]): r["place"] for r in trained.pq_ranks(truth, q, codes, model, block=200).collect()}
+    scan = {(r["query_id"], r["vec_id"]): r["rank"] for r in trained.pq_scan(q, codes, model, 500).collect()}
+    assert len(places) == 26 * 5 and all(scan[pair] == place for pair, place in places.items())
+
+
 def test_nearest_of_a_block_are_found_by_groups_of_rows(monkeypatch):
     """Few of the distances are ordered; rows far from the origin, copies, very long and very short vectors have the same answers."""
     rng = np.random.Generator(np.random.PCG64(45))

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.distance import METRICS
+from ..functions.distance import METRICS, in_order
 from .codecs import RotatedCode, gaussian_levels, pq_split
-from .exact import FOUND, knn_blocks, met_in_blocks, nearest_of_matrix, ranked, usable
+from .exact import _AT_ONCE, _PAIRS_AT_ONCE, FOUND, knn_blocks, met_in_blocks, nearest_of_matrix, ranked, usable
 
 # --- product codes ----------------------------------------------------------------------------------------------
 
@@ -50,8 +50,17 @@ class ProductModel:
         return np.stack(code, 1), np.stack(far, 1)
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """For each sub-space the (queries, centroids) squared distances."""
-        return [((part[:, None, :] - book[None, :, :]) ** 2).sum(2) for part, book in self.parts(q)]
+        """For each sub-space the (queries, centroids) squared distances, added from the first component to the last: a query's do
+        not depend on what others are at hand."""
+        return [sum((p[:, None] - c[None, :]) ** 2 for p, c in zip(part.T, book.T)) for part, book in self.parts(q)]
+
+    def estimates(self, q: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        """(queries, rows) sums of the tables by the rows' codes, a contiguous column for each sub-space."""
+        tables = self.tables(q)
+        total = np.take(tables[0], columns[0], axis=1)
+        for table, code in zip(tables[1:], columns[1:]):
+            total += np.take(table, code, axis=1)
+        return total
 
 
 _SUMS = "j int, lot int, sums binary, n binary, inertia double, far binary"
@@ -133,16 +142,19 @@ def pq_train(vectors: DataFrame, m: int, centroids: int = 256, rounds: int = 20,
     return model
 
 
-def pq_codes(vectors: DataFrame, model: ProductModel) -> DataFrame:
-    """(vec_id, code BINARY): a byte for each sub-space."""
+def pq_codes(vectors: DataFrame, model: ProductModel, whole: bool = False) -> DataFrame:
+    """(vec_id, code BINARY): a byte for each sub-space; with the vector (embedding) too if `whole`."""
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
                 code, _ = model.codes(np.array(rows.embedding.tolist(), np.float64))
-                yield pd.DataFrame({"vec_id": rows.vec_id, "code": [c.tobytes() for c in code.astype(np.uint8)]})
+                made = pd.DataFrame({"vec_id": rows.vec_id, "code": [c.tobytes() for c in code.astype(np.uint8)]})
+                yield made.assign(embedding=rows.embedding.to_numpy()) if whole else made
 
-    return usable(vectors).select("vec_id", "embedding").mapInPandas(some, "vec_id long, code binary")
+    rows = usable(vectors).select("vec_id", "embedding")
+    kept = f", embedding {rows.schema['embedding'].dataType.simpleString()}" if whole else ""
+    return rows.mapInPandas(some, f"vec_id long, code binary{kept}")
 
 
 _SENT = "vec_id long, d int, data binary"
@@ -180,18 +192,116 @@ def pq_scan(queries: DataFrame, codes: DataFrame, model: ProductModel, k: int, b
     return ranked(met_in_blocks(_queries(queries, d), held, ["data"], meet, FOUND, block, 128), k)
 
 
+#: Codes that a task has at hand when queries meet all of them.
+CODES = 1 << 21
+
+
+def _columns(code: pd.Series, m: int) -> list[np.ndarray]:
+    table = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), m)
+    return [np.ascontiguousarray(c) for c in table.T]
+
+
+def _steps(n: int, rows: int) -> list[slice]:
+    """Of n queries as many at a time as have _AT_ONCE distances to so many rows."""
+    step = max(1, _AT_ONCE // rows)
+    return [slice(lo, min(lo + step, n)) for lo in range(0, n, step)]
+
+
+def _last(far: np.ndarray, names: np.ndarray, n: int) -> tuple[float, int]:
+    """The n-th by (distance, name)."""
+    edge = np.partition(far, n - 1)[n - 1]
+    ties = np.sort(names[far == edge])
+    return float(edge), int(ties[n - 1 - (far < edge).sum()])
+
+
+def pq_edges(queries: DataFrame, codes: DataFrame, model: ProductModel, depth: int, block: int | None = None) -> DataFrame:
+    """(query_id, edge, last): distance by codes and id of the depth-th nearest of each query, of the last one if there are fewer:
+    a row a query, where pq_scan() has `depth`. Queries meet all codes, some ten bytes a vector; above CODES of them a block of codes
+    sends each query's nearest packed, and these are merged."""
+    d, m, block = model.cuts[-1], len(model.books), block or CODES
+    held = codes.select("vec_id", F.lit(d).alias("d"), F.col("code").alias("data"))
+    one = codes.count() <= block
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, names, columns = np.frombuffer(b"".join(q.data), np.float64).reshape(len(q), d), b.vec_id.to_numpy(), _columns(b.data, m)
+        n, far, near = min(depth, len(b)), [], []
+        for some in _steps(len(x), len(b)):
+            for row in model.estimates(x[some], columns):
+                edge, last = _last(row, names, n)
+                kept = [edge] if one else row[inside := (row < edge) | ((row == edge) & (names <= last))]
+                far.append(np.asarray(kept).tobytes())
+                near.append(np.asarray([last] if one else names[inside]).tobytes())
+        return pd.DataFrame({"query_id": q.vec_id, "far": far, "near": near})
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        far, near = np.frombuffer(b"".join(rows.far), np.float64), np.frombuffer(b"".join(rows.near), np.int64)
+        edge, last = _last(far, near, min(depth, len(far)))
+        return pd.DataFrame({"query_id": rows.query_id.iloc[:1], "edge": [edge], "last": [last]})
+
+    found = met_in_blocks(_queries(queries, d), held, ["data"], meet, "query_id long, far binary, near binary", block, 4096, alike=False)
+    return found.groupBy("query_id").applyInPandas(merged, "query_id long, edge double, last long")
+
+
+def pq_nearest(queries: DataFrame, codes: DataFrame, model: ProductModel, depth: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, distance): of the `depth` nearest by codes the k first by exact distance, codes (vec_id, code,
+    embedding). What reranked() finds of pq_scan(), but no row is made for each query and candidate: its edge tells a block of vectors
+    which of them are a query's candidates, they are measured there, and k of a block are sent. Of ids that repeat each row counts."""
+    d, m = model.cuts[-1], len(model.books)
+    null = lambda kind: F.lit(None).cast(kind)
+    asked = usable(queries).where(F.size("embedding") == d).select("vec_id", "embedding")
+    asked = asked.join(pq_edges(queries, codes, model, depth).withColumnRenamed("query_id", "vec_id"), "vec_id")
+    asked = asked.select("vec_id", F.lit(d).alias("d"), "embedding", null("binary").alias("code"), "edge", "last")
+    held = codes.select("vec_id", F.lit(d).alias("d"), "embedding", "code", null("double").alias("edge"), null("long").alias("last"))
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.array(v.embedding.tolist(), np.float64) for v in (q, b))
+        names, columns, out = b.vec_id.to_numpy(), _columns(b.code, m), []
+        ids, edge, last = q.vec_id.to_numpy(), q.edge.to_numpy(np.float64)[:, None], q["last"].to_numpy(np.int64)[:, None]
+        for some in _steps(len(x), len(b)):
+            far = model.estimates(x[some], columns)
+            of, near = np.nonzero((far < edge[some]) | ((far == edge[some]) & (names <= last[some])))
+            cuts = range(0, len(of), _PAIRS_AT_ONCE)
+            measured = np.concatenate([np.zeros(0), *[in_order(x[some][of[a : a + _PAIRS_AT_ONCE]], y[near[a : a + _PAIRS_AT_ONCE]], "l2") for a in cuts]])
+            order = np.lexsort((names[near], measured, of))
+            first = order[np.arange(len(of)) - np.searchsorted(of, np.arange(len(x[some])))[of] < k]
+            out.append(pd.DataFrame({"query_id": ids[some][of[first]], "vec_id": names[near[first]], "distance": measured[first]}))
+        return pd.concat(out)
+
+    return ranked(met_in_blocks(asked, held, ["embedding", "code", "edge", "last"], meet, FOUND, None, None), k)
+
+
+def pq_ranks(pairs: DataFrame, queries: DataFrame, codes: DataFrame, model: ProductModel, block: int = 65536) -> DataFrame:
+    """(query_id, vec_id, place): which place the vector of each pair (query_id, vec_id) has by codes among all, from 1. A query has
+    a few pairs."""
+    d, m = model.cuts[-1], len(model.books)
+    own = pairs.select("query_id", "vec_id").join(codes.select("vec_id", "code"), "vec_id").groupBy(F.col("query_id").alias("vec_id"))
+    own = own.agg(F.collect_list("vec_id").alias("wanted"), F.collect_list("code").alias("own"))
+    asked = _queries(queries, d).join(own, "vec_id").select("vec_id", "d", "data", "wanted", "own")
+    held = codes.select("vec_id", F.lit(d).alias("d"), F.col("code").alias("data"), F.lit(None).cast("array<long>").alias("wanted"), F.lit(None).cast("array<binary>").alias("own"))
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, names, columns, out = np.frombuffer(b"".join(q.data), np.float64).reshape(len(q), d), b.vec_id.to_numpy(), _columns(b.data, m), []
+        for of, v, wanted, own in zip(q.vec_id, x, q.wanted, q.own):
+            row, far = model.estimates(v[None], columns)[0], model.estimates(v[None], _columns(pd.Series(list(own)), m))[0]
+            out += [(of, int(w), int(((row < f) | ((row == f) & (names < w))).sum())) for w, f in zip(wanted, far)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "before"])
+
+    found = met_in_blocks(asked, held, ["data", "wanted", "own"], meet, "query_id long, vec_id long, before long", block, 128, alike=False)
+    return found.groupBy("query_id", "vec_id").agg((F.sum("before") + 1).alias("place"))
+
+
 def pq_depth(queries: DataFrame, vectors: DataFrame, codes: DataFrame, model: ProductModel, k: int, least: int = 100, share: float = 0.975, drawn: int = 256) -> int:
     """How many of the nearest by codes have to be measured exactly, so that a `share` of the k nearest is among them: `least`,
     doubled until that holds for `drawn` queries by a hash of the id, against exact search, or until it is every vector. How
     well codes rank depends on how close vectors lie, and these lie closer as there are more. All queries are then answered."""
-    some = usable(queries).orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(drawn)
+    some = usable(queries).orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(drawn).persist()
     truth = knn_blocks(some, vectors, k).select("query_id", "vec_id").persist()
     wanted, n, depth = truth.count(), codes.count(), least
-    while depth < n:
-        if pq_scan(some, codes, model, depth).join(truth, ["query_id", "vec_id"], "left_semi").count() >= share * wanted:
-            break
+    places = [r["place"] for r in pq_ranks(truth, some, codes, model).select("place").collect()]  # k for each drawn query
+    while depth < n and sum(p <= depth for p in places) < share * wanted:
         depth *= 2
     truth.unpersist()
+    some.unpersist()
     return depth
 
 

@@ -728,6 +728,23 @@ def test_product_codes_are_answered_without_a_row_for_each_candidate(spark, writ
     assert len(places) == 26 * 5 and all(scan[pair] == place for pair, place in places.items())
 
 
+def test_recall_of_codecs_searches_once_and_sends_little(spark, write, tmp_path):
+    """What is counted is read from tables, not searched again for each count; blocks that send k rows a query are no more than memory asks for."""
+    import pandas as pd
+
+    from vecspark import catalogue
+
+    x = np.random.Generator(np.random.PCG64(52)).standard_normal((300, 64)).astype(np.float32)
+    table(spark, x).withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/in/embeddings.parquet")
+    counted = catalogue.codec_recall(spark, f"{tmp_path}/in")
+    assert "FlatMapCoGroups" not in counted._jdf.queryExecution().toString()
+    assert sorted(map(tuple, counted.collect())) == [("pq", 15, True), ("rotated", 15, True)]
+    rows = write(spark.range(6000).select(F.col("id").alias("vec_id"), F.lit(1).alias("d"), F.lit(0).alias("x")))
+    meet = lambda q, b: pd.DataFrame({"query_id": q.vec_id, "n": len(b)})
+    sent = exact.met_in_blocks(rows.where("vec_id < 600"), rows, ["x"], meet, "query_id long, n long", None, None, alike=False)
+    assert sent.count() == 600 and sent.where("n <> 6000").isEmpty()
+
+
 def test_nearest_of_a_block_are_found_by_groups_of_rows(monkeypatch):
     """Few of the distances are ordered; rows far from the origin, copies, very long and very short vectors have the same answers."""
     rng = np.random.Generator(np.random.PCG64(45))

@@ -343,10 +343,12 @@ def rotated_codes(vectors: DataFrame, model: RotatedCode) -> DataFrame:
 
 def rotated_estimates(model: RotatedCode, q: np.ndarray, planes: list[bytes], norm: np.ndarray, agree: np.ndarray, paired: bool) -> np.ndarray:
     """Estimates of squared distances of uncoded queries to codes: each query's to its own code if paired, else all to all."""
-    d = len(model.centre)
-    index = model.from_planes(np.frombuffer(b"".join(planes), np.uint8).reshape(len(planes), -1), d)
+    index = model.from_planes(np.frombuffer(b"".join(planes), np.uint8).reshape(len(planes), -1), len(model.centre))
+    return _estimated(model, q, model.level[index], norm, agree, paired)
+
+
+def _estimated(model: RotatedCode, q: np.ndarray, level: np.ndarray, norm: np.ndarray, agree: np.ndarray, paired: bool) -> np.ndarray:
     far, turned = model._turn(q)
-    level = model.level[index]
     product = (level * turned).sum(1) if paired else turned @ level.T
     norm, agree, far = (norm, agree, far) if paired else (norm[None, :], agree[None, :], far[:, None])
     return far**2 + norm**2 - 2 * norm * far * product / np.where(agree == 0, 1e-30, agree)
@@ -364,16 +366,19 @@ def rotated_column(model: RotatedCode):
     return lambda q, codes: one(q, codes["planes"], codes["norm"], codes["agree"])
 
 
-def rotated_scan(queries: DataFrame, codes: DataFrame, model: RotatedCode, k: int, block: int = 16384) -> DataFrame:
-    """(query_id, rank, vec_id, distance) of the k nearest by estimates; blocks of queries meet blocks of codes. A vector that is
-    not among them can still be nearer: rerank a multiple of what is asked, see reranked()."""
+def rotated_scan(queries: DataFrame, codes: DataFrame, model: RotatedCode, k: int, block: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, distance) of the k nearest by estimates; blocks of queries meet few large blocks of codes, since each
+    sends k rows a query. A vector that is not among them can still be nearer: rerank a multiple of what is asked, see reranked()."""
     d = len(model.centre)
     held = codes.select("vec_id", F.lit(d).alias("d"), F.col("planes").alias("data"), "norm", "agree")
     asked = _queries(queries, d).withColumn("norm", F.lit(0.0)).withColumn("agree", F.lit(0.0))
 
     def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(q.data), np.float64).reshape(len(q), d)
-        total = rotated_estimates(model, x, list(b.data), b.norm.to_numpy(), b.agree.to_numpy(), False)
-        return nearest_of_matrix(q.vec_id.to_numpy(), b.vec_id.to_numpy(), total, k)
+        x, names, out = np.frombuffer(b"".join(q.data), np.float64).reshape(len(q), d), b.vec_id.to_numpy(), []
+        level = model.level[model.from_planes(np.frombuffer(b"".join(b.data), np.uint8).reshape(len(b), -1), d)]
+        for some in _steps(len(x), len(b)):
+            total = _estimated(model, x[some], level, b.norm.to_numpy(), b.agree.to_numpy(), False)
+            out.append(nearest_of_matrix(q.vec_id.to_numpy()[some], names, total, k))
+        return pd.concat(out)
 
-    return ranked(met_in_blocks(asked, held, ["data", "norm", "agree"], meet, FOUND, block, 256), k)
+    return ranked(met_in_blocks(asked, held, ["data", "norm", "agree"], meet, FOUND, block, None, alike=False), k)
